@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import brown
+from quillspark.llm import brown, cover_tree, jaccard_join, packing
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,23 @@ def op1_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(_read(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(_read(spark, sf_dir, "documents"))
+
+
+def op3_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), ids=False)
+
+
+def op4_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_class_lm": op1_brown_class_lm,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_power_of_two_packing": op3_power_of_two_packing,
+    "op4_cover_tree_near_dedup": op4_cover_tree_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
