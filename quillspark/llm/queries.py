@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import brown, cover_tree, jaccard_join, packing
+from quillspark.llm import brown, cover_tree, jaccard_join, kd_shards, langid, lz_fingerprint, mixing, packing, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +30,37 @@ def op4_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op5_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
+def op6_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op8_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards.shard(_read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"), rows=False)
+
+
+def op10_lempel_ziv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.fingerprint(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_class_lm": op1_brown_class_lm,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_power_of_two_packing": op3_power_of_two_packing,
     "op4_cover_tree_near_dedup": op4_cover_tree_near_dedup,
+    "op5_naive_bayes_langid": op5_naive_bayes_langid,
+    "op6_bigru_toxicity": op6_bigru_toxicity,
+    "op8_kd_tree_sharding": op8_kd_tree_sharding,
+    "op9_systematic_mixing": op9_systematic_mixing,
+    "op10_lempel_ziv_fingerprint": op10_lempel_ziv_fingerprint,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_systematic_mixing": mixing.PLAN_SQL}
