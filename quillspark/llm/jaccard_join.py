@@ -7,12 +7,13 @@
    holders into one weighted entry, so a passage that many texts share is one entry, not fifty.
 3. The global order is (number of holders, entry). Of a set of n, only the first n - ceil(t n) + 1
    shingles can decide that a partner is close enough; entries among them make the candidate lists.
-4. Lists of thousands are not expanded into pairs: every member is paired with its list's first member;
-   the components of the verified links then tell which lists still join different components, and only
+4. Lists of thousands are not expanded into pairs: every member is paired with its list's most typical
+   member (the one whose shingles have the most holders); the components of the verified links then tell which lists still join different components, and only
    pairs across components are tried, small components against the rest. A pair inside a component
    cannot change the result, so no link between components is lost.
 5. A pair is verified by partial overlaps: each fragment group sums the weights that both segments hold
-   and the partial counts are summed per pair; links need denominator * overlap >= numerator * union.
+   and the partial counts are summed per pair; pairs whose sets can't hold enough from their first common
+   entry on are not tried; links need denominator * overlap >= numerator * union.
 
 Bounds: a task holds its own packed rows or one fragment (about 2 million shingles); a row per (list,
 member) of shingles held by two classes or more is the largest table. 64-bit hashes stand for shingles
@@ -25,16 +26,17 @@ never names a component unless all its members are null; an empty table gives no
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
 from quillspark.llm.shared import Scratch, partitions
-from quillspark.llm.textarrays import chunks, mix, shingles, span_hashes, text_bytes, words
+from quillspark.llm.textarrays import chunks, mix, shingles, span_hashes, text_bytes, word_spans
 
 FLUSH_TOKENS, FLUSH_CLASSES = 4_000_000, 65_000
 
@@ -42,7 +44,7 @@ FLUSH_TOKENS, FLUSH_CLASSES = 4_000_000, 65_000
 def _sets(texts: list[bytes], k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(position, sorted distinct shingle hashes) of each text."""
     for i, j in chunks(texts):
-        buffer, starts, ends, first = words(texts[i:j])
+        buffer, starts, ends, first = word_spans(texts[i:j])
         hashes, limits = shingles(span_hashes(buffer, starts, ends), first, k)
         for x in range(j - i):
             yield i + x, np.unique(hashes[limits[x] : limits[x + 1]])
@@ -56,21 +58,22 @@ def _signature(own: np.ndarray) -> int:
 
 
 def sets(documents: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
-    """(doc_id, n_shingles, node): size and class of each text's shingle set; node is null for an empty set."""
+    """(doc_id, crc, n_shingles, node): crc32 of the text, size and class of its shingle set (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = text_bytes(batch.column(1))
             n, node = [], []
-            for _, own in _sets(text_bytes(batch.column(1)), k):
+            for _, own in _sets(texts, k):
                 n.append(len(own))
                 node.append(_signature(own) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(map(zlib.crc32, texts), pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "crc", "n_shingles", "node"])
 
-    return documents.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
+    return documents.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id bigint, crc bigint, n_shingles bigint, node bigint")
 
 
 def entries(texts: DataFrame, k: int, fragments: int) -> DataFrame:
-    """(node, n, fragment, entry, holders, weight) of all shingles that at least two classes hold."""
+    """(node, fragment, entry, holders, weight) of all shingles that at least two classes hold."""
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -92,8 +95,10 @@ def entries(texts: DataFrame, k: int, fragments: int) -> DataFrame:
                 a, b = limits[f], limits[f + 1]
                 if a < b:
                     used, own = np.unique(owner[a:b], return_inverse=True)
-                    rows.append((f, np.ascontiguousarray(planes[a:b].T).tobytes(), own.astype(np.uint16).tobytes(), names[used].tobytes(), sizes[used].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["f", "token", "owner", "node", "n"])
+                    short = 8 * len(used) + 2 * (b - a) > 8 * (b - a)  # then each shingle carries its class
+                    own = (b"", names[owner[a:b]]) if short else (own.astype(np.uint16).tobytes(), names[used])
+                    rows.append((f, np.ascontiguousarray(planes[a:b].T).tobytes(), own[0], own[1].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], ["f", "token", "owner", "node"])
 
         for batch in batches:
             for _, own in _sets(text_bytes(batch.column(0)), k):
@@ -112,26 +117,23 @@ def entries(texts: DataFrame, k: int, fragments: int) -> DataFrame:
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for f, token, owner, node, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for f, token, owner, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 planes = np.frombuffer(token, np.uint8).reshape(6, -1)
                 full = np.zeros((planes.shape[1], 8), np.uint8)
                 full[:, 2:] = planes.T
-                at = np.frombuffer(owner, np.uint16)
-                held.setdefault(f, []).append((full.reshape(-1).view(">u8").astype(np.uint64), np.frombuffer(node, np.int64)[at], np.frombuffer(n, np.int64)[at].astype(np.int32)))
+                names = np.frombuffer(node, np.int64)
+                held.setdefault(f, []).append((full.reshape(-1).view(">u8").astype(np.uint64), names[np.frombuffer(owner, np.uint16)] if owner else names))
         for f in list(held):
-            token, node, n = (np.concatenate(x) for x in zip(*held.pop(f), strict=True))
-            found = _shared(token, node, n)
+            token, node = (np.concatenate(x) for x in zip(*held.pop(f), strict=True))
+            found = _shared(token, node)
             for lo in range(0, len(found[0]), 500_000):
                 own = [x[lo : lo + 500_000] for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[0]), pa.array(own[1], pa.int32()), pa.array(np.full(len(own[0]), f, np.int32)), pa.array(own[2]), pa.array(own[3], pa.int32()), pa.array(own[4], pa.int32())],
-                    ["node", "n", "fragment", "entry", "holders", "weight"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(np.full(len(own[0]), f, np.int32)), pa.array(own[1]), pa.array(own[2], pa.int32()), pa.array(own[3], pa.int32())], ["node", "fragment", "entry", "holders", "weight"])
 
-    shipped = texts.mapInArrow(ship, "f int, token binary, owner binary, node binary, n binary")
-    return shipped.repartitionById(fragments, F.col("f")).mapInArrow(merge, "node bigint, n int, fragment int, entry bigint, holders int, weight int")
+    shipped = texts.mapInArrow(ship, "f int, token binary, owner binary, node binary")
+    return shipped.repartitionById(fragments, F.col("f")).mapInArrow(merge, "node bigint, fragment int, entry bigint, holders int, weight int")
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,30 +142,30 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate([start, [len(x)]]))
 
 
-def _shared(token: np.ndarray, node: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """(node, n, entry, holders, weight) rows of one fragment's shingles with two holders or more."""
+def _shared(token: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+    """(node, entry, holders, weight) rows of one fragment's shingles with two holders or more."""
     order = np.argsort(token, kind="stable")
     token = token[order]
     _, size = _runs(token)
     keep = np.repeat(size > 1, size)
     order, token = order[keep], token[keep]
-    node, n = node[order], n[order]
+    node = node[order]
     order = np.lexsort((node, token))
-    token, node, n = token[order], node[order], n[order]
+    token, node = token[order], node[order]
     first = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])]) if len(token) else np.zeros(0, bool)
-    token, node, n = token[first], node[first], n[first]
+    token, node = token[first], node[first]
     _, size = _runs(token)
     keep = np.repeat(size > 1, size)
-    token, node, n = token[keep], node[keep], n[keep]
+    token, node = token[keep], node[keep]
     start, size = _runs(token)
     if not len(start):
-        return [node, n, np.zeros(0, np.int64), size, size]
+        return [node, np.zeros(0, np.int64), size, size]
     with np.errstate(over="ignore"):
         key = mix(np.add.reduceat(mix(node.view(np.uint64)), start) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     entry, at, weight = np.unique(key, return_index=True, return_counts=True)
     start, size = start[at], size[at]
     pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-    return [node[pos], n[pos], np.repeat(entry.view(np.int64), size), np.repeat(size, size), np.repeat(weight, size)]
+    return [node[pos], np.repeat(entry.view(np.int64), size), np.repeat(size, size), np.repeat(weight, size)]
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +185,8 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, numerator: int = 75, denominator: int = 100, groups: int = 4) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, class_size (documents with the same set, 0 for an empty one)."""
+    """Per document: doc_id, n_shingles, component_id, class_size (documents with the same set, 0 for an empty
+    one), crc (crc32 of the text), root (names the component; null for an empty set)."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard")
     base = scratch.table(sets(documents, text, doc_id, k), "sets")
@@ -196,50 +199,85 @@ def link(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", k: in
     before = F.coalesce(F.sum("weight").over(by_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shared = F.sum("weight").over(Window.partitionBy("node"))
     least = F.floor((F.lit(numerator) * F.col("n") + F.lit(denominator - 1)) / F.lit(denominator))
-    ranked = held.select("node", "n", "entry", ((F.col("n") - shared + before) < (F.col("n") - least + 1)).alias("deciding"))
-    lists = scratch.table(ranked.where("deciding").select("entry", "node", "n").distinct(), "lists")
-    close = lambda x, y: (F.lit(numerator) * F.greatest(x, y)) <= (F.lit(denominator) * F.least(x, y))
+    common = F.sum(F.col("weight") * F.col("holders").cast("double")).over(Window.partitionBy("node")) / F.col("n")
+    own = (F.col("n") - shared + before).alias("before")
+    sizes = base.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"))
+    ranked = held.join(sizes, "node").select("node", "n", "entry", own, common.alias("common")).where(F.col("before") < F.col("n") - least + 1)
+    lists = scratch.table(ranked.groupBy("entry", "node", "n", "common").agg(F.min("before").alias("before")), "members")
+    # a member that holds too little from the entry on even for the list's smallest set has no partner here
+    smallest = lists.groupBy("entry").agg(F.min("n").alias("smallest"), F.count("*").alias("members")).where("members > 1")
+    smallest = scratch.table(smallest, "smallest")  # written: a join of two scans can split a hot entry
+    enough = F.lit(numerator + denominator) * (F.col("n") - F.col("before")) >= F.lit(numerator) * (F.col("n") + F.greatest("smallest", least))
+    lists = scratch.table(lists.join(smallest, "entry").where(enough).drop("smallest", "members"), "lists")
+
+    def possible(n: str, before: str, m: str, before_m: str) -> Column:
+        """Whether two sets that meet first at an entry may still overlap enough: what both hold from it on.
+
+        A link passes at the first entry that both hold, so it is never lost; sizes too far apart fail.
+        """
+        rest = F.least(F.col(n) - F.col(before), F.col(m) - F.col(before_m))
+        return (F.lit(numerator + denominator) * rest) >= (F.lit(numerator) * (F.col(n) + F.col(m)))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.table(pairs, f"{name}-pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         group = F.floor(F.col("fragment") * F.lit(groups) / F.lit(fragments)).cast("int")
-        own = held.join(nodes, "node", "left_semi").groupBy("node", "n", group.alias("g"), "entry").agg(F.sum("weight").cast("long").alias("w"))
-        segment = own.groupBy("node", "n", "g").agg(F.array_sort(F.collect_list(F.struct("entry", "w"))).alias("s"))
-        segment = scratch.table(segment.select("node", "n", "g", F.col("s.entry").alias("e"), F.col("s.w").alias("w")), f"{name}-segments")
-        left = segment.select(F.col("node").alias("a"), F.col("n").alias("na"), "g", F.col("e").alias("ea"), F.col("w").alias("wa"))
-        right = segment.select(F.col("node").alias("b"), F.col("n").alias("nb"), "g", F.col("e").alias("eb"))
-        met = pairs.select("a", "b").join(left, "a").join(right, ["b", "g"]).select("a", "b", "na", "nb", "ea", "wa", "eb")
-        part = met.mapInArrow(_overlaps, "a bigint, b bigint, na int, nb int, part bigint")
+        own = held.join(nodes, "node", "left_semi").groupBy("node", group.alias("g"), "entry").agg(F.sum("weight").cast("long").alias("w"))
+        segment = own.groupBy("node", "g").agg(F.array_sort(F.collect_list(F.struct("entry", "w"))).alias("s"))
+        segment = scratch.table(segment.select("node", "g", F.col("s.entry").alias("e"), F.col("s.w").alias("w")), f"{name}-segments")
+        left = segment.select(F.col("node").alias("a"), "g", F.col("e").alias("ea"), F.col("w").alias("wa"))
+        right = segment.select(F.col("node").alias("b"), "g", F.col("e").alias("eb"))
+        met = pairs.join(left, "a").join(right, ["b", "g"]).select("a", "b", "na", "nb", "ea", "wa", "eb")
+        part = met.mapInArrow(_overlaps, "a bigint, b bigint, na bigint, nb bigint, part bigint")
         overlap = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
         links = overlap.where(F.lit(denominator) * F.col("o") >= F.lit(numerator) * (F.col("na") + F.col("nb") - F.col("o")))
         links = scratch.table(links.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-links")
         scratch.drop(f"{name}-segments")
         return links
 
-    first = lists.groupBy("entry").agg(F.min(F.struct("node", "n")).alias("first")).select("entry", F.col("first.node").alias("a"), F.col("first.n").alias("na"))
-    star = lists.join(first, "entry").where((F.col("node") != F.col("a")) & close(F.col("n"), F.col("na"))).select("a", F.col("node").alias("b")).distinct()
+    first = lists.groupBy("entry").agg(F.max(F.struct("common", "node", "n", "before")).alias("first"))
+    first = first.select("entry", F.col("first.node").alias("a"), F.col("first.n").alias("na"), F.col("first.before").alias("ba"))
+    first = scratch.table(first, "first")
+    star = lists.join(first, "entry").where((F.col("node") != F.col("a")) & possible("n", "before", "na", "ba")).select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).distinct()
     links = verified(star, "star")
     roots = components(scratch, links, "inner")
 
     # lists whose members lie in several components: the smaller components against all of the list
-    label = lists.join(roots, "node", "left").select("entry", "node", "n", F.coalesce("root", "node").alias("root"))
+    label = lists.join(roots, "node", "left").select("entry", "node", "n", "before", F.coalesce("root", "node").alias("root"))
     mixed = label.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("entry")
+    mixed = scratch.table(mixed, "mixed")
     label = scratch.table(label.join(mixed, "entry", "left_semi"), "label")
     largest = label.groupBy("entry", "root").count().groupBy("entry").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-    small = label.join(largest, "entry").where("root <> largest").select("entry", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("root").alias("pr"))
-    across = small.join(label, "entry").where((F.col("pr") != F.col("root")) & close(F.col("n"), F.col("pn")))
-    across = across.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+    largest = scratch.table(largest, "largest")
+    small = label.join(largest, "entry").where("root <> largest").select("entry", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("before").alias("pb"), F.col("root").alias("pr"))
+    across = small.join(label, "entry").where((F.col("pr") != F.col("root")) & possible("n", "before", "pn", "pb"))
+    swap = F.col("p") > F.col("node")
+    end = lambda x, y, name: F.when(swap, F.col(x)).otherwise(F.col(y)).alias(name)
+    across = across.select(end("node", "p", "a"), end("p", "node", "b"), end("n", "pn", "na"), end("pn", "n", "nb")).distinct()
     tried = spark.read.parquet(f"{scratch.base}/star-pairs")
     more = verified(across.join(tried, ["a", "b"], "left_anti"), "across")
     roots = components(scratch, links.unionByName(more), "outer")
-    scratch.drop("entries", "lists", "label", "star-pairs", "across-pairs", "inner-roots")
+    scratch.drop("entries", "members", "smallest", "first", "mixed", "largest", "lists", "label", "star-pairs", "across-pairs", "inner-roots")
 
     named = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
     named = named.join(roots, "node", "left").select("node", "least", "class_size", F.coalesce("root", "node").alias("root"))
     named = scratch.table(named, "named")
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(component, "root").select("node", "component_id", "class_size")
-    full = base.where("node is not null").join(named, "node").select("doc_id", "n_shingles", "component_id", "class_size")
-    empty = base.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("class_size"))
+    named = named.join(component, "root").select("node", "component_id", "class_size", "root")
+    full = base.where("node is not null").join(named, "node").select("doc_id", "n_shingles", "component_id", "class_size", "crc", "root")
+    empty = base.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("class_size"), "crc", F.lit(None).cast("long").alias("root"))
     return full.unionByName(empty)
+
+
+def dedupe(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **parameters) -> DataFrame:
+    """The rows of documents with one of each component: the smallest doc_id (of equal ids the smallest crc).
+
+    Texts without words all stay, but repeated rows (same id, same text) become one.
+    """
+    found = link(documents, text, doc_id, **parameters)
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "crc")).alias("x")).select("x.doc_id", "x.crc")
+    kept = first.unionByName(found.where("root is null").select("doc_id", "crc")).distinct().select(F.col("doc_id").alias("__id"), F.col("crc").alias("__crc"))
+    own = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col(doc_id).cast("long").alias("__own_id"), own.alias("__own_crc"))
+    rows = rows.join(kept, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_crc") == F.col("__crc")), "left_semi")
+    return rows.dropDuplicates(["__own_id", "__own_crc"]).select("row.*")

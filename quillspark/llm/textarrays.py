@@ -42,12 +42,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buffer, starts, ends, first word of each text and the end) of the words between ASCII white space."""
+def word_spans(texts: list[bytes], letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buffer, starts, ends, first word of each text and the end) of the words, ASCII letters lower-cased.
+
+    Words lie between ASCII white space; with letters, between ASCII bytes that are no letters or digits.
+    """
     joined = b"\n".join(texts) + b"\n"
-    buffer = np.frombuffer(joined.lower() if lower else joined, np.uint8)
+    buffer = np.frombuffer(joined.lower(), np.uint8)
     inside = np.ones(256, np.int8)
     inside[[9, 10, 11, 12, 13, 32]] = 0
+    if letters:
+        inside[:128] = [chr(i).isalnum() for i in range(128)]
     edge = np.diff(inside[buffer], prepend=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     sizes = np.fromiter((len(b) + 1 for b in texts), np.int64, len(texts))

@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspark.llm.shared import fold
-from quillspark.llm.textarrays import chunks, span_hashes, words
+from quillspark.llm.textarrays import chunks, span_hashes, word_spans
 
 GRAMS = (3, 4, 5, 6)
 SLOTS = 1 << 20
@@ -50,7 +51,7 @@ class Words:
     """The distinct words of some texts, with their hashes, and which of them each token is."""
 
     def __init__(self, texts: list[bytes]):
-        buffer, starts, ends, self.first = words(texts)
+        buffer, starts, ends, self.first = word_spans(texts)
         hashes = span_hashes(buffer, starts, ends)
         self.hash, at, self.token = np.unique(hashes, return_index=True, return_inverse=True)
         sizes = ends[at] - starts[at]
@@ -295,5 +296,5 @@ def classify(
 
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
     given = documents.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"), *([whole] if rows else []))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop("text").schema.fields)
-    return given.mapInArrow(run, f"{kept}, score double, predicted int")
+    kept = StructType(given.drop("text").schema.fields).add("score", "double").add("predicted", "integer")
+    return given.mapInArrow(run, kept)
