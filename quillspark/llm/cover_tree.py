@@ -195,7 +195,7 @@ def _centres(sample: list[bytes], most: int) -> dict[int, np.ndarray]:
     return out
 
 
-def near_duplicates(embeddings: DataFrame, vector: str = "embedding", vec_id: str = "vec_id", label: str = "label", cosine: float = 0.93, block: int = 1024, sample: int = 2048, centres: int = 32) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, vector: str = "embedding", vec_id: str = "vec_id", label: str = "label", cosine: float = 0.93, block: int = 1024, sample: int = 2048, centres: int = 8) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept, class_size (rows of the same label and vector).
 
     sample: about how many vectors the global centres are chosen from; every vector is then assigned.
@@ -230,7 +230,8 @@ def near_duplicates(embeddings: DataFrame, vector: str = "embedding", vec_id: st
     keys = ["label", "size", "cell", "salt"]
     widest = max([len(c) for c in chosen.values()] or [1])
     ranges = [f(F.try_element_at("far", F.lit(c + 1))).alias(f"{name}{c}") for c in range(widest) for name, f in (("lo", F.min), ("hi", F.max))]
-    packed = keyed.groupBy(*keys).agg(F.collect_list(F.struct("node", "many", "raw")).alias("own"), *ranges)
+    dealt = keyed.repartition(*keys)  # else the rows of a hot cell stay together for all its salts
+    packed = dealt.groupBy(*keys).agg(F.collect_list(F.struct("node", "many", "raw")).alias("own"), *ranges)
     packed = packed.withColumn("block", F.xxhash64(*keys)).withColumn("lo", F.array(*(f"lo{c}" for c in range(widest)))).withColumn("hi", F.array(*(f"hi{c}" for c in range(widest))))
     blocks = scratch.table(packed.select("label", "size", "block", "own", "lo", "hi"), "blocks")
 
