@@ -164,7 +164,7 @@ def exchange(rows: list[np.ndarray], cols: list[np.ndarray], counts: list[np.nda
             table[a, :] -= r
             table[:, a] -= s
             table[a, a] -= twice
-            rows_sum, cols_sum = table.sum(1), table.sum(0)
+            rows_sum, cols_sum = table.sum(1) + s, table.sum(0) + r  # wherever w goes, its neighbours count it
             base = f(table)
             gain = (f(table[:classes] + r) - base[:classes]).sum(1) + (f(table[:, :classes] + s[:, None]) - base[:, :classes]).sum(0)
             corner = table[span, span]
@@ -218,8 +218,12 @@ def fit(scratch: Scratch, training: DataFrame, clustered: int = 4096, buckets: i
         yield pa.RecordBatch.from_arrays([pa.array([label.astype(np.int32).tobytes()], pa.binary()), pa.array([table.tobytes()], pa.binary())], ["label", "table"])
 
     bigrams = scratch.table(unit_bigrams(training, singles, buckets, partitions(spark)), "bigrams")
-    label, table = bigrams.coalesce(1).mapInArrow(cluster, "label binary, table binary").first()
-    label, table = np.frombuffer(label, np.int32), np.frombuffer(table).reshape(classes + 1, classes + 1)
+    found = bigrams.coalesce(1).mapInArrow(cluster, "label binary, table binary").first()
+    if found:
+        label, table = np.frombuffer(found[0], np.int32), np.frombuffer(found[1]).reshape(classes + 1, classes + 1)
+    else:  # no training text
+        none = np.zeros(0, np.int64)
+        label, table = exchange([none], [none], [none], m, classes, 0)
     scratch.drop("bigrams")
     unit_n = np.concatenate([c[: len(singles)], in_bucket, [max(0.0, table[classes].sum())]])
     class_n = np.bincount(label, weights=unit_n, minlength=classes + 1)
