@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspark.llm.shared import fold
 
@@ -132,5 +133,5 @@ def identify(
 
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
     given = documents.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"), *([whole] if rows else []))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop("text").schema.fields)
-    return given.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    kept = StructType(given.drop("text").schema.fields).add("lang_pred", "string").add("score", "double")
+    return given.mapInArrow(run, kept)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import brown, cover_tree, jaccard_join, kd_shards, langid, lz_fingerprint, mixing, packing, toxicity
+from quillspark.llm import brown, cover_tree, jaccard_join, kd_shards, langid, licenses, lz_fingerprint, mixing, packing, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,7 @@ def op1_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link(_read(spark, sf_dir, "documents"))
+    return jaccard_join.link(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_size")
 
 
 def op3_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op8_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards.shard(_read(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_cover_tree_near_dedup": op4_cover_tree_near_dedup,
     "op5_naive_bayes_langid": op5_naive_bayes_langid,
     "op6_bigru_toxicity": op6_bigru_toxicity,
+    "op7_license_scan": op7_license_scan,
     "op8_kd_tree_sharding": op8_kd_tree_sharding,
     "op9_systematic_mixing": op9_systematic_mixing,
     "op10_lempel_ziv_fingerprint": op10_lempel_ziv_fingerprint,
