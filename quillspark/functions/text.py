@@ -97,8 +97,8 @@ def after_first(text: Column, mark: str) -> Column:
 
 def visible_answer(text: Column) -> Column:
     """The answer after the last closed thinking block; empty while a block is open."""
-    rest = F.substring_index(text, "</think>", -1)
-    return F.trim(F.when(F.contains(rest, F.lit("<think>")), F.lit("")).otherwise(rest))
+    closed, opened = F.contains(text, F.lit("</think>")), F.contains(text, F.lit("<think>"))
+    return F.when(closed, F.trim(F.substring_index(text, "</think>", -1))).when(opened, F.lit("")).otherwise(F.coalesce(text, F.lit("")))
 
 
 def final_answer(text: Column, mark: str = "FINAL ANSWER:") -> Column:
