@@ -45,11 +45,11 @@ class Features:
         self.bits, self.letters = features.bit_length() - 1, _letters()
 
     def runs(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first text, columns of all its run's n-grams, the text of each) by runs of about a million characters."""
+        """(first text, columns of all its run's n-grams, the text of each) by runs of about 300,000 characters."""
         i = 0
         while i < len(texts):
             j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) <= 1_000_000):
+            while j < len(texts) and (j == i or size + len(texts[j]) <= 300_000):
                 size += len(texts[j])
                 j += 1
             # two spaces after each text: no n-gram of letters spans two texts
@@ -122,16 +122,19 @@ def identify(
     model = fit(documents.where(~held), text, lang, F.xxhash64(F.col(doc_id).cast("string"), F.lit(5)), features, per_language, longest)
     bc = documents.sparkSession.sparkContext.broadcast(model)
 
+    place = documents.columns.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bc.value
         if "maker" not in own:  # once in a worker's life
             own["maker"] = Features(features)
         for batch in batches:
-            names, posterior = score_batch(own, own["maker"], [t or "" for t in batch.column(2).to_pylist()])
-            columns = [*batch.columns[:2], *batch.columns[3:], pa.array(names, pa.string()), pa.array(posterior, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:2], *batch.schema.names[3:], "lang_pred", "score"])
-
-    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
-    given = documents.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"), *([whole] if rows else []))
-    kept = StructType(given.drop("text").schema.fields).add("lang_pred", "string").add("score", "double")
+            texts = batch.column(2).field(place) if rows else batch.column(2)
+            names, posterior = score_batch(own, own["maker"], [t or "" for t in texts.to_pylist()])
+            kept = batch.num_columns if rows else 2
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(names, pa.string()), pa.array(posterior, pa.float64())], [*batch.schema.names[:kept], "lang_pred", "score"])
+
+    body = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row") if rows else F.col(text).alias("text")
+    given = documents.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held_out"), body)
+    kept = StructType([*(given if rows else given.drop("text")).schema.fields]).add("lang_pred", "string").add("score", "double")
     return given.mapInArrow(run, kept)

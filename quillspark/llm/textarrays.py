@@ -61,7 +61,14 @@ def word_spans(texts: list[bytes], letters: bool = False) -> tuple[np.ndarray, n
 
 
 def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span: a polynomial over a prefix sum, then mixed with the length."""
+    """64-bit hash of each span (starts ascending): a polynomial over a prefix sum, then mixed with the length.
+
+    A hash doesn't depend on the place, so long buffers are worked on piece by piece.
+    """
+    if len(buffer) > 1 << 19 and len(starts) > 1:
+        half = len(starts) // 2
+        cut, end = int(starts[half]), int(ends[:half].max())
+        return np.concatenate([span_hashes(buffer[:end], starts[:half], ends[:half]), span_hashes(buffer[cut:], starts[half:] - cut, ends[half:] - cut)])
     r, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
     n = len(buffer)
     total = np.zeros(n + 1, np.uint64)

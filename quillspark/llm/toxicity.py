@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillspark.llm.shared import fold
-from quillspark.llm.textarrays import chunks, span_hashes, word_spans
+from quillspark.llm.textarrays import chunks, span_hashes, text_bytes, word_spans
 
 GRAMS = (3, 4, 5, 6)
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 INPUTS = 2 + 2 * len(GRAMS)
 
 
@@ -85,17 +85,36 @@ class Words:
         return out
 
 
-def log_odds(found: list[np.ndarray], labels: np.ndarray, least: int = 3) -> Lookup:
+def log_odds(hashes: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, least: int) -> Lookup:
     """Smoothed log-odds of each hash's document counts in toxic against clean documents, shrunk where rare."""
-    hashes, at = np.unique(np.concatenate(found), return_inverse=True)
-    toxic = np.repeat(labels, [len(f) for f in found]).astype(bool)
-    t, c = np.bincount(at[toxic], minlength=len(hashes)), np.bincount(at[~toxic], minlength=len(hashes))
-    value = np.log((t + 0.5) / (labels.sum() + 1)) - np.log((c + 0.5) / ((1 - labels).sum() + 1))
-    value *= (t + c) / (t + c + 4.0)
-    keep = (t + c >= least) & (np.abs(value) > 0.7)
+    value = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    value *= (toxic + clean) / (toxic + clean + 4.0)
+    keep = (toxic + clean >= least) & (np.abs(value) > 0.7)
     return Lookup(hashes[keep], value[keep].astype(np.float32))
 
 
+def evidence_of(found: Words, labels: np.ndarray) -> tuple[Lookup, Lookup]:
+    """Log-odds of the words and of their n-grams; documents are counted one by one."""
+    words, hashes, ids, limits = np.zeros((2, len(found.hash))), [], [], []
+    for n in GRAMS:  # one order at a time keeps the driver small
+        pos, own = found.grams(n)
+        limits.append(np.searchsorted(pos, np.concatenate([found.begin, [len(found.buffer)]])))
+        own, at = np.unique(own, return_inverse=True)
+        hashes.append(own)
+        ids.append(at.astype(np.int32))
+    grams = [np.zeros((2, len(h))) for h in hashes]
+    for i, y in enumerate(labels):
+        own = np.unique(found.token[found.first[i] : found.first[i + 1]])
+        words[y, own] += 1
+        for count, at, lim in zip(grams, ids, limits, strict=True):
+            size = lim[own + 1] - lim[own]
+            mine = at[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lim[own], size)]
+            count[y, np.unique(mine)] += 1
+    hashes, grams = np.concatenate(hashes), np.concatenate(grams, axis=1)
+    n = (int(labels.sum()), int((1 - labels).sum()))
+    return log_odds(found.hash, words[1], words[0], *n, 3), log_odds(hashes, grams[1], grams[0], *n, 4)
+
+
 def windows(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first token, tokens, text) of every window of every text."""
     n = np.diff(first)
@@ -223,15 +242,7 @@ def train(texts: list[bytes], labels: np.ndarray, window: int, units: int, round
     if not len(labels) or labels.min() == labels.max():
         return None
     found = Words(texts)
-    each = [np.unique(found.token[found.first[i] : found.first[i + 1]]) for i in range(len(texts))]
-    word = log_odds([found.hash[e] for e in each], labels)
-    grams = []
-    by_word = {n: found.grams(n) for n in GRAMS}
-    limits = {n: np.searchsorted(pos, np.concatenate([found.begin, [len(found.buffer)]])) for n, (pos, _) in by_word.items()}
-    for e in each:
-        own = [by_word[n][1][a:b] for n in GRAMS for a, b in zip(limits[n][e], limits[n][e + 1], strict=True) if a < b]
-        grams.append(np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64))
-    gram = log_odds(grams, labels, 4)
+    word, gram = evidence_of(found, labels)
     model = Model(word, gram, Network(units, seed), window)
     x = found.features(word, gram)
     begin, size, text = windows(found.first, window)
@@ -287,14 +298,17 @@ def classify(
     pairs = sorted({(r["t"].encode(), r["y"]) for r in fitted.select("t", "y").collect()})
     bc = spark.sparkContext.broadcast(train([t for t, _ in pairs], np.array([y for _, y in pairs], np.int64), window, units))
 
+    place = documents.columns.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bc.value
         for batch in batches:
-            texts = [b or b"" for b in batch.column(2).cast(pa.binary()).to_pylist()]
+            texts = text_bytes(batch.column(2).field(place) if rows else batch.column(2))
             score = model.score(texts) if model is not None else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names[:2], *batch.schema.names[3:], "score", "predicted"])
+            kept = batch.num_columns if rows else 2
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names[:kept], "score", "predicted"])
 
-    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
-    given = documents.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"), *([whole] if rows else []))
-    kept = StructType(given.drop("text").schema.fields).add("score", "double").add("predicted", "integer")
+    body = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row") if rows else F.col(text).alias("text")
+    given = documents.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held_out"), body)
+    kept = StructType([*(given if rows else given.drop("text")).schema.fields]).add("score", "double").add("predicted", "integer")
     return given.mapInArrow(run, kept)
