@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -51,15 +51,18 @@ def exact_match(rows: DataFrame, key: str, text: str, others: DataFrame, other_k
 def rare_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.75, most: int = 40) -> DataFrame:
     """(a, b, score), a < b: pairs of at least the threshold that share a token of at most ``most`` holders.
 
-    Pairs that share common tokens only are missed by definition. Candidates are met by rare tokens and
-    filtered by size; the shared count is then summed over all tokens of the candidates alone.
+    Pairs that share common tokens only are missed by definition. Candidates meet by rare tokens; how many
+    they share, with all the common tokens either has, bounds their overlap, so few are left to be counted
+    over all tokens.
     """
     rows = token_rows(df, key, text, "a", "na")
     rare = rows.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df").between(2, most)).select("token")
-    few = rows.join(rare, "token")
-    other = few.select(F.col("a").alias("b"), F.col("na").alias("nb"), "token")
+    few = rows.join(rare, "token").withColumn("ra", F.count("*").over(Window.partitionBy("a")))
+    other = few.select(F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb"), "token")
     close = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
-    pairs = few.join(other, "token").where((F.col("a") < F.col("b")) & close).select("a", "b", "na", "nb").distinct()
+    pairs = few.join(other, "token").where((F.col("a") < F.col("b")) & close).groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count("*").alias("c"))
+    most_shared = F.col("c") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
+    pairs = pairs.where(most_shared * (1 + threshold) + 1e-9 >= F.lit(threshold) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
     met = pairs.join(rows.select("a", "token"), "a").join(rows.select(F.col("a").alias("b"), "token"), ["b", "token"])
     scored = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     return scored.select("a", "b", jaccard(F.col("shared"), F.col("na"), F.col("nb")).alias("score")).where(F.col("score") >= threshold)

@@ -28,7 +28,7 @@ def bin_pack(t: Tables) -> DataFrame:
     return C.packed(lines, "l_orderkey", "l_linenumber", "cost", 60)
 
 
-@query()
+@query(r"SELECT doc_id, 0 AS pos, '' AS heading, 4 AS n FROM documents UNION ALL SELECT doc_id, 1, 'One', length(trim(text, chr(10) || chr(9) || chr(13) || ' ')) FROM documents UNION ALL SELECT doc_id, 2, 'Two', 3 FROM documents")
 def section_split(t: Tables) -> DataFrame:
     wiki = t.documents.select("doc_id", F.concat(F.lit("lead\n== One ==\n"), F.col("text"), F.lit("\n=== Two ===\nend\n== Gone ==\nx")).alias("text"))
     return C.sections(wiki, "doc_id", "text", dropped=("Gone",)).select("doc_id", "pos", "heading", F.length("body").alias("n"))

@@ -86,7 +86,7 @@ def parsed_glossary(t: Tables) -> DataFrame:
     return own.select(F.floor(F.col("ord") / 1000).alias("conv_id"), "term", "definition")
 
 
-@query()
+@query("SELECT (n_nationkey + 100) || '.1' AS rule_id, n_name AS terms FROM nation UNION ALL SELECT (n_nationkey + 100) || '.1a', '' FROM nation")
 def annotated_terms(t: Tables) -> DataFrame:
     terms = t.nation.select(F.col("n_name").alias("term"), F.lit("a nation").alias("definition"))
     return C.glossary_terms(C.parse_rules(_book(t), "file", "ord", "line"), "rule_id", "text", terms).select("rule_id", F.array_join("glossary_terms", ",").alias("terms"))

@@ -83,7 +83,7 @@ def cascade_resolve(t: Tables) -> DataFrame:
     return R.resolve_names(asked, "raw", t.part, "p_name").select("p_partkey", "resolved", "how")
 
 
-@query()
+@query("SELECT p_partkey, p_name AS name, 'exact' AS how, 1 AS rank FROM part")
 def names_in_text(t: Tables) -> DataFrame:
     texts = t.part.select("p_partkey", F.concat(F.lit("See [["), F.col("p_name"), F.lit("]] and [[nothing at all 77]] and [["), F.upper("p_name"), F.lit("]].")).alias("text"))
     return R.names_in_text(texts, "p_partkey", "text", t.part, "p_name")
