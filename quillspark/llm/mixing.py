@@ -5,10 +5,10 @@ weight; no target exceeds ``ceiling`` times its source's size, and what is above
 until none is. That fixpoint is a water level: with sources ordered by ceiling over weight, the first
 source whose level reaches no higher than its own ratio sets it.
 
-Each document expects target / source size copies. Within a source, documents in the order of size run a
+Each document expects target / source size copies. Within a source, documents from the largest down run a
 prefix sum of the expected copies from one random offset (from the seed and the source's name, so reruns
-agree); a document is taken once per integer crossed. As equal steps run over sorted sizes, the words
-taken stray from the target by about the largest document. The prefix sum needs only a document's rank,
+agree); a document is taken once per integer crossed. As equal steps run down sorted sizes, the words
+taken stray from the target by less than the largest document. The prefix sum needs only a document's rank,
 which a range shuffle numbers; no source, however large, meets in one task.
 
 Defined results: a null text has size 0; null is a source of its own; repeated rows are taken each on
@@ -53,7 +53,7 @@ def mix(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", source
     sizes = scratch.table(sizes, "sizes")
     targets = _targets(sizes.select("source", "source_size"), weights, share, ceiling)
     tie = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))
-    ranked = numbered(scratch, base.withColumn("tie", tie), [F.asc_nulls_last("source"), "size", "tie"], "ranked", "rank")
+    ranked = numbered(scratch, base.withColumn("tie", tie), [F.asc_nulls_last("source"), F.desc("size"), "tie"], "ranked", "rank")
     first = ranked.groupBy("source").agg(F.min("rank").alias("first"))
     facts = targets.join(first.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("source", "s")
     out = ranked.join(facts, F.col("source").eqNullSafe(F.col("s")))
@@ -84,7 +84,7 @@ WITH d AS (
   SELECT source, source_size, least(most, weight * (SELECT arg_min(level, ratio) FROM l WHERE level <= ratio)) AS target FROM l
 ), k AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size = 0 THEN 0.0::DOUBLE ELSE t.target / t.source_size END AS e,
-    CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, md5('0:' || CAST(d.doc_id AS VARCHAR))) - 1 AS DOUBLE) AS r,
+    CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, md5('0:' || CAST(d.doc_id AS VARCHAR))) - 1 AS DOUBLE) AS r,
     CAST(CAST('0x' || substr(md5('0:offset:' || coalesce(d.source, chr(10))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
