@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import Scratch, fold, partitions
+from quillspark.llm.shared import Scratch, fold, partitions, tidy
 from quillspark.llm.textarrays import text_bytes
 
 END = b"\n"  # no word holds white space
@@ -55,7 +55,7 @@ def _count(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[p
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word binary, c) over all texts of a one-column table; END counts the texts."""
-    return texts.mapInArrow(_count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
+    return texts.mapInArrow(tidy(_count), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 class Units(dict):
@@ -130,7 +130,7 @@ def unit_bigrams(texts: DataFrame, singles: list[bytes], buckets: int, parts: in
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([cur.astype(np.int32).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["prev", "cur", "n"])
 
     schema = "prev int, cur binary, n binary"
-    return texts.mapInArrow(pairs, schema).repartition(parts, "prev").mapInArrow(total, schema)
+    return texts.mapInArrow(tidy(pairs), schema).repartition(parts, "prev").mapInArrow(tidy(total), schema)
 
 
 def exchange(rows: list[np.ndarray], cols: list[np.ndarray], counts: list[np.ndarray], m: int, classes: int, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +321,7 @@ def score(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", held
         return _parts(batches, bc)
 
     schema = "rid bigint, doc_id bigint, held_out boolean, word binary, n_tokens bigint, n_known bigint, log_counts double, score double"
-    parts = scratch.table(docs.mapInArrow(run, schema), "parts")
+    parts = scratch.table(docs.mapInArrow(tidy(run), schema), "parts")
     rest = parts.where(F.col("word").isNotNull()).select("rid", "word", F.col("n_tokens").alias("n"))
     joined = rest.join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.shared import Scratch, partitions
+from quillspark.llm.shared import Scratch, partitions, tidy
 from quillspark.llm.textarrays import chunks, mix, shingles, span_hashes, text_bytes, word_spans
 
 FLUSH_TOKENS, FLUSH_CLASSES = 4_000_000, 65_000
@@ -69,7 +69,7 @@ def sets(documents: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
                 node.append(_signature(own) if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(map(zlib.crc32, texts), pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "crc", "n_shingles", "node"])
 
-    return documents.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id bigint, crc bigint, n_shingles bigint, node bigint")
+    return documents.select(F.col(doc_id).cast("long"), text).mapInArrow(tidy(run), "doc_id bigint, crc bigint, n_shingles bigint, node bigint")
 
 
 def entries(texts: DataFrame, k: int, fragments: int) -> DataFrame:
@@ -132,8 +132,8 @@ def entries(texts: DataFrame, k: int, fragments: int) -> DataFrame:
                 own = [x[lo : lo + 500_000] for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(np.full(len(own[0]), f, np.int32)), pa.array(own[1]), pa.array(own[2], pa.int32()), pa.array(own[3], pa.int32())], ["node", "fragment", "entry", "holders", "weight"])
 
-    shipped = texts.mapInArrow(ship, "f int, token binary, owner binary, node binary")
-    return shipped.repartitionById(fragments, F.col("f")).mapInArrow(merge, "node bigint, fragment int, entry bigint, holders int, weight int")
+    shipped = texts.mapInArrow(tidy(ship), "f int, token binary, owner binary, node binary")
+    return shipped.repartitionById(fragments, F.col("f")).mapInArrow(tidy(merge), "node bigint, fragment int, entry bigint, holders int, weight int")
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +228,7 @@ def link(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", k: in
         left = segment.select(F.col("node").alias("a"), "g", F.col("e").alias("ea"), F.col("w").alias("wa"))
         right = segment.select(F.col("node").alias("b"), "g", F.col("e").alias("eb"))
         met = pairs.join(left, "a").join(right, ["b", "g"]).select("a", "b", "na", "nb", "ea", "wa", "eb")
-        part = met.mapInArrow(_overlaps, "a bigint, b bigint, na bigint, nb bigint, part bigint")
+        part = met.mapInArrow(tidy(_overlaps), "a bigint, b bigint, na bigint, nb bigint, part bigint")
         overlap = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
         links = overlap.where(F.lit(denominator) * F.col("o") >= F.lit(numerator) * (F.col("na") + F.col("nb") - F.col("o")))
         links = scratch.table(links.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-links")

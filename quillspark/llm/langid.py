@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspark.llm.shared import fold
+from quillspark.llm.shared import bounded_batches, fold, tidy
 
 ORDERS = (1, 2, 3)
 
@@ -118,6 +118,7 @@ def identify(
 
     held_out: rows the model doesn't learn from (default: crc32 of doc_id as text is divisible by 5).
     """
+    bounded_batches(documents.sparkSession)
     held = fold(F.col(doc_id), 5) == 0 if held_out is None else held_out
     model = fit(documents.where(~held), text, lang, F.xxhash64(F.col(doc_id).cast("string"), F.lit(5)), features, per_language, longest)
     bc = documents.sparkSession.sparkContext.broadcast(model)
@@ -137,4 +138,4 @@ def identify(
     body = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row") if rows else F.col(text).alias("text")
     given = documents.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held_out"), body)
     kept = StructType([*(given if rows else given.drop("text")).schema.fields]).add("lang_pred", "string").add("score", "double")
-    return given.mapInArrow(run, kept)
+    return given.mapInArrow(tidy(run), kept)

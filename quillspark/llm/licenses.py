@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.shared import bounded_batches, opened, shipped, tidy
 from quillspark.llm.textarrays import chunks, shingles, span_hashes, text_bytes, word_spans
 
 # Notices of public licenses.
@@ -128,10 +129,11 @@ def scan(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", templ
 
     start_char and end_char count code points; end_char is exclusive.
     """
-    bc = documents.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, k, window))
+    bounded_batches(documents.sparkSession)
+    bc = shipped(documents.sparkSession, Index(TEMPLATES if templates is None else templates, k, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, memo = bc.value, {}
+        index, memo = opened(bc), {}
         for batch in batches:
             ids, texts, rows = batch.column(0).to_pylist(), text_bytes(batch.column(1)), []
             for i, j in chunks(texts):
@@ -154,4 +156,4 @@ def scan(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", templ
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "template", "matched", "template_words", "coverage", "start_char", "end_char", "matched_text"])
 
-    return documents.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id bigint, template string, matched bigint, template_words bigint, coverage double, start_char bigint, end_char bigint, matched_text string")
+    return documents.select(F.col(doc_id).cast("long"), text).mapInArrow(tidy(run), "doc_id bigint, template string, matched bigint, template_words bigint, coverage double, start_char bigint, end_char bigint, matched_text string")

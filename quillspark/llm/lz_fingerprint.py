@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import partitions
+from quillspark.llm.shared import bounded_batches, partitions, tidy
 from quillspark.llm.textarrays import span_hashes
 
 BINS, LONGEST = 128, 64
@@ -116,6 +116,7 @@ def _compare(rows: list[tuple[int | None, str]], following: list[str], bins: int
 
 def fingerprint(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", bins: int = BINS, longest: int = LONGEST) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    bounded_batches(documents.sparkSession)
     spark = documents.sparkSession
     parts = partitions(spark)
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
@@ -146,4 +147,4 @@ def fingerprint(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
                     held.append((i, t))
                     size += len(t)
 
-    return dealt.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(tidy(run), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import Scratch, numbered
+from quillspark.llm.shared import Scratch, numbered, tidy
 
 LONGEST = 2048
 
@@ -34,10 +34,9 @@ def encoder(json_path: str | None = None, ranks_path: str | None = None) -> Call
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    whole = Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
+    whole: list = []  # loaded when a text needs it
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -46,7 +45,11 @@ def encoder(json_path: str | None = None, ranks_path: str | None = None) -> Call
         if text.isascii() or np.frombuffer(text.encode(), np.uint8).max() < 0xC9:
             if "<|endoftext|>" not in text:
                 return fast.encode_ordinary(text)
-        return whole.encode(text, add_special_tokens=False).ids
+        if not whole:
+            from tokenizers import Tokenizer
+
+            whole.append(Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json")))
+        return whole[0].encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -74,13 +77,13 @@ def pieces(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", end
                     rows.append((own, at, n, len(ids), ids[at : at + n].tobytes()))
                     at += n
                 held += len(ids)
-                if held > 2_000_000:
+                if held > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)], names)
                     rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)], names)
 
-    return documents.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
+    return documents.select(F.col(doc_id).cast("long"), text).mapInArrow(tidy(run), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
 
 
 def pack(documents: DataFrame, ids: bool = True, **parameters) -> DataFrame:

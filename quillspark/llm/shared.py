@@ -2,25 +2,66 @@
 
 from __future__ import annotations
 
+import ctypes
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read: spark.checkpoint.dir, or one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="quillspark-"))
     return found
 
 
+def shipped(spark: SparkSession, thing) -> Broadcast:
+    """A broadcast of a model of bounded size; its classes go along, so workers need not import them."""
+    return spark.sparkContext.broadcast({"raw": cloudpickle.dumps(thing)})
+
+
+def opened(bc: Broadcast):
+    """What was shipped, unpacked once in a worker's life."""
+    own = bc.value
+    if "thing" not in own:
+        own["thing"] = pickle.loads(own.pop("raw"))
+    return own["thing"]
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, giving memory back to the system when a task ends: workers live on and would hold their peak."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return tidied
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows, so that a Python worker and the JVM beside it hold
+    a few megabytes of text at once, not ten thousand documents. The setting stays, as plans run later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """Tables written to the shared folder; they cut lineage and outlive a lost executor.
 
@@ -28,6 +69,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:

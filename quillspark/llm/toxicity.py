@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspark.llm.shared import fold
+from quillspark.llm.shared import bounded_batches, fold, opened, shipped, tidy
 from quillspark.llm.textarrays import chunks, span_hashes, text_bytes, word_spans
 
 GRAMS = (3, 4, 5, 6)
@@ -285,6 +285,7 @@ def classify(
 
     held_out: rows the model doesn't learn from (default: crc32 of doc_id as text mod 4 is 2).
     """
+    bounded_batches(documents.sparkSession)
     spark = documents.sparkSession
     held = fold(F.col(doc_id), 4) == 2 if held_out is None else held_out
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("i"), (F.col(label) > 0).cast("int").alias("y"))
@@ -296,12 +297,12 @@ def classify(
     drawn = spark.createDataFrame([(r["i"], r["y"]) for r in drawn.collect()], "i bigint, y int")  # about 2 * sample rows
     fitted = documents.where(~held & F.col(text).isNotNull() & (F.octet_length(text) <= longest)).select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(F.broadcast(drawn), "i")
     pairs = sorted({(r["t"].encode(), r["y"]) for r in fitted.select("t", "y").collect()})
-    bc = spark.sparkContext.broadcast(train([t for t, _ in pairs], np.array([y for _, y in pairs], np.int64), window, units))
+    bc = shipped(spark, train([t for t, _ in pairs], np.array([y for _, y in pairs], np.int64), window, units))
 
     place = documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bc.value
+        model = opened(bc)
         for batch in batches:
             texts = text_bytes(batch.column(2).field(place) if rows else batch.column(2))
             score = model.score(texts) if model is not None else np.zeros(len(texts))
@@ -311,4 +312,4 @@ def classify(
     body = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row") if rows else F.col(text).alias("text")
     given = documents.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held_out"), body)
     kept = StructType([*(given if rows else given.drop("text")).schema.fields]).add("score", "double").add("predicted", "integer")
-    return given.mapInArrow(run, kept)
+    return given.mapInArrow(tidy(run), kept)
