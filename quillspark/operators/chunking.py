@@ -61,3 +61,61 @@ def cross_references(members: DataFrame, chunk: str, rule: str, refs: DataFrame,
     first = named.groupBy(chunk, "ref").agg(F.min(pos).alias("first"))
     outside = first.join(members.select(chunk, F.col(rule).alias("ref")), [chunk, "ref"], "left_anti").join(known.select(F.col("rule_id").alias("ref")).distinct(), "ref", "left_semi")
     return outside.withColumn("rank", F.row_number().over(Window.partitionBy(chunk).orderBy("first", "ref"))).where(F.col("rank") <= most).drop("first")
+
+
+def long_parts(body: Column, target: int, separators: tuple[str, ...] = ("\n\n", "\n")) -> Column:
+    """A body as parts of at most target characters: cut between paragraphs, else lines, else anywhere.
+
+    Pieces are packed greedily; a piece that is itself too long is cut by the next separator.
+    """
+    if not separators:
+        n = F.ceil(F.length(body) / F.lit(target)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring(body, i * target + 1, F.lit(target)))
+    sep, rest = separators[0], separators[1:]
+    pieces = F.flatten(F.transform(F.split(body, sep), lambda p: F.when(F.length(p) <= target, F.array(p)).otherwise(long_parts(p, target, rest))))
+
+    def step(done: Column, piece: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        fits = (F.size(done) > 0) & (F.length(last) + len(sep) + F.length(piece) <= target)
+        head = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(fits, F.concat(head, F.array(F.concat(last, F.lit(sep), piece)))).otherwise(F.concat(done, F.array(piece)))
+
+    packed_up = F.aggregate(F.filter(pieces, lambda p: F.trim(p) != ""), F.array().cast("array<string>"), step)
+    return F.when(F.length(body) <= target, F.array(body)).otherwise(packed_up)
+
+
+def wiki_chunks(pages: DataFrame, key: str, text: str, dropped: tuple[str, ...] = (), target: int = 3000, shortest: int = 400, longest: int = 3400) -> DataFrame:
+    """(key, chunk, heading, text): a page's sections, long ones cut, short ones joined to their neighbour."""
+    cut = sections(pages, key, text, dropped=dropped).where("body <> ''").select(key, "pos", "heading", F.posexplode(long_parts(F.col("body"), target)).alias("part", "body"))
+    ordered = cut.select(key, (F.col("pos") * 100_000 + F.col("part")).alias("o"), "heading", "body")
+    chunks = page_chunks(ordered, key, "o", "body", shortest, longest)
+    first = ordered.groupBy(key).agg(F.min_by("heading", "o").alias("heading"))
+    return chunks.join(first, key).select(key, "chunk", "heading", "text")
+
+
+def rule_chunks(rules: DataFrame, refs: DataFrame, glossary: DataFrame, target: int = 900, most_refs: int = 8, budget: int = 300) -> DataFrame:
+    """(chunk_id, group, rule_ids, text, cross_ref_rule_ids, glossary_terms) of a rulebook.
+
+    rules: (ord, rule_id, text, terms: array); refs: (from_rule, pos, ref). A group's rules are packed in file
+    order; references outside the chunk and the definitions of its terms follow, each within the budget.
+    """
+    cost = F.greatest(F.lit(1), F.floor(F.length(F.concat_ws(". ", "rule_id", "text")) / 4))
+    own = rules.withColumns({"group": F.substring_index("rule_id", ".", 1), "cost": cost})
+    placed = packed(own, "group", "ord", "cost", target).join(own.select("group", "ord", "rule_id", "text", "terms"), ["group", "ord"])
+    several = placed.groupBy("group").agg((F.max("bin") > 0).alias("several"))
+    placed = placed.join(several, "group").withColumn("chunk_id", F.when(F.col("several"), F.concat_ws("-", "group", "bin")).otherwise(F.col("group")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(". ", "rule_id", "text").alias("t")))), lambda x: x["t"]), "\n")
+    by_size = F.transform(F.array_sort(F.collect_list(F.struct(F.length("rule_id").alias("n"), "rule_id"))), lambda x: x["rule_id"])
+    chunks = placed.groupBy("chunk_id", "group").agg(by_size.alias("rule_ids"), body.alias("body"))
+    found = cross_references(placed.select("chunk_id", F.col("rule_id").alias("rule")), "chunk_id", "rule", refs, "from_rule", "pos", rules.select("rule_id"), most_refs)
+    named = found.join(rules.select(F.col("rule_id").alias("ref"), F.col("text").alias("t")), "ref").withColumn("c", F.greatest(F.lit(1), F.floor(F.length("t") / 4)))
+    listed = lambda order, item: F.transform(F.array_sort(F.collect_list(F.struct(order, item))), lambda x: x[item])
+    fits = within_budget(named, "chunk_id", "rank", "c", budget).withColumn("line", F.concat_ws(". ", "ref", "t"))
+    fits = fits.groupBy("chunk_id").agg(listed("rank", "ref").alias("cross_ref_rule_ids"), F.array_join(listed("rank", "line"), "\n").alias("related"))
+    terms = placed.select("chunk_id", F.explode("terms").alias("term")).distinct().join(glossary.select("term", "definition"), "term")
+    terms = within_budget(terms.withColumn("c", F.greatest(F.lit(1), F.floor(F.length("definition") / 4))), "chunk_id", "term", "c", budget).withColumn("line", F.concat_ws(": ", "term", "definition"))
+    terms = terms.groupBy("chunk_id").agg(F.array_sort(F.collect_list("term")).alias("glossary_terms"), F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("defined"))
+    none = F.array().cast("array<string>")
+    out = chunks.join(fits, "chunk_id", "left").join(terms, "chunk_id", "left")
+    text = F.concat_ws("\n\n", "body", F.concat(F.lit("Related rules:\n"), F.col("related")), F.concat(F.lit("Glossary:\n"), F.col("defined")))
+    return out.select("chunk_id", "group", "rule_ids", text.alias("text"), F.coalesce("cross_ref_rule_ids", none).alias("cross_ref_rule_ids"), F.coalesce("glossary_terms", none).alias("glossary_terms"))

@@ -1,0 +1,30 @@
+"""Page and rule chunks on literals."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.operators import chunking as C
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [("short", ["short"]), ("aaaa\n\nbbbb\n\ncccc", ["aaaa\n\nbbbb", "cccc"]), ("aaaaaa\nbbbbbb\ncccccc", ["aaaaaa", "bbbbbb", "cccccc"]), ("x" * 25, ["x" * 10, "x" * 10, "x" * 5])],
+)
+def test_long_parts(spark, body, want):
+    assert spark.range(1).select(C.long_parts(F.lit(body), 10).alias("x")).first()["x"] == want
+
+
+def test_wiki_chunks(spark):
+    page = "lead\n== One ==\n" + "a" * 30 + "\n== Refs ==\ngone\n== Two ==\nb"
+    out = C.wiki_chunks(spark.createDataFrame([(1, page)], "k int, t string"), "k", "t", ("Refs",), target=40, shortest=5, longest=60).orderBy("chunk").collect()
+    assert [r["text"] for r in out] == ["lead\n\n" + "a" * 30 + "\n\nb"]
+
+
+def test_rule_chunks(spark):
+    rules = spark.createDataFrame([(1, "100.1", "x" * 40, ["Bear"]), (2, "100.10", "y" * 40, []), (3, "100.2", "z" * 40, ["Ant"]), (4, "101.1", "other", [])], "ord int, rule_id string, text string, terms array<string>")
+    refs = spark.createDataFrame([("100.1", 0, "101.1"), ("100.1", 1, "100.10"), ("100.2", 0, "100.1"), ("100.2", 1, "999.9")], "from_rule string, pos int, ref string")
+    glossary = spark.createDataFrame([("Bear", "an animal"), ("Ant", "an insect")], "term string, definition string")
+    got = {r["chunk_id"]: r for r in C.rule_chunks(rules, refs, glossary, target=24).collect()}
+    assert set(got) == {"100-0", "100-1", "101"}
+    assert got["100-0"]["rule_ids"] == ["100.1", "100.10"] and got["100-0"]["cross_ref_rule_ids"] == ["101.1"] and got["100-0"]["glossary_terms"] == ["Bear"]
+    assert got["100-1"]["cross_ref_rule_ids"] == ["100.1"] and "Glossary:\nAnt: an insect" in got["100-1"]["text"] and got["101"]["text"] == "101.1. other"
