@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import brown, cover_tree, jaccard_join, kd_shards, langid, licenses, lz_fingerprint, mixing, packing, toxicity
+from quillspark.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,5 +68,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_systematic_mixing": op9_systematic_mixing,
     "op10_lempel_ziv_fingerprint": op10_lempel_ziv_fingerprint,
 }
-
-ORACLE_SQL: dict[str, str] = {"op9_systematic_mixing": mixing.PLAN_SQL}
