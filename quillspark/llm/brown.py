@@ -99,21 +99,25 @@ def unit_bigrams(texts: DataFrame, singles: list[bytes], buckets: int, parts: in
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, held, size = Units(singles, buckets), [], 0
         look, end = units.__getitem__, m - 1
-        for batch in batches:
-            ids: list[int] = [end]
-            texts = text_bytes(batch.column(0))
-            for k, b in enumerate(texts):
-                ids.extend(map(look, b.lower().split()))
-                ids.append(end)
-                if len(ids) > 2_000_000 or k == len(texts) - 1:
-                    a = np.array(ids, np.int64)
-                    codes, n = np.unique(a[:-1] * m + a[1:], return_counts=True)
-                    held.append((codes, n))
-                    size += len(codes)
-                    ids = [end]
+        ids: list[int] = [end]
+
+        def count() -> None:
+            nonlocal held, size, ids
+            a = np.array(ids, np.int64)
+            held.append(np.unique(a[:-1] * m + a[1:], return_counts=True))
+            ids, size = [end], size + len(held[-1][0])
             if size > 6_000_000:
                 held = [merged(held)]
                 size = len(held[0][0])
+
+        for batch in batches:
+            for b in text_bytes(batch.column(0)):
+                ids.extend(map(look, b.lower().split()))
+                ids.append(end)
+                if len(ids) > 2_000_000:
+                    count()
+        if len(ids) > 1:
+            count()
         if held:
             yield from emit(*merged(held))
 
