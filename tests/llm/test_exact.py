@@ -148,6 +148,50 @@ def test_exchange_finds_the_classes():
     assert [len(set(label[k * 20 : k * 20 + 20].tolist())) for k in range(3)] == [1, 1, 1] and len(set(label[:60].tolist())) == 3 and table.sum() == 3999
 
 
+def test_a_rare_word_is_placed_as_the_likelihood_says():
+    rng = np.random.default_rng(2)
+    line, c = rng.integers(0, 40, 3000), 6
+    label = rng.integers(0, 5, 41)
+    label[40] = 5
+    line[[0, -1]] = 40
+
+    def table(label):
+        return np.bincount(label[line[:-1]] * c + label[line[1:]], minlength=c * c).reshape(c, c).astype(float)
+
+    def likelihood(t):
+        f = lambda x: (x * np.log(np.maximum(x, 1e-12))).sum()
+        return f(t) - f(t.sum(1)) - f(t.sum(0))
+
+    rows, want = np.zeros((40, 2 * c + 1)), []
+    for w in range(40):
+        for p, q in zip(line[:-1], line[1:], strict=True):
+            if p == q == w:
+                rows[w, 2 * c] += 1
+            elif p == w:
+                rows[w, label[q]] += 1
+            elif q == w:
+                rows[w, c + label[p]] += 1
+        want.append(max(range(5), key=lambda k: likelihood(table(np.where(np.arange(41) == w, k, label)))))
+    assert brown.place(rows, label[:40], table(label)).tolist() == want
+
+
+def test_brown_gives_rare_words_classes_of_their_own(spark):
+    """Three kinds of words in a cycle; all end alike, so the buckets can't tell them apart."""
+    import random
+
+    r = random.Random(4)
+    kinds = [[f"{k}{i}zz" for i in range(40)] for k in "abc"]
+    docs = [" ".join(r.choice(kinds[(i + j) % 3]) for j in range(60)) for i in range(150)]
+    df = make(spark, [(i, t, "en", "s") for i, t in enumerate(docs)])
+    model, tail = brown.fit(Scratch(spark, "t"), df.select("text"), clustered=30, buckets=4, classes=3, head=50)
+    of = dict(zip(model["words"], model["class_of"].tolist(), strict=True)) | {bytes(x["word"]): x["cls"] for x in tail.collect()}
+    classes = [Counter(of[w.encode()] for w in kind).most_common(1)[0] for kind in kinds]
+    assert len(of) == 120 and len({k for k, _ in classes}) == 3 and sum(n for _, n in classes) >= 110
+    # rarer words than the head's are joined with their classes: the same scores whatever the head
+    one, other = ({x["doc_id"]: x["score"] for x in brown.score(df, clustered=30, buckets=4, classes=3, head=h).collect()} for h in (50, 1000))
+    assert len(one) == 150 and all(math.isclose(one[i], other[i], rel_tol=1e-9) for i in one)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(st.characters(max_codepoint=0x23F), max_size=80) | st.text(max_size=40))
 def test_encoders_agree(text):
