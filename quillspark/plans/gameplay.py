@@ -15,22 +15,35 @@ def _answers(t: Tables) -> DataFrame:
     kind = F.col("l_linenumber") % 3
     card = F.concat(F.lit("Card "), F.col("l_partkey").cast("string"))
     line = F.when(kind == 1, F.concat(F.lit("- CAST "), card)).when(kind == 2, F.concat(F.lit("2. **ATTACK** "), card, F.lit(" -> opponent"))).otherwise(F.concat(F.lit("TAP "), card, F.lit(" FOR {G}")))
-    one = t.lineitem.where("l_orderkey < 4000").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))), lambda s: s["x"]), "\n").alias("x"))
+    one = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))), lambda s: s["x"]), "\n").alias("x"))
     return one.select("k", F.concat(F.lit("I think first.\nACTIONS:\n"), F.col("x"), F.lit("\nPASS")).alias("answer"))
 
 
+def _verbs(answers: DataFrame) -> DataFrame:
+    return A.parse_answers(answers, "k", "answer").where("kind = 'action'").groupBy("k", "verb").agg(F.count("*").alias("n"))
+
+
 @query(
     """SELECT l_orderkey AS k, CASE l_linenumber % 3 WHEN 1 THEN 'CAST' WHEN 2 THEN 'ATTACK' ELSE 'TAP' END AS verb, count(*) AS n FROM lineitem WHERE l_orderkey < 4000 GROUP BY ALL
     UNION ALL SELECT DISTINCT l_orderkey, 'PASS', 1 FROM lineitem WHERE l_orderkey < 4000"""
 )
 def parsed_actions(t: Tables) -> DataFrame:
-    return A.parse_answers(_answers(t), "k", "answer").where("kind = 'action'").groupBy("k", "verb").agg(F.count("*").alias("n"))
+    return _verbs(_answers(t).where("k < 4000"))
+
+
+@query(
+    """SELECT l_orderkey AS k, CASE l_linenumber % 3 WHEN 1 THEN 'CAST' WHEN 2 THEN 'ATTACK' ELSE 'TAP' END AS verb, count(*) AS n FROM lineitem GROUP BY ALL
+    UNION ALL SELECT DISTINCT l_orderkey, 'PASS', 1 FROM lineitem"""
+)
+def parsed_actions_all(t: Tables) -> DataFrame:
+    """As parsed_actions, of every order."""
+    return _verbs(_answers(t))
 
 
 @query()
 def action_legality(t: Tables) -> DataFrame:
     """Casts are listed as legal, attacks without a defender."""
-    legal = t.lineitem.where("l_orderkey < 4000").select(F.col("l_orderkey").alias("k"), F.concat(F.when(F.col("l_linenumber") % 3 == 1, "CAST Card ").otherwise("ATTACK Card "), F.col("l_partkey").cast("string")).alias("line"))
+    legal = t.lineitem.select(F.col("l_orderkey").alias("k"), F.concat(F.when(F.col("l_linenumber") % 3 == 1, "CAST Card ").otherwise("ATTACK Card "), F.col("l_partkey").cast("string")).alias("line"))
     return A.legality(A.parse_answers(_answers(t), "k", "answer"), legal, "k", "line")
 
 

@@ -63,10 +63,23 @@ _RULES = "r AS (SELECT * FROM (VALUES ('702.19'), ('702.19a'), ('702.19b'), ('70
     SELECT k, rule_id, rank FROM f WHERE rank <= 20"""
 )
 def keyword_expand(t: Tables) -> DataFrame:
+    return _expanded(t, t.orders.where("o_orderkey < 100"))
+
+
+@query(
+    rf"""WITH {_RULES.removesuffix(" WHERE o_orderkey < 100)")}), f AS (SELECT k, rule_id, parent, row_number() OVER (PARTITION BY k ORDER BY parent, rule_id) AS rank FROM w JOIN r ON r.rule_id = parent OR regexp_replace(r.rule_id, '^(\d+\.\d+)[a-z]+$', '\1') = parent)
+    SELECT k, rule_id, rank FROM f WHERE rank <= 20"""
+)
+def keyword_expand_all(t: Tables) -> DataFrame:
+    """As keyword_expand, of every order."""
+    return _expanded(t, t.orders)
+
+
+def _expanded(t: Tables, orders: DataFrame) -> DataFrame:
     ids = ("702.19", "702.19a", "702.19b", "702.190", "702.190a", "702.2", "702.2c", "704.5", "704.5g")
     rules = t.spark.createDataFrame([(i,) for i in ids], "rule_id string")
     parents = F.array(*(F.lit(p) for p in ("702.19", "702.2", "704.5")))
-    wanted = t.orders.where("o_orderkey < 100").select(F.col("o_orderkey").alias("k"), F.get(parents, F.pmod("o_orderkey", F.lit(3)).cast("int")).alias("parent"))
+    wanted = orders.select(F.col("o_orderkey").alias("k"), F.get(parents, F.pmod("o_orderkey", F.lit(3)).cast("int")).alias("parent"))
     return R.expand_rules(wanted, "k", "parent", rules, "rule_id")
 
 
