@@ -68,5 +68,15 @@ def exported_tasks(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, 'Player A casts it while Player B waits.' AS text FROM part WHERE p_partkey < 200")
 def renamed_players(t: Tables) -> DataFrame:
-    rows = t.part.where("p_partkey < 200").select("p_partkey", F.lit("Ann casts it while Bob waits.").alias("text"))
+    return _renamed(t.part.where("p_partkey < 200"))
+
+
+@query("SELECT p_partkey, 'Player A casts it while Player B waits.' AS text FROM part")
+def renamed_players_all(t: Tables) -> DataFrame:
+    """As renamed_players, of every part."""
+    return _renamed(t.part)
+
+
+def _renamed(part: DataFrame) -> DataFrame:
+    rows = part.select("p_partkey", F.lit("Ann casts it while Bob waits.").alias("text"))
     return D.renamed_players(rows, "p_partkey", "text", (r"\b([A-Z][a-z]+) (?:casts|waits)\b",)).select("p_partkey", "text")

@@ -76,5 +76,5 @@ def prompt_digests(t: Tables) -> DataFrame:
 
 @query()
 def prose_names(t: Tables) -> DataFrame:
-    texts = t.part.where("p_partkey <= 500").select("p_partkey", F.concat(F.lit("What if "), F.upper("p_name"), F.lit(", attacks?")).alias("text"))
+    texts = t.part.select("p_partkey", F.concat(F.lit("What if "), F.upper("p_name"), F.lit(", attacks?")).alias("text"))
     return R.prose_names(texts, "p_partkey", "text", t.part, "p_name")

@@ -60,6 +60,23 @@ def exclude_three_way(t: Tables) -> DataFrame:
     return S.exclusions(t.documents.withColumnRenamed("source", "up"), "doc_id", "text", "up", held, "doc_id", "text", "up")
 
 
+@query(f"WITH b AS (SELECT {_NORM} AS norm, min(item_id) AS matched FROM benchmark GROUP BY 1) SELECT doc_id, matched FROM (SELECT doc_id, {_NORM} AS norm FROM documents) JOIN b USING (norm)")
+def contam_exact_benchmark(t: Tables) -> DataFrame:
+    """Documents whose normal text is that of a benchmark item."""
+    return S.exact_match(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
+
+
+@query(
+    f"""WITH {_PAIRS}, n AS (SELECT DISTINCT doc_id FROM q WHERE score >= 0.75)
+    SELECT doc_id, CASE WHEN doc_id IN (SELECT item_id FROM benchmark) THEN 'same_id' WHEN source IN ('src1', 'src2') THEN 'same_upstream' ELSE 'similar' END AS reason FROM documents
+    WHERE doc_id IN (SELECT item_id FROM benchmark) OR source IN ('src1', 'src2') OR doc_id IN (SELECT doc_id FROM n)"""
+)
+def exclude_benchmark(t: Tables) -> DataFrame:
+    """Documents excluded because of the whole benchmark, taken to come from src1 and src2: same id, same upstream, or similar text."""
+    held = t.benchmark.withColumn("up", F.explode(F.array(F.lit("src1"), F.lit("src2"))))
+    return S.exclusions(t.documents.withColumnRenamed("source", "up"), "doc_id", "text", "up", held, "item_id", "text", "up")
+
+
 @query(f"WITH n AS (SELECT {_NORM} AS norm, count(*) AS c FROM documents GROUP BY 1) SELECT count(*) AS repeated, coalesce(sum(c - 1), 0)::BIGINT AS redundant FROM n WHERE c > 1")
 def dup_targets(t: Tables) -> DataFrame:
     n = t.documents.groupBy(T.norm_text(F.col("text")).alias("norm")).agg(F.count("*").alias("c")).where("c > 1")

@@ -16,6 +16,12 @@ KEYS = {
     "degenerate_answers": ("k", "SELECT DISTINCT l_orderkey FROM lineitem"),
     "group_zone_all": ("l_orderkey", "SELECT DISTINCT l_orderkey FROM lineitem"),
     "keyword_expand_all": ("k", "SELECT o_orderkey FROM orders"),
+    "lockouts_all": ("user_id", "SELECT DISTINCT user_id FROM events"),
+    "sign_tests_all": ("lang", "SELECT DISTINCT lang FROM labels JOIN documents USING (doc_id)"),
+    "renamed_players_all": ("p_partkey", "SELECT p_partkey FROM part"),
+    "exclude_benchmark": ("doc_id", registry.ORACLE_SQL["exclude_benchmark"].replace("SELECT doc_id, CASE", "SELECT doc_id FROM (SELECT doc_id, CASE") + ")"),
+    "contam_exact_benchmark": ("doc_id", f"SELECT doc_id FROM ({registry.ORACLE_SQL['contam_exact_benchmark']})"),
+    "prf_all": ("tp", f"SELECT tp FROM ({registry.ORACLE_SQL['prf_all']})"),
 }
 
 
