@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,21 +47,26 @@ def top(df: DataFrame, group: str | list[str], order: list[Column], k: int | Col
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, query_id: str, query_vec: str, index: DataFrame, vec_id: str, vec: str, k: int) -> DataFrame:
+def dense(queries: DataFrame, query_id: str, query_vec: str, index: DataFrame, vec_id: str, vec: str, k: int, block: int = 100_000) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest vectors by dot product (unit vectors: cosine).
 
     The queries are a stated set against all rows of the index: they go to every task in blocks, each task
-    multiplies matrices and keeps its own k best, and only those are ranked again. ``queries`` is
-    broadcast, so its size is checked first.
+    multiplies matrices and keeps its own k best, and only those are ranked again. ``queries`` pass the
+    driver and are broadcast ``block`` at a time; the index is read once a block.
     """
-    import numpy as np
-
     if not isinstance(k, int) or isinstance(k, bool) or k < 0:
         raise ValueError("k must be a non-negative integer")
-    limit = 100_000
-    rows = queries.select(query_id, F.col(query_vec).cast("array<double>").alias("v")).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} queries: run them in blocks")
+    asked = queries.select(query_id, F.col(query_vec).cast("array<double>").alias("v")).toLocalIterator()
+    out = _nearest(list(islice(asked, block)), query_id, index, vec_id, vec, k)
+    while rows := list(islice(asked, block)):
+        out = out.unionByName(_nearest(rows, query_id, index, vec_id, vec, k))
+    return top(out, query_id, [F.desc("score"), F.col(vec_id)], k)
+
+
+def _nearest(rows: list, query_id: str, index: DataFrame, vec_id: str, vec: str, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of each task, the k best for each of a block of queries."""
+    import numpy as np
+
     ids = [r[0] for r in rows]
     bc = index.sparkSession.sparkContext.broadcast(np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), -1))
 
@@ -79,8 +85,7 @@ def dense(queries: DataFrame, query_id: str, query_vec: str, index: DataFrame, v
             yield best.assign(q=[ids[x] for x in best["q"]])
 
     given = index.select(F.col(vec_id).cast("long").alias("i"), F.col(vec).cast("array<double>").alias("v"))
-    found = given.mapInPandas(run, "q long, i long, score double").select(F.col("q").alias(query_id), F.col("i").alias(vec_id), "score")
-    return top(found, query_id, [F.desc("score"), F.col(vec_id)], k)
+    return given.mapInPandas(run, "q long, i long, score double").select(F.col("q").alias(query_id), F.col("i").alias(vec_id), "score")
 
 
 def index_problems(index: DataFrame, vec_id: str, vec: str, dim: int) -> DataFrame:

@@ -22,6 +22,8 @@ KEYS = {
     "exclude_benchmark": ("doc_id", registry.ORACLE_SQL["exclude_benchmark"].replace("SELECT doc_id, CASE", "SELECT doc_id FROM (SELECT doc_id, CASE") + ")"),
     "contam_exact_benchmark": ("doc_id", f"SELECT doc_id FROM ({registry.ORACLE_SQL['contam_exact_benchmark']})"),
     "prf_all": ("tp", f"SELECT tp FROM ({registry.ORACLE_SQL['prf_all']})"),
+    "dense_topk_all": ("query_id", "SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0"),
+    "retrieval_recall_all": ("k", "SELECT unnest([3, 5, 10])"),
 }
 
 
@@ -32,3 +34,11 @@ def test_every_key_has_its_rows(spark, name):
     assert {r[0] for r in df.select(key).distinct().collect()} == {r[0] for r in con.execute(sql).fetchall()}
     if name in registry.ORACLE_SQL:
         assert oracle.compare(df, con, registry.ORACLE_SQL[name]) == ""
+
+
+def test_dense_queries_run_in_blocks(spark):
+    from quillspark.operators import retrieval
+
+    v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(7)], "i long, v array<double>")
+    one, other = (sorted(tuple(r) for r in retrieval.dense(v.withColumnRenamed("i", "q"), "q", "v", v, "i", "v", 2, block=b).collect()) for b in (3, 100))
+    assert one == other and len(one) == 14
