@@ -38,6 +38,21 @@ def truncated_contexts(t: Tables) -> DataFrame:
     return rows.where("first <= 600").select("doc_id", F.size(F.split("c", "\n\n")).cast("long").alias("kept"))
 
 
+_CUT = """(SELECT doc_id, CASE WHEN length(text) <= 600 THEN text WHEN n > 0 THEN array_to_string(x[1:n], chr(10) || chr(10)) ELSE regexp_replace(left(text, 600), '\\n[^\\n]*\\z', '') END AS cut
+    FROM (SELECT *, len(list_filter(range(1, len(x) + 1), lambda i: list_sum(list_transform(x[1:i], lambda p: length(p) + 2)) - 2 <= 600)) AS n FROM (SELECT doc_id, text, string_split(text, chr(10) || chr(10)) AS x FROM {})))"""
+
+
+@query(
+    f"""WITH a AS {_CUT.format("documents")}, b AS {_CUT.format("(SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)")}
+    SELECT doc_id, length(a.cut)::INT AS n_lines, md5(a.cut) AS lines, length(b.cut)::INT AS n_paragraphs, md5(b.cut) AS paragraphs FROM a JOIN b USING (doc_id)"""
+)
+def truncated_contexts_all(t: Tables) -> DataFrame:
+    """Length and digest of each document cut to 600 characters, its text as it is and its lines taken as paragraphs."""
+    lines, paragraphs = R.truncated(F.col("text"), 600), R.truncated(F.regexp_replace("text", "\n", "\n\n"), 600)
+    cut = t.documents.select("doc_id", lines.alias("a"), paragraphs.alias("b"))
+    return cut.select("doc_id", F.length("a").alias("n_lines"), F.md5("a").alias("lines"), F.length("b").alias("n_paragraphs"), F.md5("b").alias("paragraphs"))
+
+
 @query(
     r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(regexp_replace(replace('Ann casts ' || p_name || ' at 3 o''clock', p_name, ' CARD '), '\b[A-Z][a-z]+\b', ' NAME ', 'g')), '[^a-z ]+', ' ', 'g'), ' +', ' ', 'g')) AS skeleton FROM part"""
 )

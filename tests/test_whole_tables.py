@@ -24,6 +24,7 @@ KEYS = {
     "prf_all": ("tp", f"SELECT tp FROM ({registry.ORACLE_SQL['prf_all']})"),
     "dense_topk_all": ("query_id", "SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0"),
     "retrieval_recall_all": ("k", "SELECT unnest([3, 5, 10])"),
+    "truncated_contexts_all": ("doc_id", "SELECT doc_id FROM documents"),
 }
 
 
