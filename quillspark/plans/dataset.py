@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -15,8 +15,21 @@ from quillspark.registry import Tables, query
     SELECT doc_id, 'grounded', 3, length('S' || lang || chr(10) || chr(10) || 'Question: ' || left(text, 50) || source) FROM documents WHERE doc_id % 2 = 0 AND length('S' || lang || left(text, 50) || source) <= 57) SELECT * FROM v"""
 )
 def emitted_variants(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.left("text", F.lit(50)).alias("q"), F.col("source").alias("a"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("c"))
-    out = D.emit_variants(rows, "doc_id", "q", "a", "c", "S", 57)
+    return _variants(t, F.left("text", F.lit(50)), 57)
+
+
+@query(
+    """WITH v AS (SELECT doc_id, 'bare' AS variant, 3 AS turns, length('S' || text || source) AS n FROM documents UNION ALL
+    SELECT doc_id, 'grounded', 3, length('S' || lang || chr(10) || chr(10) || 'Question: ' || text || source) FROM documents WHERE doc_id % 2 = 0 AND length('S' || lang || text || source) <= 16000) SELECT * FROM v"""
+)
+def emitted_variants_all(t: Tables) -> DataFrame:
+    """As emitted_variants, with whole texts and a budget of 16,000 characters."""
+    return _variants(t, F.col("text"), 16_000)
+
+
+def _variants(t: Tables, question: Column, limit: int) -> DataFrame:
+    rows = t.documents.select("doc_id", question.alias("q"), F.col("source").alias("a"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("c"))
+    out = D.emit_variants(rows, "doc_id", "q", "a", "c", "S", limit)
     size = F.aggregate("messages", F.lit(0), lambda s, m: s + F.length(m["content"]))
     return out.select("doc_id", "variant", F.size("messages").alias("turns"), size.alias("n"))
 

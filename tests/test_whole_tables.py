@@ -25,6 +25,7 @@ KEYS = {
     "dense_topk_all": ("query_id", "SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0"),
     "retrieval_recall_all": ("k", "SELECT unnest([3, 5, 10])"),
     "truncated_contexts_all": ("doc_id", "SELECT doc_id FROM documents"),
+    "emitted_variants_all": ("doc_id", "SELECT doc_id FROM documents"),
 }
 
 
