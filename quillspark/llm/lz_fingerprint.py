@@ -1,14 +1,16 @@
 """Lempel-Ziv phrase fingerprints: minimum-hash signatures of a text's dictionary phrases.
 
-A text is parsed left to right into phrases, each the shortest piece that is not yet in the dictionary (a
-known piece also ends at ``longest`` characters, which bounds the work per character). The set of phrases
-is hashed and each of ``bins`` ranges of the hash keeps its smallest value; an empty range borrows from the
-next full one. Likeness is the share of equal ranges: two texts that a dictionary coder would see as one
+A text is parsed left to right into phrases, each the shortest piece that is not yet in the dictionary, as
+long as that may be. Every prefix of a known phrase is known, so a phrase's length is found by doubling and
+halving: the work is a text's length times the logarithm of its longest phrase, and the dictionary holds no
+more characters than the text. The set of phrases is hashed and each of ``bins`` ranges of the hash keeps
+its smallest value; an empty range borrows from the next full one. Likeness is the share of equal ranges: two texts that a dictionary coder would see as one
 share their phrases.
 
 Every text is also compared with an edited form: its last third is replaced by the start of the next
-document in descending id (after the last, the first). Texts are sorted by one range shuffle; each
-partition also receives the first document of the one that follows, so neighbours meet without a window.
+document in descending id (after the last, the first). Texts are sorted by one range shuffle, an id of many
+rows by its texts' crc; each partition also receives the first text of the one that follows, so neighbours
+meet without a window. Equal rows meet in one task, which parses them once.
 
 Defined results: null is the empty text; the empty text has the signature of no phrase and is like only
 itself; repeated rows and equal ids follow each other in the order of their texts' crc; a null id sorts
@@ -28,38 +30,44 @@ from pyspark.sql import functions as F
 from quillspark.llm.shared import bounded_batches, partitions, tidy
 from quillspark.llm.textarrays import span_hashes
 
-BINS, LONGEST = 128, 64
+BINS = 128
 NONE = np.uint64((1 << 64) - 1)
-
-
-def _parse(text: str, known: set[str], piece: str, longest: int) -> tuple[list[str], list[int], str]:
-    """Continue a parse: (phrases added to known, lengths of all phrases ended here, the open piece)."""
-    add, added, sizes = known.add, [], []
-    for c in text:
-        piece += c
-        if piece not in known:
-            add(piece)
-            added.append(piece)
-            sizes.append(len(piece))
-            piece = ""
-        elif len(piece) == longest:
-            sizes.append(longest)
-            piece = ""
-    return added, sizes, piece
-
-
-def _minimums(parts: list[tuple[str, list[int]]], bins: int) -> np.ndarray:
-    """Per part (a string and the lengths of the phrases it starts with) its bins' least hashes."""
+NO_ID = -(1 << 63)  # the place of a null id: last
+
+
+def _parse(text: str, known: set[str], piece: str) -> tuple[list[str], str]:
+    """Continue a parse that stands at ``piece``, a known one: (phrases added to known in turn, the open piece)."""
+    text = piece + text
+    n, at, low = len(text), 0, len(piece)
+    added: list[str] = []
+    while True:
+        high = low + 4  # text[at : at + low] is known; is more?
+        while at + high <= n and text[at : at + high] in known:
+            low, high = high, 2 * high
+        high = min(high, n - at + 1)  # what would end beyond the text counts as unknown
+        while high - low > 1:
+            middle = (low + high) // 2
+            if text[at : at + middle] in known:
+                low = middle
+            else:
+                high = middle
+        if at + low >= n:
+            return added, text[at:]
+        phrase = text[at : at + low + 1]
+        known.add(phrase)
+        added.append(phrase)
+        at, low = at + low + 1, 0
+
+
+def _minimums(parts: list[list[str]], bins: int) -> np.ndarray:
+    """Per list of phrases its bins' least hashes."""
     out = np.full((len(parts), bins), NONE, np.uint64)
-    buffer = np.frombuffer("".join(s for s, _ in parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    count = np.fromiter((len(n) for _, n in parts), np.int64, len(parts))
-    sizes = np.fromiter((x for _, n in parts for x in n), np.int64, int(count.sum()))
+    count = np.fromiter(map(len, parts), np.int64, len(parts))
+    sizes = np.fromiter((len(x) for own in parts for x in own), np.int64, int(count.sum()))
     if not len(sizes):
         return out
-    begin = np.cumsum([0, *(len(s) for s, _ in parts)])[:-1]
+    buffer = np.frombuffer("".join(x for own in parts for x in own).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum(sizes)
-    inside = ends - np.repeat(np.concatenate([[0], ends])[np.cumsum(count) - count], count)
-    ends = np.repeat(begin, count) + inside
     with np.errstate(over="ignore"):
         h = span_hashes(buffer, ends - sizes, ends)
     row = np.repeat(np.arange(len(parts)), count)
@@ -85,24 +93,30 @@ def likeness(a: np.ndarray, b: np.ndarray, empty_a: np.ndarray, empty_b: np.ndar
     return np.where(empty_a | empty_b, (empty_a & empty_b).astype(float), (a == b).mean(axis=1))
 
 
-def _compare(rows: list[tuple[int | None, str]], following: list[str], bins: int, longest: int) -> pa.RecordBatch:
+def _compare(rows: list[tuple[int | None, str]], following: list[str], bins: int) -> pa.RecordBatch:
     """rows: documents in order; following: the text after each."""
-    parts: list[tuple[str, list[int]]] = []
-    hashes = []
+    parts: list[list[str]] = []
+    hashes: list[str] = []
+    before: tuple[str, str] | None = None
     for (_, text), after in zip(rows, following, strict=True):
+        if before == (text, after):  # repeated rows
+            parts += parts[-3:]
+            hashes.append(hashes[-1])
+            continue
+        before = text, after
         cut = len(text) - len(text) // 3
         tail = after[: len(text) // 3]
         known: set[str] = set()
-        _, head_sizes, piece = _parse(text[:cut], known, "", longest)
-        added, rest_sizes, _ = _parse(text[cut:], known, piece, longest)
-        known.difference_update(added)
-        _, tail_sizes, _ = _parse(tail, known, piece, longest)
-        parts += [(text[:cut], head_sizes), (piece + text[cut:], rest_sizes), (piece + tail, tail_sizes)]
+        head, piece = _parse(text[:cut], known, "")
+        rest, _ = _parse(text[cut:], known, piece)
+        known.difference_update(rest)
+        edited, _ = _parse(tail, known, piece)
+        parts += [head, rest, edited]
         hashes.append(hashlib.sha256((text[:cut] + tail).encode("utf-8", "surrogatepass")).hexdigest())
     low = _minimums(parts, bins).reshape(len(rows), 3, bins)
     own, edited = np.minimum(low[:, 0], low[:, 1]), np.minimum(low[:, 0], low[:, 2])
     signs, edits = _signature(own), _signature(edited)
-    next_low = _minimums([(t, _parse(t, set(), "", longest)[1]) for t in following[-1:]], bins)
+    next_low = _minimums([_parse(t, set(), "")[0] for t in following[-1:]], bins)
     nexts, bare = np.concatenate([signs[1:], _signature(next_low)]), (own == NONE).all(axis=1)
     next_bare = np.concatenate([bare[1:], (next_low == NONE).all(axis=1)])
     return pa.RecordBatch.from_arrays(
@@ -114,23 +128,35 @@ def _compare(rows: list[tuple[int | None, str]], following: list[str], bins: int
     )
 
 
-def fingerprint(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", bins: int = BINS, longest: int = LONGEST) -> DataFrame:
+def fingerprint(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", bins: int = BINS) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     bounded_batches(documents.sparkSession)
     spark = documents.sparkSession
     parts = partitions(spark)
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = docs.where("doc_id is not null").select(F.col("key").cast("double").alias("k"))
-    cuts = sorted({int(c) for c in ids.approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts)}, reverse=True) if parts > 1 else []
-    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: F.col("key") < c)) if cuts else F.lit(0)
-    docs = docs.withColumn("bucket", bucket)
-    starts = sorted((r["bucket"], r["key"]) for r in docs.groupBy("bucket").agg(F.max("key").alias("key")).collect())
-    before = [(key, starts[i - 1][0]) for i, (_, key) in enumerate(starts)]  # a row per partition
-    ahead = F.broadcast(spark.createDataFrame(before, "key bigint, to int"))
-    extra = docs.join(ahead, "key").select("doc_id", "key", "text", F.col("to").alias("bucket"), F.lit(True).alias("ahead"))
-    dealt = docs.withColumn("ahead", F.lit(False)).unionByName(extra).withColumn("crc", F.crc32(F.col("text").cast("binary")))
-    dealt = dealt.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("ahead", F.desc("key"), "crc").select("doc_id", "text", "ahead")
+    text_crc = F.crc32(F.col("text").cast("binary"))
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # cuts of about equal numbers of rows; a key that holds several shares lies between two of its own
+    shares = docs.where("doc_id is not null").select(F.col("key").cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    shares = [int(c) for c in shares]
+    often = [a for a, b in zip(shares, shares[1:], strict=False) if a == b]
+    cuts = sorted({*shares, *(a + 1 for a in often), NO_ID + 1} - {NO_ID}, reverse=True)
+    docs = docs.withColumn("range", F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: F.col("key") < c)))
+    ranges = {r["range"]: r for r in docs.groupBy("range").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).collect()}
+    mean = sum(r["n"] for r in ranges.values()) / parts
+    # a range of one key is dealt by its texts' crc
+    split = [max(1, round(ranges[i]["n"] / mean)) if i in ranges and ranges[i]["low"] == ranges[i]["high"] else 1 for i in range(len(cuts) + 1)]
+    first = [sum(split[:i]) for i in range(len(split))]
+    of = lambda x: F.get(F.array(*(F.lit(v) for v in x)), F.col("range"))
+    docs = docs.withColumn("crc", text_crc)
+    docs = docs.select("doc_id", "key", "text", "crc", (of(first) + F.shiftright(F.col("crc") * of(split), 32)).cast("int").alias("bucket"))
+    starts = docs.groupBy("bucket").agg(F.max(F.struct("key", (-F.col("crc")).alias("back"))).alias("x")).select("bucket", "x.*").collect()
+    starts = sorted((r["bucket"], r["key"], -r["back"]) for r in starts)
+    before = [(key, crc, starts[i - 1][0]) for i, (_, key, crc) in enumerate(starts)]  # a row per partition
+    ahead = F.broadcast(spark.createDataFrame(before, "key bigint, crc bigint, to int"))
+    extra = docs.join(ahead, ["key", "crc"]).groupBy(F.col("to").alias("bucket")).agg(F.first("text").alias("text"))
+    extra = extra.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("key"), "text", F.lit(None).cast("long").alias("crc"), "bucket", F.lit(True).alias("ahead"))
+    dealt = docs.withColumn("ahead", F.lit(False)).unionByName(extra)
+    dealt = dealt.repartitionById(sum(split), F.col("bucket")).sortWithinPartitions("ahead", F.desc("key"), "crc").select("doc_id", "text", "ahead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str]] = []
@@ -141,7 +167,7 @@ def fingerprint(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
                     continue
                 if last or size > 1_000_000:
                     if held:
-                        yield _compare(held, [x for _, x in held[1:]] + [t], bins, longest)
+                        yield _compare(held, [x for _, x in held[1:]] + [t], bins)
                     held, size, over = [], 0, last
                 if not last:
                     held.append((i, t))

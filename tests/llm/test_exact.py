@@ -323,24 +323,80 @@ def test_mixing_plan_matches_a_loop(spark):
         assert abs(sum(rows[i]["taken"] for i, _, _, own in docs if own == s) - target[s]) <= 60
 
 
+def plain_phrases(text):
+    known, piece = {""}, ""
+    for c in text:
+        piece += c
+        if piece not in known:
+            known.add(piece)
+            piece = ""
+    return known - {""}
+
+
+def plain_signature(text, bins=128):
+    """Minimum hashes of a plain dictionary parse: the phrase set's least hash in each bin."""
+    phrases = sorted(plain_phrases(text))
+    if not phrases:
+        return None
+    sizes = np.array([len(p) for p in phrases])
+    ends = np.cumsum(sizes)
+    h = textarrays.span_hashes(np.frombuffer("".join(phrases).encode("utf-32-le", "surrogatepass"), np.uint32), ends - sizes, ends).tolist()
+    low = {}
+    for x in h:
+        low[x % bins] = min(low.get(x % bins, 1 << 64), x // bins)
+    out = []
+    for b in range(bins):
+        gap = next(g for g in range(bins) if (b + g) % bins in low)
+        v = (low[(b + gap) % bins] + gap * 0x9E3779B97F4A7C15) % (1 << 64)
+        out.append((v ^ (v >> 17) ^ (v >> 37)) & 0xFFFF)
+    return out
+
+
 def test_fingerprints(spark):
-    docs = {i: words(i // 2, 30 + i) for i in range(20)} | {50: "", 51: "aaaa" * 500}
+    docs = {i: words(i // 2, 30 + i) for i in range(20)} | {50: "", 51: "aaaa" * 500, 52: "é🙂" * 90}
     rows = {r["doc_id"]: r for r in lz_fingerprint.fingerprint(make(spark, [(i, t, "en", "s") for i, t in docs.items()])).collect()}
     order = sorted(docs, reverse=True)
+    like = lambda a, b: float(a is None and b is None) if a is None or b is None else sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
     for k, i in enumerate(order):
         text, after = docs[i], docs[order[(k + 1) % len(order)]]
         n = len(text)
         edited = text[: n - n // 3] + after[: n // 3]
         r = rows[i]
-        assert r["n_chars"] == n and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and 0 <= r["near_next"] <= 1
-        again = lz_fingerprint._compare([(i, edited)], [""], 128, 64)
-        assert again.column(3)[0].as_py() == r["edited_fingerprint"]  # the edited text parsed on its own
+        assert r["n_chars"] == n and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        own, changed, following = plain_signature(text), plain_signature(edited), plain_signature(after)
+        for found, want in ((r["fingerprint"], own), (r["edited_fingerprint"], changed)):
+            assert bytes.fromhex(found) == b"".join(x.to_bytes(2, "big") for x in want or [0xFFFF] * 128)
+        assert r["near_edited"] == like(own, changed) and r["near_next"] == like(own, following)
     assert rows[50]["near_edited"] == 1 and rows[50]["near_next"] == 0
 
 
-def test_phrases_are_a_dictionary_parse():
-    added, sizes, rest = lz_fingerprint._parse("abababcab", set(), "", 64)
-    assert added == ["a", "b", "ab", "abc"] and sizes == [1, 1, 2, 3] and rest == "ab"
+def test_fingerprints_of_repeated_ids_and_one_row(spark):
+    """An id, and null, that hold a third of the rows each: order by id down, null last, then by crc."""
+    ids = [7] * 30 + [None] * 30 + list(range(100, 130))
+    docs = [(i, words(k % 20, 12), "en", "s") for k, i in enumerate(ids)]
+    rows = lz_fingerprint.fingerprint(make(spark, docs)).collect()
+    order = sorted(((i is None, -(i or 0), zlib.crc32(t.encode()), t) for i, t, _, _ in docs))
+    want = Counter()
+    for k, (none, i, _, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][3]
+        want[None if none else -i, hashlib.sha256((t[: len(t) - len(t) // 3] + after[: len(t) // 3]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in rows) == want
+    one = lz_fingerprint.fingerprint(make(spark, docs[:1])).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab", max_size=300) | st.text("a", max_size=300), st.integers(0, 300))
+def test_phrases_are_a_dictionary_parse(text, cut):
+    known: set = set()
+    head, piece = lz_fingerprint._parse(text[:cut], known, "")
+    rest, piece = lz_fingerprint._parse(text[cut:], known, piece)
+    assert set(head + rest) == known == plain_phrases(text) and "".join(head + rest) + piece == text
+
+
+def test_phrases_have_no_longest():
+    short, long = (lz_fingerprint._parse("a" * n, set(), "")[0] for n in (5000, 500_000))
+    assert len(short) == 99 and len(long) == 999 and len(lz_fingerprint._parse("a" * 4000, set(), "")[0]) == 88
 
 
 @pytest.mark.parametrize("n", [1, 2047, 2048, 2049, 5000, 1 << 14])
