@@ -18,9 +18,15 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can read: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that every executor can read: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder of this machine if the session runs on this machine alone, as in
+    tests; else an error, as other machines couldn't read it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="quillspark-"))
     return found
 
@@ -54,12 +60,14 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return tidied
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lower the session's Arrow batches to ``rows`` rows, so that a Python worker and the JVM beside it hold
-    a few megabytes of text at once, not ten thousand documents. The setting stays, as plans run later."""
+def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows and ``megabytes``, so that a Python worker and the JVM
+    beside it hold a few megabytes of text at once, not ten thousand documents. The setting stays, as plans
+    run later."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
 
 class Scratch:

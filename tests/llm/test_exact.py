@@ -101,7 +101,7 @@ def test_cover_tree_links(spark):
             rows.append((i, (base[b] + rng.standard_normal(16) * 0.18).tolist(), b % 3))
             i += 1
     rows += [(900, base[0].tolist(), 0), (901, base[0].tolist(), 0), (902, (base[0] * 3).tolist(), 0), (903, None, 0), (904, [0.0] * 16, 0), (905, [math.nan] * 16, 0), (906, base[0].tolist(), None), (907, base[0].tolist()[:5], 0), (None, base[0].tolist(), 0), (908, [], 0), (909, [None, *base[0].tolist()[1:]], 0)]
-    got = {r["vec_id"]: r for r in cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), block=16, centres=4).collect()}
+    got = {r["vec_id"]: r for r in cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), block=16, centres=4, partners=2).collect()}
     good = {i: (np.array(v) / np.linalg.norm(v), x) for i, v, x in rows if i is not None and v and None not in v and x is not None and np.isfinite(v).all() and np.linalg.norm(v) > 0}
     link = {i: {j for j in good if j != i and good[i][1] == good[j][1] and len(good[i][0]) == len(good[j][0]) and good[i][0] @ good[j][0] >= 0.93} for i in good}
     for i, r in got.items():
@@ -118,6 +118,39 @@ def test_cover_tree_links(spark):
     assert cover_tree.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<double>, label int")).count() == 0
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000), st.sampled_from([1e-9, 3e-9, 1e-8, 1e-5, 0.05]), st.integers(2, 8))
+def test_cover_tree_pairs_at_the_threshold(seed, spread, dims):
+    """Bundles of near-equal vectors whose cosines to another bundle lie at the threshold."""
+    rng = np.random.default_rng(seed)
+    first = rng.standard_normal(dims)
+    first /= np.linalg.norm(first)
+    across = rng.standard_normal(dims)
+    across -= (across @ first) * first
+    across /= np.linalg.norm(across)
+    second = 0.93 * first + np.sqrt(1 - 0.93**2) * across
+    x = np.concatenate([base + spread * rng.standard_normal((40, dims)) for base in (first, second)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[rng.permutation(len(x))]
+    given = x @ x.T
+    sure = np.abs(given - 0.93) > 1e-15  # beyond the error of a product's order of summing
+    for cut in (80, 37):
+        a = cover_tree.Tree(x[:cut], leaf=3)
+        b = a if cut == 80 else cover_tree.Tree.opened((tree := cover_tree.Tree(x[cut:], leaf=3)).x, tree.packed())
+        place = a.order if cut == 80 else np.concatenate([a.order, cut + tree.order])
+        shift = 0 if cut == 80 else cut
+        found = np.zeros((80, 80), bool)
+        for p, q, whole in cover_tree.dual(a, b, 0.93):
+            p, q = place[p], place[shift + q]
+            found[np.ix_(p, q) if whole else (p, q)] = True
+        found |= found.T
+        want = given >= 0.93
+        np.fill_diagonal(want, False)
+        if cut == 37:
+            want[:cut, :cut] = want[cut:, cut:] = False
+        assert (found == want)[sure].all()
+
+
 def test_brown_base_score_and_gain(spark):
     import random
 
