@@ -296,26 +296,83 @@ def test_toxicity_held_out(spark):
     assert len(held) > 30 and sum(r["predicted"] == (r["doc_id"] % 3 == 0) for r in held) / len(held) > 0.9
 
 
-def test_licenses_against_whole_alignment(spark):
-    notice = licenses.TEMPLATES["gpl-3.0-line"]
-    changed = notice.replace("General Public", "GENERAL  public").replace("work", "thing")
-    docs = {1: f"{words(1, 30)}. {notice}\n{words(2, 10)}", 2: changed, 3: words(3, 200), 4: f"{notice} {notice}", 5: "Released under the MIT License", 6: "licensed under nothing at all"}
-    got = sorted((r["doc_id"], r["template"], r["matched"], docs[r["doc_id"]][r["start_char"] : r["end_char"]] == r["matched_text"]) for r in licenses.scan(make(spark, [(i, t, "en", "s") for i, t in docs.items()])).collect())
-    assert got == [(1, "gpl-3.0-line", 12, True), (2, "gpl-3.0-line", 11, True), (4, "gpl-3.0-line", 12, True), (4, "gpl-3.0-line", 12, True), (5, "mit-line", 5, True)]
-
-    def lcs(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            new = [0]
-            for j, y in enumerate(b):
-                new.append(max(row[j + 1], new[j], row[j] + (x == y)))
-            row = new
-        return row[-1]
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(row[j + 1], new[j], row[j] + (x == y)))
+        row = new
+    return row[-1]
+
 
+def test_alignment_in_a_wide_band_is_the_whole_alignment():
     rng = np.random.default_rng(2)
     for _ in range(30):
-        a, b = rng.integers(0, 4, 9).tolist(), rng.integers(0, 4, 9).tolist()
-        assert licenses.align(a, [-1] * 9 + b, 9)[0] == lcs(a, b)  # a band as wide as the text is the whole alignment
+        a, b = rng.integers(1, 4, 9), rng.integers(1, 4, 9)
+        region = np.concatenate([np.zeros(9, np.int64), b, np.zeros(9, np.int64)])
+        n, first, last = licenses.align(a, region, 19)
+        assert n == longest_common(a.tolist(), b.tolist()) and (not n or longest_common(a.tolist(), region[first : last + 1].tolist()) == n)
+
+
+def test_licenses_find_planted_copies(spark):
+    """Exact and edited notices, side by side, far apart and torn open, against what was put in."""
+    import random
+
+    r = random.Random(8)
+    known = licenses.templates()
+    short = [n for n in known if len(licenses.Index({"x": known[n]}, 3, 2).words[0]) < 60 and n != "mit-grant"]
+    docs, want = {}, Counter()
+    for i in range(150):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            name = r.choice(short)
+            for _ in range(r.choice([1, 1, 2, 3])):
+                own = known[name].split()
+                kind = r.choice(["", "", "edit", "torn"]) if len(own) >= 11 else ""
+                if kind == "edit":
+                    own[r.randrange(1, len(own) - 1)] = "changed"
+                elif kind == "torn":
+                    own[len(own) // 2 : len(own) // 2] = words(i, 40, "xz").split()
+                parts.append(" ".join(own))
+                want[i, name] += 1
+            parts.append(words(i * 7, r.choice([0, 1, 3, 30]), "xz"))
+        docs[i] = " ".join(parts)
+    rows = licenses.scan(make(spark, [(i, t, "en", "s") for i, t in docs.items()])).collect()
+    # notices that are most of each other match together: of those only the planted ones are asked for
+    got = Counter((x["doc_id"], x["template"]) for x in rows)
+    assert all(got[k] >= n for k, n in want.items())
+    split = {n: licenses.Index({"x": known[n]}, 3, 2).words[0].tolist() for n in short}
+    near = lambda a, b: longest_common(split[a], split[b]) >= 0.7 * len(split[b])
+    bad = {(i, t): (n, docs[i]) for (i, t), n in got.items() if t in split and n > sum(m for (j, name), m in want.items() if i == j and near(name, t))}
+    assert not bad
+    for x in rows:
+        assert docs[x["doc_id"]][x["start_char"] : x["end_char"]] == x["matched_text"]
+    by: dict = {}
+    for x in rows:
+        by.setdefault((x["doc_id"], x["template"]), []).append((x["start_char"], x["end_char"]))
+    assert all(a[1] <= b[0] for spans in by.values() for a, b in zip(sorted(spans), sorted(spans)[1:], strict=False))
+
+
+def test_licenses_by_example(spark):
+    line, notice = licenses.NOTICES["mit-line"], licenses.NOTICES["gpl-3.0-line"]
+    changed = notice.replace("General Public", "GENERAL  public").replace("work", "thing")
+    docs = {
+        1: f"{words(1, 30)}. {notice}\n{words(2, 10)}", 2: changed, 3: words(3, 200), 4: f"{notice} {notice}", 5: "Released under the MIT License", 6: "licensed under nothing at all",
+        7: f"{line} {line}", 8: " ".join([licenses.NOTICES["cc-by-nc-4.0-line"]] * 3), 9: " ".join([licenses.NOTICES["apache-2.0-line"]] * 2), 10: notice.replace("GNU", "GNU " + words(5, 60, "xz")),
+    }
+    got = sorted((r["doc_id"], r["template"], r["matched"]) for r in licenses.scan(make(spark, [(i, t, "en", "s") for i, t in docs.items()])).collect())
+    want = [(1, "gpl-3.0-line", 12), (2, "gpl-3.0-line", 11), *[(4, "gpl-3.0-line", 12)] * 2, (5, "mit-line", 5), *[(7, "mit-line", 5)] * 2, *[(8, "cc-by-nc-4.0-line", 7)] * 3, *[(9, "apache-2.0-line", 8)] * 2, (10, "gpl-3.0-line", 12)]
+    assert [g for g in got if not g[1].startswith("cc-by") or g[1] == "cc-by-nc-4.0-line"] == want
+
+
+def test_licenses_find_whole_texts(spark):
+    known = licenses.templates()
+    whole = [n for n in known if n not in licenses.NOTICES]
+    docs = [(i, f"{words(i, 50)} {known[n]} {words(i + 99, 50)} {known['mit-line']}", "en", "s") for i, n in enumerate(whole)]
+    rows = licenses.scan(make(spark, docs)).collect()
+    assert {(r["doc_id"], r["template"]) for r in rows} >= {(i, n) for i, n in enumerate(whole)} and sum(r["template"] == "mit-line" for r in rows) == len(whole)
+    assert all(r["coverage"] == 1 for r in rows if r["template"] == whole[r["doc_id"]]) and len(whole) == 14
 
 
 def test_shards_law_and_slots(spark):
