@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+
 
 def within_budget(df: DataFrame, group: str, order: str, cost: str, budget: int) -> DataFrame:
     """Rows of each group in order while their costs fit; the first that doesn't ends the group."""
@@ -32,27 +34,54 @@ def packed(df: DataFrame, group: str, order: str, cost: str, target: int) -> Dat
     return one.select(group, F.col("r.x.o").alias(order), F.col("r.x.c").alias(cost), F.col("r.bin").alias("bin"))
 
 
-def sections(df: DataFrame, key: str, text: str, heading: str = r"(?m)^(={2,6})\s*(.+?)\s*\1\s*$", dropped: tuple[str, ...] = ()) -> DataFrame:
-    """(key, pos, heading, body): text before the first heading has the empty heading; dropped headings go."""
-    marked = F.regexp_replace(F.col(text), heading, "\u0001$2\u0002")
-    parts = df.select(key, F.posexplode(F.split(marked, "\u0001")).alias("pos", "part"))
-    has = F.contains("part", F.lit("\u0002"))
-    out = parts.select(key, "pos", F.when(has, F.substring_index("part", "\u0002", 1)).otherwise("").alias("heading"), F.trim(F.when(has, F.substring_index("part", "\u0002", -1)).otherwise(F.col("part")), F.lit(" \n\t\r")).alias("body"))
-    return out.where(~F.col("heading").isin(*dropped)) if dropped else out
+HEADING = r"(?md)^(={2,6})\s*(.+?)\s*\1\s*$"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def sections(df: DataFrame, key: str, text: str, heading: str = HEADING, dropped: tuple[str, ...] = ()) -> DataFrame:
+    """(key, pos, heading, body): a text's sections; what stands before the first heading has the empty heading.
+
+    Sections without a body and those of dropped headings (in any case) go; a text without headings stays.
+    """
+    names = F.concat(F.array(F.lit("")), F.regexp_extract_all(F.col(text), F.lit(heading), F.lit(2)))
+    bodies = F.split(F.col(text), heading)
+    parts = df.select(key, F.size(bodies).alias("__n"), F.posexplode(F.arrays_zip(names.alias("heading"), bodies.alias("body"))).alias("pos", "x"))
+    out = parts.select(key, "__n", "pos", "x.heading", stripped(F.col("x.body")).alias("body"))
+    kept = (F.col("body") != "") & ~F.lower(F.trim("heading")).isin(*(d.lower() for d in dropped))
+    return out.where((F.col("__n") == 1) | kept).drop("__n")
+
 
+def page_chunks(df: DataFrame, key: str, order: str, heading: str, body: str, shortest: int = 400, longest: int = 3400) -> DataFrame:
+    """(key, chunk, heading, body): short pieces join the piece before them while both fit ``longest``.
 
-def page_chunks(df: DataFrame, key: str, order: str, text: str, shortest: int = 400, longest: int = 3400) -> DataFrame:
-    """(key, chunk, text): short sections join the one before while they fit; the first, if short, the next."""
-    zero = F.array().cast("array<string>")
+    A joined piece keeps its own heading as a line if it differs. After that the first chunk, if still
+    short, joins the second and takes its heading. A page's pieces are folded in one row: a page, not a
+    corpus, has to fit.
+    """
+    piece = F.struct(F.col(order).alias("o"), F.col(heading).alias("h"), F.col(body).alias("b"))
+    own = F.transform(F.array_sort(F.collect_list(piece)), lambda x: F.struct(x["h"].alias("h"), x["b"].alias("b")))
+    pair = lambda h, b: F.struct(h.alias("h"), b.alias("b"))
+    fits = lambda x, y: F.length(x["b"]) + F.length(y["b"]) + 2 <= longest
 
-    def step(done: Column, part: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & ((F.length(part) < shortest) | ((F.size(done) == 1) & (F.length(F.try_element_at(done, F.lit(1))) < shortest))) & (F.length(F.try_element_at(done, F.lit(-1))) + F.length(part) + 2 <= longest)
-        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws("\n\n", F.try_element_at(done, F.lit(-1)), part)))).otherwise(F.concat(done, F.array(part)))
+    def step(done: Column, new: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        titled = (new["h"] != "") & (new["h"] != last["h"])
+        tail = F.when(titled, F.concat_ws("\n", new["h"], new["b"])).otherwise(new["b"])
+        joins = (F.size(done) > 0) & (F.length(new["b"]) < shortest) & fits(last, new)
+        head = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(joins, F.concat(head, F.array(pair(last["h"], F.concat_ws("\n\n", last["b"], tail))))).otherwise(F.concat(done, F.array(new)))
 
-    own = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])
-    folded = df.groupBy(key).agg(F.aggregate(own, zero, step).alias("x"))
-    return folded.select(key, F.posexplode("x").alias("chunk", "text"))
+    def lead_joined(done: Column) -> Column:
+        first, second = F.get(done, F.lit(0)), F.get(done, F.lit(1))
+        joins = (F.size(done) > 1) & (F.length(first["b"]) < shortest) & fits(first, second)
+        rest = F.slice(done, F.lit(3), F.greatest(F.size(done) - 2, F.lit(0)))
+        return F.when(joins, F.concat(F.array(pair(second["h"], F.concat_ws("\n\n", first["b"], second["b"]))), rest)).otherwise(done)
+
+    folded = df.groupBy(key).agg(F.aggregate(own, F.array().cast("array<struct<h:string,b:string>>"), step, lead_joined).alias("x"))
+    return folded.select(key, F.posexplode("x").alias("chunk", "x")).select(key, "chunk", F.col("x.h").alias("heading"), F.col("x.b").alias("body"))
 
 
 def cross_references(members: DataFrame, chunk: str, rule: str, refs: DataFrame, ref_rule: str, pos: str, known: DataFrame, most: int) -> DataFrame:
@@ -64,33 +93,72 @@ def cross_references(members: DataFrame, chunk: str, rule: str, refs: DataFrame,
 
 
 def long_parts(body: Column, target: int, separators: tuple[str, ...] = ("\n\n", "\n")) -> Column:
-    """A body as parts of at most target characters: cut between paragraphs, else lines, else anywhere.
+    """A body as parts of at most target characters.
 
-    Pieces are packed greedily; a piece that is itself too long is cut by the next separator.
+    It is cut at the first separator whose pieces, packed greedily, all fit; else anywhere.
     """
-    if not separators:
-        n = F.ceil(F.length(body) / F.lit(target)).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring(body, i * target + 1, F.lit(target)))
-    sep, rest = separators[0], separators[1:]
-    pieces = F.flatten(F.transform(F.split(body, sep), lambda p: F.when(F.length(p) <= target, F.array(p)).otherwise(long_parts(p, target, rest))))
 
-    def step(done: Column, piece: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        fits = (F.size(done) > 0) & (F.length(last) + len(sep) + F.length(piece) <= target)
-        head = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(fits, F.concat(head, F.array(F.concat(last, F.lit(sep), piece)))).otherwise(F.concat(done, F.array(piece)))
+    def pack(sep: str) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+        def step(s: Column, piece: Column) -> Column:
+            full = (s["open"] != "") & (F.length(s["open"]) + F.length(piece) + len(sep) > target)
+            grown = F.when(s["open"] != "", F.concat(s["open"], F.lit(sep), piece)).otherwise(piece)
+            done = F.when(full, F.concat(s["done"], F.array(stripped(s["open"])))).otherwise(s["done"])
+            return F.struct(done.alias("done"), F.when(full, piece).otherwise(grown).alias("open"))
+
+        rest = lambda s: F.when(stripped(s["open"]) != "", F.array(stripped(s["open"]))).otherwise(F.array().cast("array<string>"))
+        return F.aggregate(F.split(body, sep), start, step, lambda s: F.concat(s["done"], rest(s)))
+
+    starts = F.sequence(F.lit(0), F.greatest(F.length(body) - 1, F.lit(0)), F.lit(target))
+    out = F.transform(starts, lambda i: stripped(F.substring(body, i + 1, F.lit(target))))
+    for sep in reversed(separators):
+        parts = pack(sep)
+        out = F.when(F.contains(body, F.lit(sep)) & F.forall(parts, lambda p: F.length(p) <= target), parts).otherwise(out)
+    return F.when(F.length(body) <= target, F.array(body)).otherwise(out)
+
+
+def wiki_chunks(pages: DataFrame, key: str, title: str, text: str, dropped: tuple[str, ...] = (), target: int = 3000, shortest: int = 400, longest: int = 3400) -> DataFrame:
+    """(key, chunk, chunk_id, title, heading, text, chars): a page's sections, long ones cut, short ones joined.
+
+    A chunk's text opens with the page's title and the chunk's heading; chars counts the body alone.
+    """
+    parts = F.posexplode(long_parts(F.col("body"), target)).alias("part", "body")
+    cut = sections(pages, key, text, dropped=dropped).select(key, "pos", "heading", parts)
+    ordered = cut.select(key, F.struct("pos", "part").alias("o"), "heading", "body")
+    chunks = page_chunks(ordered, key, "o", "heading", "body", shortest, longest).join(pages.select(key, F.col(title).alias("title")), key)
+    head = F.concat(F.col("title"), F.when(F.col("heading") != "", F.concat(F.lit(" — "), F.col("heading"))).otherwise(""))
+    chunk_id = F.concat(F.lit("wiki-"), F.col(key).cast("string"), F.lit("-"), F.lpad(F.col("chunk").cast("string"), 3, "0"))
+    return chunks.select(key, "chunk", chunk_id.alias("chunk_id"), "title", "heading", F.concat_ws("\n", head, "body").alias("text"), F.length("body").alias("chars"))
+
+
+def glossed(chunks: DataFrame, title: str, glossary: DataFrame) -> DataFrame:
+    """chunks with the glossary term of their title, and the rules and sections that its entry points at.
+
+    glossary: (term, definition, related_rules). A title without an entry has a null term and no rules.
+    """
+    rules = F.array_sort(F.array_union(F.regexp_extract_all("definition", F.lit(T.RULE_ID), F.lit(0)), F.coalesce("related_rules", F.array().cast("array<string>"))))
+    named = F.array_sort(F.array_distinct(F.regexp_extract_all("definition", F.lit(r"(?i)\brule\s+(\d{3})\b"), F.lit(1))))
+    entries = glossary.groupBy(F.lower("term").alias("__t")).agg(F.max_by(F.struct(F.col("term").alias("t"), rules.alias("r"), named.alias("s")), "term").alias("__e"))
+    none = F.array().cast("array<string>")
+    met = chunks.join(entries, F.lower(title) == F.col("__t"), "left")
+    return met.withColumns({"cr_glossary_term": F.col("__e.t"), "cr_rule_ids": F.coalesce("__e.r", none), "cr_sections": F.coalesce("__e.s", none)}).drop("__t", "__e")
+
 
-    packed_up = F.aggregate(F.filter(pieces, lambda p: F.trim(p) != ""), F.array().cast("array<string>"), step)
-    return F.when(F.length(body) <= target, F.array(body)).otherwise(packed_up)
+def group_headings(lines: DataFrame, text: str) -> DataFrame:
+    """(heading, number) of a rulebook's group headings: three digits, a point, a capitalised name of 4 to 71 characters."""
+    found = lines.select(F.regexp_extract(text, r"^(\d{3})\.\s+([A-Z][^\n]{3,70})$", 1).alias("number"), F.regexp_extract(text, r"^(\d{3})\.\s+([A-Z][^\n]{3,70})$", 2).alias("heading"))
+    named = found.where("number <> ''").select("number", F.lower(F.trim("heading")).alias("heading"))
+    return named.groupBy("heading").agg(F.max("number").alias("number"))
 
 
-def wiki_chunks(pages: DataFrame, key: str, text: str, dropped: tuple[str, ...] = (), target: int = 3000, shortest: int = 400, longest: int = 3400) -> DataFrame:
-    """(key, chunk, heading, text): a page's sections, long ones cut, short ones joined to their neighbour."""
-    cut = sections(pages, key, text, dropped=dropped).where("body <> ''").select(key, "pos", "heading", F.posexplode(long_parts(F.col("body"), target)).alias("part", "body"))
-    ordered = cut.select(key, (F.col("pos") * 100_000 + F.col("part")).alias("o"), "heading", "body")
-    chunks = page_chunks(ordered, key, "o", "body", shortest, longest)
-    first = ordered.groupBy(key).agg(F.min_by("heading", "o").alias("heading"))
-    return chunks.join(first, key).select(key, "chunk", "heading", "text")
+def cited_templates(pages: DataFrame, key: str, wikitext: str) -> DataFrame:
+    """(key, pos, template, args): {{CR...|...}} templates with their arguments; display options (a=b) are left out."""
+    whole, one = r"(?i)\{\{\s*CR[^|}\s]*\s*\|[^}]*\}\}", r"(?i)^\{\{\s*(CR[^|}\s]*)\s*\|([^}]*)\}\}$"
+    each = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(wikitext), F.lit(whole), F.lit(0))).alias("pos", "t"))
+    args = F.filter(F.transform(F.split(F.regexp_extract("t", one, 2), r"\|"), lambda a: F.trim(a)), lambda a: a != "")
+    out = each.select(key, "pos", F.regexp_extract("t", one, 1).alias("template"), args.alias("args"))
+    return out.where((F.size("args") > 0) & ~F.contains(F.get("args", F.lit(0)), F.lit("=")))
 
 
 def rule_chunks(rules: DataFrame, refs: DataFrame, glossary: DataFrame, target: int = 900, most_refs: int = 8, budget: int = 300) -> DataFrame:

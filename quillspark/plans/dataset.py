@@ -10,20 +10,12 @@ from quillspark.operators import dataset as D
 from quillspark.registry import Tables, query
 
 
-@query(
-    """WITH v AS (SELECT doc_id, 'bare' AS variant, 3 AS turns, length('S' || left(text, 50) || source) AS n FROM documents UNION ALL
-    SELECT doc_id, 'grounded', 3, length('S' || lang || chr(10) || chr(10) || 'Question: ' || left(text, 50) || source) FROM documents WHERE doc_id % 2 = 0 AND length('S' || lang || left(text, 50) || source) <= 57) SELECT * FROM v"""
-)
-def emitted_variants(t: Tables) -> DataFrame:
-    return _variants(t, F.left("text", F.lit(50)), 57)
-
-
 @query(
     """WITH v AS (SELECT doc_id, 'bare' AS variant, 3 AS turns, length('S' || text || source) AS n FROM documents UNION ALL
     SELECT doc_id, 'grounded', 3, length('S' || lang || chr(10) || chr(10) || 'Question: ' || text || source) FROM documents WHERE doc_id % 2 = 0 AND length('S' || lang || text || source) <= 16000) SELECT * FROM v"""
 )
-def emitted_variants_all(t: Tables) -> DataFrame:
-    """As emitted_variants, with whole texts and a budget of 16,000 characters."""
+def emitted_variants(t: Tables) -> DataFrame:
+    """Whole texts, bare, and grounded in their source where the whole fits 16,000 characters."""
     return _variants(t, F.col("text"), 16_000)
 
 
@@ -79,14 +71,9 @@ def exported_tasks(t: Tables) -> DataFrame:
     return D.export_tasks(t.documents, "doc_id", ["lang"], ("n_chars",), t.labels)
 
 
-@query("SELECT p_partkey, 'Player A casts it while Player B waits.' AS text FROM part WHERE p_partkey < 200")
-def renamed_players(t: Tables) -> DataFrame:
-    return _renamed(t.part.where("p_partkey < 200"))
-
-
 @query("SELECT p_partkey, 'Player A casts it while Player B waits.' AS text FROM part")
-def renamed_players_all(t: Tables) -> DataFrame:
-    """As renamed_players, of every part."""
+def renamed_players(t: Tables) -> DataFrame:
+    """Every part's sentence with its players renamed."""
     return _renamed(t.part)
 
 

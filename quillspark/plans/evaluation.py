@@ -69,52 +69,24 @@ def kappa(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT source, list(DISTINCT lang) FILTER (doc_id % 2 = 0) AS f, list(DISTINCT lang) FILTER (doc_id % 2 = 1) AS g FROM documents WHERE doc_id < 100 GROUP BY 1),
+    """WITH s AS (SELECT source, list(DISTINCT lang) FILTER (doc_id % 2 = 0) AS f, list(DISTINCT lang) FILTER (doc_id % 2 = 1) AS g FROM documents GROUP BY 1),
     c AS (SELECT coalesce(sum(len(list_intersect(f, g))), 0)::BIGINT AS tp, sum(len(list_filter(f, lambda x: NOT list_contains(g, x))))::BIGINT AS fp, sum(len(list_filter(g, lambda x: NOT list_contains(f, x))))::BIGINT AS fn FROM (SELECT coalesce(f, []) AS f, coalesce(g, []) AS g FROM s))
     SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM c"""
 )
 def prf(t: Tables) -> DataFrame:
     """Languages a source shows in even documents against those in odd ones."""
-    return _prf(t.documents.where("doc_id < 100"))
-
-
-@query(
-    """WITH s AS (SELECT source, list(DISTINCT lang) FILTER (doc_id % 2 = 0) AS f, list(DISTINCT lang) FILTER (doc_id % 2 = 1) AS g FROM documents GROUP BY 1),
-    c AS (SELECT coalesce(sum(len(list_intersect(f, g))), 0)::BIGINT AS tp, sum(len(list_filter(f, lambda x: NOT list_contains(g, x))))::BIGINT AS fp, sum(len(list_filter(g, lambda x: NOT list_contains(f, x))))::BIGINT AS fn FROM (SELECT coalesce(f, []) AS f, coalesce(g, []) AS g FROM s))
-    SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM c"""
-)
-def prf_all(t: Tables) -> DataFrame:
-    """As prf, over all documents."""
-    return _prf(t.documents)
-
-
-def _prf(documents: DataFrame) -> DataFrame:
     of = lambda odd: F.collect_set(F.when(F.col("doc_id") % 2 == odd, F.col("lang")))
-    rows = documents.groupBy("source").agg(of(0).alias("f"), of(1).alias("g"))
+    rows = t.documents.groupBy("source").agg(of(0).alias("f"), of(1).alias("g"))
     return E.precision_recall(rows, F.col("f"), F.col("g"))
 
 
-@query(
-    """WITH g AS (SELECT lang, count(*) FILTER (quality > toxic) AS wins, count(*) FILTER (quality < toxic) AS losses FROM labels JOIN documents USING (doc_id) WHERE doc_id < 400 GROUP BY 1),
-    f AS (SELECT *, (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))) FROM range(least(wins, losses) + 1) x(i)) AS tail FROM g)
-    SELECT lang, wins, losses, round(CASE WHEN wins + losses = 0 THEN 1.0 ELSE least(1.0, 2 * tail) END, 6) AS p FROM f"""
-)
-def sign_tests(t: Tables) -> DataFrame:
-    return _sign_tests(t, t.labels.where("doc_id < 400"))
-
-
 @query(
     """WITH g AS (SELECT lang, count(*) FILTER (quality > toxic) AS wins, count(*) FILTER (quality < toxic) AS losses FROM labels JOIN documents USING (doc_id) GROUP BY 1),
     f AS (SELECT *, (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))) FROM range(least(wins, losses) + 1) x(i)) AS tail FROM g)
     SELECT lang, wins, losses, round(CASE WHEN wins + losses = 0 THEN 1.0 ELSE least(1.0, 2 * tail) END, 6) AS p FROM f"""
 )
-def sign_tests_all(t: Tables) -> DataFrame:
-    """As sign_tests, over all labels."""
-    return _sign_tests(t, t.labels)
-
-
-def _sign_tests(t: Tables, labels: DataFrame) -> DataFrame:
-    g = labels.join(t.documents.select("doc_id", "lang"), "doc_id").groupBy("lang")
+def sign_tests(t: Tables) -> DataFrame:
+    g = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id").groupBy("lang")
     g = g.agg(F.count_if(F.col("quality") > F.col("toxic")).alias("wins"), F.count_if(F.col("quality") < F.col("toxic")).alias("losses"))
     return g.withColumn("p", F.round(sign_test(F.col("wins"), F.col("losses")), 6))
 

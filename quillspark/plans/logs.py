@@ -18,17 +18,6 @@ def idempotent_log(t: Tables) -> DataFrame:
     return L.idempotent(rows, "k", ["event_id"], F.col("up")).select("event_id", "verdict")
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, value > 30 AS bad, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, value > 30) AS i FROM events WHERE user_id < 40),
-    f AS (SELECT user_id, i, CASE WHEN bad THEN 1 ELSE 0 END AS n, t AS first, false AS locked FROM e WHERE i = 1 UNION ALL
-      SELECT user_id, i, CASE WHEN bad THEN n + 1 WHEN n >= 8 THEN n ELSE 0 END, first, n >= 8 FROM (
-        SELECT e.user_id, e.i, e.bad, CASE WHEN p.n > 0 AND e.t - p.first < 86400 THEN p.n ELSE 0 END AS n, CASE WHEN p.n > 0 AND e.t - p.first < 86400 THEN p.first ELSE e.t END AS first FROM f p JOIN e ON e.user_id = p.user_id AND e.i = p.i + 1))
-    SELECT user_id, count(*) AS n, count(*) FILTER (locked) AS locked, max(n)::BIGINT AS most FROM f GROUP BY 1"""
-)
-def lockouts(t: Tables) -> DataFrame:
-    return _locked(t.events.where("user_id < 40"))
-
-
 @query(
     """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, value > 30 AS bad, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, value > 30) AS i FROM events),
     f AS (SELECT user_id, i, CASE WHEN bad THEN 1 ELSE 0 END AS n, t AS first, false AS locked FROM e WHERE i = 1 UNION ALL
@@ -36,8 +25,8 @@ def lockouts(t: Tables) -> DataFrame:
         SELECT e.user_id, e.i, e.bad, CASE WHEN p.n > 0 AND e.t - p.first < 86400 THEN p.n ELSE 0 END AS n, CASE WHEN p.n > 0 AND e.t - p.first < 86400 THEN p.first ELSE e.t END AS first FROM f p JOIN e ON e.user_id = p.user_id AND e.i = p.i + 1))
     SELECT user_id, count(*) AS n, count(*) FILTER (locked) AS locked, max(n)::BIGINT AS most FROM f GROUP BY 1"""
 )
-def lockouts_all(t: Tables) -> DataFrame:
-    """As lockouts, of every user."""
+def lockouts(t: Tables) -> DataFrame:
+    """Lockouts of every user."""
     return _locked(t.events)
 
 

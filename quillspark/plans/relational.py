@@ -67,18 +67,11 @@ def expand_paraphrases(t: Tables) -> DataFrame:
     return R.expand_variants(one, "conv_id", "q", "others")
 
 
-@query(
-    "WITH n AS (SELECT l_orderkey, l_shipdate::DATE::VARCHAR AS d, count(*) AS n, min(l_linenumber) AS o FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL) SELECT l_orderkey, string_agg(CASE WHEN n > 1 THEN d || ' x' || n ELSE d END, ', ' ORDER BY o, d) AS text FROM n GROUP BY 1"
-)
-def group_zone(t: Tables) -> DataFrame:
-    return _zones(t.lineitem.where("l_orderkey < 2000"))
-
-
 @query(
     "WITH n AS (SELECT l_orderkey, l_shipdate::DATE::VARCHAR AS d, count(*) AS n, min(l_linenumber) AS o FROM lineitem GROUP BY ALL) SELECT l_orderkey, string_agg(CASE WHEN n > 1 THEN d || ' x' || n ELSE d END, ', ' ORDER BY o, d) AS text FROM n GROUP BY 1"
 )
-def group_zone_all(t: Tables) -> DataFrame:
-    """As group_zone, of every order."""
+def group_zone(t: Tables) -> DataFrame:
+    """Every order's lines by zone."""
     return _zones(t.lineitem)
 
 

@@ -21,26 +21,10 @@ def bm25_topk(t: Tables) -> DataFrame:
     return R.bm25(t.benchmark, "item_id", "text", t.documents, "doc_id", "text", 10).withColumn("score", F.round("score", 6))
 
 
-_DENSE = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.v, e.v), 9) AS score, e.label = q.label AS hit FROM e q, e WHERE q.vec_id < 20 AND e.vec_id >= 20),
+_DENSE = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.v, e.v), 9) AS score, e.label = q.label AS hit FROM e q, e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)"""
 
 
-def _dense(t: Tables, k: int) -> DataFrame:
-    queries = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.dense(queries, "query_id", "embedding", t.embeddings.where("vec_id >= 20"), "vec_id", "embedding", k)
-
-
-@query(f"WITH {_DENSE} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
-def dense_topk(t: Tables) -> DataFrame:
-    """The first twenty vectors are the query set, the others the index."""
-    return _dense(t, 10).withColumn("score", F.round("score", 6))
-
-
-@query(f"WITH {_DENSE} SELECT k, count(*) AS n, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*), 6) AS recall FROM (SELECT query_id, k, bool_or(hit AND rank <= k) AS hit FROM r, (SELECT unnest([3, 5, 10]) AS k) GROUP BY ALL) GROUP BY 1")
-def retrieval_recall(t: Tables) -> DataFrame:
-    return _recall(t, _dense(t, 10))
-
-
 def _recall(t: Tables, nearest: DataFrame) -> DataFrame:
     labels = t.embeddings.select("vec_id", F.col("label").alias("got"))
     asked = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want"))
@@ -48,24 +32,21 @@ def _recall(t: Tables, nearest: DataFrame) -> DataFrame:
     return R.recall(found, "query_id", F.col("got") == F.col("want"))
 
 
-_DENSE_ALL = _DENSE.replace("q.vec_id < 20 AND e.vec_id >= 20", "q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id")
-
-
-def _dense_all(t: Tables, k: int) -> DataFrame:
+def _dense(t: Tables, k: int) -> DataFrame:
     """Every vector whose id is divisible by 100 against all others: of the k + 1 best one may be the query itself."""
     queries = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     found = R.dense(queries, "query_id", "embedding", t.embeddings, "vec_id", "embedding", k + 1)
     return R.top(found.where("query_id <> vec_id").drop("rank"), "query_id", [F.desc("score"), F.col("vec_id")], k)
 
 
-@query(f"WITH {_DENSE_ALL} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
-def dense_topk_all(t: Tables) -> DataFrame:
-    return _dense_all(t, 10).withColumn("score", F.round("score", 6))
+@query(f"WITH {_DENSE} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+def dense_topk(t: Tables) -> DataFrame:
+    return _dense(t, 10).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_DENSE_ALL} SELECT k, count(*) AS n, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*), 6) AS recall FROM (SELECT query_id, k, bool_or(hit AND rank <= k) AS hit FROM r, (SELECT unnest([3, 5, 10]) AS k) GROUP BY ALL) GROUP BY 1")
-def retrieval_recall_all(t: Tables) -> DataFrame:
-    return _recall(t, _dense_all(t, 10))
+@query(f"WITH {_DENSE} SELECT k, count(*) AS n, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*), 6) AS recall FROM (SELECT query_id, k, bool_or(hit AND rank <= k) AS hit FROM r, (SELECT unnest([3, 5, 10]) AS k) GROUP BY ALL) GROUP BY 1")
+def retrieval_recall(t: Tables) -> DataFrame:
+    return _recall(t, _dense(t, 10))
 
 
 @query("SELECT vec_id, 'wrong_length' AS problem FROM embeddings WHERE len(embedding) <> 64")
@@ -82,20 +63,12 @@ def routed_k(t: Tables) -> DataFrame:
 _RULES = "r AS (SELECT * FROM (VALUES ('702.19'), ('702.19a'), ('702.19b'), ('702.190'), ('702.190a'), ('702.2'), ('702.2c'), ('704.5'), ('704.5g')) v(rule_id)), w AS (SELECT o_orderkey AS k, ['702.19', '702.2', '704.5'][o_orderkey % 3 + 1] AS parent FROM orders WHERE o_orderkey < 100)"
 
 
-@query(
-    rf"""WITH {_RULES}, f AS (SELECT k, rule_id, parent, row_number() OVER (PARTITION BY k ORDER BY parent, rule_id) AS rank FROM w JOIN r ON r.rule_id = parent OR regexp_replace(r.rule_id, '^(\d+\.\d+)[a-z]+$', '\1') = parent)
-    SELECT k, rule_id, rank FROM f WHERE rank <= 20"""
-)
-def keyword_expand(t: Tables) -> DataFrame:
-    return _expanded(t, t.orders.where("o_orderkey < 100"))
-
-
 @query(
     rf"""WITH {_RULES.removesuffix(" WHERE o_orderkey < 100)")}), f AS (SELECT k, rule_id, parent, row_number() OVER (PARTITION BY k ORDER BY parent, rule_id) AS rank FROM w JOIN r ON r.rule_id = parent OR regexp_replace(r.rule_id, '^(\d+\.\d+)[a-z]+$', '\1') = parent)
     SELECT k, rule_id, rank FROM f WHERE rank <= 20"""
 )
-def keyword_expand_all(t: Tables) -> DataFrame:
-    """As keyword_expand, of every order."""
+def keyword_expand(t: Tables) -> DataFrame:
+    """Keywords of every order."""
     return _expanded(t, t.orders)
 
 

@@ -8,7 +8,7 @@ from quillspark.operators import chunking as C
 
 @pytest.mark.parametrize(
     ("body", "want"),
-    [("short", ["short"]), ("aaaa\n\nbbbb\n\ncccc", ["aaaa\n\nbbbb", "cccc"]), ("aaaaaa\nbbbbbb\ncccccc", ["aaaaaa", "bbbbbb", "cccccc"]), ("x" * 25, ["x" * 10, "x" * 10, "x" * 5])],
+    [("short", ["short"]), ("aaaa\n\nbbbb\n\ncccc", ["aaaa\n\nbbbb", "cccc"]), ("aaaaaa\nbbbbbb\ncccccc", ["aaaaaa", "bbbbbb", "cccccc"]), ("aa\n\n" + "b" * 12 + "\ncc", ["aa\n\n" + "b" * 6, "b" * 6 + "\ncc"]), ("x" * 25, ["x" * 10, "x" * 10, "x" * 5])],
 )
 def test_long_parts(spark, body, want):
     assert spark.range(1).select(C.long_parts(F.lit(body), 10).alias("x")).first()["x"] == want
@@ -16,8 +16,29 @@ def test_long_parts(spark, body, want):
 
 def test_wiki_chunks(spark):
     page = "lead\n== One ==\n" + "a" * 30 + "\n== Refs ==\ngone\n== Two ==\nb"
-    out = C.wiki_chunks(spark.createDataFrame([(1, page)], "k int, t string"), "k", "t", ("Refs",), target=40, shortest=5, longest=60).orderBy("chunk").collect()
-    assert [r["text"] for r in out] == ["lead\n\n" + "a" * 30 + "\n\nb"]
+    out = C.wiki_chunks(spark.createDataFrame([(1, "T", page)], "k int, ti string, t string"), "k", "ti", "t", ("refs",), target=40, shortest=5, longest=60).orderBy("chunk").collect()
+    assert [(r["chunk_id"], r["heading"], r["text"], r["chars"]) for r in out] == [("wiki-1-000", "One", "T — One\nlead\n\n" + "a" * 30 + "\n\nTwo\nb", 43)]
+
+
+@pytest.mark.parametrize(("sizes", "want"), [((100, 3000, 350), [100, 3352]), ((100, 3100, 50), [3254]), ((100, 3310, 350), [100, 3310, 350]), ((100,), [100]), ((350, 350, 350), [1054]), ((500, 100, 3400), [602, 3400]), ((100, 200), [302])])
+def test_short_pieces_join_what_precedes_them_and_then_the_lead_what_follows(spark, sizes, want):
+    rows = spark.createDataFrame([(1, i, "", "x" * n) for i, n in enumerate(sizes)], "k int, o int, h string, b string")
+    assert [len(r["body"]) for r in C.page_chunks(rows, "k", "o", "h", "b").orderBy("chunk").collect()] == want
+
+
+def test_sections(spark):
+    page = spark.createDataFrame([(1, "== GONE ==\nx\n== Empty ==\n\n== Two ==\n b \n"), (2, "  plain  "), (3, "")], "k int, t string")
+    assert [(r["k"], r["heading"], r["body"]) for r in C.sections(page, "k", "t", dropped=("Gone",)).orderBy("k", "pos").collect()] == [(1, "Two", "b"), (2, "", "plain"), (3, "", "")]
+
+
+def test_templates_headings_and_glosses(spark):
+    page = spark.createDataFrame([(1, "a {{CR|Mana Abilities}} b {{CR+G|glossary|Bear, Ant}} {{CR|toc=true}} {{cr| 117.1a }} {{Other|x}}")], "k int, t string")
+    assert [(r["template"], r["args"]) for r in C.cited_templates(page, "k", "t").orderBy("pos").collect()] == [("CR", ["Mana Abilities"]), ("CR+G", ["glossary", "Bear, Ant"]), ("cr", ["117.1a"])]
+    lines = spark.createDataFrame([("605. Mana Abilities",), ("605.1. A rule",), ("60. No",), ("701. lower",)], "t string")
+    assert [tuple(r) for r in C.group_headings(lines, "t").collect()] == [("mana abilities", "605")]
+    glossary = spark.createDataFrame([("Bear", "See rule 117, and 117.1a.", ["100.2"])], "term string, definition string, related_rules array<string>")
+    got = C.glossed(spark.createDataFrame([("bear",), ("ant",)], "title string"), "title", glossary).orderBy("title").collect()
+    assert [tuple(r)[1:] for r in got] == [(None, [], []), ("Bear", ["100.2", "117.1a"], ["117"])]
 
 
 def test_rule_chunks(spark):

@@ -11,21 +11,21 @@ FOLDER = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 # query: its key, and the keys it has to answer for
 KEYS = {
-    "parsed_actions_all": ("k", "SELECT DISTINCT l_orderkey FROM lineitem"),
+    "parsed_actions": ("k", "SELECT DISTINCT l_orderkey FROM lineitem"),
     "action_legality": ("k", "SELECT DISTINCT l_orderkey FROM lineitem"),
     "degenerate_answers": ("k", "SELECT DISTINCT l_orderkey FROM lineitem"),
-    "group_zone_all": ("l_orderkey", "SELECT DISTINCT l_orderkey FROM lineitem"),
-    "keyword_expand_all": ("k", "SELECT o_orderkey FROM orders"),
-    "lockouts_all": ("user_id", "SELECT DISTINCT user_id FROM events"),
-    "sign_tests_all": ("lang", "SELECT DISTINCT lang FROM labels JOIN documents USING (doc_id)"),
-    "renamed_players_all": ("p_partkey", "SELECT p_partkey FROM part"),
-    "exclude_benchmark": ("doc_id", registry.ORACLE_SQL["exclude_benchmark"].replace("SELECT doc_id, CASE", "SELECT doc_id FROM (SELECT doc_id, CASE") + ")"),
-    "contam_exact_benchmark": ("doc_id", f"SELECT doc_id FROM ({registry.ORACLE_SQL['contam_exact_benchmark']})"),
-    "prf_all": ("tp", f"SELECT tp FROM ({registry.ORACLE_SQL['prf_all']})"),
-    "dense_topk_all": ("query_id", "SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0"),
-    "retrieval_recall_all": ("k", "SELECT unnest([3, 5, 10])"),
-    "truncated_contexts_all": ("doc_id", "SELECT doc_id FROM documents"),
-    "emitted_variants_all": ("doc_id", "SELECT doc_id FROM documents"),
+    "group_zone": ("l_orderkey", "SELECT DISTINCT l_orderkey FROM lineitem"),
+    "keyword_expand": ("k", "SELECT o_orderkey FROM orders"),
+    "lockouts": ("user_id", "SELECT DISTINCT user_id FROM events"),
+    "sign_tests": ("lang", "SELECT DISTINCT lang FROM labels JOIN documents USING (doc_id)"),
+    "renamed_players": ("p_partkey", "SELECT p_partkey FROM part"),
+    "exclude_three_way": ("doc_id", registry.ORACLE_SQL["exclude_three_way"].replace("SELECT doc_id, CASE", "SELECT doc_id FROM (SELECT doc_id, CASE") + ")"),
+    "contam_exact": ("doc_id", f"SELECT doc_id FROM ({registry.ORACLE_SQL['contam_exact']})"),
+    "prf": ("tp", f"SELECT tp FROM ({registry.ORACLE_SQL['prf']})"),
+    "dense_topk": ("query_id", "SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0"),
+    "retrieval_recall": ("k", "SELECT unnest([3, 5, 10])"),
+    "truncated_contexts": ("doc_id", "SELECT doc_id FROM documents"),
+    "emitted_variants": ("doc_id", "SELECT doc_id FROM documents"),
 }
 
 
