@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.judging import rubric_score
 from quillspark.functions.stats import cells, kappa_of, pearson, sign_test
 
 
@@ -103,19 +108,109 @@ def tripwires(rows: DataFrame, record: str, candidate: str, score: str, errors:
     return out.withColumn("passed", (F.col("range") >= 2.5) & (F.col("ordering") >= 0.9) & (F.col("false_errors") <= 0.05))
 
 
-def bootstrap_kappa(rows: DataFrame, a: str, b: str, repeats: int = 2000, seed: int = 0) -> DataFrame:
-    """Percentile interval of kappa under paired resampling.
+def judge_comparison(rows: DataFrame, human: str, a: str, b: str) -> DataFrame:
+    """Two judges of the same answers against the human: n, both kappas, their difference, the answers that
+    only one of them calls as the human does, and the exact two-sided p of those counts."""
+    h, x, y = F.col(human), F.col(a), F.col(b)
+    known = rows.where(h.isNotNull() & x.isNotNull() & y.isNotNull())
+    counts = known.agg(
+        F.count("*").alias("n"), kappa_of(*cells(h, x)).alias("kappa_a"), kappa_of(*cells(h, y)).alias("kappa_b"),
+        F.count_if((x == h) & (y != h)).alias("only_a"), F.count_if((y == h) & (x != h)).alias("only_b"),
+    )
+    out = counts.withColumns({"difference": F.col("kappa_a") - F.col("kappa_b"), "p": sign_test(F.col("only_a"), F.col("only_b"))})
+    return out.withColumns({c: F.round(c, 6) for c in ("kappa_a", "kappa_b", "difference", "p")})
+
+
+def bootstrap_kappa(rows: DataFrame, human: str, a: str, b: str, repeats: int = 20_000, seed: int = 0) -> DataFrame:
+    """The interval (2.5 to 97.5 per cent, by rank) of the difference of two judges' kappas against one human.
+
+    A resample of n answers is a multinomial draw of the eight cells (human, a, b), so each repeat needs
+    those eight counts alone, however many rows there are. Repeats are drawn in blocks that are seeded by
+    their number, so reruns agree. Draws in which a kappa is undefined don't count; fewer than four
+    answers give no row.
+    """
+    h, x, y = F.col(human), F.col(a), F.col(b)
+    known = rows.where(h.isNotNull() & x.isNotNull() & y.isNotNull())
+    sides = [(i, j, k) for i in (True, False) for j in (True, False) for k in (True, False)]
+    found = known.agg(*(F.count_if((h == i) & (x == j) & (y == k)).alias(f"c{n}") for n, (i, j, k) in enumerate(sides))).first()
+    counts = np.array(found, np.int64)
+    total, block = int(counts.sum()), 1000
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                drawn = np.random.default_rng([seed, i]).multinomial(total, counts / total, min(block, repeats - i * block))
+                yield pa.RecordBatch.from_arrays([pa.array(drawn[:, n]) for n in range(8)], [f"c{n}" for n in range(8)])
+
+    blocks = rows.sparkSession.range(-(-repeats // block) if total >= 4 else 0)
+    drawn = blocks.mapInArrow(draw, ", ".join(f"c{n} bigint" for n in range(8)))
+    of = lambda judge, i, j: sum((F.col(f"c{n}") for n, s in enumerate(sides) if s[0] == i and s[judge] == j), F.lit(0))
+    kappa = lambda judge: kappa_of(*(of(judge, i, j) for i in (True, False) for j in (True, False)))
+    d = drawn.select((kappa(1) - kappa(2)).alias("d")).where("d is not null")
+    ranked = d.agg(F.array_sort(F.collect_list("d")).alias("d"), F.count("*").alias("repeats")).where("repeats > 0")  # as many numbers as repeats
+    at = lambda share: F.round(F.get("d", F.floor(F.col("repeats") * share).cast("int")), 6)
+    return ranked.select(at(F.lit(0.025)).alias("low"), at(F.lit(0.975)).alias("high"), "repeats")
+
+
+def arm_report(rows: DataFrame, arm: str) -> DataFrame:
+    """Per arm what a board report shows; a diagnostic that a row doesn't have is not counted on either side.
+
+    rows: arm, blundered, parsed_ok, valid_turn, all_legal, only_pass, degenerate (booleans), n_errors,
+    correctness, n_plays, n_actions, n_legal. Plays fall back to actions where they weren't counted.
+    """
+    share = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(c)
+    plays = F.sum(F.coalesce("n_plays", "n_actions", F.lit(0)))
+    return rows.groupBy(arm).agg(
+        share("blundered"), F.count("blundered").alias("judged"), F.round(F.avg(F.when(F.col("blundered").isNotNull(), F.coalesce("n_errors", F.lit(0)).cast("double"))), 6).alias("errors_per_answer"),
+        F.round(F.avg("correctness"), 6).alias("correctness"), F.count_if(F.col("correctness").isNull()).alias("unjudged"), *(share(c) for c in ("parsed_ok", "valid_turn", "all_legal", "only_pass", "degenerate")),
+        F.round(plays / F.count("*"), 6).alias("plays_per_answer"), F.round(F.try_divide(F.sum(F.coalesce("n_legal", F.lit(0))).cast("double"), plays), 6).alias("legal_plays"),
+    )
+
+
+def lowest_cases(rows: DataFrame, record: str, arm: str, score: str, n: int = 10, best: float = 5.0) -> DataFrame:
+    """The n records with the lowest score in any arm (unjudged or zero as the best), and their worst arm.
 
-    A resample of n rows is a multinomial draw of the four cells, so each repeat needs the table's four
-    counts alone, however many rows there are; draws come from hashes and so repeat exactly.
+    Ties go to the first record and the first arm by name.
     """
-    t = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(*(c.alias(f"c{i}") for i, c in enumerate(cells(F.col(a), F.col(b)))))
-    n = F.col("c0") + F.col("c1") + F.col("c2") + F.col("c3")
-    draws = rows.sparkSession.range(repeats).crossJoin(F.broadcast(t))  # one row of counts
-    u = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), n)
-    below = [F.col("c0"), F.col("c0") + F.col("c1"), F.col("c0") + F.col("c1") + F.col("c2")]
-    drawn = draws.select("id", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), n), u)).alias("u"), *(x.alias(f"b{i}") for i, x in enumerate(below)))
-    cell = F.when(F.col("u") < F.col("b0"), 0).when(F.col("u") < F.col("b1"), 1).when(F.col("u") < F.col("b2"), 2).otherwise(3)
-    per = drawn.groupBy("id").agg(*(F.count_if(cell == i).alias(f"n{i}") for i in range(4)))
-    k = per.select(kappa_of(*(F.col(f"n{i}") for i in range(4))).alias("k")).where("k is not null")
-    return k.agg(F.round(F.percentile("k", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("k", F.lit(0.975)), 6).alias("high"), F.count("*").alias("repeats"))
+    own = F.coalesce(F.when(F.col(score) != 0, F.col(score)), F.lit(best))
+    worst = rows.groupBy(record).agg(F.min(F.struct(own.alias("s"), F.col(arm).alias("a"), F.col(score).alias("given"))).alias("x"))
+    return worst.orderBy("x.s", record).limit(n).select(record, F.col("x.a").alias("worst_arm"), F.col("x.given").alias("score"))
+
+
+def rescored(rows: DataFrame, arm: str, before: str, hit: str, n_points: str, errors: str, n_errors: str, halve: bool = False) -> DataFrame:
+    """Per arm n, mean before and after scoring anew, and how many moved; ungraded rows and rows without points are left out.
+
+    hit, errors: arrays of claimed indices; those that are not among the points or errors don't count.
+    """
+    graded = rows.where(F.col(before).isNotNull() & F.col(hit).isNotNull() & (F.coalesce(n_points, F.lit(0)) > 0))
+    bound = lambda c, most: F.array_distinct(F.filter(c, lambda i: i.between(F.lit(1), most)))
+    after = rubric_score(bound(hit, F.col(n_points)), bound(errors, F.col(n_errors)), F.col(n_points), halve)
+    out = graded.select(arm, F.col(before).cast("double").alias("b"), after.alias("a"))
+    mean = lambda c: F.round(F.avg(c), 6)
+    return out.groupBy(arm).agg(F.count("*").alias("n"), mean("b").alias("before"), mean("a").alias("after"), F.count_if(F.col("a") != F.col("b")).alias("moved"))
+
+
+def paired_report(pairs: DataFrame, a: str, b: str, citation_a: str, citation_b: str) -> DataFrame:
+    """Wins, losses, ties and unjudged of a over b with the mean difference and p, and each side's citations.
+
+    citation columns: struct (has_fabricated boolean, cited array). fixed and broken count the answers whose
+    fabricated citations only b, or only a, has.
+    """
+    d = (F.col(a) - F.col(b)).cast("double")
+    made = [F.coalesce(F.col(c)["has_fabricated"], F.lit(False)) for c in (citation_a, citation_b)]
+    cites = [F.coalesce(F.size(F.col(c)["cited"]) > 0, F.lit(False)) for c in (citation_a, citation_b)]
+    out = pairs.agg(
+        F.count("*").alias("n"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.count_if(d == 0).alias("ties"), F.count_if(d.isNull()).alias("unjudged"), F.round(F.avg(d), 6).alias("delta"),
+        F.count_if(made[0]).alias("fabricated_a"), F.count_if(made[1]).alias("fabricated_b"), F.count_if(cites[0]).alias("cited_a"), F.count_if(cites[1]).alias("cited_b"),
+        F.count_if(made[1] & ~made[0]).alias("fixed"), F.count_if(made[0] & ~made[1]).alias("broken"),
+    )
+    return out.withColumn("p", F.round(sign_test(F.col("wins"), F.col("losses")), 6))
+
+
+def manifest_problems(off: dict, on: dict, required: set[str], switch: str, experiment: str) -> list[str]:
+    """Why two runs' manifests don't describe one experiment with ``switch`` off and on: every reason, in order."""
+    found = [f"{name} manifest missing {sorted(required - set(m))}" for name, m in (("off", off), ("on", on)) if required - set(m)]
+    found += [f"{name} manifest is not of {experiment}" for name, m in (("off", off), ("on", on)) if m.get("experiment") != experiment]
+    if off.get(switch) is not False or on.get(switch) is not True:
+        found.append(f"{switch} must be false in the off manifest and true in the on manifest")
+    return found + [f"{k} differs: {off[k]!r} and {on[k]!r}" for k in sorted(required - {switch, "experiment"}) if k in off and k in on and off[k] != on[k]]

@@ -121,9 +121,91 @@ def tripwires(t: Tables) -> DataFrame:
     return E.tripwires(rows, "l_orderkey", "candidate", "score", "errors", "o", "p", "w")
 
 
+_JUDGED = "j AS (SELECT quality = 1 AS h, toxic = 0 AS a, doc_id % 5 <> 0 AS b FROM labels)"
+
+
+def _judged(t: Tables) -> DataFrame:
+    return t.labels.select((F.col("quality") == 1).alias("h"), (F.col("toxic") == 0).alias("a"), (F.col("doc_id") % 5 != 0).alias("b"))
+
+
+def _kappa_sql(judge: str) -> str:
+    n = {f"n{i:d}{j:d}": f"(SELECT count(*) FILTER ({'' if i else 'NOT '}h AND {'' if j else 'NOT '}{judge}) FROM j)::DOUBLE" for i in (True, False) for j in (True, False)}
+    return f"(SELECT {_KAPPA} FROM (SELECT {', '.join(f'{v} AS {k}' for k, v in n.items())}, (SELECT count(*) FROM j)::DOUBLE AS n))"
+
+
+@query(
+    f"""WITH {_JUDGED}, c AS (SELECT count(*) AS n, count(*) FILTER (a = h AND b <> h) AS only_a, count(*) FILTER (b = h AND a <> h) AS only_b FROM j),
+    k AS (SELECT {_kappa_sql("a")} AS ka, {_kappa_sql("b")} AS kb),
+    f AS (SELECT (SELECT sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))) FROM range(least(only_a, only_b) + 1) x(i)) AS tail FROM c)
+    SELECT n, round(ka, 6) AS kappa_a, round(kb, 6) AS kappa_b, only_a, only_b, round(ka - kb, 6) AS difference, round(least(1.0, 2 * tail), 6) AS p FROM c, k, f"""
+)
+def judge_comparison(t: Tables) -> DataFrame:
+    return E.judge_comparison(_judged(t), "h", "a", "b")
+
+
 @query()
 def bootstrap_kappa(t: Tables) -> DataFrame:
-    return E.bootstrap_kappa(t.labels.select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b")), "a", "b")
+    """Random draws, so without SQL; the tests hold it against resampled rows."""
+    return E.bootstrap_kappa(_judged(t), "h", "a", "b")
+
+
+@query(
+    """WITH r AS (SELECT l_returnflag AS arm, l_quantity < 10 AS blundered, CASE WHEN l_linenumber < 4 THEN l_quantity / 10 END AS correctness, l_tax < 0.05 AS all_legal,
+      CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber END AS n_plays, l_linenumber + 1 AS n_actions, least(l_linenumber, 3) AS n_legal, l_linenumber % 4 AS n_errors, CASE WHEN l_linenumber <> 2 THEN l_quantity < 10 END AS b FROM lineitem)
+    SELECT arm, round(avg(b::INT::DOUBLE), 6) AS blundered, count(b) AS judged, round(avg(CASE WHEN b IS NOT NULL THEN n_errors::DOUBLE END), 6) AS errors_per_answer, round(avg(correctness), 6) AS correctness,
+      count(*) FILTER (correctness IS NULL) AS unjudged, round(avg((n_errors = 0)::INT::DOUBLE), 6) AS parsed_ok, round(avg((n_errors > 1)::INT::DOUBLE), 6) AS valid_turn, round(avg(all_legal::INT::DOUBLE), 6) AS all_legal,
+      NULL::DOUBLE AS only_pass, round(avg((n_legal = 3)::INT::DOUBLE), 6) AS degenerate, round(sum(coalesce(n_plays, n_actions)) / count(*), 6) AS plays_per_answer, round(sum(n_legal)::DOUBLE / sum(coalesce(n_plays, n_actions)), 6) AS legal_plays
+    FROM r GROUP BY 1"""
+)
+def arm_report(t: Tables) -> DataFrame:
+    n = F.col("l_linenumber")
+    rows = t.lineitem.select(
+        F.col("l_returnflag").alias("arm"), F.when(n != 2, F.col("l_quantity") < 10).alias("blundered"), F.when(n < 4, F.col("l_quantity") / 10).alias("correctness"), (F.col("l_tax") < 0.05).alias("all_legal"),
+        F.when(n % 3 > 0, n).alias("n_plays"), (n + 1).alias("n_actions"), F.least(n, F.lit(3)).alias("n_legal"), (n % 4).alias("n_errors"), (n % 4 == 0).alias("parsed_ok"), (n % 4 > 1).alias("valid_turn"),
+        F.lit(None).cast("boolean").alias("only_pass"), (n >= 3).alias("degenerate"),
+    )
+    return E.arm_report(rows, "arm")
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey, l_returnflag || l_linenumber AS arm, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber % 5 + l_tax * 10 END AS score FROM lineitem),
+    w AS (SELECT l_orderkey, arg_min(arm, {'s': coalesce(nullif(score, 0), 5.0), 'a': arm}) AS worst_arm, arg_min({'g': score}, {'s': coalesce(nullif(score, 0), 5.0), 'a': arm}).g AS score, min(coalesce(nullif(score, 0), 5.0)) AS s FROM r GROUP BY 1)
+    SELECT l_orderkey, worst_arm, round(score, 6) AS score FROM w ORDER BY s, l_orderkey LIMIT 10"""
+)
+def lowest_cases(t: Tables) -> DataFrame:
+    score = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linenumber") % 5 + F.col("l_tax") * 10)
+    rows = t.lineitem.select("l_orderkey", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("arm"), score.alias("score"))
+    return E.lowest_cases(rows, "l_orderkey", "arm", "score").withColumn("score", F.round("score", 6))
+
+
+@query(
+    """WITH r AS (SELECT event_type AS arm, CASE WHEN event_id % 9 > 0 THEN (event_id % 4 + 1)::DOUBLE END AS b, list_distinct(list_filter([event_id % 5, event_id % 7, 2], lambda i: i BETWEEN 1 AND event_id % 6)) AS hit, event_id % 6 AS n,
+      event_id % 4 BETWEEN 1 AND 2 AS errs FROM events),
+    s AS (SELECT arm, b, round_even(1 + 4.0 * (len(hit) / n * CASE WHEN errs THEN 0.5 ELSE 1 END), 2) AS a FROM r WHERE b IS NOT NULL AND n > 0)
+    SELECT arm, count(*) AS n, round(avg(b), 6) AS before, round(avg(a), 6) AS after, count(*) FILTER (a <> b) AS moved FROM s GROUP BY 1"""
+)
+def rescored(t: Tables) -> DataFrame:
+    """Claims out of range and repeated ones don't count; errors are valid from 1 to 2."""
+    e = F.col("event_id")
+    rows = t.events.select(F.col("event_type").alias("arm"), F.when(e % 9 > 0, e % 4 + 1).alias("b"), F.array(e % 5, e % 7, F.lit(2).cast("long")).alias("hit"), (e % 6).alias("n"), F.array(e % 4).alias("errors"), F.lit(2).alias("ne"))
+    return E.rescored(rows, "arm", "b", "hit", "n", "errors", "ne", halve=True)
+
+
+@query(
+    """WITH x AS (SELECT o_custkey AS k, max(o_totalprice) AS a, count(*) AS na FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), y AS (SELECT o_custkey AS k, max(o_totalprice) AS b, count(*) AS nb FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1),
+    p AS (SELECT CASE WHEN k % 7 > 0 THEN round(a / 50000) END AS a, round(b / 50000) AS b, na, nb FROM x JOIN y USING (k)),
+    c AS (SELECT count(*) AS n, count(*) FILTER (a > b) AS wins, count(*) FILTER (a < b) AS losses, count(*) FILTER (a = b) AS ties, count(*) FILTER (a IS NULL) AS unjudged, round(avg(a - b), 6) AS delta,
+      count(*) FILTER (na > 4) AS fabricated_a, count(*) FILTER (nb > 4) AS fabricated_b, count(*) FILTER (na > 2) AS cited_a, count(*) FILTER (nb > 2) AS cited_b, count(*) FILTER (nb > 4 AND na <= 4) AS fixed, count(*) FILTER (na > 4 AND nb <= 4) AS broken FROM p),
+    f AS (SELECT *, (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))) FROM range(least(wins, losses) + 1) x(i)) AS tail FROM c)
+    SELECT * EXCLUDE (tail), round(CASE WHEN wins + losses = 0 THEN 1.0 ELSE least(1.0, 2 * tail) END, 6) AS p FROM f"""
+)
+def paired_report(t: Tables) -> DataFrame:
+    """A customer's even orders against the odd ones."""
+    cited = lambda n: F.struct((n > 4).alias("has_fabricated"), F.when(n > 2, F.array(F.lit("1"))).otherwise(F.array().cast("array<string>")).alias("cited"))
+    side = lambda odd, name: t.orders.where(F.col("o_orderkey") % 2 == odd).groupBy("o_custkey").agg(F.max("o_totalprice").alias(name), cited(F.count("*")).alias(f"c{name}"))
+    score = lambda c: F.round(F.col(c) / 50000)
+    pairs = side(0, "a").join(side(1, "b"), "o_custkey").withColumns({"a": F.when(F.col("o_custkey") % 7 > 0, score("a")), "b": score("b")})
+    return E.paired_report(pairs, "a", "b", "ca", "cb")
 
 
 @query(
