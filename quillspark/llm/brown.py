@@ -6,7 +6,8 @@ P(w | previous) = P(class(w) | class(previous)) * P(w | class(w)).
   ``clustered`` words are first clustered singly, the others as ``buckets`` groups by their last two bytes.
   Bigram counts of these units are gathered as one packed row per (task, previous unit); their number is
   bounded by the square of the unit count, a parameter, whatever the corpus. One task runs the exchange
-  on that bounded matrix, sweep after sweep.
+  on that bounded matrix (4 bytes a cell, and once more transposed: about 150 MB at the default), sweep
+  after sweep until it has settled.
 * Then every other word seen at least ``least`` times gets its class by an exchange step of its own: its
   counts with the classes of its neighbours are joined by a shuffle, and it goes where the likelihood is
   highest against the class table, its own counts taken out of it. All of these words are placed against
@@ -143,34 +144,33 @@ def unit_bigrams(texts: DataFrame, singles: list[bytes], buckets: int, parts: in
     return texts.mapInArrow(tidy(pairs), schema).repartition(parts, "prev").mapInArrow(tidy(total), schema)
 
 
-def exchange(rows: list[np.ndarray], cols: list[np.ndarray], counts: list[np.ndarray], m: int, classes: int, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each of m units (the last, the boundary, keeps class ``classes``) and the class bigram counts.
+def exchange(follows: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each unit (the last, the boundary, keeps class ``classes``) and the class bigram counts.
 
-    Each sweep takes every unit out of its class and puts it where the likelihood of the class bigrams
-    is highest; sweeps stop when fewer than one unit in 500 moves.
+    follows[p, q] counts unit q after unit p. Each sweep takes every unit out of its class and puts it where
+    the likelihood of the class bigrams is highest; sweeps go on until fewer than one unit in 500 moves. A
+    move raises the likelihood, so they end.
     """
-    prev, cur, n = np.concatenate(rows), np.concatenate(cols), np.concatenate(counts).astype(np.float64)
-    c = classes + 1
+    m, c = len(follows), classes + 1
+    before = np.ascontiguousarray(follows.T)
     label = np.arange(m) % classes
     label[m - 1] = classes
-    by_prev, by_cur = np.argsort(prev, kind="stable"), np.argsort(cur, kind="stable")
-    right_at, left_at = np.searchsorted(prev[by_prev], np.arange(m + 1)), np.searchsorted(cur[by_cur], np.arange(m + 1))
-    right_to, right_n, left_to, left_n = cur[by_prev], n[by_prev], prev[by_cur], n[by_cur]
-    table = np.bincount(label[prev] * c + label[cur], weights=n, minlength=c * c).reshape(c, c)
+    table = np.zeros((c, c))
+    for p in range(m):
+        table[label[p]] += np.bincount(label, weights=follows[p], minlength=c)
     f = lambda x: x * np.log(np.maximum(x, 1e-12))
-    own = np.bincount(prev, weights=n, minlength=m)
+    own = follows.sum(axis=1, dtype=np.float64)
     order = [int(w) for w in np.argsort(-own[: m - 1], kind="stable") if own[w] > 0]
     span = np.arange(classes)
-    for _ in range(sweeps):
+    moved = len(order)
+    while moved and moved * 500 >= len(order):
         moved = 0
         for w in order:
-            to, amount = right_to[right_at[w] : right_at[w + 1]], right_n[right_at[w] : right_at[w + 1]]
-            frm, back = left_to[left_at[w] : left_at[w + 1]], left_n[left_at[w] : left_at[w + 1]]
-            twice = float(amount[to == w].sum())
-            keep, kept = to != w, frm != w
-            r = np.bincount(label[to[keep]], weights=amount[keep], minlength=c)
-            s = np.bincount(label[frm[kept]], weights=back[kept], minlength=c)
-            a = label[w]
+            a, twice = label[w], float(follows[w, w])
+            r = np.bincount(label, weights=follows[w], minlength=c)
+            s = np.bincount(label, weights=before[w], minlength=c)
+            r[a] -= twice
+            s[a] -= twice
             table[a, :] -= r
             table[:, a] -= s
             table[a, a] -= twice
@@ -183,7 +183,7 @@ def exchange(rows: list[np.ndarray], cols: list[np.ndarray], counts: list[np.nda
             out_n, in_n = r.sum() + twice, s.sum() + twice
             gain -= f(rows_sum[:classes] + out_n) - f(rows_sum[:classes]) + f(cols_sum[:classes] + in_n) - f(cols_sum[:classes])
             best = int(np.argmax(gain))
-            if gain[best] <= gain[a] + 1e-9:
+            if gain[best] <= gain[a] + 1e-9 * max(1.0, abs(gain[a])):
                 best = a
             table[best, :] += r
             table[:, best] += s
@@ -191,8 +191,6 @@ def exchange(rows: list[np.ndarray], cols: list[np.ndarray], counts: list[np.nda
             if best != a:
                 label[w] = best
                 moved += 1
-        if moved * 500 < len(order):
-            break
     return label, table
 
 
@@ -336,7 +334,7 @@ def placed_words(contexts: DataFrame, buckets: int, clustered: int, label: np.nd
     return rows.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(tidy(run), "word binary, b int, c bigint, cls int")
 
 
-def fit(scratch: Scratch, training: DataFrame, clustered: int = 4096, buckets: int = 256, classes: int = 48, head: int = 262_144, sweeps: int = 6, least: int = 2) -> tuple[dict, DataFrame]:
+def fit(scratch: Scratch, training: DataFrame, clustered: int = 4096, buckets: int = 256, classes: int = 48, head: int = 262_144, least: int = 2) -> tuple[dict, DataFrame]:
     """(model of bounded size, the table of all words that aren't clustered singly) of a one-column table of training texts."""
     spark = scratch.spark
     counts = scratch.table(word_counts(training), "counts")
@@ -349,14 +347,11 @@ def fit(scratch: Scratch, training: DataFrame, clustered: int = 4096, buckets: i
     m = len(singles) + buckets + 1
 
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, cols, amounts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        follows = np.zeros((m, m), np.float32)
         for batch in batches:
             for p, q, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                cur = np.frombuffer(q, np.int32).astype(np.int64)
-                rows.append(np.full(len(cur), p, np.int64))
-                cols.append(cur)
-                amounts.append(np.frombuffer(n, np.int64).astype(np.float64))
-        label, table = exchange(rows, cols, amounts, m, classes, sweeps)
+                follows[p, np.frombuffer(q, np.int32)] += np.frombuffer(n, np.int64)
+        label, table = exchange(follows, classes)
         yield pa.RecordBatch.from_arrays([pa.array([label.astype(np.int32).tobytes()], pa.binary()), pa.array([table.tobytes()], pa.binary())], ["label", "table"])
 
     bigrams = scratch.table(unit_bigrams(training, singles, buckets, partitions(spark)), "bigrams")
@@ -364,8 +359,7 @@ def fit(scratch: Scratch, training: DataFrame, clustered: int = 4096, buckets: i
     if found:
         label, table = np.frombuffer(found[0], np.int32), np.frombuffer(found[1]).reshape(classes + 1, classes + 1)
     else:  # no training text
-        none = np.zeros(0, np.int64)
-        label, table = exchange([none], [none], [none], m, classes, 0)
+        label, table = exchange(np.zeros((m, m), np.float32), classes)
     scratch.drop("bigrams", "counts")
     tail = scratch.table(placed_words(tail_contexts(training, singles, buckets, label), buckets, len(singles), label, table, least, partitions(spark)), "tail")
 
