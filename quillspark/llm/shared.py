@@ -60,10 +60,10 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return tidied
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 10_000, megabytes: int = 2) -> None:
     """Lower the session's Arrow batches to ``rows`` rows and ``megabytes``, so that a Python worker and the JVM
-    beside it hold a few megabytes of text at once, not ten thousand documents. The setting stays, as plans
-    run later."""
+    beside it hold a few megabytes of text at once, not ten thousand documents; a longer text is a batch of
+    its own. The settings stay, as plans run later."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

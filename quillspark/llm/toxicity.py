@@ -1,18 +1,22 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-Each word enters through two channels: the word itself (its log-odds, if known) and its characters (the
-log-odds of its n-grams of 3 to 6 bytes, word ends included: largest and mean per order). A gated recurrent
-network of a few units reads windows of ``window`` words in both directions, attention pools its states,
-and a text scores as its highest window; windows start every ``window / 2`` words and cover whole texts.
+Each word enters through two channels. The word itself: its log-odds, if known, and then a trained vector (of
+its hash, modulo a table's size). Its characters: the mean of the trained vectors of its trigrams, and the log-odds
+of its n-grams of 3 to 6 bytes, word ends included (largest and mean per order). A gated recurrent network of
+a few units reads windows of ``window`` words in both directions, attention pools its states, and a text
+scores as its highest window; windows start every ``window / 2`` words and cover whole texts. A long text is
+read in parts that hold the same windows.
 
 The model is fitted on at most about ``sample`` labelled training rows of each class (texts of at most
-``longest`` bytes), drawn by a hash of the id: a documented bound. Log-odds count the sample's documents; a
-toxic document teaches through its most toxic window, a clean one through its most toxic and random ones,
-chosen anew in each round. labels, lang, source and ids are never inputs of a score.
+``longest`` bytes, or of the least size there is if a class has only longer ones), drawn by a hash of the id:
+a documented bound. Log-odds count the sample's documents. While the network is trained, a document's
+log-odds come from the other folds of the sample, so that it can't trust what the document itself has told
+them. A toxic document teaches through its most toxic window, a clean one through its most toxic and random
+ones, chosen anew in each round. labels, lang, source and ids are never inputs of a score.
 
 Defined results: null and wordless texts score 0; without labels of both classes every score is 0; several
-labels of an id count as 1 if any is 1; a null id is training; repeated rows are scored each; an empty
-table gives no rows.
+labels of an id count as 1 if any is 1; of several texts of an id the least in byte order teaches; a null id
+is training; repeated rows are scored each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,23 +32,43 @@ from pyspark.sql.types import StructType
 from quillspark.llm.shared import bounded_batches, fold, opened, shipped, tidy
 from quillspark.llm.textarrays import chunks, span_hashes, text_bytes, word_spans
 
-GRAMS = (3, 4, 5, 6)
-SLOTS = 1 << 18
-INPUTS = 2 + 2 * len(GRAMS)
+GRAMS = (3, 4, 5, 6)  # bytes of the n-grams with log-odds; the first order also has trained vectors
+EVIDENCE = 2 + 2 * len(GRAMS)
+ROWS, SIZE = 1 << 14, 6  # of a table of trained vectors
+INPUTS = EVIDENCE + 2 * SIZE
+FOLDS = 5
+PART = 1_000_000  # bytes of text at a time
 
 
 class Lookup:
-    """64-bit hash -> log-odds by direct address; a slot keeps the entry of larger size and its hash."""
+    """64-bit hash -> log-odds (0 if unknown): open addressing in a table of at most a quarter full, no entry lost."""
 
     def __init__(self, hashes: np.ndarray, values: np.ndarray):
-        order = np.argsort(np.abs(values), kind="stable")
-        at = (hashes[order] % np.uint64(SLOTS)).astype(np.int64)
-        self.hash, self.value = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.float32)
-        self.hash[at], self.value[at] = hashes[order], values[order]
+        size = 1 << max(10, (4 * len(hashes)).bit_length())
+        self.mask, self.probes = np.uint64(size - 1), 0
+        self.hash, self.value = np.zeros(size, np.uint64), np.zeros(size, np.float32)
+        left = np.flatnonzero(hashes != 0)  # 0 marks a free slot
+        while len(left):
+            at = (hashes[left] + np.uint64(self.probes)) & self.mask
+            free = np.flatnonzero(self.hash[at] == 0)
+            slot, first = np.unique(at[free], return_index=True)
+            own = left[free[first]]
+            self.hash[slot], self.value[slot] = hashes[own], values[own]
+            left = np.delete(left, free[first])
+            self.probes += 1
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes % np.uint64(SLOTS)).astype(np.int64)
-        return np.where(self.hash[at] == hashes, self.value[at], np.float32(0))
+        at = hashes & self.mask
+        found = self.hash[at]
+        out = np.where(found == hashes, self.value[at], np.float32(0))
+        left = np.flatnonzero((found != hashes) & (found != 0))
+        for k in range(1, self.probes):
+            at = (hashes[left] + np.uint64(k)) & self.mask
+            found = self.hash[at]
+            hit = found == hashes[left]
+            out[left[hit]] = self.value[at[hit]]
+            left = left[~hit & (found != 0)]
+        return out
 
 
 class Words:
@@ -71,8 +95,14 @@ class Words:
         pos = pos[owner[pos] == owner[pos + n - 1]]
         return pos, span_hashes(self.buffer, pos, pos + n)
 
-    def features(self, word: Lookup, gram: Lookup) -> np.ndarray:
-        out = np.zeros((len(self.hash), INPUTS), np.float32)
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in the tables of trained vectors: each word's, its trigrams' in turn, and where a word's begin."""
+        pos, hashes = self.grams(GRAMS[0])
+        limits = np.searchsorted(pos, np.concatenate([self.begin, [len(self.buffer)]]))
+        return (self.hash >> np.uint64(20)) % np.uint64(ROWS), (hashes >> np.uint64(20)) % np.uint64(ROWS), limits
+
+    def evidence(self, word: Lookup, gram: Lookup) -> np.ndarray:
+        out = np.zeros((len(self.hash), EVIDENCE), np.float32)
         out[:, 0] = word(self.hash) / 4
         out[:, 1] = out[:, 0] != 0
         if len(self.hash):
@@ -93,26 +123,30 @@ def log_odds(hashes: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic:
     return Lookup(hashes[keep], value[keep].astype(np.float32))
 
 
-def evidence_of(found: Words, labels: np.ndarray) -> tuple[Lookup, Lookup]:
-    """Log-odds of the words and of their n-grams; documents are counted one by one."""
-    words, hashes, ids, limits = np.zeros((2, len(found.hash))), [], [], []
+def evidence_of(found: Words, labels: np.ndarray, fold: np.ndarray) -> Iterator[tuple[Lookup, Lookup]]:
+    """Log-odds of the words and of their n-grams, without each fold's documents in turn and then from all."""
+    hashes, ids, limits = [], [], []
     for n in GRAMS:  # one order at a time keeps the driver small
         pos, own = found.grams(n)
         limits.append(np.searchsorted(pos, np.concatenate([found.begin, [len(found.buffer)]])))
         own, at = np.unique(own, return_inverse=True)
         hashes.append(own)
         ids.append(at.astype(np.int32))
-    grams = [np.zeros((2, len(h))) for h in hashes]
-    for i, y in enumerate(labels):
+    kinds = np.uint16 if len(labels) < 1 << 16 else np.uint32
+    words, grams = np.zeros((FOLDS, 2, len(found.hash)), kinds), [np.zeros((FOLDS, 2, len(h)), kinds) for h in hashes]
+    for i, (y, f) in enumerate(zip(labels, fold, strict=True)):
         own = np.unique(found.token[found.first[i] : found.first[i + 1]])
-        words[y, own] += 1
+        words[f, y, own] += 1
         for count, at, lim in zip(grams, ids, limits, strict=True):
             size = lim[own + 1] - lim[own]
             mine = at[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lim[own], size)]
-            count[y, np.unique(mine)] += 1
-    hashes, grams = np.concatenate(hashes), np.concatenate(grams, axis=1)
-    n = (int(labels.sum()), int((1 - labels).sum()))
-    return log_odds(found.hash, words[1], words[0], *n, 3), log_odds(hashes, grams[1], grams[0], *n, 4)
+            count[f, y, np.unique(mine)] += 1
+    hashes, grams = np.concatenate(hashes), np.concatenate(grams, axis=2)
+    of = np.array([[((fold == f) & (labels == y)).sum() for y in (0, 1)] for f in range(FOLDS)])
+    for left_out in (*range(FOLDS), None):
+        kept = [f for f in range(FOLDS) if f != left_out]
+        n, w, g = of[kept].sum(axis=0), words[kept].sum(axis=0, dtype=np.float32), grams[kept].sum(axis=0, dtype=np.float32)
+        yield log_odds(found.hash, w[1], w[0], n[1], n[0], 3), log_odds(hashes, g[1], g[0], n[1], n[0], 4)
 
 
 def windows(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,6 +164,37 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+class Vectors:
+    """Trained vectors of words and of their trigrams, in tables of a fixed size."""
+
+    def __init__(self) -> None:
+        self.word, self.gram = np.zeros((ROWS, SIZE), np.float32), np.zeros((ROWS, SIZE), np.float32)
+        self._seen = np.zeros((ROWS, 1), np.float32), np.zeros((ROWS, 1), np.float32)
+
+    def __call__(self, evidence: np.ndarray, word: np.ndarray, gram: np.ndarray, limits: np.ndarray) -> np.ndarray:
+        """The inputs of some words; gram: their trigrams' rows in turn, limits: where a word's begin and the end.
+
+        A word without log-odds has no vector of its own: it's too rare to learn one that isn't its documents'.
+        """
+        out = np.zeros((len(word), INPUTS), np.float32)
+        out[:, :EVIDENCE] = evidence
+        out[:, EVIDENCE:-SIZE] = self.word[word] * evidence[:, 1:2]
+        if len(word):
+            out[:, -SIZE:] = np.add.reduceat(self.gram[gram], limits[:-1], axis=0) / np.diff(limits)[:, None]
+        return out
+
+    def learn(self, g: np.ndarray, evidence: np.ndarray, word: np.ndarray, gram: np.ndarray, limits: np.ndarray, rate: float) -> None:
+        """A step down the gradient g of the inputs of those words, each row at a rate that falls as it learns."""
+        size = np.diff(limits)
+        of_words, of_grams = g[:, EVIDENCE:-SIZE] * evidence[:, 1:2], np.repeat(g[:, -SIZE:] / size[:, None], size, axis=0)
+        for table, seen, rows, own in ((self.word, self._seen[0], word, of_words), (self.gram, self._seen[1], gram, of_grams)):
+            used, at = np.unique(rows, return_inverse=True)
+            total = np.zeros((len(used), SIZE), np.float32)
+            np.add.at(total, at, own)
+            seen[used] += (total * total).mean(axis=1, keepdims=True)
+            table[used] -= rate * total / (np.sqrt(seen[used]) + 1e-6)
+
+
 class Network:
     """Bidirectional gated recurrent network with attention pooling and its gradient."""
 
@@ -144,6 +209,7 @@ class Network:
         self.p["attend"] = (draw.standard_normal(2 * units) * 0.3).astype(np.float32)
         self.p["out"] = (draw.standard_normal(2 * units) * 0.3).astype(np.float32)
         self.p["bias"] = np.zeros(1, np.float32)
+        self.vectors = Vectors()
 
     def _walk(self, way: str, projected: np.ndarray, token: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
         """States (steps, windows, units); projected: the input part of each distinct word."""
@@ -181,6 +247,7 @@ class Network:
         return pooled @ self.p["out"] + self.p["bias"][0]
 
     def gradient(self, x: np.ndarray, token: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean loss, by each parameter and, as ``x``, by the features of the distinct words."""
         tape: dict = {}
         d = ((_sigmoid(self.forward(x, token, mask, tape)) - y) / len(y)).astype(np.float32)
         s, a, k = tape["s"], tape["a"], self.units
@@ -190,23 +257,23 @@ class Network:
         de = a * (da - (a * da).sum(axis=0))
         g["attend"] = np.einsum("tn,tnk->k", de, s)
         ds = a[:, :, None] * dp + de[:, :, None] * self.p["attend"]
+        gx, inputs = np.zeros_like(x), x[token.ravel()]
         for i, way in enumerate("fb"):
-            u = self.p[f"u{way}"]
-            gu, gw, gc = np.zeros_like(u), np.zeros_like(self.p[f"w{way}"]), np.zeros(3 * k, np.float32)
-            back = np.zeros((len(y), k), np.float32)
+            u, w = self.p[f"u{way}"], self.p[f"w{way}"]
+            gu, back, into = np.zeros_like(u), np.zeros((len(y), k), x.dtype), np.zeros((*token.shape, 3 * k), x.dtype)
             for t, h, z, r, new, hn, m in reversed(tape[way]):
                 dh = ds[t, :, i * k : (i + 1) * k] + back
                 dz = m * dh * (h - new) * z * (1 - z)
                 dn = m * dh * (1 - z) * (1 - new * new)
                 dr = dn * hn * r * (1 - r)
-                dx = np.concatenate([dz, dr, dn], axis=1)
+                into[:, t] = np.concatenate([dz, dr, dn], axis=1)
                 du = np.concatenate([dz, dr, dn * r], axis=1)
                 back = dh * (1 - m * (1 - z)) + du @ u.T
                 gu += h.T @ du
-                gw += x[token[:, t]].T @ dx
-                gc += dx.sum(axis=0)
-            g |= {f"u{way}": gu, f"w{way}": gw, f"c{way}": gc}
-        return g
+            into = into.reshape(-1, 3 * k)
+            np.add.at(gx, token.ravel(), into @ w.T)
+            g |= {f"u{way}": gu, f"w{way}": inputs.T @ into, f"c{way}": into.sum(axis=0)}
+        return g | {"x": gx}
 
 
 def _index(begin: np.ndarray, size: np.ndarray, token: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +281,16 @@ def _index(begin: np.ndarray, size: np.ndarray, token: np.ndarray, window: int)
     return token[at], (np.arange(window) < size[:, None]).astype(np.float32)
 
 
+def parts(text: bytes, window: int, limit: int = PART) -> list[bytes]:
+    """A text as parts of about limit bytes whose windows are those of the text."""
+    if len(text) <= limit:
+        return [text]
+    _, starts, ends, _ = word_spans([text])
+    step = window // 2
+    each = max(1, int(len(starts) * limit / len(text)) // step) * step
+    return [text[starts[a] : ends[min(len(ends), a + each + window - step) - 1]] for a in range(0, max(1, len(starts) - (window - step)), each)] if len(starts) else [b""]
+
+
 class Model:
     def __init__(self, word: Lookup, gram: Lookup, network: Network, window: int):
         self.word, self.gram, self.network, self.window = word, gram, network, window
@@ -222,18 +299,21 @@ class Model:
         """(logit, text) of every window."""
         found = Words(texts)
         begin, size, text = windows(found.first, self.window)
-        x = found.features(self.word, self.gram)
+        x = self.network.vectors(found.evidence(self.word, self.gram), *found.rows())
         out = np.zeros(len(begin), np.float32)
-        for lo in range(0, len(begin), 8192):
-            token, mask = _index(begin[lo : lo + 8192], size[lo : lo + 8192], found.token, self.window)
-            out[lo : lo + 8192] = self.network.forward(x, token, mask)
+        for lo in range(0, len(begin), 4096):
+            token, mask = _index(begin[lo : lo + 4096], size[lo : lo + 4096], found.token, self.window)
+            out[lo : lo + 4096] = self.network.forward(x, token, mask)
         return out, text
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         best = np.full(len(texts), -np.inf)
-        for i, j in chunks(texts):
-            logit, text = self.windows(texts[i:j])
-            np.maximum.at(best[i:j], text, logit)
+        whole = [parts(t, self.window) for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(p) for p in whole])
+        flat = [p for own in whole for p in own]
+        for i, j in chunks(flat, PART):
+            logit, text = self.windows(flat[i:j])
+            np.maximum.at(best, owner[i:j][text], logit)
         return 1 / (1 + np.exp(-np.clip(best, -700, 700))) * (best > -np.inf)
 
 
@@ -241,39 +321,62 @@ def train(texts: list[bytes], labels: np.ndarray, window: int, units: int, round
     """A model of labelled texts, or None without both classes."""
     if not len(labels) or labels.min() == labels.max():
         return None
-    found = Words(texts)
-    word, gram = evidence_of(found, labels)
-    model = Model(word, gram, Network(units, seed), window)
-    x = found.features(word, gram)
+    found, draw, network = Words(texts), np.random.default_rng(seed), Network(units, seed)
+    fold = np.empty(len(labels), np.int64)
+    for y in (0, 1):  # as many of each class in each fold as can be
+        own = draw.permutation(np.flatnonzero(labels == y))
+        fold[own] = np.arange(len(own)) % FOLDS
+    n = len(found.hash)
+    x = np.zeros((FOLDS * n, EVIDENCE), np.float32)
+    for f, (word, gram) in enumerate(evidence_of(found, labels, fold)):
+        if f < FOLDS:
+            x[f * n : (f + 1) * n] = found.evidence(word, gram)
+    model = Model(word, gram, network, window)  # the last lookups are of all documents
+    word_row, gram_row, limits = found.rows()
     begin, size, text = windows(found.first, window)
     if not len(begin):
         return None
-    draw = np.random.default_rng(seed)
+    # a token is its word with the evidence of its document's fold
+    token_of = found.token + np.repeat(fold, np.diff(found.first)) * n
+
+    def inputs(token: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Features of the distinct tokens, which of them each is, and what their vectors are learned by."""
+        used, at = np.unique(token, return_inverse=True)
+        own = used % n
+        many = limits[own + 1] - limits[own]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        places = x[used], word_row[own], gram_row[np.arange(ends[-1]) - np.repeat(ends[:-1], many) + np.repeat(limits[own], many)], ends
+        return network.vectors(*places), at.reshape(token.shape), places
+
     # at first the window with the largest evidence stands for its document
-    evidence = np.concatenate([[0.0], np.cumsum((x.max(axis=1))[found.token])])
+    evidence = np.concatenate([[0.0], np.cumsum((x.max(axis=1))[token_of])])
     logit = evidence[begin + size] - evidence[begin]
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.network.p.items()}
+    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     done = 0
     for k in range(rounds):
         order = np.lexsort((-logit, text))
         top = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
         positive, negative = top[labels[text[top]] == 1], top[labels[text[top]] == 0]
         clean = np.flatnonzero(labels[text] == 0)
-        for _ in range(steps):
+        for _ in range(steps if len(positive) and len(negative) else 0):
             third = batch // 3
             rows = np.concatenate([draw.choice(positive, third), draw.choice(negative, third), draw.choice(clean, third)])
-            token, mask = _index(begin[rows], size[rows], found.token, window)
+            token, mask = _index(begin[rows], size[rows], token_of, window)
+            own, token, places = inputs(token)
             y = (labels[text[rows]] == 1).astype(np.float32)
             done += 1
-            for name, g in model.network.gradient(x, token, mask, y).items():
+            g = network.gradient(own, token, mask, y)
+            network.vectors.learn(g.pop("x"), *places, rate=0.003)
+            for name, step in g.items():
                 m, v = moment[name]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                model.network.p[name] -= (0.02 * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.999**done)) + 1e-8)).astype(np.float32)
+                m += 0.1 * (step - m)
+                v += 0.001 * (step * step - v)
+                network.p[name] -= (0.02 * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.999**done)) + 1e-8)).astype(np.float32)
         if k + 1 < rounds:
-            for lo in range(0, len(begin), 8192):
-                token, mask = _index(begin[lo : lo + 8192], size[lo : lo + 8192], found.token, window)
-                logit[lo : lo + 8192] = model.network.forward(x, token, mask)
+            for lo in range(0, len(begin), 4096):
+                token, mask = _index(begin[lo : lo + 4096], size[lo : lo + 4096], token_of, window)
+                own, token, _ = inputs(token)
+                logit[lo : lo + 4096] = network.forward(own, token, mask)
     return model
 
 
@@ -290,12 +393,14 @@ def classify(
     held = fold(F.col(doc_id), 4) == 2 if held_out is None else held_out
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("i"), (F.col(label) > 0).cast("int").alias("y"))
     known = known.groupBy("i").agg(F.max("y").alias("y"))
-    if held_out is None:
-        known = known.where(fold(F.col("i"), 4) != 2)
-    share = known.groupBy("y").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("p"))  # two rows
-    drawn = known.join(F.broadcast(share), "y").where(F.pmod(F.xxhash64("i", F.lit(6)), F.lit(1 << 30)) < F.col("p") * F.lit(1 << 30)).select("i", "y")
-    drawn = spark.createDataFrame([(r["i"], r["y"]) for r in drawn.collect()], "i bigint, y int")  # about 2 * sample rows
-    fitted = documents.where(~held & F.col(text).isNotNull() & (F.octet_length(text) <= longest)).select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(F.broadcast(drawn), "i")
+    training = documents.where(~held & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("i"), F.octet_length(text).alias("n"), F.col(text).alias("t"))
+    sizes = known.join(training.groupBy("i").agg(F.min("n").alias("n")), "i")
+    limit = sizes.groupBy("y").agg(F.greatest(F.lit(longest), F.min("n")).alias("most"))  # two rows
+    sizes = sizes.join(F.broadcast(limit), "y").where("n <= most")
+    share = sizes.groupBy("y").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("p"))  # two rows
+    drawn = sizes.join(F.broadcast(share), "y").where(F.pmod(F.xxhash64("i", F.lit(6)), F.lit(1 << 30)) < F.col("p") * F.lit(1 << 30)).select("i", "y", "most")
+    drawn = spark.createDataFrame([tuple(r) for r in drawn.collect()], "i bigint, y int, most int")  # about 2 * sample rows
+    fitted = training.join(F.broadcast(drawn), "i").where("n <= most").groupBy("i", "y").agg(F.min("t").alias("t"))  # a text of each id
     pairs = sorted({(r["t"].encode(), r["y"]) for r in fitted.select("t", "y").collect()})
     bc = shipped(spark, train([t for t, _ in pairs], np.array([y for _, y in pairs], np.int64), window, units))
 

@@ -260,6 +260,62 @@ def test_langid_held_out_accuracy(spark):
     assert len(right) > 30 and sum(right) / len(right) > 0.98 and all(0 <= r["score"] <= 1 for r in out)
 
 
+def plain_logit(net, x):
+    """One window's logit, unit by unit and word by word. x: features of its words in order."""
+    k, p = net.units, net.p
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    states = {}
+    for way in "fb":
+        h, states[way] = [0.0] * k, [None] * len(x)
+        for t in range(len(x)) if way == "f" else reversed(range(len(x))):
+            into = [sum(x[t][i] * p[f"w{way}"][i][j] for i in range(len(x[t]))) + p[f"c{way}"][j] for j in range(3 * k)]
+            back = [sum(h[i] * p[f"u{way}"][i][j] for i in range(k)) for j in range(3 * k)]
+            z, r = [sig(into[j] + back[j]) for j in range(k)], [sig(into[k + j] + back[k + j]) for j in range(k)]
+            new = [math.tanh(into[2 * k + j] + r[j] * back[2 * k + j]) for j in range(k)]
+            h = [z[j] * h[j] + (1 - z[j]) * new[j] for j in range(k)]
+            states[way][t] = h
+    both = [f + b for f, b in zip(states["f"], states["b"], strict=True)]
+    e = [math.exp(sum(s * a for s, a in zip(own, p["attend"], strict=True))) for own in both]
+    pooled = [sum(w * own[j] for w, own in zip(e, both, strict=True)) / sum(e) for j in range(2 * k)]
+    return sum(a * b for a, b in zip(pooled, p["out"], strict=True)) + p["bias"][0]
+
+
+def test_the_network_and_its_windows_against_a_plain_pass():
+    docs = [(words(i, 3 + 9 * i) + (" grublix " + words(50 + i, 20) if i % 3 == 0 else "")).encode() for i in range(30)] + [b"", b"one"]
+    labels = np.array([i % 3 == 0 for i in range(30)] + [False, False]).astype(int)
+    model = toxicity.train(docs, labels, 8, 3, rounds=2, steps=20, batch=30)
+    scores = model.score(docs)
+    for text, got in zip(docs[:6] + docs[-2:], scores[:6].tolist() + scores[-2:].tolist(), strict=True):
+        own = text.split()
+        starts = [0] if 0 < len(own) <= 8 else [i for i in range(0, len(own), 4) if i == 0 or i + 4 < len(own)]
+        logits = []
+        for i in starts:
+            window = own[i : i + 8]
+            x = [model.network.vectors((w := toxicity.Words([word])).evidence(model.word, model.gram), *w.rows())[0].tolist() for word in window]
+            logits.append(plain_logit(model.network, x))
+        assert math.isclose(got, 1 / (1 + math.exp(-max(logits))) if logits else 0.0, rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_parts_of_a_long_text_hold_its_windows():
+    text = words(5, 3000).encode()
+    for n in (0, 1, 7, 8, 9, 12, 13, 500, 3000):
+        own = b" ".join(text.split()[:n])
+        want = {tuple(own.split()[i : i + 8]) for i in ([0] if 0 < n <= 8 else [i for i in range(0, n, 4) if i == 0 or i + 4 < n])}
+        got = set()
+        for part in toxicity.parts(own, 8, 300):
+            got |= {tuple(part.split()[i : i + 8]) for i in ([0] if 0 < len(part.split()) <= 8 else [i for i in range(0, len(part.split()), 4) if i == 0 or i + 4 < len(part.split())])}
+        assert got == want
+
+
+def test_a_lookup_loses_no_entry():
+    h = np.random.default_rng(1).integers(1, 1 << 62, 5000).astype(np.uint64)
+    h[:2000] = (h[:2000] >> np.uint64(20) << np.uint64(20)) | np.uint64(77)  # many that meet in a slot
+    h = np.unique(h)
+    look = toxicity.Lookup(h, np.arange(1, len(h) + 1, dtype=np.float32))
+    assert (look(h) == np.arange(1, len(h) + 1)).all() and (look(h + np.uint64(1))[~np.isin(h + np.uint64(1), h)] == 0).all()
+    assert (toxicity.Lookup(h[:0], np.zeros(0, np.float32))(h) == 0).all()
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     net = toxicity.Network(3)
@@ -272,8 +328,8 @@ def test_network_gradient():
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
     g = net.gradient(x, token, mask, y)
-    for name, p in net.p.items():
-        at = tuple(rng.integers(0, s) for s in p.shape)
+    for name, p in [*net.p.items(), ("x", x)]:
+        at = (token[0, 1], 3) if name == "x" else tuple(rng.integers(0, s) for s in p.shape)
         old = p[at]
         p[at] = old + 1e-3
         up = loss()
