@@ -1,9 +1,9 @@
 """Lempel-Ziv phrase fingerprints: minimum-hash signatures of a text's dictionary phrases.
 
 A text is parsed left to right into phrases, each the shortest piece that is not yet in the dictionary, as
-long as that may be. Every prefix of a known phrase is known, so a phrase's length is found by doubling and
-halving: the work is a text's length times the logarithm of its longest phrase, and the dictionary holds no
-more characters than the text. The set of phrases is hashed and each of ``bins`` ranges of the hash keeps
+long as that may be. Every prefix of a known phrase is known, so a long phrase's length is found by doubling
+and halving: the work is a text's length times the logarithm of its longest phrase, and the dictionary holds
+no more characters than the text. The set of phrases is hashed and each of ``bins`` ranges of the hash keeps
 its smallest value; an empty range borrows from the next full one. Likeness is the share of equal ranges: two texts that a dictionary coder would see as one
 share their phrases.
 
@@ -38,25 +38,36 @@ NO_ID = -(1 << 63)  # the place of a null id: last
 def _parse(text: str, known: set[str], piece: str) -> tuple[list[str], str]:
     """Continue a parse that stands at ``piece``, a known one: (phrases added to known in turn, the open piece)."""
     text = piece + text
-    n, at, low = len(text), 0, len(piece)
+    n, place = len(text), len(piece)
     added: list[str] = []
-    while True:
-        high = low + 4  # text[at : at + low] is known; is more?
-        while at + high <= n and text[at : at + high] in known:
-            low, high = high, 2 * high
-        high = min(high, n - at + 1)  # what would end beyond the text counts as unknown
-        while high - low > 1:
-            middle = (low + high) // 2
-            if text[at : at + middle] in known:
-                low = middle
-            else:
-                high = middle
-        if at + low >= n:
-            return added, text[at:]
-        phrase = text[at : at + low + 1]
-        known.add(phrase)
-        added.append(phrase)
-        at, low = at + low + 1, 0
+    add, keep = known.add, added.append
+    while place < n:
+        block = text[place : place + 64]
+        for c in block:
+            piece += c
+            if piece not in known:
+                add(piece)
+                keep(piece)
+                piece = ""
+        place += len(block)
+        if len(piece) > 64:  # a long phrase: double its known length while it is known, then halve the gap
+            at, low = place - len(piece), len(piece)
+            high = 2 * low
+            while at + high <= n and text[at : at + high] in known:
+                low, high = high, 2 * high
+            high = min(high, n - at + 1)  # what would end beyond the text counts as unknown
+            while high - low > 1:
+                middle = (low + high) // 2
+                if text[at : at + middle] in known:
+                    low = middle
+                else:
+                    high = middle
+            piece, place = text[at : at + low + 1], at + low + 1
+            if place <= n:
+                add(piece)
+                keep(piece)
+                piece = ""
+    return added, piece
 
 
 def _minimums(parts: list[list[str]], bins: int) -> np.ndarray:
