@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from llm.conftest import make, words
 from quillspark.llm import brown, cover_tree, jaccard_join, kd_shards, langid, licenses, lz_fingerprint, mixing, packing, textarrays, toxicity
@@ -88,8 +89,32 @@ def test_jaccard_components(spark):
         hub[i * 8] = f"chain{i}"
         docs[700 + i] = " ".join(hub)
     df = make(spark, [(i, t, "en", "s") for i, t in docs.items()])
-    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link(df).collect()}
-    assert got == brute_components(docs)
+    want = brute_components(docs)
+    for crowd in (1 << 20, 9):  # 9: the shared passage's shingles are dealt by their holders
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link(df, crowd=crowd).collect()}
+        assert got == want
+
+
+def test_a_shingle_of_all_documents_is_dealt_by_its_holders(spark):
+    """A line that every document holds: its entries are the same, but no task takes all its holders."""
+    line = words(901, 12)
+    docs = {i: f"{words(i % 150, 25)} {line} {words(1000 + i % 150, 25)}" for i in range(400)}
+    df = make(spark, [(i, t, "en", "s") for i, t in docs.items()])
+    found = {}
+    for crowd in (1 << 20, 40):
+        scratch = Scratch(spark, "t")
+        rows = jaccard_join.entries(scratch, df.select("text"), 5, 6, 150, crowd).groupBy("entry", "holders", "weight").agg(F.collect_set("node").alias("n")).collect()
+        # an entry's shingles may lie in several fragments: weights of the same holders are summed
+        total = Counter()
+        for r in rows:
+            assert len(r["n"]) == r["holders"]
+            total[frozenset(r["n"])] += r["weight"]
+        found[crowd] = total
+    assert found[1 << 20] == found[40] and max(map(len, found[40])) == 150
+    sizes = spark.read.parquet(f"{scratch.base}/shares").where(F.col("kind") == jaccard_join.MEMBER).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) >= 150
+    per_share = [len(np.frombuffer(r["nodes"], np.int64)) for r in spark.read.parquet(f"{scratch.base}/fragments").where(F.col("kind") == jaccard_join.CROWDED).collect()]
+    assert max(per_share) <= 0.5 * sum(per_share)
 
 
 def test_cover_tree_links(spark):
