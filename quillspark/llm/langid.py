@@ -2,10 +2,11 @@
 
 Letters are lower-cased, every run of other characters is one space, and n-grams of 1 to 3 characters are
 hashed into ``features`` columns. The log-probability matrix (languages x features, its size a parameter
-times the number of languages) is broadcast; whole texts are scored in Arrow batches by summing the rows
-of their n-grams in numpy. The model is fitted on about ``per_language`` labelled training rows of each
-language (texts of at most ``longest`` bytes), drawn by a hash of the id: a documented, bounded sample.
-lang, source and ids are never inputs of a prediction.
+times the number of languages, at most ``most_languages``: more are an error) is broadcast; whole texts are
+scored in Arrow batches by summing the rows of their n-grams in numpy. The model is fitted on about
+``per_language`` labelled training rows of each language (texts of at most ``longest`` bytes, or of the least
+size there is if a language has only longer ones), drawn by a hash of the id: a documented, bounded sample.
+All languages weigh the same: there is no prior. lang, source and ids are never inputs of a prediction.
 
 score is the posterior probability of the predicted language. Defined results: a null text or one without
 letters is `und` with score 0; ties go to the first language in code-point order; without training rows
@@ -77,19 +78,43 @@ class Features:
         return np.fromiter((any(c.isalpha() for c in t) for t in texts), bool, len(texts))
 
 
-def fit(training: DataFrame, text: str, lang: str, id_hash: Column, features: int, per_language: int, longest: int) -> dict:
-    """languages and the float32 log-probability matrix."""
-    labelled = training.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= longest)).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), id_hash.alias("h"))
-    shares = labelled.groupBy("l").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("p"))  # a row per language
-    drawn = labelled.join(F.broadcast(shares), "l").where(F.pmod("h", F.lit(1 << 30)) < F.col("p") * F.lit(1 << 30)).select("l", "t")
-    rows = drawn.toArrow()
-    langs, texts = rows["l"].to_pylist(), rows["t"].to_pylist()
-    names = sorted(set(langs), key=lambda x: x.encode())
+def fit(training: DataFrame, text: str, lang: str, id_hash: Column, features: int, per_language: int, longest: int, most_languages: int) -> dict:
+    """languages and the float32 log-probability matrix; n-grams are counted in the executors."""
+    known = F.col(lang).isNotNull() & F.col(text).isNotNull()
+    labelled = training.where(known).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), id_hash.alias("h"), F.octet_length(text).alias("n"))
+    short = F.greatest(F.lit(1), F.count_if(F.col("n") <= longest))
+    facts = labelled.groupBy("l").agg(F.greatest(F.lit(longest), F.min("n")).alias("most"), F.least(F.lit(1.0), F.lit(float(per_language)) / short).alias("p"))
+    facts = facts.limit(most_languages + 1).collect()
+    if len(facts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: a matrix of that size isn't broadcast")
+    names = sorted((r["l"] for r in facts), key=lambda x: x.encode())
     counts = np.zeros((len(names), features))
-    maker = Features(features)
-    for k, name in enumerate(names):
-        for _, columns, _ in maker.runs([t for own, t in zip(langs, texts, strict=True) if own == name]):
-            counts[k] += np.bincount(columns, minlength=features)
+    if names:
+        shares = F.broadcast(training.sparkSession.createDataFrame(facts, "l string, most int, p double"))
+        drawn = labelled.join(shares, "l").where((F.col("n") <= F.col("most")) & (F.pmod("h", F.lit(1 << 30)) < F.col("p") * F.lit(1 << 30))).select("l", "t")
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            maker, found = Features(features), {}
+            for batch in batches:
+                langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for name in set(langs):
+                    own = found.setdefault(name, np.zeros(features))
+                    for _, columns, _ in maker.runs([t for x, t in zip(langs, texts, strict=True) if x == name]):
+                        own += np.bincount(columns, minlength=features)
+            for name, own in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([own.tobytes()], pa.binary())], ["l", "n"])
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = {}
+            for batch in batches:
+                for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found[name] = found.get(name, 0) + np.frombuffer(n)
+            for name, own in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([own.tobytes()], pa.binary())], ["l", "n"])
+
+        summed = drawn.mapInArrow(tidy(count), "l string, n binary").repartition("l").mapInArrow(tidy(total), "l string, n binary")
+        for r in summed.collect():  # a row per language
+            counts[names.index(r["l"])] = np.frombuffer(r["n"])
     log = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * features)) if names else counts
     return {"languages": names, "log": np.ascontiguousarray(log.astype(np.float32))}
 
@@ -112,7 +137,7 @@ def score_batch(model: dict, maker: Features, texts: list[str]) -> tuple[list[st
 
 def identify(
     documents: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", held_out: Column | None = None, rows: bool = False,
-    features: int = 1 << 15, per_language: int = 1500, longest: int = 20_000,
+    features: int = 1 << 15, per_language: int = 1500, longest: int = 20_000, most_languages: int = 1000,
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score; with rows also ``row``, a struct of every column of documents.
 
@@ -120,7 +145,7 @@ def identify(
     """
     bounded_batches(documents.sparkSession)
     held = fold(F.col(doc_id), 5) == 0 if held_out is None else held_out
-    model = fit(documents.where(~held), text, lang, F.xxhash64(F.col(doc_id).cast("string"), F.lit(5)), features, per_language, longest)
+    model = fit(documents.where(~held), text, lang, F.xxhash64(F.col(doc_id).cast("string"), F.lit(5)), features, per_language, longest, most_languages)
     bc = documents.sparkSession.sparkContext.broadcast(model)
 
     place = documents.columns.index(text)

@@ -285,6 +285,50 @@ def test_langid_held_out_accuracy(spark):
     assert len(right) > 30 and sum(right) / len(right) > 0.98 and all(0 <= r["score"] <= 1 for r in out)
 
 
+def plain_languages(train, texts, features=1 << 15):
+    """Multinomial naive Bayes over the n-grams of letters, with the operator's hash of an n-gram."""
+
+    def grams(text):
+        low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+        flat = " " .join(low.split())
+        flat += " " if flat else ""
+        for n in (1, 2, 3):
+            for i in range(len(flat) - n + 1):
+                if n > 1 or flat[i] != " ":
+                    h = 0
+                    for c in flat[i : i + n]:
+                        h = ((h ^ ord(c)) * 0x9E3779B1) % (1 << 32)
+                        h ^= h >> 15
+                    yield (h * 0x85EBCA6B) % (1 << 32) >> 17
+
+    names = sorted({g for _, g in train})
+    counts = {g: Counter(x for t, own in train if own == g for x in grams(t)) for g in names}
+    whole = {g: sum(c.values()) for g, c in counts.items()}
+    out = []
+    for t in texts:
+        own = list(grams(t))
+        score = [sum(math.log((counts[g][x] + 0.1) / (whole[g] + 0.1 * features)) for x in own) for g in names]
+        best = score.index(max(score))
+        out.append((names[best], 1 / sum(math.exp(s - score[best]) for s in score)) if any(c.isalpha() for c in t) else ("und", 0.0))
+    return out
+
+
+def test_langid_against_a_plain_version(spark):
+    docs = [(i, words(i, 3 + i % 30, ["zzqx", "aaoo", "éüß"][i % 3]) + [" ÀB 12!", "", " 日本", "..X"][i % 4], ["xx", "aa", "éé"][i % 3], "s") for i in range(90)] + [(200, "12 %", "aa", "s"), (201, "", "xx", "s")]
+    rows = {r["doc_id"]: r for r in langid.identify(make(spark, docs)).collect()}
+    train = [(t, g) for i, t, g, _ in docs if zlib.crc32(str(i).encode()) % 5]
+    for (i, *_), (name, p) in zip(docs, plain_languages(train, [t for _, t, _, _ in docs]), strict=True):
+        assert rows[i]["lang_pred"] == name and math.isclose(rows[i]["score"], p, rel_tol=1e-3, abs_tol=1e-9)
+
+
+def test_langid_learns_from_long_rows_where_there_are_no_others(spark):
+    docs = [(i, words(i, 60, "zzqx" if i % 2 else "aaoo"), "xx" if i % 2 else "aa", "s") for i in range(1, 40)]
+    out = langid.identify(make(spark, docs), longest=10).collect()
+    assert {r["lang_pred"] for r in out} == {"xx", "aa"}
+    with pytest.raises(ValueError, match="languages"):
+        langid.identify(make(spark, docs), most_languages=1)
+
+
 def plain_logit(net, x):
     """One window's logit, unit by unit and word by word. x: features of its words in order."""
     k, p = net.units, net.p
@@ -470,6 +514,48 @@ def test_shards_law_and_slots(spark):
     assert all(r["size"] == len(docs[r["doc_id"]][1].encode()) + 16 and r["text_crc32"] == zlib.crc32(docs[r["doc_id"]][1].encode()) for r in rows)
 
 
+def test_shards_are_a_k_d_tree(spark):
+    """Every split, found again by brute force: along the widest dimension, at its share of the bytes, equal texts together."""
+    docs = [(i, words(i % 40 if i < 60 else i, 5 + (i * i) % 90), ["en", "fr", "fr", None][i % 4], "s") for i in range(900)]
+    df = make(spark, docs)
+    rows = {r["doc_id"]: r for r in kd_shards.shard(df, shards=11).collect()}
+    body = F.coalesce("text", F.lit(""))
+    size, crc = (F.octet_length(body) + 16).cast("long"), F.crc32(body.cast("binary"))
+    dims = kd_shards._positions(size, F.length(body), F.col("lang"), crc, F.col("doc_id").cast("long"))
+    at = {r[0]: r[1:] for r in df.select("doc_id", *dims).collect()}
+    whole = [max(p[d] for p in at.values()) - min(p[d] for p in at.values()) for d in range(3)]
+    total = sum(r["size"] for r in rows.values())
+    largest, todo, splits = max(r["size"] for r in rows.values()), [(0, 11)], 0
+    while todo:
+        first, k = todo.pop()
+        own = [i for i, r in rows.items() if first <= r["shard"] < first + k]
+        if k == 1:
+            continue
+        left = [i for i in own if rows[i]["shard"] < first + k // 2]
+        right = [i for i in own if rows[i]["shard"] >= first + k // 2]
+        reach = [(max(at[i][d] for i in own) - min(at[i][d] for i in own)) / whole[d] for d in range(3)]
+        d = max(range(3), key=lambda j: (round(reach[j], 6), -j))
+        assert max(at[i][d] for i in left) < min(at[i][d] for i in right)
+        want = sum(rows[i]["size"] for i in own) * (k // 2) / k
+        assert abs(sum(rows[i]["size"] for i in left) - want) <= largest / 2 + total / 11 / 100
+        todo += [(first, k // 2), (first + k // 2, k - k // 2)]
+        splits += 1
+    assert splits == 10
+    by_text: dict = {}
+    for r in rows.values():
+        by_text.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    few = {k: sum(1 for r in rows.values() if (r["text_crc32"], r["size"]) == k) * k[1] for k in by_text}
+    assert all(len(s) == 1 for k, s in by_text.items() if few[k] <= total / 11 / 100)
+
+
+def test_shards_of_one_text_and_of_few_rows(spark):
+    same = kd_shards.shard(make(spark, [(i, "the same words", "en", "s") for i in range(400)]), shards=8).collect()
+    n = Counter(r["shard"] for r in same)
+    assert len(n) == 8 and max(n.values()) <= 1.25 * min(n.values())
+    few = kd_shards.shard(make(spark, [(i, words(i, 5), "en", "s") for i in range(3)] + [(None, None, None, None)] * 2), shards=8).collect()
+    assert len(few) == 5 and all(0 <= r["shard"] < 8 for r in few) and sorted((r["shard"], r["slot"]) for r in few) == [(s, k) for s, c in sorted(Counter(r["shard"] for r in few).items()) for k in range(c)]
+
+
 def test_mixing_plan_matches_a_loop(spark):
     docs = [(i, words(i, 3 + i % 50), "en", [None, "a", "b", "c", "d"][min(4, i % 9)]) for i in range(500)]
     rows = {r["doc_id"]: r for r in mixing.mix(make(spark, docs), rows=False).collect()}
