@@ -9,7 +9,9 @@ Each document expects target / source size copies. Within a source, documents fr
 prefix sum of the expected copies from one random offset (from the seed and the source's name, so reruns
 agree); a document is taken once per integer crossed. As equal steps run down sorted sizes, the words
 taken stray from the target by less than the largest document. The prefix sum needs only a document's rank,
-which a range shuffle numbers; no source, however large, meets in one task.
+which a range shuffle of narrow rows numbers; no source, however large, meets in one task. Rows are numbered
+once and written, and whole rows meet their copies by that number: they are shuffled once. Targets are found
+by windows over the table of sources, a row each.
 
 Defined results: a null text has size 0; null is a source of its own; repeated rows are taken each on
 their own; a source without words has target 0; an empty table gives no rows.
@@ -45,15 +47,15 @@ def mix(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", source
     """
     scratch = Scratch(documents.sparkSession, "mixing")
     kept = [F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")] if rows else []
-    base = documents.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *kept
-    )
-    base = scratch.table(base, "base")
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    base = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), *kept)
+    base = scratch.table(base.withColumn("rid", F.monotonically_increasing_id()), "base")  # written: the numbers stay
+    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     sizes = scratch.table(sizes, "sizes")
-    targets = _targets(sizes.select("source", "source_size"), weights, share, ceiling)
+    targets = _targets(sizes, weights, share, ceiling)
     tie = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))
-    ranked = numbered(scratch, base.withColumn("tie", tie), [F.asc_nulls_last("source"), F.desc("size"), "tie"], "ranked", "rank")
+    narrow = base.select("rid", "doc_id", "source", "size", tie.alias("tie"))
+    ranked = numbered(scratch, narrow, [F.asc_nulls_last("source"), F.desc("size"), "tie"], "ranked", "rank")
     first = ranked.groupBy("source").agg(F.min("rank").alias("first"))
     facts = targets.join(first.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("source", "s")
     out = ranked.join(facts, F.col("source").eqNullSafe(F.col("s")))
@@ -62,9 +64,11 @@ def mix(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", source
     rank = (F.col("rank") - F.col("first")).cast("double")
     copies = (F.floor(expected * (rank + 1.0) + start) - F.floor(expected * rank + start)).cast("long")
     out = out.withColumn("copies", copies)
-    scratch.drop("base")
     if rows:
-        return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+        taken = scratch.table(out.where("copies > 0").select("rid", "copies"), "taken")
+        scratch.drop("ranked")
+        return base.join(taken, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    scratch.drop("base")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
