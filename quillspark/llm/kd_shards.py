@@ -1,30 +1,34 @@
 """Sharding by a k-d tree over metadata: shards of near-equal bytes.
 
 A node that must give k shards is split along its widest dimension at the weighted median's analogue: the
-point that leaves floor(k/2)/k of its bytes below. Dimensions are the size (log2 of the bytes), the bytes
-per character and the language (a hash in [0, 1)); position along one is a 62-bit integer whose lower half
-orders equal values by text, then by id. So equal texts lie together along every dimension, and a value
-that a third of the rows share is split inside. A cut keeps equal texts on one side unless they are over
-a hundredth of a shard.
-
-All nodes of a level are split at once. A split point is found by histograms of 4096 bins over each
-node's own range, refined inside the bin that holds it until that bin's bytes are below a thousandth of a
-shard, or below a hundredth and of one text, or it can't be divided; a round returns one row per node to the driver and reads only a narrow table.
-The tree has fewer nodes than shards and is applied as one expression.
-
-Defined results: a null text counts 16 bytes and crc 0; null language and source are values of their own;
-a null id sorts first in its shard; repeated rows are placed each; an empty table gives no rows; with
-fewer rows than shards some shards are empty.
+point that leaves floor(k / 2) / k of its bytes below, so what a cut errs by is shared by all shards below
+it. Dimensions are the size (log2 of the bytes), the bytes per
+character and the language (a hash in [0, 1)); position along one is a 62-bit integer whose lower half orders
+equal values by text, then by id. So equal texts lie together along every dimension, and a value that a
+third of the rows share is split inside. A cut keeps equal texts on one side unless they are over a
+hundredth of a shard.
+
+All nodes of a level are split at once, by histograms of their bytes. The first pass of a level has one of
+``BINS`` bins for each node and dimension, which also shows how wide each is; the bin that holds a node's
+split point is divided anew, over the values it holds, until its bytes are below a thousandth of a shard, or
+below a hundredth and of one text, or it can't be divided. A pass is one partial aggregate over a narrow
+table; at most ``BINS`` rows a node and dimension come to the driver, which sums them up. The tree has fewer
+nodes than shards and is applied as one expression.
+
+Defined results: a null text counts 16 bytes and crc 0; a null language is a value of its own; a null id
+sorts first in its shard; repeated rows are placed each; an empty table gives no rows; with fewer rows than
+shards some shards are empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.shared import Scratch, numbered
 
-BINS = 4096
+BINS = 1024
 TIES = 1 << 12  # positions of one text
 
 
@@ -42,6 +46,20 @@ def _width(lo: int, hi: int) -> int:
     return ((hi - lo) // TIES // BINS + 1) * TIES if hi - lo >= TIES else 1
 
 
+def _narrow(x: dict, small: float) -> None:
+    """Settle a node's cut by its last histogram, or the range of positions to divide next."""
+    found, want, below = x["found"], x["want"], x["below"]
+    upto = below + np.cumsum(found[:, 1])
+    at = min(int(np.searchsorted(upto, want)), len(found) - 1)
+    size, n, low, high = (int(v) for v in found[at, 1:])
+    one_text = low // TIES == high // TIES
+    if low < high and n > 1 and size > small * (10 if one_text else 1):
+        x |= {"lo": low if one_text else low // TIES * TIES, "hi": high, "below": int(upto[at]) - size}
+        return
+    keep = abs(int(upto[at]) - want) <= abs(want - (int(upto[at]) - size))
+    x |= {"cut": high if keep else low - 1, "done": True}
+
+
 def shard(documents: DataFrame, shards: int = 40, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", overhead: int = 16) -> DataFrame:
     """Per document: doc_id, size, text_crc32, shard, slot (gapless from 0 within its shard)."""
     spark = documents.sparkSession
@@ -52,63 +70,77 @@ def shard(documents: DataFrame, shards: int = 40, text: str = "text", doc_id: st
     )
     dims = _positions(F.col("size"), F.col("__chars"), F.col("__lang"), F.col("text_crc32"), F.col("doc_id"))
     base = scratch.table(base.select("doc_id", "size", "text_crc32", *(d.alias(f"d{i}") for i, d in enumerate(dims))), "base")
-    spread = base.agg(*(f(f"d{i}").alias(f"{n}{i}") for i in range(len(dims)) for n, f in (("lo", F.min), ("hi", F.max))), F.sum("size").alias("bytes")).first()
-    whole = [max(1, (spread[f"hi{i}"] or 0) - (spread[f"lo{i}"] or 0)) for i in range(len(dims))]
-    small = (spread["bytes"] or 0) / shards / 1000
+    axes = range(len(dims))
+    spread = base.agg(*(f(f"d{i}") for i in axes for f in (F.min, F.max)), F.sum("size")).first()
+    lows, highs, total = [x or 0 for x in spread[:-1:2]], [x or 0 for x in spread[1:-1:2]], spread[-1] or 0
+    whole = [max(1, hi - lo) for lo, hi in zip(lows, highs, strict=True)]
+    small = total / shards / 1000
 
     tree: dict[int, tuple[int, int, int, int]] = {}  # node -> dimension, cut, left node, right node
-    leaf = {0: (0, shards)}  # node -> its first shard, its number of shards
+    leaf = {0: (0, shards, [lo // TIES * TIES for lo in lows], highs)}  # node -> its first shard, how many, its range
     made = 1
 
     def place() -> Column:
         """The node a row reaches: a fold down the tree held in literal arrays (a leaf leads to itself)."""
         rows = [tree.get(n, (0, 0, n, n)) for n in range(made)]
         dim, cut, left, right = (F.array(*(F.lit(r[i]).cast("long") for r in rows)) for i in range(4))
-        own = F.array(*(F.col(f"d{i}") for i in range(len(dims))))
+        own = F.array(*(F.col(f"d{i}") for i in axes))
         at = lambda array, k: F.get(array, k.cast("int"))
         step = lambda n, _: F.when(at(own, at(dim, n)) <= at(cut, n), at(left, n)).otherwise(at(right, n))
         return F.aggregate(F.sequence(F.lit(1), F.lit(shards.bit_length())), F.lit(0).cast("long"), step).cast("int") if tree else F.lit(0)
 
-    while any(k > 1 for _, k in leaf.values()):
-        open_nodes = [n for n, (_, k) in leaf.items() if k > 1]
-        at = base.withColumn("node", place()).where(F.col("node").isin(open_nodes))
-        stats = at.groupBy("node").agg(F.sum("size").alias("bytes"), *(f(f"d{i}").alias(f"{n}{i}") for i in range(len(dims)) for n, f in (("lo", F.min), ("hi", F.max)))).collect()
-        known = {r["node"]: r for r in stats}
+    def histograms(wanted: dict[int, list[tuple[int, int, int]]]) -> dict[tuple[int, int], np.ndarray]:
+        """Of each node and asked range (dimension, low, high): rows of bin, bytes, rows, least and greatest position, by bin."""
+        most = max(map(len, wanted.values()))
+        asked = {n: [*r, *[(0, 1, 0)] * (most - len(r))] for n, r in wanted.items()}  # an empty range holds no row
+        listed = lambda f: F.array(*(F.lit(f(*asked[n][j])).cast("long") if n in asked else F.lit(0).cast("long") for n in range(made) for j in range(most)))
+        d, lo, hi, width = (listed(f) for f in (lambda d, lo, hi: d, lambda d, lo, hi: lo, lambda d, lo, hi: hi, lambda d, lo, hi: _width(lo, hi)))
+        at = base.withColumn("node", place()).where(F.col("node").isin(list(asked)))
+        at = at.select("node", "size", F.array(*(F.col(f"d{i}") for i in axes)).alias("v"), F.explode(F.array(*(F.lit(j) for j in range(most)))).alias("j"))
+        k = F.col("node") * most + F.col("j")
+        at = at.select("node", "j", "size", F.get("v", F.get(d, k).cast("int")).alias("v"), F.get(lo, k).alias("lo"), F.get(hi, k).alias("hi"), F.get(width, k).alias("width"))
+        binned = at.where("v >= lo and v <= hi").groupBy("node", "j", F.expr("(v - lo) div width").alias("bin"))
+        found = binned.agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).toArrow()
+        rows = np.column_stack([found[c].to_numpy() for c in found.column_names]) if found.num_rows else np.zeros((0, 7), np.int64)
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        return {(n, j): rows[(rows[:, 0] == n) & (rows[:, 1] == j), 2:] for n in wanted for j in range(len(wanted[n]))}
+
+    while any(k > 1 for _, k, *_ in leaf.values()):
+        nodes = [n for n, (_, k, *_) in leaf.items() if k > 1]
+        first = histograms({n: [(d, leaf[n][2][d], leaf[n][3][d]) for d in axes] for n in nodes})
         search: dict[int, dict] = {}
-        for n in open_nodes:
-            k = leaf[n][1]
-            if n not in known:
-                search[n] = {"d": 0, "lo": 0, "hi": 0, "below": 0, "want": 0, "done": True, "cut": 0}
+        for n in nodes:
+            shard_0, k, lo, hi = leaf[n]
+            seen = [first[n, d] for d in axes]
+            if not len(seen[0]):
+                search[n] = {"d": 0, "cut": 0, "done": True}
                 continue
-            r = known[n]
-            d = max(range(len(dims)), key=lambda i: ((r[f"hi{i}"] - r[f"lo{i}"]) / whole[i], -i))
-            search[n] = {"d": d, "lo": r[f"lo{d}"] // TIES * TIES, "hi": r[f"hi{d}"], "below": 0, "want": r["bytes"] * (k // 2) / k, "done": False, "cut": r[f"lo{d}"]}
-        while todo := [n for n in open_nodes if not search[n]["done"]]:
-            facts = [(n, x["d"], int(x["lo"]), int(x["hi"]), _width(x["lo"], x["hi"]), float(x["want"] - x["below"])) for n in todo for x in [search[n]]]
-            facts = F.broadcast(spark.createDataFrame(facts, "node int, d int, lo bigint, hi bigint, width bigint, want double"))  # a row per node
-            value = F.get(F.array(*(F.col(f"d{i}") for i in range(len(dims)))), F.col("d"))
-            binned = at.join(facts, "node").select("node", "size", value.alias("v"), "lo", "hi", "width", "want")
-            binned = binned.where("v >= lo and v <= hi").groupBy("node", F.expr("(v - lo) div width").alias("bin"), "want").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-            upto = Window.partitionBy("node").orderBy("bin")
-            summed = binned.withColumn("upto", F.sum("bytes").over(upto))
-            found = summed.where(F.col("upto") >= F.col("want")).groupBy("node").agg(F.min(F.struct("bin", "upto", "bytes", "n")).alias("x")).select("node", "x.*").collect()
-            for r in found:
-                s = search[r["node"]]
-                width = _width(s["lo"], s["hi"])
-                first = s["lo"] + r["bin"] * width
-                below = s["below"] + r["upto"] - r["bytes"]
-                if width == 1 or r["bytes"] <= small * (10 if width == TIES else 1) or r["n"] == 1:
-                    s["done"] = True
-                    s["cut"] = min(s["hi"], first + width - 1) if abs(below + r["bytes"] - s["want"]) <= abs(s["want"] - below) else first - 1
-                else:
-                    s |= {"lo": first, "hi": min(s["hi"], first + width - 1), "below": below}
-        for n in open_nodes:
-            first, k = leaf.pop(n)
-            tree[n] = (search[n]["d"], search[n]["cut"], made, made + 1)
-            leaf[made], leaf[made + 1] = (first, k // 2), (first + k // 2, k - k // 2)
+            lo, hi = [int(x[:, 3].min()) // TIES * TIES for x in seen], [int(x[:, 4].max()) for x in seen]
+            leaf[n] = shard_0, k, lo, hi
+            d = max(axes, key=lambda i: ((hi[i] - lo[i]) / whole[i], -i))
+            want = int(seen[0][:, 1].sum()) * (k // 2) / k
+            search[n] = {"d": d, "want": want, "below": 0, "found": seen[d], "done": False}
+        while True:
+            for n in nodes:
+                x = search[n]
+                if not x["done"]:
+                    _narrow(x, small)
+            todo = [n for n in nodes if not search[n]["done"]]
+            if not todo:
+                break
+            again = histograms({n: [(search[n]["d"], search[n]["lo"], search[n]["hi"])] for n in todo})
+            for n in todo:
+                search[n]["found"] = again[n, 0]
+        for n in nodes:
+            x, (shard_0, k, lo, hi) = search[n], leaf.pop(n)
+            d, cut = x["d"], x["cut"]
+            tree[n] = (d, cut, made, made + 1)
+            capped = lambda values, v: [v if i == d else w for i, w in enumerate(values)]  # noqa: E731, B023
+            leaf[made] = shard_0, k // 2, lo, capped(hi, min(hi[d], cut))
+            leaf[made + 1] = shard_0 + k // 2, k - k // 2, capped(lo, max(lo[d], (cut + 1) // TIES * TIES)), hi
             made += 2
 
-    of = F.create_map(*(F.lit(x) for n, (first, _) in leaf.items() for x in (n, first)))
+    of = F.create_map(*(F.lit(x) for n, (first, *_) in leaf.items() for x in (n, first)))
     placed = scratch.table(base.select("doc_id", "size", "text_crc32", F.element_at(of, place()).cast("int").alias("shard")), "placed")
     ranked = numbered(scratch, placed, ["shard", "doc_id", "text_crc32"], "ranked", "rank")
     starts = F.broadcast(ranked.groupBy("shard").agg(F.min("rank").alias("first")))  # a row per shard
