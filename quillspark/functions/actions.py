@@ -7,10 +7,21 @@ from pyspark.sql import functions as F
 
 # The grammar's verbs and the steps of a turn.
 VERBS = ("END PHASE", "PLAY", "CAST", "ACTIVATE", "ATTACK", "BLOCK", "ORDER TRIGGERS", "MULLIGAN", "KEEP", "PASS", "TAP", "PHASE")
-STEPS = (
-    "untap step|untap|upkeep|draw step|draw|precombat main step|precombat main|begin combat|declare attackers step|declare attackers|declare blockers step|declare blockers|first combat damage|combat damage step|combat damage|"
-    "end of combat step|end combat|postcombat main step|postcombat main|end turn step|end turn|cleanup step|cleanup|pre-combat main|post-combat main|beginning of combat|end of combat|end step|ending phase|main|opening hand"
-)
+# step, its prose names as declared, other accepted names; in the order of a turn
+TURN = (
+    ("UNTAP", "untap step", "untap", "UN"), ("UPKEEP", "upkeep", "upkeep", "UP"), ("DRAW", "draw step", "draw", "DR"), ("PRECOMBAT_MAIN", "precombat main step", "precombat main", "M1"),
+    ("BEGIN_COMBAT", "begin combat step", "begin combat", "BC"), ("DECLARE_ATTACKERS", "declare attackers step", "declare attackers", "DA"), ("DECLARE_BLOCKERS", "declare blockers step", "declare blockers", "DB"),
+    ("FIRST_COMBAT_DAMAGE", "first combat damage", "first combat damage", "FCD"), ("COMBAT_DAMAGE", "combat damage step", "combat damage", "CD"), ("END_COMBAT", "end of combat step", "end combat", "EC"),
+    ("POSTCOMBAT_MAIN", "postcombat main step", "postcombat main", "M2"), ("END_TURN", "end turn step", "end turn", "ET"), ("CLEANUP", "cleanup step", "cleanup", "CL"),
+)
+ALIASES = (
+    ("pre-combat main", "PRECOMBAT_MAIN"), ("post-combat main", "POSTCOMBAT_MAIN"), ("beginning of combat", "BEGIN_COMBAT"), ("end of combat", "END_COMBAT"),
+    ("end step", "END_TURN"), ("ending phase", "END_TURN"), ("cleanup step", "CLEANUP"),
+)
+BEFORE_THE_TURN = "opening hand"
+STEPS = (*dict.fromkeys(x for _, step, text, _ in TURN for x in (step, text)), *(a for a, _ in ALIASES if a != "cleanup step"), "main", BEFORE_THE_TURN)
+MARKS = r"^\s*(?:[-*+•]|\d+[.)])\s*"  # of a list
+LABEL = r"(?i)^\s*(?:action|play|step|move)\s*\d*\s*:\s*"
 DECLARATIONS = ("TAP", "PHASE", "END PHASE")  # say what happens; they are no plays
 ONCE_PER_TURN = ("PLAY",)
 LOOP = 5
@@ -19,8 +30,8 @@ LOOP = 5
 def cleaned(line: Column) -> Column:
     """A line without markdown, list marks, labels and brackets; dashes before > become ->."""
     t = F.regexp_replace(line, r"\*\*|__|`", "")
-    t = F.regexp_replace(t, r"^\s*(?:[-*+•]|\d+[.)])\s*", "")
-    t = F.regexp_replace(t, r"(?i)^\s*(?:action|play|step|move)\s*\d*\s*:\s*", "")
+    t = F.regexp_replace(t, MARKS, "")
+    t = F.regexp_replace(t, LABEL, "")
     t = F.translate(t, "[]", "  ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[—–−]\s*>", "->"), "→", "->"), F.lit(" \t\r\n"))
 
@@ -41,7 +52,7 @@ def parse(line: Column) -> Column:
     some = lambda *c: F.array(*c)
     none = F.array().cast("array<string>")
     part = lambda p, i: name(F.regexp_extract(body, p, i))
-    step = F.lower(body).rlike(STEPS)
+    step = F.lower(body).rlike("|".join(STEPS))
     cast = F.split(body, r"(?i)\bTARGET(?:ING|S)?\b\s*:?", 2)
     card, targets = name(F.get(cast, F.lit(0))), names(F.coalesce(F.get(cast, F.lit(1)), F.lit("")))
     kept = F.split(body, r"(?i)\bBOTTOM(?:ING)?\b", 2)
@@ -162,3 +173,28 @@ def overspent(actions: DataFrame, key: str, costs: DataFrame, card: str, cost: s
     each = [F.struct(F.lit(c).alias("colour"), F.col(c).alias("need"), F.col(f"h.{c}").cast("long").alias("have")) for c in "WUBRGC"]
     each.append(F.struct(F.lit("all").alias("colour"), total("").alias("need"), total("h.").cast("long").alias("have")))
     return rows.select(key, F.explode(F.array(*each)).alias("x")).select(key, "x.*").where("need > have")
+
+
+def turn_step(phase: Column) -> Column:
+    """The step of a turn that a phase names in any spelling (the longest name in it counts), or null."""
+    text = F.lower(F.trim(phase))
+    forms = [(form, step) for step, *own, _ in TURN for form in (*own, step.lower(), step.lower().replace("_", " "))] + list(ALIASES)
+    forms.sort(key=lambda f: -len(f[0]))
+    found = F.lit(None).cast("string")
+    for form, step in reversed(forms):
+        found = F.when(F.contains(text, F.lit(form)), step).otherwise(found)
+    for step, _, _, short in TURN:
+        found = F.when(text == short.lower(), step).otherwise(found)
+    return found
+
+
+def turn_index(phase: Column) -> Column:
+    """Where a phase's step stands in the turn; null before the turn and for what is no step."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for i, (step, *_) in enumerate(TURN) for x in (step, i))), turn_step(phase))
+
+
+def canonical_phase(phase: Column) -> Column:
+    """The one spelling that is stored; the opening hand is a phase before the turn."""
+    stored = F.create_map(*(F.lit(x) for step, text, *_ in TURN for x in (step, text)))
+    before = F.when(F.contains(F.lower(phase), F.lit(BEFORE_THE_TURN)), BEFORE_THE_TURN)
+    return F.when(F.lower(F.trim(phase)) == BEFORE_THE_TURN, BEFORE_THE_TURN).otherwise(F.coalesce(F.try_element_at(stored, turn_step(phase)), before))

@@ -61,7 +61,7 @@ def phase_problems(actions: DataFrame, key: str, positions: DataFrame, phase: st
     moved = F.coalesce(F.bool_or(F.col("verb") == "END PHASE").over(w), F.lit(False))
     said = actions.where("kind = 'action' and verb in ('PHASE', 'END PHASE')").withColumn("moved", moved).where("verb = 'PHASE' and not moved")
     at = said.select(key, "pos", F.lower(F.col("args")[0]).alias("said")).join(positions.select(key, F.lower(phase).alias("want")), key)
-    steps = F.array(*(F.lit(s) for s in sorted(set(A.STEPS.split("|")))))
+    steps = F.array(*(F.lit(s) for s in sorted(A.STEPS)))
     shared = F.exists(steps, lambda s: F.contains("said", s) & F.contains("want", s))
     return at.where(~F.contains("want", F.col("said")) & ~F.contains("said", F.col("want")) & ~shared).select(key, "pos", "said")
 
@@ -78,6 +78,13 @@ def untargeted(actions: DataFrame, key: str, cards: DataFrame) -> DataFrame:
     return casts.join(cards.where(F.col("text").rlike(r"(?i)\btarget\b")).select(F.lower("card").alias("card")).distinct(), "card", "left_semi")
 
 
+def false_targets(actions: DataFrame, key: str, cards: DataFrame) -> DataFrame:
+    """(key, pos, card): creatures cast with a target though their text has none; cards: (card, type_line, text)."""
+    casts = actions.where("kind = 'action' and verb = 'CAST' and size(args) > 1").select(key, "pos", F.lower(F.col("args")[0]).alias("card"))
+    aimless = cards.where(F.contains("type_line", F.lit("Creature")) & ~F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit("target")))
+    return casts.join(aimless.select(F.lower("card").alias("card")).distinct(), "card", "left_semi")
+
+
 def unearned(hits: DataFrame, key: str, points: DataFrame, actions: DataFrame) -> DataFrame:
     """(key, point): credited points that open with a verb the answer never used.
 
@@ -100,3 +107,122 @@ def scenario_problems(steps: DataFrame, key: str, step: str, spent: str, hand: s
     before = F.flatten(F.collect_list(spent).over(w))
     kept = steps.withColumn("__before", before).where(F.arrays_overlap("__before", hand)).select(key, step, F.lit("spent_in_hand").alias("rule"))
     return few.unionByName(kept)
+
+
+# Of which layouts of two-faced cards the back can be played, and the steps in which nobody acts.
+BACK_IS_PLAYED = {"split": True, "adventure": True, "prepare": True, "modal_dfc": True, "transform": False, "flip": False}
+NO_PRIORITY = ("UNTAP", "CLEANUP", "COMBAT_DAMAGE", "FIRST_COMBAT_DAMAGE")
+MAIN_STEPS = ("PRECOMBAT_MAIN", "POSTCOMBAT_MAIN")
+
+
+def power_toughness(pt: Column, power: Column, toughness: Column) -> Column:
+    """(power, toughness) of a permanent: from "1/2" if it has that (0/0 if it can't be read), else from its numbers."""
+    number = r"^\s*([+-]?\d+)\s*/\s*([+-]?\d+)\s*$"
+    read = lambda i: F.coalesce(F.regexp_extract(pt, number, i).try_cast("int"), F.lit(0))
+    given = F.coalesce(pt, F.lit("")) != ""
+    return F.struct(F.when(given, read(1)).otherwise(F.coalesce(power, F.lit(0))).alias("power"), F.when(given, read(2)).otherwise(F.coalesce(toughness, F.lit(0))).alias("toughness"))
+
+
+def back_is_played(name: Column, layout: Column, type_line: Column) -> Column:
+    """Whether a card's second name can be played: by its layout, else by a creature before an instant or
+    sorcery; null for one-faced cards and where neither decides."""
+    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in BACK_IS_PLAYED.items() for x in pair)), layout)
+    faces = F.split(type_line, " // ")
+    front, back = F.get(faces, F.lit(0)), F.get(faces, F.lit(1))
+    shape = F.when((F.size(faces) == 2) & F.contains(front, F.lit("Creature")) & back.rlike("Instant|Sorcery"), F.lit(True))
+    return F.when(F.contains(name, F.lit(" // ")), F.coalesce(known, shape))
+
+
+def named_cards(permanents: DataFrame, zones: DataFrame, stack: DataFrame, key: str) -> DataFrame:
+    """(key, card): every card that a position names, tokens aside.
+
+    permanents: (key, card, token, attachments); zones: (key, card) of hand, graveyards and exile; stack:
+    (key, entry), free text that opens with the card's name.
+    """
+    own = permanents.where(~F.coalesce("token", F.lit(False))).select(key, F.trim("card").alias("card"))
+    attached = permanents.select(key, F.explode("attachments").alias("card")).select(key, F.trim("card").alias("card"))
+    cast = stack.select(key, F.trim(F.substring_index("entry", "(", 1)).alias("card"))
+    return own.unionByName(attached).unionByName(zones.select(key, F.trim("card").alias("card"))).unionByName(cast).where("card <> ''")
+
+
+def timing_problems(legal: DataFrame, key: str, line: str, positions: DataFrame, phase: str, cards: DataFrame) -> DataFrame:
+    """(key, line, card): listed casts of cards that are no instants, without flash, in a step that is no main phase.
+
+    legal: (key, line); cards: (card, type_line, text). A phase that names no step is only judged if it is
+    the opening hand; unknown cards are not judged.
+    """
+    at = positions.select(key, A.turn_step(F.col(phase)).alias("step"), F.contains(F.lower(phase), F.lit(A.BEFORE_THE_TURN)).alias("before"))
+    at = at.where((F.col("step").isNotNull() & ~F.col("step").isin(*MAIN_STEPS)) | (F.col("step").isNull() & F.col("before")))
+    read = legal.select(key, line, A.parse(F.col(line)).alias("a")).where("a.kind = 'action' and a.verb = 'CAST'")
+    slow = cards.where(~F.contains("type_line", F.lit("Instant")) & ~F.contains("text", F.lit("Flash"))).select(F.lower("card").alias("card"))
+    return read.select(key, line, F.lower(F.col("a.args")[0]).alias("card")).join(at.select(key), key).join(slow.distinct(), "card").select(key, line, "card")
+
+
+def wasted_taps(actions: DataFrame, key: str) -> DataFrame:
+    """(key, taps) of answers that tap and neither cast nor play anything."""
+    of = lambda *verbs: F.count_if((F.col("kind") == "action") & F.col("verb").isin(*verbs))
+    return actions.groupBy(key).agg(of("TAP").alias("taps"), of("CAST", "PLAY").alias("spent")).where("taps > 0 and spent = 0").select(key, "taps")
+
+
+def missing_phase(actions: DataFrame, key: str) -> DataFrame:
+    """(key, plays) of answers that play without a PHASE line; passing is no play."""
+    own = F.col("kind") == "action"
+    plays = F.count_if(own & ~F.col("verb").isin(*A.DECLARATIONS, "PASS"))
+    return actions.groupBy(key).agg(plays.alias("plays"), F.count_if(own & (F.col("verb") == "PHASE")).alias("said")).where("plays > 0 and said = 0").select(key, "plays")
+
+
+def protocol(actions: DataFrame, key: str, found: dict[int, DataFrame]) -> DataFrame:
+    """(key, entry, fired): for each answer and each protocol entry whether its check fired.
+
+    found: entry -> rows of the check (key is enough). An entry that is not given can't be decided and has
+    no rows.
+    """
+    every = actions.select(key).distinct().select(key, F.explode(F.array(*(F.lit(n) for n in sorted(found)))).alias("entry"))
+    hits = None
+    for n, rows in found.items():
+        one = rows.select(key).distinct().withColumns({"entry": F.lit(n), "fired": F.lit(True)})
+        hits = one if hits is None else hits.unionByName(one)
+    return every.join(hits, [key, "entry"], "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
+
+
+def reference_problems(references: DataFrame, key: str, lines: str, legal: DataFrame, legal_line: str) -> DataFrame:
+    """(key, rule, said): why a reference line isn't wholly right: empty, unreadable, prose, not legal.
+
+    references: (key, lines: array). Answers without listed actions are only held to the grammar.
+    """
+    empty = references.where(F.coalesce(F.size(lines), F.lit(0)) <= 0).select(key, F.lit("empty").alias("rule"), F.lit("").alias("said"))
+    read = references.select(key, F.posexplode(lines).alias("pos", "line")).select(key, "pos", "line", A.parse(F.col("line")).alias("a"))
+    bad = read.where("a.kind <> 'action'").select(key, F.when(F.col("a.kind") == "failure", "unparseable").otherwise("prose").alias("rule"), F.col("line").alias("said"))
+    listed = legal.select(key, A.parse(F.col(legal_line)).alias("b")).select(key, F.col("b.key").alias("__k")).distinct()
+    some = listed.select(key).distinct()
+    plays = read.where((F.col("a.kind") == "action") & ~F.col("a.verb").isin(*A.DECLARATIONS, "PASS")).select(key, "line", F.col("a.key").alias("__k"))
+    off = plays.join(some, key, "left_semi").join(listed, [key, "__k"], "left_anti").select(key, F.lit("not_legal").alias("rule"), F.col("line").alias("said"))
+    return empty.unionByName(bad).unionByName(off)
+
+
+def split_records(snapshots: DataFrame, record: str = "record") -> tuple[DataFrame, DataFrame]:
+    """(boards, ends): the boards of recorded games and the records of how they ended."""
+    end = F.coalesce(F.col(record) == "game_end", F.lit(False))
+    return snapshots.where(~end), snapshots.where(end)
+
+
+def game_end(players: Column, turn: Column) -> Column:
+    """(kind, names): how a game ended, from players (name, timer_timeout, idle_timeout, quit, lost, life).
+
+    clock and concession come first; one loser against one survivor was played out at no life left, and
+    abandoned above; else nobody lost (unclear) or the losers are named.
+    """
+    flag = lambda p, c: F.coalesce(p[c], F.lit(False))
+    of = lambda test: F.transform(F.filter(players, test), lambda p: p["name"])
+    clock, quit_ = of(lambda p: flag(p, "timer_timeout") | flag(p, "idle_timeout")), of(lambda p: flag(p, "quit"))
+    lost, alive = of(lambda p: flag(p, "lost")), of(lambda p: ~flag(p, "lost"))
+    life = F.coalesce(F.get(F.filter(players, lambda p: flag(p, "lost")), F.lit(0))["life"], F.lit(0))
+    one = (F.size(lost) == 1) & (F.size(alive) == 1)
+    kind = F.when(F.coalesce(F.size(players), F.lit(0)) <= 0, "no_record").when(F.size(clock) > 0, "clock").when(F.size(quit_) > 0, "concession").when(one & (life > 0), "abandoned").when(one, "played_out").when(F.size(lost) == 0, "unclear").otherwise("lost")
+    names = F.when(kind == "clock", clock).when(kind == "concession", quit_).otherwise(lost)
+    return F.struct(kind.alias("kind"), F.coalesce(F.array_join(names, ", "), F.lit("")).alias("names"), turn.alias("turn"))
+
+
+def worth_asking(boards: DataFrame, step: str, hand: str, untapped: str) -> DataFrame:
+    """Boards that may hold a question: somebody can act, the hand isn't empty and a permanent is untapped."""
+    return boards.where(~F.coalesce(F.col(step).isin(*NO_PRIORITY), F.lit(False)) & (F.coalesce(F.size(hand), F.lit(0)) > 0) & (F.coalesce(untapped, F.lit(0)) > 0))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+
 MESSAGE = "struct<role:string,content:string>"
 
 
@@ -127,3 +129,44 @@ def renamed_players(df: DataFrame, key: str, text: str, patterns: tuple[str, ...
             yield pd.DataFrame(rows, columns=[key, text, "names"])
 
     return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {text} string, names array<string>")
+
+
+REDIRECT = r"^See [^.]+\.$"  # a definition that only points at another
+
+
+def definition_examples(glossary: DataFrame, term: str, definition: str, rules: str, n: int, seed: str = "0", shortest: int = 20) -> DataFrame:
+    """(source, question, answer, supporting_rule_ids) of n definitions, drawn in the seed's order; redirects and
+    short ones are left out."""
+    own = glossary.where(~F.col(definition).rlike(REDIRECT) & (F.length(definition) > shortest))
+    drawn = own.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(term)), 256), term).limit(n)
+    question = F.concat(F.lit('What does "'), F.col(term), F.lit('" mean in Magic: The Gathering?'))
+    return drawn.select(F.concat(F.lit("glossary:"), F.col(term)).alias("source"), question.alias("question"), F.col(definition).alias("answer"), F.col(rules).alias("supporting_rule_ids"))
+
+
+def cites_support(answer: Column, supporting: Column) -> Column:
+    """Whether an answer cites one of the rules that support it."""
+    return F.coalesce(F.arrays_overlap(T.rule_ids(answer), supporting), F.lit(False))
+
+
+def gloss_examples(chunks: DataFrame, key: str, title: str, heading: str, text: str, revision: str, system: str) -> DataFrame:
+    """(key, messages): a training record of each wiki chunk whose answer says what it is and which revision."""
+    question = F.concat(F.lit("Explain: "), F.col(title), F.when(F.coalesce(F.col(heading), F.lit("")) != "", F.concat(F.lit(" ("), F.col(heading), F.lit(")"))).otherwise(""))
+    source = F.concat(F.lit("(Source: MTG Wiki, "), F.col(title), F.lit(", revision "), F.col(revision).cast("string"), F.lit(" — community-edited reference, not the Comprehensive Rules.)"))
+    return chunks.select(key, messages(F.lit(system), question, F.concat_ws("\n\n", F.col(text), source)).alias("messages"))
+
+
+def position_examples(positions: DataFrame, key: str, board: str, reference: str, system: str) -> DataFrame:
+    """(key, messages): a training record of each position that has a verified line; the others give none."""
+    known = positions.where(F.coalesce(F.size(reference), F.lit(0)) > 0)
+    return known.select(key, messages(F.lit(system), F.col(board), F.array_join(reference, "\n")).alias("messages"))
+
+
+def dataset_manifest(rows: DataFrame, split: str, record: str, messages_column: str, prompts: dict[str, str]) -> DataFrame:
+    """Per split: records, a digest that any order of the rows gives, and how many system turns are each known prompt or none."""
+    system = F.transform(F.filter(messages_column, lambda m: m["role"] == "system"), lambda m: m["content"])
+    each = F.sha2(F.col(record), 256)
+    count = lambda texts: F.sum(F.size(F.filter(system, lambda c: c.isin(*texts)))).cast("long")
+    known = [count([p]).alias(name) for name, p in prompts.items()]
+    other = (F.sum(F.size(system)) - count(list(prompts.values()))).cast("long").alias("unknown_prompts")
+    digest = F.bit_xor(F.conv(F.substring(each, 1, 15), 16, 10).cast("long")).alias("digest")
+    return rows.groupBy(split).agg(F.count("*").alias("record_count"), digest, *known, other)

@@ -181,3 +181,26 @@ def assemble(parts: DataFrame, key: str, section: str, rank: str, text: str) ->
     one = parts.groupBy(key).agg(ordered.alias("x"))
     titled = F.transform("x", lambda p, i: F.when((i == 0) | (F.get("x", i - 1)[section] != p[section]), F.concat(F.lit("## "), p[section], F.lit("\n"), p[text])).otherwise(p[text]))
     return one.select(key, F.array_join(titled, "\n\n").alias("context"), F.size("x").cast("long").alias("n"))
+
+
+def question_context(asked: DataFrame, key: str, cards: DataFrame, rulings: DataFrame, keyword_rules: DataFrame, rules: DataFrame, k_used: Column, most_cards: int = 3) -> DataFrame:
+    """(key, context and what it was made of): cards, rulings, then rules, those of the cards' keywords first.
+
+    cards: (key, rank, name, how, text); rulings: (key, rank, name, text); keyword_rules: (key, rank, rule_id,
+    text); rules: (key, rank, chunk_id, text). A repeated card counts once; sections without parts are left out.
+    """
+    listed = lambda rows, *columns: rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", *columns))).alias("x"))
+    first = cards.groupBy(key, "name").agg(F.min_by(F.struct("rank", "how", "text"), "rank").alias("c")).select(key, "name", "c.*")
+    first = top(first, key, [F.col("rank")], most_cards)
+    out = asked
+    for name, rows, columns in (("c", first, ("name", "how", "text")), ("r", rulings, ("name", "text")), ("w", keyword_rules, ("rule_id", "text")), ("h", rules, ("chunk_id", "text"))):
+        out = out.join(listed(rows, *columns).withColumnRenamed("x", f"__{name}"), key, "left")
+    each = lambda name, f: F.transform(F.coalesce(f"__{name}", F.array()), f)
+    joined = lambda name, sep, f: F.nullif(F.array_join(each(name, f), sep), F.lit(""))
+    text = lambda x: x["text"]
+    of_rules = F.nullif(F.concat_ws("\n\n", joined("w", "\n", lambda x: F.concat(x["rule_id"], F.lit(". "), x["text"])), joined("h", "\n\n", text)), F.lit(""))
+    titled = lambda title, body: F.concat(F.lit(f"{title}:\n"), body)
+    context = F.concat_ws("\n\n", titled("Cards referenced", joined("c", "\n\n", text)), titled("Official rulings", joined("r", "\n\n", text)), titled("Rules text", of_rules))
+    made = {"context": context, "card_names": each("c", lambda x: x["name"]), "card_match_types": each("c", lambda x: x["how"]), "ruling_card_names": each("r", lambda x: x["name"])}
+    made |= {"keyword_rules_injected": each("w", lambda x: x["rule_id"]), "rules_chunk_ids": each("h", lambda x: x["chunk_id"]), "k_rules_used": k_used}
+    return out.select(key, *(c.alias(n) for n, c in made.items()))
