@@ -31,14 +31,27 @@ def parsed_actions(t: Tables) -> DataFrame:
     return _verbs(_answers(t))
 
 
-@query()
+# an answer's lines in order, as actions; TAP lines are declarations
+_LINES = """l AS (SELECT l_orderkey AS k, l_linenumber % 3 AS kind, CASE l_linenumber % 3 WHEN 1 THEN 'CAST ' || l_partkey WHEN 2 THEN 'ATTACK ' || l_partkey ELSE 'TAP ' || l_partkey END AS a,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE l_linenumber % 3 WHEN 1 THEN '- CAST Card ' || l_partkey WHEN 2 THEN '2. **ATTACK** Card ' || l_partkey ELSE 'TAP Card ' || l_partkey END) AS i FROM lineitem)"""
+
+
+@query(
+    f"""WITH {_LINES}, p AS (SELECT k, kind, a, lag(a) OVER (PARTITION BY k ORDER BY i) AS before FROM l), c AS (SELECT k, count(*) FILTER (kind > 0 AND a IS DISTINCT FROM before) + 1 AS n FROM p GROUP BY 1)
+    SELECT k, 0 AS n_failures, n AS n_actions, n AS n_legal, 0 AS n_rule_broken, true AS all_legal FROM c"""
+)
 def action_legality(t: Tables) -> DataFrame:
     """Casts are listed as legal, attacks without a defender."""
     legal = t.lineitem.select(F.col("l_orderkey").alias("k"), F.concat(F.when(F.col("l_linenumber") % 3 == 1, "CAST Card ").otherwise("ATTACK Card "), F.col("l_partkey").cast("string")).alias("line"))
     return A.legality(A.parse_answers(_answers(t), "k", "answer"), legal, "k", "line")
 
 
-@query()
+@query(
+    f"""WITH {_LINES}, g AS (SELECT *, i - row_number() OVER (PARTITION BY k, a ORDER BY i) AS island FROM l), r AS (SELECT k, a, kind, count(*) AS n FROM g GROUP BY k, a, kind, island),
+    c AS (SELECT k, sum(CASE WHEN kind = 0 THEN 0 ELSE n - 1 END)::BIGINT AS collapsed, greatest(max(n) FILTER (kind > 0), 1) AS longest_run, bool_and(kind = 0) AS only_pass FROM r GROUP BY 1),
+    m AS (SELECT k, max(n) AS most_repeated FROM (SELECT k, a, count(*) AS n FROM l WHERE kind > 0 GROUP BY ALL) GROUP BY 1)
+    SELECT k, collapsed, longest_run, coalesce(most_repeated, 0) AS most_repeated, greatest(collapsed, longest_run, coalesce(most_repeated, 0)) >= 5 AS degenerate, only_pass FROM c LEFT JOIN m USING (k)"""
+)
 def degenerate_answers(t: Tables) -> DataFrame:
     return A.degenerate(A.parse_answers(_answers(t), "k", "answer"), "k")
 

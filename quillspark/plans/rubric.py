@@ -9,12 +9,25 @@ from quillspark.functions import rubric as R
 from quillspark.registry import Tables, query
 
 
-@query()
+_SENTENCES = r"string_split(regexp_replace({}, '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1))"
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, trim(text) AS b, {_SENTENCES.format("trim(text)")} AS x FROM documents),
+    g AS (SELECT *, list_sort(list_transform(range(1, greatest(len(x), 2)), lambda i: {{'gap': abs(list_sum(list_transform(x[1:i], lambda s: length(s) + 1)) - length(b) / 2), 'i': i}}))[1].i AS best FROM p),
+    h AS (SELECT doc_id, CASE WHEN len(x) < 2 THEN b ELSE trim(array_to_string(x[1:best], ' ')) END AS h FROM g)
+    SELECT doc_id, length(h)::INT AS n, md5(h) AS digest FROM h"""
+)
 def half_answers(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.length(R.half_answer(F.col("text"))).alias("n"), F.md5(R.half_answer(F.col("text"))).alias("digest"))
 
 
-@query()
+@query(
+    rf"""WITH p AS (SELECT item_id, {_SENTENCES.format("trim(text)")} AS x FROM benchmark), s AS (SELECT item_id, generate_subscripts(x, 1) AS i, unnest(x) AS s FROM p),
+    t AS (SELECT item_id, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[\[(][^\])]*\d{{3}}\.\d+[a-z]?[^\])]*[\])]', '', 'g'), '\[([^\]]*)\]', '', 'g'), '\s{{2,}}', ' ', 'g'), '\s+([,.;:])', '', 'g'), ' .,;') AS point FROM s),
+    k AS (SELECT * FROM t WHERE point <> '' AND (i = 1 OR length(point) > 12))
+    SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY i) - 1)::INT AS pos, point FROM k"""
+)
 def draft_points(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", F.posexplode(R.draft_points(F.col("text"))).alias("pos", "point"))
 
@@ -76,7 +89,15 @@ def prompt_digests(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", d["parts"]["system"].alias("system"), d["combined"].alias("combined"))
 
 
-@query()
+@query(
+    """WITH k AS (SELECT DISTINCT p_name AS "full", lower(p_name) AS low FROM part WHERE regexp_matches(lower(p_name), '^[a-z0-9]+( [a-z0-9]+)+$')),
+    m AS (SELECT p_partkey, p_name AS said FROM part UNION SELECT a.p_partkey, b.p_name FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 7),
+    f AS (SELECT p_partkey, lower(said) AS low, min(k."full") AS "full" FROM m JOIN k ON k.low = lower(said) GROUP BY ALL)
+    SELECT p_partkey, "full" AS name, row_number() OVER (PARTITION BY p_partkey ORDER BY -length(low), low)::INT AS rank FROM f"""
+)
 def prose_names(t: Tables) -> DataFrame:
-    texts = t.part.select("p_partkey", F.concat(F.lit("What if "), F.upper("p_name"), F.lit(", attacks?")).alias("text"))
+    """Sentences that name a part and another; of shorter names inside those none is found."""
+    other = t.part.select((F.col("p_partkey") - 7).alias("p_partkey"), F.col("p_name").alias("other"))
+    said = F.concat(F.lit("What if "), F.upper("p_name"), F.lit(", attacks? ... "), F.coalesce("other", F.lit("")), F.lit("!"))
+    texts = t.part.join(other, "p_partkey", "left").select("p_partkey", said.alias("text"))
     return R.prose_names(texts, "p_partkey", "text", t.part, "p_name")
