@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,9 +45,10 @@ def sign_test(wins: Column, losses: Column) -> Column:
 
 def exclusive_quartiles(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, quartile, value) by the exclusive method, from ranks; no group is collected."""
-    own = Window.partitionBy(group)
-    ranked = df.where(F.col(value).isNotNull()).select(group, value, F.row_number().over(own.orderBy(value)).alias("k"), F.count("*").over(own).alias("n"))
-    at = ranked.select(group, value, "k", "n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("quartile"))
+    from quillspark.operators.ranking import ranked_within
+
+    placed = ranked_within(df.where(F.col(value).isNotNull()).select(group, value), [group], [value], "k", "n").withColumn("k", F.col("k") + 1)
+    at = placed.select(group, value, "k", "n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("quartile"))
     j = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("quartile") * (F.col("n") + 1) / 4)))
     step = (F.col("quartile") * (F.col("n") + 1) - j * 4) / 4.0
     weight = F.when(F.col("k") == j, 1 - step).when(F.col("k") == j + 1, step)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.judging import rubric_score
 from quillspark.functions.stats import cells, kappa_of, pearson, sign_test
+from quillspark.operators.ranking import ranked_within
 
 
 def arm_summary(rows: DataFrame, arm: str, score: str, cited: str, fabricated: str, matches: str) -> DataFrame:
@@ -214,3 +215,10 @@ def manifest_problems(off: dict, on: dict, required: set[str], switch: str, expe
     if off.get(switch) is not False or on.get(switch) is not True:
         found.append(f"{switch} must be false in the off manifest and true in the on manifest")
     return found + [f"{k} differs: {off[k]!r} and {on[k]!r}" for k in sorted(required - {switch, "experiment"}) if k in off and k in on and off[k] != on[k]]
+
+
+def at_shares(rows: DataFrame, group: str, value: str, shares: dict[str, tuple[int, int]]) -> DataFrame:
+    """(group, a column per share): the value at place floor(n a / b) of each group's n values in order."""
+    placed = ranked_within(rows.where(F.col(value).isNotNull()), [group], [value], "__k", "__n")
+    pick = lambda a, b: F.max(F.when(F.col("__k") == F.floor(F.col("__n") * a / b), F.col(value)))
+    return placed.groupBy(group).agg(*(pick(a, b).alias(name) for name, (a, b) in shares.items()))

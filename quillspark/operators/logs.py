@@ -21,9 +21,13 @@ def idempotent(df: DataFrame, key: str, order: list, content: Column, issued: Da
 
 
 def evicted(issued: DataFrame, order: list, keep: int) -> DataFrame:
-    """The keys that a first-in first-out memory of ``keep`` has dropped."""
-    n = issued.count()
-    return issued.orderBy(*order).limit(max(0, n - keep))
+    """The keys that a first-in first-out memory of ``keep`` has dropped: those before the ``keep`` newest.
+
+    The newest are found by a bounded top-n; the rest is a filter, so nothing gathers the dropped rows.
+    """
+    key = F.struct(*(F.col(o) if isinstance(o, str) else o for o in order))
+    newest = issued.select(key.alias("k")).orderBy(F.desc("k")).limit(keep).agg(F.min("k").alias("k"), F.count("*").alias("n"))
+    return issued.join(F.broadcast(newest), key < F.col("k"), "inner").where(F.col("n") == keep).drop("k", "n") if keep > 0 else issued
 
 
 def lockouts(df: DataFrame, key: str, seconds: str, failed: str, most: int = 8, span: int = 300) -> DataFrame:

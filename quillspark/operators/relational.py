@@ -42,15 +42,17 @@ def current_verdicts(verdicts: DataFrame, answers: DataFrame, keys: list[str], s
     return out.withColumn("status", status).drop("__sha", "__shown")
 
 
-def fingerprint(df: DataFrame, key: str, content: Column, block: int = 1000) -> DataFrame:
-    """(n, digest) of a corpus in key order: a digest of the digests of blocks of neighbouring keys.
+def fingerprint(df: DataFrame, key: str, content: Column, block: int = 1000, levels: int = 3) -> DataFrame:
+    """(n, digest) of a corpus in key order: a tree of digests of blocks of neighbouring keys.
 
-    Rows are digested where they lie and gathered per block only; equal corpora have equal digests and any
-    changed, moved or missing row changes it.
+    Rows are digested where they lie and gathered per block only, ``block`` digests at each of the levels;
+    equal corpora have equal digests and any changed, moved or missing row changes it.
     """
     rows = df.select(F.floor(F.col(key) / block).alias("b"), F.col(key).alias("k"), F.sha2(content, 256).alias("h"))
     listed = lambda a: F.sha2(F.array_join(F.transform(F.array_sort(a), lambda x: x["h"]), ""), 256)
     blocks = rows.groupBy("b").agg(listed(F.collect_list(F.struct("k", "h"))).alias("h"), F.count("*").alias("n"))
+    for _ in range(levels - 1):
+        blocks = blocks.groupBy(F.floor(F.col("b") / block).alias("up")).agg(listed(F.collect_list(F.struct("b", "h"))).alias("h"), F.sum("n").alias("n")).withColumnRenamed("up", "b")
     return blocks.agg(F.sum("n").alias("n"), listed(F.collect_list(F.struct("b", "h"))).alias("digest"))
 
 

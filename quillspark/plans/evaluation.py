@@ -219,12 +219,7 @@ def grouped_summary(t: Tables) -> DataFrame:
 @query("SELECT event_type, n_chars[len(n_chars) // 2 + 1] AS median_high, n_chars[(len(n_chars) * 9) // 10 + 1] AS p90 FROM (SELECT event_type, list_sort(list(value)) AS n_chars FROM events GROUP BY 1)")
 def median_high(t: Tables) -> DataFrame:
     """The middle value (the upper of two) and the one nine tenths up, by rank."""
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("event_type")
-    r = t.events.select("event_type", "value", (F.row_number().over(own.orderBy("value")) - 1).alias("k"), F.count("*").over(own).alias("n"))
-    pick = lambda at: F.max(F.when(F.col("k") == at, F.col("value")))
-    return r.groupBy("event_type").agg(pick(F.floor(F.col("n") / 2)).alias("median_high"), pick(F.floor(F.col("n") * 9 / 10)).alias("p90"))
+    return E.at_shares(t.events.select("event_type", "value"), "event_type", "value", {"median_high": (1, 2), "p90": (9, 10)})
 
 
 @query("SELECT event_type, arg_max(user_id, n) AS n_user, max(n) AS n FROM (SELECT event_type, user_id, count(*) * 1000000 - any_value(user_id) AS n FROM events GROUP BY event_type, user_id) GROUP BY 1")

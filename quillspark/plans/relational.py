@@ -50,7 +50,8 @@ def verdict_status(t: Tables) -> DataFrame:
     return R.current_verdicts(seen, rows, ["conv_id", "turn"], "sha", "shown").select("conv_id", "turn", "status")
 
 
-_FP = "WITH r AS (SELECT doc_id // 1000 AS b, doc_id AS k, sha256(doc_id || chr(9) || text) AS h FROM documents), b AS (SELECT b, sha256(string_agg(h, '' ORDER BY k)) AS h, count(*) AS n FROM r GROUP BY 1)"
+_FP = """WITH r AS (SELECT doc_id // 1000 AS b, doc_id AS k, sha256(doc_id || chr(9) || text) AS h FROM documents), b1 AS (SELECT b, sha256(string_agg(h, '' ORDER BY k)) AS h, count(*) AS n FROM r GROUP BY 1),
+b2 AS (SELECT b // 1000 AS b, sha256(string_agg(h, '' ORDER BY b1.b)) AS h, sum(n) AS n FROM b1 GROUP BY b1.b // 1000), b AS (SELECT b // 1000 AS b, sha256(string_agg(h, '' ORDER BY b2.b)) AS h, sum(n) AS n FROM b2 GROUP BY b2.b // 1000)"""
 
 
 @query(f"{_FP} SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY b)) AS digest FROM b")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators import sampling as S
@@ -19,7 +19,7 @@ def stratified_sample(t: Tables) -> DataFrame:
 
 @query("WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS k, count(*) OVER () AS n FROM documents) SELECT doc_id, n_chars FROM r WHERE k IN (SELECT floor(i * (SELECT max(n) FROM r) / 30.0)::BIGINT FROM range(30) x(i))")
 def stride_sample(t: Tables) -> DataFrame:
-    return S.stride_sample(t.documents.select("doc_id", "n_chars"), [F.desc("n_chars"), "doc_id"], 30)
+    return S.stride_sample(t.documents.select("doc_id", "n_chars"), [-F.col("n_chars"), "doc_id"], 30)
 
 
 _SPLIT = "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('s' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents)"
@@ -44,7 +44,8 @@ def deficit_queue(t: Tables) -> DataFrame:
     have = t.documents.join(t.labels, "doc_id").groupBy("lang").agg(F.count("*").alias("have"))
     open_ = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_anti").select("doc_id", "lang", "n_chars")
     queue = S.deficit_queue(open_, "lang", ["n_chars", "doc_id"], have, "have").orderBy("level", "lang").limit(100)
-    return queue.withColumn("place", F.row_number().over(Window.orderBy("level", "lang"))).select("doc_id", "lang", "level", "place")
+    one = queue.agg(F.array_sort(F.collect_list(F.struct("level", "lang", "doc_id"))).alias("x"))  # a hundred rows
+    return one.select(F.posexplode("x").alias("place", "x")).select("x.doc_id", "x.lang", "x.level", (F.col("place") + 1).alias("place"))
 
 
 @query(
@@ -54,7 +55,7 @@ def deficit_queue(t: Tables) -> DataFrame:
 def interleave(t: Tables) -> DataFrame:
     """Disputed labels first, then toxic and clean ones in turn."""
     out = S.interleave(t.labels, "toxic", F.col("quality") != 1 - F.col("toxic"), [S.hash_order("q", F.col("doc_id"))])
-    return out.withColumn("place", F.row_number().over(Window.orderBy("late", "round", "toxic"))).select("doc_id", "late", "round", "place")
+    return out.select("doc_id", "late", "round", "place")
 
 
 @query("SELECT doc_id, sha256('q' || doc_id) AS h, quality <> 1 - toxic AS disputed FROM labels ORDER BY disputed DESC, h LIMIT 40")
@@ -78,12 +79,12 @@ def run_lengths(t: Tables) -> DataFrame:
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE value > 1) WHERE k = 1")
 def latest_log(t: Tables) -> DataFrame:
     """The last write per key; entries without content are skipped."""
-    return S.latest(t.events.where("value > 1"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
+    return S.latest(t.events.where("value > 1"), ["user_id", "event_type"], [-F.unix_micros(F.col("ts").cast("timestamp")), -F.col("event_id")]).select("user_id", "event_type", "event_id", "value")
 
 
 @query("SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY coalesce(n_chars, -1) DESC, doc_id) AS k FROM documents) WHERE k = 1")
 def best_verdict(t: Tables) -> DataFrame:
-    return S.latest(t.documents, "source", [F.desc(F.coalesce("n_chars", F.lit(-1))), F.col("doc_id")]).select("doc_id", "source", "n_chars")
+    return S.latest(t.documents, "source", [-F.coalesce("n_chars", F.lit(-1)), F.col("doc_id")]).select("doc_id", "source", "n_chars")
 
 
 @query("SELECT doc_id, gap FROM (SELECT doc_id, abs(quality - toxic) AS gap FROM labels) WHERE gap > 0 ORDER BY gap DESC, doc_id LIMIT 12")
