@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.functions import text as T
 
+MOST_INDEXED = 2_000_000  # (item, token) rows of a side that is shipped whole
+
 
 def token_rows(df: DataFrame, key: str, text: str, name: str, size: str) -> DataFrame:
     """(name, size, token hash): a row per distinct token of each text."""
@@ -32,14 +39,87 @@ def token_join(left: DataFrame, right: DataFrame, threshold: float | None = None
     return scored if threshold is None else scored.where(F.col("score") >= threshold)
 
 
-def best_match(rows: DataFrame, key: str, text: str, others: DataFrame, other_key: str, other_text: str) -> DataFrame:
+class Items:
+    """The tokens of the smaller side as an inverted index: token hash -> items; items in key order."""
+
+    def __init__(self, found: pa.Table):
+        keys = found["b"].to_pylist()
+        pairs = sorted(set(zip(keys, found["nb"].to_pylist(), strict=True)))
+        place = {p: i for i, p in enumerate(pairs)}
+        self.keys, self.sizes = [k for k, _ in pairs], np.array([n for _, n in pairs], np.int64)
+        item = np.array([place[p] for p in zip(keys, found["nb"].to_pylist(), strict=True)], np.int64)
+        token = found["token"].to_numpy()
+        order = np.argsort(token, kind="stable")
+        self.item = item[order]
+        self.token, first = np.unique(token[order], return_index=True)
+        self.first = np.append(first, len(token))
+
+    def shared(self, own: list[np.ndarray]) -> np.ndarray:
+        """How many tokens each of some texts shares with each item."""
+        flat = np.concatenate([np.zeros(0, np.int64), *own])
+        text = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        at = np.searchsorted(self.token, flat)
+        at[at == len(self.token)] = 0
+        hit = self.token[at] == flat if len(self.token) else np.zeros(len(flat), bool)
+        at, text = at[hit], text[hit]
+        n = self.first[at + 1] - self.first[at]
+        item = self.item[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[at], n)]
+        return np.bincount(np.repeat(text, n) * len(self.keys) + item, minlength=len(own) * len(self.keys)).reshape(len(own), len(self.keys))
+
+
+def token_index(others: DataFrame, other_key: str, other_text: str, most: int = MOST_INDEXED) -> Items | None:
+    """The index of a side of at most ``most`` (item, token) rows, or None for a larger one."""
+    found = token_rows(others, other_key, other_text, "b", "nb").limit(most + 1).toArrow()
+    return Items(found) if found.num_rows <= most else None
+
+
+def near_pairs(rows: DataFrame, key: str, text: str, others: DataFrame, other_key: str, other_text: str, threshold: float | None, most: int = MOST_INDEXED) -> DataFrame:
+    """(a, b, score) of every pair of at least the threshold; without one, each row's best pair (ties to the
+    largest other key). Pairs without a common token have none.
+
+    A small other side is shipped as an index and met in batches, so neither pairs nor tokens are shuffled;
+    a larger one meets by a join on tokens.
+    """
+    items = token_index(others, other_key, other_text, most)
+    if items is None:
+        pairs = token_join(token_rows(rows, key, text, "a", "na"), token_rows(others, other_key, other_text, "b", "nb"), threshold)
+        if threshold is not None:
+            return pairs
+        best = pairs.groupBy("a").agg(F.max(F.struct("score", "b")).alias("x"))
+        return best.select("a", F.col("x.b").alias("b"), F.col("x.score").alias("score"))
+    bc = rows.sparkSession.sparkContext.broadcast(items)
+    kinds = dict(rows.dtypes)[key], dict(others.dtypes)[other_key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = bc.value
+        step = max(1, 2_000_000 // max(1, len(items.keys)))
+        known = pa.array(items.keys, other_type)
+        for batch in batches:
+            lists = batch.column(1)
+            for lo in range(0, batch.num_rows if items.keys else 0, step):
+                own = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64) for x in lists.slice(lo, step)]
+                shared = items.shared(own)
+                size = np.array([len(x) for x in own])[:, None]
+                score = shared / np.maximum(size + items.sizes - shared, 1)
+                if threshold is None:
+                    at = np.flatnonzero(shared.any(axis=1))
+                    other = len(items.keys) - 1 - score[at, ::-1].argmax(axis=1)
+                else:
+                    at, other = np.nonzero((score >= threshold) & (shared > 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + at)), known.take(pa.array(other)), pa.array(score[at, other], pa.float64())], ["a", "b", "score"])
+
+    hashes = F.transform(T.token_set(F.col(text)), lambda t: F.xxhash64(t))
+    other_type = to_arrow_type(others.schema[other_key].dataType)
+    return rows.select(key, hashes.alias("x")).mapInArrow(run, f"a {kinds[0]}, b {kinds[1]}, score double")
+
+
+def best_match(rows: DataFrame, key: str, text: str, others: DataFrame, other_key: str, other_text: str, most: int = MOST_INDEXED) -> DataFrame:
     """(key, best, score): each row's most similar other row over all of them; ties to the largest key.
 
     A row that shares no token with any has best null and score 0.
     """
-    pairs = token_join(token_rows(rows, key, text, "a", "na"), token_rows(others, other_key, other_text, "b", "nb"))
-    best = pairs.groupBy("a").agg(F.max(F.struct("score", "b")).alias("x"))
-    return rows.select(F.col(key).alias("a")).join(best, "a", "left").select(F.col("a").alias(key), F.col("x.b").alias("best"), F.coalesce("x.score", F.lit(0.0)).alias("score"))
+    best = near_pairs(rows, key, text, others, other_key, other_text, None, most)
+    return rows.select(F.col(key).alias("a")).join(best, "a", "left").select(F.col("a").alias(key), F.col("b").alias("best"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def exact_match(rows: DataFrame, key: str, text: str, others: DataFrame, other_key: str, other_text: str) -> DataFrame:
@@ -72,7 +152,7 @@ def exclusions(rows: DataFrame, key: str, text: str, upstream: str, others: Data
     """(key, reason): rows that equal another by id, by upstream id, or are similar; the first reason wins."""
     ids = others.select(F.col(other_key).alias(key)).distinct().withColumn("by_id", F.lit(True))
     ups = others.select(F.col(other_upstream).alias(upstream)).where(F.col(upstream).isNotNull()).distinct().withColumn("by_up", F.lit(True))
-    near = token_join(token_rows(rows, key, text, "a", "na"), token_rows(others.select(other_key, other_text).distinct(), other_key, other_text, "b", "nb"), threshold)
+    near = near_pairs(rows, key, text, others.select(other_key, other_text).distinct(), other_key, other_text, threshold)
     near = near.select(F.col("a").alias(key)).distinct().withColumn("by_text", F.lit(True))
     reason = F.when(F.col("by_id"), "same_id").when(F.col("by_up"), "same_upstream").when(F.col("by_text"), "similar")
     return rows.select(key, upstream).join(ids, key, "left").join(ups, upstream, "left").join(near, key, "left").select(key, reason.alias("reason")).where("reason is not null")
@@ -80,7 +160,7 @@ def exclusions(rows: DataFrame, key: str, text: str, upstream: str, others: Data
 
 def disjoint_pool(pool: DataFrame, key: str, text: str, others: DataFrame, other_key: str, other_text: str, n: int, threshold: float = 0.5) -> DataFrame:
     """The first n rows of pool, by key, that are not similar to any other row; raises if there are fewer."""
-    near = token_join(token_rows(pool, key, text, "a", "na"), token_rows(others, other_key, other_text, "b", "nb"), threshold).select(F.col("a").alias(key)).distinct()
+    near = near_pairs(pool, key, text, others, other_key, other_text, threshold).select(F.col("a").alias(key)).distinct()
     out = pool.join(near, key, "left_anti").orderBy(key).limit(n)
     if (found := out.count()) < n:
         raise ValueError(f"only {found} of {n} rows are disjoint")

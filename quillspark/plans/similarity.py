@@ -23,7 +23,7 @@ def contam_near_best(t: Tables) -> DataFrame:
 
 @query(f"WITH {_PAIRS} SELECT doc_id, item_id, round(score, 9) AS score FROM q WHERE score >= 0.3")
 def contam_near(t: Tables) -> DataFrame:
-    pairs = S.token_join(S.token_rows(t.documents, "doc_id", "text", "a", "na"), S.token_rows(t.benchmark, "item_id", "text", "b", "nb"), 0.3)
+    pairs = S.near_pairs(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", 0.3)
     return pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), F.round("score", 9).alias("score"))
 
 
