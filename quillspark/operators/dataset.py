@@ -170,3 +170,66 @@ def dataset_manifest(rows: DataFrame, split: str, record: str, messages_column:
     other = (F.sum(F.size(system)) - count(list(prompts.values()))).cast("long").alias("unknown_prompts")
     digest = F.bit_xor(F.conv(F.substring(each, 1, 15), 16, 10).cast("long")).alias("digest")
     return rows.groupBy(split).agg(F.count("*").alias("record_count"), digest, *known, other)
+
+
+# The shape of a rubric worksheet and what opens the provenance of a rubric that a person wrote.
+BLOCK, POINTS_AND_ERRORS = r"(?m)^###[ \t]+(\S+)", r"(?ms)^KEY POINTS:\s*$(.*?)^COMMON ERRORS:\s*$(.*?)\z"
+BULLET, SEPARATOR = r"^\s*(?:[-*+•·▪●–—]+|\d+[.)])\s*", r"^[-_=–—*]*$"
+HAND_AUTHORED = "hand-authored"
+
+
+def worksheet_bullets(sheets: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, id, key_points, common_errors) of the filled blocks of worksheets; lines of dashes are no bullets."""
+    ids = F.regexp_extract_all(F.col(text), F.lit(BLOCK), F.lit(1))
+    bodies = F.slice(F.split(F.col(text), BLOCK), F.lit(2), F.size(ids))
+    each = sheets.select(key, F.explode(F.arrays_zip(ids.alias("id"), bodies.alias("b"))).alias("x")).select(key, "x.id", "x.b")
+    lines = lambda i: F.filter(F.transform(F.split(F.regexp_extract("b", POINTS_AND_ERRORS, i), "\n"), lambda x: F.trim(x, F.lit(" \t\r"))), lambda x: ~x.rlike(SEPARATOR))
+    items = lambda i: F.filter(F.transform(lines(i), lambda x: F.trim(F.regexp_replace(x, BULLET, ""))), lambda x: x != "")
+    return each.select(key, "id", items(1).alias("key_points"), items(2).alias("common_errors")).where(F.size("key_points") > 0)
+
+
+def hand_authored(source: Column) -> Column:
+    """Whether a rubric's provenance says that a person wrote it; a set field alone doesn't."""
+    return F.startswith(F.coalesce(source, F.lit("")), F.lit(HAND_AUTHORED))
+
+
+def notes_report(verdicts: DataFrame) -> DataFrame:
+    """Per form version (1 if unstated): verdicts, those with a note, faulted ones and those that explain it, and
+    notes on what no entry covers. Versions are not pooled: they ask for notes on different terms.
+
+    verdicts: (form_version, note, errors_present: array, not_covered).
+    """
+    noted = F.trim(F.coalesce("note", F.lit(""))) != ""
+    uncovered = F.coalesce("not_covered", F.lit(False))
+    faulted = (F.coalesce(F.size("errors_present"), F.lit(0)) > 0) | uncovered
+    return verdicts.groupBy(F.coalesce("form_version", F.lit(1)).alias("form_version")).agg(
+        F.count("*").alias("verdicts"), F.count_if(noted).alias("noted"), F.count_if(faulted).alias("faulted"), F.count_if(faulted & noted).alias("explained"), F.count_if(uncovered & noted).alias("uncovered_noted")
+    )
+
+
+def padded(answers: DataFrame, key: str, answer: str, cited: str, rules: DataFrame, rule_id: str, text: str) -> DataFrame:
+    """(key, answer, n_quoted): an answer lengthened by the text of the rules it cites, in citing order; unchanged
+    if none of them is known."""
+    each = answers.select(key, F.posexplode(cited).alias("pos", "id")).join(rules.select(F.col(rule_id).alias("id"), F.col(text).alias("t")), "id")
+    quoted = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(". ", "id", "t").alias("line")))).alias("q"))
+    lines = F.array_join(F.transform("q", lambda x: x["line"]), "\n")
+    longer = F.concat(F.regexp_replace(answer, r"\s+$", ""), F.lit("\n\nFor reference, the rules text:\n"), lines)
+    return answers.join(quoted, key, "left").select(key, F.coalesce(longer, answer).alias("answer"), F.coalesce(F.size("q"), F.lit(0)).alias("n_quoted"))
+
+
+def profile_digest(fields: dict[str, Column]) -> Column:
+    """12 hex digits of a profile's fields, a line each in the given order; text is quoted, so 1 and '1' differ."""
+    lines = [F.concat(F.lit(f"{name}="), F.coalesce(c, F.lit("None")), F.lit("\n")) for name, c in fields.items()]
+    return F.left(F.sha2(F.concat(*lines), 256), F.lit(12))
+
+
+def authoritative(rulings: DataFrame, source: str, everything: bool = False, authority: str = "wotc") -> DataFrame:
+    """Rulings of the authority alone, or all if asked for."""
+    return rulings if everything else rulings.where(F.col(source) == authority)
+
+
+def open_first(tasks: DataFrame, done: Column, order: list) -> DataFrame:
+    """tasks with their ``place``: open ones first, otherwise in their own order."""
+    from quillspark.operators.ranking import ranked
+
+    return ranked(tasks, [F.coalesce(done, F.lit(False)), *order], "place")

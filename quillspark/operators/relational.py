@@ -62,11 +62,24 @@ def expand_variants(df: DataFrame, key: str, question: str, others: str) -> Data
     return each.select(key, F.when(F.col("i") == 0, "canonical").otherwise(F.concat(F.lit("paraphrase-"), F.col("i").cast("string"))).alias("variant"), "question")
 
 
-def expand_steps(df: DataFrame, key: str, base: dict[str, str], steps: str) -> DataFrame:
-    """A row per step (struct with a map ``given``); a field that the step gives wins, even if it gives null."""
-    each = df.select(key, *base.values(), F.posexplode(steps).alias("step", "s"))
+def expand_steps(df: DataFrame, key: str, base: dict[str, str], steps: str, known: str | None = None) -> DataFrame:
+    """A row per step (struct with a map ``given``); a field that the step gives wins, even if it gives null.
+
+    With ``known``, a column of arrays, steps also hold ``reference``, their own correct lines: a step knows
+    what is known at first and, as one more line, what the steps before it have done (saying which step it is
+    is no deed).
+    """
+    done = lambda s, i: F.filter(F.flatten(F.transform(F.slice(F.col(steps), F.lit(1), i), lambda x: F.coalesce(x["reference"], F.array().cast("array<string>")))), lambda a: ~F.upper(F.trim(a)).rlike("^(PHASE |END PHASE)"))
+    if known is not None:
+        prior = F.transform(F.col(steps), lambda s, i: done(s, i))
+        each = df.select(key, *base.values(), F.coalesce(known, F.array().cast("array<string>")).alias("__known"), F.posexplode(F.arrays_zip(F.col(steps).alias("s"), prior.alias("p"))).alias("step", "x"))
+        line = F.concat(F.lit("Already done this turn: "), F.array_join("x.p", "; "))
+        told = F.when(F.size("x.p") > 0, F.concat("__known", F.array(line))).otherwise(F.col("__known"))
+        each = each.select(key, *base.values(), "step", F.col("x.s").alias("s"), told.alias("known"))
+    else:
+        each = df.select(key, *base.values(), F.posexplode(steps).alias("step", "s"))
     field = lambda name, column: F.when(F.map_contains_key("s.given", F.lit(name)), F.element_at("s.given", F.lit(name))).otherwise(F.col(column)).alias(name)
-    return each.select(key, "step", *(field(n, c) for n, c in base.items()))
+    return each.select(key, "step", *(field(n, c) for n, c in base.items()), *(["known"] if known is not None else []))
 
 
 def collapse_repeats(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
