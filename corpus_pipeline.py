@@ -6,7 +6,13 @@
 4. mixing: sources are brought to their target weights; a document may be repeated.
 5. packing: texts become power-of-two sequences; a row per piece, as the packing operator returns them.
 
-Stages 1 to 4 return the columns of documents. Learned models are fitted on their stage's own input.
+Stages 1 to 4 return the columns of documents, whatever other columns they have and how these are named.
+Learned models are fitted on their stage's own input.
+
+Defined results: rows whose text is null, empty or without letters go in stage 1, so do all rows if no row has
+a language; without labels of both classes stage 2 keeps all rows; a null id is kept as any other, and rows
+that repeat an id and a text become one in stage 3; null is a source of its own in stage 4; an empty table
+gives no rows in any stage. Texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -19,22 +25,27 @@ from quillspark.llm.shared import Scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in a recognised language."""
     return langid.identify(docs, rows=True).where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select("row.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score under the threshold."""
     return toxicity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), rows=True).where("predicted = 0").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first row, by id, of each component of near-duplicates."""
     return jaccard_join.dedupe(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes."""
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece."""
     return packing.pack(docs, ids=False)
 
 
