@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,17 +33,76 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("ord", "line"))
 
 
+def read_ordered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The objects of JSON-lines files with (_source_file, _line), so that file and line order can be kept."""
+    lines = read_lines(spark, path).where(F.trim("line") != "")
+    return lines.select(F.col("file").alias("_source_file"), F.col("ord").alias("_line"), F.from_json("line", schema).alias("x")).select("_source_file", "_line", "x.*")
+
+
+def _moved(spark: SparkSession, source: str, target: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = p(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.rename(p(source), p(target)):
+        raise OSError(f"can't move {source} to {target}")
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def guarded_overwrite(df: DataFrame, path: str, fmt: str = "parquet", least_share: float = 0.5, force: bool = False) -> int:
-    """Replace path unless the new table has too small a share of the old one's rows; returns the new count."""
-    spark, n = df.sparkSession, df.count()
-    if not force and exists(spark, path):
-        old = spark.read.format(fmt).load(path).count()
-        if n < old * least_share:
-            raise ValueError(f"{path}: {n} rows would replace {old}")
-    df.write.mode("overwrite").format(fmt).save(path)
+    """Replace path unless the new table has too small a share of the old one's rows; returns the new count.
+
+    The new table is written beside the old one, counted as written, and moved into its place; the old one
+    goes last, so a failed write leaves it whole and the table may be made from itself. A reader sees one of
+    both, or no table between the two moves.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    new, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
+    df.write.format(fmt).save(new)
+    n = spark.read.format(fmt).schema(df.schema).load(new).count()
+    if exists(spark, path):
+        before = 0 if force else spark.read.format(fmt).load(path).count()
+        if n < before * least_share:
+            _removed(spark, new)
+            raise ValueError(f"{path}: {n} rows would replace {before}")
+        _moved(spark, path, old)
+    _moved(spark, new, path)
+    _removed(spark, old)
     return n
 
 
+def save_index(vectors: DataFrame, vec_id: str, vector: str, path: str, model: str) -> DataFrame:
+    """Write (vec_id, vector) as an index with a manifest row beside it: model, dimensions, rows and digest."""
+    from quillspark.operators.relational import fingerprint
+
+    content = F.concat_ws(":", F.col(vec_id).cast("string"), F.to_json(F.col(vector).cast("array<double>")))
+    spark = vectors.sparkSession
+    guarded_overwrite(vectors.select(vec_id, vector), f"{path}/vectors", force=True)
+    written = spark.read.parquet(f"{path}/vectors")
+    facts = written.agg(F.max(F.size(vector)).alias("dimensions"), F.min(F.size(vector)).alias("least_dimensions"))
+    made = fingerprint(written, vec_id, content).join(F.broadcast(facts)).withColumn("model", F.lit(model))  # a row each
+    guarded_overwrite(made, f"{path}/manifest", force=True)
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def load_index(spark: SparkSession, vec_id: str, vector: str, path: str, model: str) -> DataFrame:
+    """The index's vectors; raises if it's of another model, was changed, or mixes dimensions."""
+    from quillspark.operators.relational import fingerprint
+
+    m, rows = spark.read.parquet(f"{path}/manifest").first(), spark.read.parquet(f"{path}/vectors")
+    if m["model"] != model:
+        raise ValueError(f"index of {m['model']}, not of {model}")
+    if m["dimensions"] != m["least_dimensions"]:
+        raise ValueError(f"vectors of {m['least_dimensions']} to {m['dimensions']} dimensions")
+    content = F.concat_ws(":", F.col(vec_id).cast("string"), F.to_json(F.col(vector).cast("array<double>")))
+    found = fingerprint(rows, vec_id, content).first()
+    if (found["n"], found["digest"]) != (m["n"], m["digest"]):
+        raise ValueError("the index isn't the one its manifest describes")
+    return rows
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
@@ -65,11 +125,23 @@ def verify_pin(df: DataFrame, key: str, content: str, pinned_n: int, pinned_dige
 
 
 def snapshot(df: DataFrame, name: str) -> DataFrame:
-    """Distinct non-empty names with a digest over all of them in order."""
+    """Distinct non-empty names with their count and a digest over all of them in name order."""
+    from quillspark.operators.ranking import ranked
     from quillspark.operators.relational import fingerprint
 
     names = df.where(F.col(name).isNotNull() & (F.trim(name) != "")).select(name).distinct()
-    return names.join(F.broadcast(fingerprint(names.withColumn("__k", F.abs(F.xxhash64(name))), "__k", F.col(name), block=1 << 50)))  # one row
+    return names.join(F.broadcast(fingerprint(ranked(names, [name], "__k"), "__k", F.col(name))))  # one row
+
+
+def verify_snapshot(stored: DataFrame, df: DataFrame, name: str) -> list[str]:
+    """What of a stored snapshot isn't what df would give now: n, digest, or names on either side."""
+    new = snapshot(df, name)
+    a, b = stored.select("n", "digest").first(), new.select("n", "digest").first()
+    found = [c for c in ("n", "digest") if (a and a[c]) != (b and b[c])]
+    for label, one, other in (("gone", stored, new), ("added", new, stored)):
+        if one.select(name).join(other.select(name), name, "left_anti").head(1):
+            found.append(label)
+    return found
 
 
 def read_intake_csv(spark: SparkSession, path: str, lists: tuple[str, ...], id_column: str = "id") -> DataFrame:

@@ -28,6 +28,8 @@ def test_guarded_overwrite(spark, tmp_path):
         io.guarded_overwrite(spark.range(4), path)
     assert spark.read.parquet(path).count() == 10
     assert io.guarded_overwrite(spark.range(4), path, force=True) == 4
+    assert io.guarded_overwrite(spark.read.parquet(path).union(spark.range(2)), path) == 6  # of itself
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
     io.append_log(spark.range(2), str(tmp_path / "log"))
     io.append_log(spark.range(1), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 3
@@ -41,6 +43,25 @@ def test_pins(spark):
     assert io.verify_pin(df.limit(3), "id", "t", n, digest) == "3 records, pinned 50"
     names = spark.createDataFrame([("b",), ("a",), ("b",), (None,), (" ",)], "name string")
     assert io.snapshot(names, "name").count() == 2
+    same = spark.createDataFrame([("a",), ("b",)], "name string")
+    assert io.verify_snapshot(io.snapshot(names, "name"), same, "name") == []
+    assert io.verify_snapshot(io.snapshot(names, "name"), spark.createDataFrame([("a",), ("c",)], "name string"), "name") == ["digest", "gone", "added"]
+
+
+def test_ordered_lines_and_index(spark, tmp_path):
+    (tmp_path / "b.jsonl").write_text('{"g": 1}\n\n{"g": 2}\n')
+    (tmp_path / "a.jsonl").write_text('{"g": 3}\n')
+    got = io.read_ordered_jsonl(spark, str(tmp_path), "g int").orderBy("_source_file", "_line").collect()
+    assert [tuple(r) for r in got] == [("a.jsonl", 0, 3), ("b.jsonl", 0, 1), ("b.jsonl", 2, 2)]
+    path = str(tmp_path / "index")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "i long, v array<float>")
+    m = io.save_index(vectors, "i", "v", path, "m1").first()
+    assert (m["n"], m["dimensions"], m["model"]) == (5, 2, "m1") and io.load_index(spark, "i", "v", path, "m1").count() == 5
+    with pytest.raises(ValueError, match="index of m1"):
+        io.load_index(spark, "i", "v", path, "m2")
+    io.guarded_overwrite(vectors.withColumn("v", F.array(F.lit(0.0).cast("float"))), f"{path}/vectors")
+    with pytest.raises(ValueError, match="manifest"):
+        io.load_index(spark, "i", "v", path, "m1")
 
 
 def test_intake_blocks_and_decks(spark, tmp_path):
