@@ -90,6 +90,17 @@ def _row_batch(kind: int, n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *given], ["kind", *types])
 
 
+def _gaps(token: np.ndarray) -> bytes:
+    """Sorted numbers as their gaps, byte by byte: the upper bytes are nearly all equal and compress away."""
+    gaps = np.diff(token, prepend=np.uint64(0))
+    return np.ascontiguousarray(gaps.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _ungapped(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(">u8").astype(np.uint64), dtype=np.uint64)
+
+
 def _crowded(token: np.ndarray, node: np.ndarray, shares: int) -> Iterator[pa.RecordBatch]:
     """Pairs (shingle, class) as packed rows, dealt by the class."""
     share = (mix(node.view(np.uint64)) % np.uint64(shares)).astype(np.int64)
@@ -130,7 +141,6 @@ def entries(scratch: Scratch, texts: DataFrame, k: int, fragments: int, classes:
                 token, owner = token[~of_hot], owner[~of_hot]
             places = lambda t: np.searchsorted(((t >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32), np.arange(fragments + 1, dtype=np.uint64))
             limits, marked = places(token), places(marks)
-            planes = token.astype(">u8").view(np.uint8).reshape(-1, 8)
             rows = []
             for f in range(fragments):
                 a, b = limits[f], limits[f + 1]
@@ -138,7 +148,7 @@ def entries(scratch: Scratch, texts: DataFrame, k: int, fragments: int, classes:
                     used, own = np.unique(owner[a:b], return_inverse=True)
                     short = 8 * len(used) + 2 * (b - a) > 8 * (b - a)  # then each shingle carries its class
                     own = (b"", names[owner[a:b]]) if short else (own.astype(np.uint16).tobytes(), names[used])
-                    rows.append((f, np.ascontiguousarray(planes[a:b].T).tobytes(), own[0], own[1].tobytes()))
+                    rows.append((f, _gaps(token[a:b]), own[0], own[1].tobytes()))
                 if marked[f] < marked[f + 1]:
                     rows.append((f, marks[marked[f] : marked[f + 1]].tobytes(), b"", None))
             if rows:
@@ -170,10 +180,8 @@ def entries(scratch: Scratch, texts: DataFrame, k: int, fragments: int, classes:
                 elif node is None:
                     marks.setdefault(f, []).append(np.frombuffer(token, np.uint64))
                 else:
-                    planes = np.frombuffer(token, np.uint8).reshape(8, -1)
                     names = np.frombuffer(node, np.int64)
-                    own = np.ascontiguousarray(planes.T).reshape(-1).view(">u8").astype(np.uint64)
-                    held.setdefault(f, []).append((own, names[np.frombuffer(owner, np.uint16)] if owner else names))
+                    held.setdefault(f, []).append((_ungapped(token), names[np.frombuffer(owner, np.uint16)] if owner else names))
         for f in list(held):
             token, node = (np.concatenate(x) for x in zip(*held.pop(f), strict=True))
             if f in marks:
@@ -374,7 +382,8 @@ def dedupe(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **p
     kept = Scratch(documents.sparkSession, "dedupe").table(kept.select(F.col("k.doc_id").alias("__id"), F.col("k.crc").alias("__crc"), "__several"), "kept")
     own = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col(doc_id).cast("long").alias("__own_id"), own.alias("__own_crc"))
-    rows = rows.join(kept, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_crc") == F.col("__crc")))
+    # kept grows with the documents, so it's never broadcast: the same plan at every size
+    rows = rows.join(kept.hint("merge"), F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_crc") == F.col("__crc")))
     # whole rows are shuffled once; only those whose id and text repeat are told apart
     repeated = rows.where("__several").dropDuplicates(["__own_id", "__own_crc"])
     return rows.where("not __several").select("row.*").unionByName(repeated.select("row.*"))

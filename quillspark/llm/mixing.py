@@ -67,7 +67,8 @@ def mix(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", source
     if rows:
         taken = scratch.table(out.where("copies > 0").select("rid", "copies"), "taken")
         scratch.drop("ranked")
-        return base.join(taken, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+        # taken grows with the documents, so it's never broadcast: the same plan at every size
+        return base.join(taken.hint("merge"), "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
     scratch.drop("base")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
