@@ -29,6 +29,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -395,13 +396,6 @@ def _code(edge: int) -> np.dtype:
     return np.dtype(np.uint8 if edge < 255 else np.uint16)
 
 
-class _Head(dict):
-    """Word -> position among the head words, or -1."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 def _parts(batches: Iterator[pa.RecordBatch], bc) -> Iterator[pa.RecordBatch]:
     """Of each document, what the broadcast part of the model tells, and a row for each of its other tokens.
 
@@ -409,42 +403,42 @@ def _parts(batches: Iterator[pa.RecordBatch], bc) -> Iterator[pa.RecordBatch]:
     """
     model = bc.value
     if "index" not in model:  # once in a worker's life
-        model["index"] = _Head((w, i) for i, w in enumerate(model["words"]))
+        model["index"] = {w: i for i, w in enumerate(model["words"])}
         # position -1 reaches what is put at the end
         for name, kind, none in (("class_of", _code(model["edge"]), np.iinfo(_code(model["edge"])).max), ("word_log", np.float64, 0.0), ("count_log", np.float64, 0.0)):
             model[name] = np.concatenate([model[name], [none]]).astype(kind)
-    look, class_of, word_log, count_log = model["index"].__getitem__, model["class_of"], model["word_log"], model["count_log"]
+    look, class_of, word_log, count_log = model["index"].get, model["class_of"], model["word_log"], model["count_log"]
     edge = np.array([model["edge"]], class_of.dtype)
     end_log = math.log10(model["end"] + ADD) - model["log_base"]
     task, row = TaskContext.get().partitionId(), 0
     names = ["rid", "doc_id", "held_out", "word", "n", "n_known", "log_counts", "score", "classes"]
     for batch in batches:
         ids, held, texts = batch.column(0), batch.column(1), text_bytes(batch.column(2))
-        rids, n_tokens, n_known, log_counts, scores, sequences, t_rid, t_word, t_at = [], [], [], [], [], [], [], [], []
+        rids, n_tokens, n_known, log_counts, scores, sequences, t_rid, t_many, t_word, t_at = [], [], [], [], [], [], [], [], [], []
         for text in texts:
             rid = (task << 33) | row
             row += 1
             tokens = text.lower().split()
-            at = np.fromiter(map(look, tokens), np.int64, len(tokens))
-            rest = np.flatnonzero(at < 0)
+            at = np.fromiter(map(look, tokens, repeat(-1)), np.int64, len(tokens))
+            rest = np.flatnonzero(at < 0).tolist()
             rids.append(rid)
             n_tokens.append(len(tokens) + 1)
             n_known.append(len(tokens) - len(rest) + (model["end"] > 0))
             log_counts.append(float(count_log[at].sum()) + end_log + model["log_base"])
             scores.append(float(word_log[at].sum()))
             sequences.append(np.concatenate([edge, class_of[at], edge]).tobytes())
-            for i in rest.tolist():
-                t_rid.append(rid)
-                t_word.append(tokens[i])
-                t_at.append(i + 1)
+            t_rid.append(rid)
+            t_word += [tokens[i] for i in rest]
+            t_at += rest
+            t_many.append(len(rest))
         n = len(rids)
         yield pa.RecordBatch.from_arrays(
             [pa.array(rids, pa.int64()), ids.cast(pa.int64()), held, pa.nulls(n, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(log_counts, pa.float64()), pa.array(scores, pa.float64()), pa.array(sequences, pa.binary())], names
         )
-        m = len(t_rid)
+        m = len(t_word)
         if m:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(t_rid, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(t_word, pa.binary()), pa.array(t_at, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.binary())], names
+                [pa.array(np.repeat(t_rid, t_many), pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(t_word, pa.binary()), pa.array(np.array(t_at, np.int64) + 1), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.binary())], names
             )
 
 
