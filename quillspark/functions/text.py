@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 # Words, patterns and limits that results depend on.
 STOP_WORDS = (
-    "a an the and or but if then than that this these those is are was were be been being do does did have has had i you it its he she "
-    "they them his her their of to in on at for with from by as into my me we can will would what when how why which who so not"
-).split()
+    "a", "an", "the", "and", "or", "but", "if", "then", "than", "that", "this", "these", "those", "is", "are", "was", "were", "be", "been", "being",
+    "do", "does", "did", "have", "has", "had", "i", "you", "it", "its", "he", "she", "they", "them", "his", "her", "their", "of", "to", "in", "on",
+    "at", "for", "with", "from", "by", "as", "into", "my", "me", "we", "can", "will", "would", "what", "when", "how", "why", "which", "who", "so",
+    "not",
+)
 TOKEN = r"[a-z0-9']+"
 TOKEN_DOTTED = r"[a-z0-9.]+"
 RULE_ID = r"\b\d{3}\.\d+[a-z]?\b"
