@@ -58,3 +58,20 @@ def lockouts(events: DataFrame, key: str, seconds: str, failed: str, most: int =
 
     kind = next(f.dataType.simpleString() for f in events.schema.fields if f.name == key)
     return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {seconds} double, count int, locked boolean", "n int, first double", "append", "NoTimeout")
+
+
+def append_new(stream: DataFrame, path: str, key: str, checkpoint: str):
+    """Start a query that appends each arriving item once: items already in the log at path are left out.
+
+    A batch that is run again after a failure finds its own rows and adds none twice.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        from quillspark.sources.io import exists
+
+        new = batch.dropDuplicates([key])
+        if exists(batch.sparkSession, path):
+            new = new.join(batch.sparkSession.read.schema(batch.schema).json(path).select(key).distinct(), key, "left_anti")
+        new.select(*batch.columns).write.mode("append").json(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -110,3 +110,12 @@ def test_windowed_stream(spark, tmp_path):
     schema = "at string, kind string, v double"
     got = run_stream(spark, lambda s: stream_logs.windowed(s.withColumn("ts", F.to_timestamp("at")), "ts", "kind", "v"), rows, schema, str(tmp_path / "3"), "complete")
     assert sorted((str(r["start"])[:10], r["n"], r["total"]) for r in got.collect()) == [(f"2024-01-0{d}", 4, 4.0) for d in (1, 2, 3)]
+
+
+def test_a_stream_appends_each_item_once(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "k string, v int"
+    for rows in ([("a", 1), ("b", 2), ("a", 1)], [("b", 2), ("c", 3)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for checkpoint in ("c1", "c2"):  # the second starts over and finds all of it done
+            stream_logs.append_new(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), path, "k", str(tmp_path / checkpoint)).awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.schema(schema).json(path).collect()) == [("a", 1), ("b", 2), ("c", 3)]
