@@ -14,8 +14,8 @@ P(w | previous) = P(class(w) | class(previous)) * P(w | class(w)).
   the same table, where their rarer neighbours stand in the classes of their buckets; the step is not
   repeated. Words seen less often, and words never seen, stay in their buckets.
 * The class bigrams of the model are counted anew over the training texts with the classes of all words.
-* Scoring needs each token's count and class. Those of the ``head`` most frequent words are broadcast
-  (bound: a parameter); the other tokens are joined with the table of words by a shuffle, so no word is
+* Scoring needs each token's count and class. Those of the ``head`` most frequent words at most are broadcast
+  (bound: a parameter; words of equal counts together or not at all); the other tokens are joined with the table of words by a shuffle, so no word is
   left out, and a text's classes are put together again from both.
 
 Defined results: a null text scores as an empty one (one end token); a null doc_id is training; repeated
@@ -341,8 +341,13 @@ def fit(scratch: Scratch, training: DataFrame, clustered: int = 4096, buckets: i
     counts = scratch.table(word_counts(training), "counts")
     whole = counts.agg(F.sum("c"), F.count("*")).first()
     tokens, kinds = int(whole[0] or 0), int(whole[1])
-    common = F.desc("c"), F.asc("word")
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(*common).limit(min(clustered, head)).toArrow()
+    # how many words have each count: a row for each count, of which there are few (they sum up to the tokens);
+    # with it the most frequent words are a filter, and no task sorts more than those
+    of_count = counts.groupBy("c").agg(F.count("*").alias("k")).toArrow().sort_by([("c", "descending")])
+    each, upto = of_count["c"].to_numpy(), np.cumsum(of_count["k"].to_numpy())
+    enough = int(np.searchsorted(upto, min(clustered, head) + 1))  # and the end
+    above = F.col("c") >= int(each[min(enough, len(each) - 1)]) if len(each) else F.lit(False)
+    top = counts.where(above & (F.col("word") != F.lit(END))).orderBy(F.desc("c"), F.asc("word")).limit(min(clustered, head)).toArrow()
     singles, c = top["word"].to_pylist(), top["c"].to_pylist()
     end_n = counts.where(F.col("word") == F.lit(END)).first()
     m = len(singles) + buckets + 1
@@ -376,7 +381,8 @@ def fit(scratch: Scratch, training: DataFrame, clustered: int = 4096, buckets: i
     of_class = -np.log10(class_n + ADD * class_units)  # of a word with a class of its own, without its own count
     # of a word in its bucket, without its own count
     of_bucket = np.log10(in_bucket + ADD) + of_class[label[k:-1]] - np.log10(in_bucket + ADD * (kinds_in + 1))
-    rest = tail.orderBy(*common).limit(max(0, head - k)).toArrow()
+    fitting = int(np.searchsorted(upto, head, side="right"))  # words of equal counts are broadcast together or not
+    rest = tail.where(F.col("c") >= int(each[fitting - 1])).orderBy(F.desc("c"), F.asc("word")).toArrow() if fitting else tail.limit(0).toArrow()
     own = rest["cls"].to_numpy() if rest.num_rows else np.zeros(0)  # nan: none
     n, b = np.concatenate([c, rest["c"].to_numpy()]), np.array(rest["b"].to_pylist(), np.int64)
     single = np.isnan(own.astype(np.float64))
