@@ -135,7 +135,8 @@ def rare_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.75, most
     they share, with all the common tokens either has, bounds their overlap, so few are left to be counted
     over all tokens.
     """
-    rows = token_rows(df, key, text, "a", "na")
+    sets = df.select(F.col(key).alias("a"), F.transform(T.token_set(F.col(text)), lambda t: F.xxhash64(t)).alias("x")).withColumn("na", F.size("x"))
+    rows = sets.select("a", "na", F.explode("x").alias("token"))
     rare = rows.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df").between(2, most)).select("token")
     few = rows.join(rare, "token").withColumn("ra", F.count("*").over(Window.partitionBy("a")))
     other = few.select(F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb"), "token")
@@ -143,8 +144,8 @@ def rare_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.75, most
     pairs = few.join(other, "token").where((F.col("a") < F.col("b")) & close).groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count("*").alias("c"))
     most_shared = F.col("c") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
     pairs = pairs.where(most_shared * (1 + threshold) + 1e-9 >= F.lit(threshold) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
-    met = pairs.join(rows.select("a", "token"), "a").join(rows.select(F.col("a").alias("b"), "token"), ["b", "token"])
-    scored = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    met = pairs.join(sets.select("a", "x"), "a").join(sets.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
+    scored = met.withColumn("shared", F.size(F.array_intersect("x", "y")))
     return scored.select("a", "b", jaccard(F.col("shared"), F.col("na"), F.col("nb")).alias("score")).where(F.col("score") >= threshold)
 
 
