@@ -42,15 +42,21 @@ def rubric_scores_halved(t: Tables) -> DataFrame:
     return rows.select("event_id", J.rubric_score(hit, errors, F.col("n"), halve=True).alias("score"))
 
 
+_QUOTED = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
+
+
 @query(
-    r"""WITH q AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS hay, substr(text, 1, 30) AS quote, doc_id % 3 AS kind FROM documents)
-    SELECT doc_id, CASE WHEN kind = 2 THEN 0 ELSE 1 END::BIGINT AS kept, CASE WHEN kind = 2 THEN 1 ELSE 0 END::BIGINT AS dropped FROM q"""
+    rf"""WITH q AS (SELECT d.doc_id, {_QUOTED.format("d.text")} AS hay, {_QUOTED.format("CASE d.doc_id % 3 WHEN 0 THEN replace(substr(d.text, 3, 30), ' ', '  ') WHEN 1 THEN 'no' ELSE coalesce(substr(o.text, 1, 16), 'never written anywhere here') END")} AS needle
+      FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id + 1), c AS (SELECT doc_id, length(needle) >= 12 AND NOT contains(hay, needle) AS gone FROM q)
+    SELECT doc_id, (NOT gone)::BIGINT AS kept, gone::BIGINT AS dropped FROM c"""
 )
 def quoted_claims(t: Tables) -> DataFrame:
-    """A claim with a true quote, a short one and an invented one."""
-    quote = F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(30))).when(F.col("doc_id") % 3 == 1, F.lit("no")).otherwise(F.lit("never written anywhere here"))
+    """A claim with a piece of the text in wider spaces, a short one, and the start of another document."""
+    other = t.documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    k = F.col("doc_id") % 3
+    quote = F.when(k == 0, F.replace(F.substring("text", 3, 30), F.lit(" "), F.lit("  "))).when(k == 1, F.lit("no")).otherwise(F.coalesce(F.left("other", F.lit(16)), F.lit("never written anywhere here")))
     claim = F.parse_json(F.to_json(F.array(F.struct(F.lit(1).alias("n"), quote.alias("quote")))))
-    rows = t.documents.select("doc_id", J.quoted_claims(claim, F.col("text"), F.lit(3)).alias("x"))
+    rows = t.documents.join(other, "doc_id", "left").select("doc_id", J.quoted_claims(claim, F.col("text"), F.lit(3)).alias("x"))
     return rows.select("doc_id", F.size("x.kept").cast("long").alias("kept"), F.col("x.dropped").cast("long").alias("dropped"))
 
 

@@ -93,10 +93,20 @@ def cascade_resolve(t: Tables) -> DataFrame:
     return R.resolve_names(asked, "raw", t.part, "p_name").select("p_partkey", "resolved", "how")
 
 
-@query("SELECT p_partkey, p_name AS name, 'exact' AS how, 1 AS rank FROM part")
+@query(
+    """WITH m AS (SELECT p_partkey, 0 AS pos, p_name AS raw FROM part UNION ALL SELECT a.p_partkey, 2, upper(b.p_name) FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 7 UNION ALL SELECT a.p_partkey, 3, replace(b.p_name, ' ', '-') FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 3),
+    n AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS norm, min(p_name) AS by_norm FROM part GROUP BY 1), e AS (SELECT DISTINCT p_name FROM part),
+    r AS (SELECT p_partkey, pos, coalesce(e.p_name, by_norm) AS name, CASE WHEN e.p_name IS NOT NULL THEN 'exact' ELSE 'normalized' END AS how FROM m LEFT JOIN e ON e.p_name = raw JOIN n ON n.norm = regexp_replace(lower(raw), '[^a-z0-9]', '', 'g')),
+    f AS (SELECT p_partkey, name, arg_min(how, pos) AS how, min(pos) AS pos FROM r GROUP BY ALL)
+    SELECT p_partkey, name, how, row_number() OVER (PARTITION BY p_partkey ORDER BY pos) AS rank FROM f"""
+)
 def names_in_text(t: Tables) -> DataFrame:
-    texts = t.part.select("p_partkey", F.concat(F.lit("See [["), F.col("p_name"), F.lit("]] and [[nothing at all 77]] and [["), F.upper("p_name"), F.lit("]].")).alias("text"))
-    return R.names_in_text(texts, "p_partkey", "text", t.part, "p_name")
+    """A part's name as it is, an unknown one, another part's in capitals and a third's with hyphens."""
+    other = lambda by, name: t.part.select((F.col("p_partkey") - by).alias("p_partkey"), F.col("p_name").alias(name))
+    rows = t.part.select("p_partkey", "p_name").join(other(7, "a"), "p_partkey", "left").join(other(3, "b"), "p_partkey", "left")
+    linked = lambda c: F.coalesce(F.concat(F.lit(" [["), c, F.lit("]]")), F.lit(" [[nothing at all 78]]"))
+    text = F.concat(F.lit("See"), linked(F.col("p_name")), F.lit(" and [[nothing at all 77]] or"), linked(F.upper("a")), F.lit(","), linked(F.replace("b", F.lit(" "), F.lit("-"))))
+    return R.names_in_text(rows.select("p_partkey", text.alias("text")), "p_partkey", "text", t.part, "p_name")
 
 
 @query(
