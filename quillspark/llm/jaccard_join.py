@@ -45,7 +45,7 @@ from quillspark.llm.components import components
 from quillspark.llm.shared import Scratch, partitions, tidy
 from quillspark.llm.textarrays import chunks, mix, shingles, span_hashes, text_bytes, word_spans
 
-FLUSH_TOKENS, FLUSH_CLASSES = 4_000_000, 65_000
+FLUSH_TOKENS, FLUSH_CLASSES = 2_000_000, 65_000
 
 
 def _sets(texts: list[bytes], k: int) -> Iterator[tuple[int, np.ndarray]]:
