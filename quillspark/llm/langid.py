@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspark.llm.shared import bounded_batches, fold, tidy
+from quillspark.llm.shared import bounded_batches, fold, release, tidy
 
 ORDERS = (1, 2, 3)
 
@@ -147,6 +147,7 @@ def identify(
     held = fold(F.col(doc_id), 5) == 0 if held_out is None else held_out
     model = fit(documents.where(~held), text, lang, F.xxhash64(F.col(doc_id).cast("string"), F.lit(5)), features, per_language, longest, most_languages)
     bc = documents.sparkSession.sparkContext.broadcast(model)
+    release()
 
     place = documents.columns.index(text)
 

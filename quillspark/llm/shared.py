@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
@@ -44,6 +45,16 @@ def opened(bc: Broadcast):
     return own["thing"]
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker or driver lives on and would hold its peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, giving memory back to the system when a task ends: workers live on and would hold their peak."""
 
@@ -51,11 +62,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            release()
 
     return tidied
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspark.llm.shared import bounded_batches, fold, opened, shipped, tidy
+from quillspark.llm.shared import bounded_batches, fold, opened, release, shipped, tidy
 from quillspark.llm.textarrays import chunks, span_hashes, text_bytes, word_spans
 
 GRAMS = (3, 4, 5, 6)  # bytes of the n-grams with log-odds; the first order also has trained vectors
@@ -88,12 +88,14 @@ class Words:
         self.buffer[self.begin], self.buffer[self.begin + self.size - 1] = ord("<"), ord(">")
         self.buffer[inside] = buffer[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts[at], sizes)]
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, hashes) of the n-grams inside words."""
-        owner = np.repeat(np.arange(len(self.size)), self.size)
-        pos = np.arange(max(0, len(self.buffer) - n + 1))
+    def grams(self, n: int, a: int = 0, b: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, hashes) of the n-grams inside the words from a to b."""
+        size = self.size[a:b]
+        base = int(self.begin[a]) if len(size) else 0
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        pos = np.arange(max(0, len(owner) - n + 1))
         pos = pos[owner[pos] == owner[pos + n - 1]]
-        return pos, span_hashes(self.buffer, pos, pos + n)
+        return base + pos, span_hashes(self.buffer[base : base + len(owner)], pos, pos + n)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in the tables of trained vectors: each word's, its trigrams' in turn, and where a word's begin."""
@@ -105,13 +107,14 @@ class Words:
         out = np.zeros((len(self.hash), EVIDENCE), np.float32)
         out[:, 0] = word(self.hash) / 4
         out[:, 1] = out[:, 0] != 0
-        if len(self.hash):
+        for a in range(0, len(self.hash), 20_000):
+            begin, size = self.begin[a : a + 20_000] - self.begin[a], self.size[a : a + 20_000]
             for k, n in enumerate(GRAMS):
-                value = np.zeros(len(self.buffer), np.float32)
-                pos, hashes = self.grams(n)
-                value[pos] = gram(hashes)
-                out[:, 2 + 2 * k] = np.maximum.reduceat(value, self.begin) / 4
-                out[:, 3 + 2 * k] = np.add.reduceat(value, self.begin) / self.size
+                value = np.zeros(int(size.sum()), np.float32)
+                pos, hashes = self.grams(n, a, a + 20_000)
+                value[pos - self.begin[a]] = gram(hashes)
+                out[a : a + 20_000, 2 + 2 * k] = np.maximum.reduceat(value, begin) / 4
+                out[a : a + 20_000, 3 + 2 * k] = np.add.reduceat(value, begin) / size
         return out
 
 
@@ -326,23 +329,24 @@ def train(texts: list[bytes], labels: np.ndarray, window: int, units: int, round
     for y in (0, 1):  # as many of each class in each fold as can be
         own = draw.permutation(np.flatnonzero(labels == y))
         fold[own] = np.arange(len(own)) % FOLDS
+    # a token is its word with the evidence of its document's fold: the pairs that occur, and which each token is
     n = len(found.hash)
-    x = np.zeros((FOLDS * n, EVIDENCE), np.float32)
+    met, token_of = np.unique(found.token + np.repeat(fold, np.diff(found.first)) * n, return_inverse=True)
+    word_of, fold_of = met % max(n, 1), met // max(n, 1)
+    x = np.zeros((len(met), EVIDENCE), np.float32)
     for f, (word, gram) in enumerate(evidence_of(found, labels, fold)):
         if f < FOLDS:
-            x[f * n : (f + 1) * n] = found.evidence(word, gram)
+            x[fold_of == f] = found.evidence(word, gram)[word_of[fold_of == f]]
     model = Model(word, gram, network, window)  # the last lookups are of all documents
     word_row, gram_row, limits = found.rows()
     begin, size, text = windows(found.first, window)
     if not len(begin):
         return None
-    # a token is its word with the evidence of its document's fold
-    token_of = found.token + np.repeat(fold, np.diff(found.first)) * n
 
     def inputs(token: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
         """Features of the distinct tokens, which of them each is, and what their vectors are learned by."""
         used, at = np.unique(token, return_inverse=True)
-        own = used % n
+        own = word_of[used]
         many = limits[own + 1] - limits[own]
         ends = np.concatenate([[0], np.cumsum(many)])
         places = x[used], word_row[own], gram_row[np.arange(ends[-1]) - np.repeat(ends[:-1], many) + np.repeat(limits[own], many)], ends
@@ -401,8 +405,11 @@ def classify(
     drawn = sizes.join(F.broadcast(share), "y").where(F.pmod(F.xxhash64("i", F.lit(6)), F.lit(1 << 30)) < F.col("p") * F.lit(1 << 30)).select("i", "y", "most")
     drawn = spark.createDataFrame([tuple(r) for r in drawn.collect()], "i bigint, y int, most int")  # about 2 * sample rows
     fitted = training.join(F.broadcast(drawn), "i").where("n <= most").groupBy("i", "y").agg(F.min("t").alias("t"))  # a text of each id
-    pairs = sorted({(r["t"].encode(), r["y"]) for r in fitted.select("t", "y").collect()})
+    found = fitted.select("t", "y").toArrow()
+    pairs = sorted(set(zip(text_bytes(found["t"].combine_chunks()), found["y"].to_pylist(), strict=True)))
     bc = shipped(spark, train([t for t, _ in pairs], np.array([y for _, y in pairs], np.int64), window, units))
+    del found, pairs
+    release()
 
     place = documents.columns.index(text)
 
