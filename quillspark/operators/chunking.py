@@ -1,7 +1,10 @@
-"""Budgets, greedy bins and section splits: ordered folds kept in the JVM."""
+"""Budgets, greedy bins and section splits over ordered rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,24 +17,30 @@ def within_budget(df: DataFrame, group: str, order: str, cost: str, budget: int)
     return df.withColumn("spent", upto).where(F.col("spent") <= budget)
 
 
-def bins(costs: Column, target: int) -> Column:
-    """Bin number (from 0) of each cost: a bin is closed when the next cost would exceed the target."""
-    zero = F.struct(F.lit(0).alias("bin"), F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        new = (s["n"] > 0) & (s["sum"] + c > target)
-        b = F.when(new, s["bin"] + 1).otherwise(s["bin"])
-        return F.struct(b.alias("bin"), F.when(new, c.cast("bigint")).otherwise(s["sum"] + c).alias("sum"), F.when(new, F.lit(1)).otherwise(s["n"] + 1).alias("n"), F.concat(s["out"], F.array(b)).alias("out"))
-
-    return F.aggregate(costs, zero, step, lambda s: s["out"])
+def packed(df: DataFrame, group: str, order: str, cost: str, target: int) -> DataFrame:
+    """(group, order, cost, bin): each group's rows in order, packed greedily: a bin (from 0) is closed when the
+    next cost would exceed the target.
 
+    Rows stream by group and order with two numbers of state, so no group is gathered.
+    """
 
-def packed(df: DataFrame, group: str, order: str, cost: str, target: int) -> DataFrame:
-    """(group, order, cost, bin): each group's rows in order, packed greedily. A group is one document's rows."""
-    own = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("bigint").alias("c"))))
-    one = df.groupBy(group).agg(own.alias("x"))
-    one = one.select(group, F.explode(F.arrays_zip("x", bins(F.transform("x", lambda r: r["c"]), target).alias("bin"))).alias("r"))
-    return one.select(group, F.col("r.x.o").alias(order), F.col("r.x.c").alias(cost), F.col("r.bin").alias("bin"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number, total, started = None, 0, 0, False
+        for batch in batches:
+            out = []
+            for g, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not started or g != last:
+                    last, number, total, started = g, 0, c or 0, True
+                elif total + (c or 0) > target:
+                    number, total = number + 1, c or 0
+                else:
+                    total += c or 0
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [group, order, cost, "bin"])
+
+    kinds = dict(df.dtypes)
+    rows = df.select(group, order, F.col(cost).cast("bigint").alias(cost)).repartition(group).sortWithinPartitions(group, order, cost)
+    return rows.mapInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}, {cost} bigint, bin int")
 
 
 HEADING = r"(?md)^(={2,6})\s*(.+?)\s*\1\s*$"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,23 +36,29 @@ def evicted(issued: DataFrame, order: list, keep: int) -> DataFrame:
 def lockouts(df: DataFrame, key: str, seconds: str, failed: str, most: int = 8, span: int = 300) -> DataFrame:
     """(key, seconds, failed, count, locked) per attempt: a window starts at the first failure and lasts ``span``.
 
-    Locked before an attempt if the window holds ``most`` failures; a success outside a lock clears it. One
-    ordered fold per key in the JVM; the streaming form keeps two numbers per key instead of its attempts.
+    Locked before an attempt if the window holds ``most`` failures; a success outside a lock clears it. Rows
+    stream by key and time with two numbers of state, so a key's attempts are never gathered; one key's rows
+    are one task's, as each depends on the one before.
     """
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("first"), F.array().cast("array<struct<n:int,locked:boolean>>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        live = (s["n"] > 0) & (e["t"] - s["first"] < span)
-        n = F.when(live, s["n"]).otherwise(0)
-        locked = n >= most
-        after = F.when(e["bad"], n + 1).when(locked, n).otherwise(0)
-        first = F.when(live, s["first"]).otherwise(e["t"])
-        return F.struct(after.alias("n"), first.alias("first"), F.concat(s["out"], F.array(F.struct(after.alias("n"), locked.alias("locked")))).alias("out"))
-
-    own = F.array_sort(F.collect_list(F.struct(F.col(seconds).cast("double").alias("t"), F.col(failed).alias("bad"))))
-    one = df.groupBy(key).agg(own.alias("e"))
-    one = one.select(key, F.explode(F.arrays_zip("e", F.aggregate("e", zero, step, lambda s: s["out"]).alias("o"))).alias("x"))
-    return one.select(key, F.col("x.e.t").alias(seconds), F.col("x.e.bad").alias(failed), F.col("x.o.n").alias("count"), F.col("x.o.locked").alias("locked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, first, started = None, 0, 0.0, False
+        for batch in batches:
+            counts, locks = [], []
+            for k, t, bad in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not started or k != last:
+                    last, n, first, started = k, 0, 0.0, True
+                if n == 0 or t - first >= span:
+                    n, first = 0, t
+                locked = n >= most
+                n = n + 1 if bad else n if locked else 0
+                counts.append(n)
+                locks.append(locked)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int32()), pa.array(locks, pa.bool_())], [key, seconds, failed, "count", "locked"])
+
+    rows = df.select(key, F.col(seconds).cast("double").alias(seconds), failed)
+    ordered = rows.repartition(key).sortWithinPartitions(key, seconds, failed)
+    return ordered.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, {seconds} double, {failed} boolean, count int, locked boolean")
 
 
 def remaining(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -127,7 +127,9 @@ def test_keyword_expansion_is_no_prefix_match(spark):
 
 
 def test_bins_and_budget(spark):
-    assert one(spark, chunking.bins(F.array(*(F.lit(c) for c in (50, 20, 20, 70, 1))).cast("array<bigint>"), 60)) == [0, 1, 1, 2, 3]
+    rows = spark.createDataFrame([(g, i, c) for g in ("a", None) for i, c in enumerate((50, 20, 20, 70, 1))], "g string, i int, c int")
+    bins = chunking.packed(rows, "g", "i", "c", 60).collect()
+    assert [[r["bin"] for r in sorted(bins, key=lambda r: r["i"]) if r["g"] == g] for g in ("a", None)] == [[0, 1, 1, 2, 3]] * 2
     df = spark.createDataFrame([(1, i, c) for i, c in enumerate((5, 5, 9, 1))], "g int, o int, c int")
     assert [r["o"] for r in chunking.within_budget(df, "g", "o", "c", 12).orderBy("o").collect()] == [0, 1]
 
