@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import brown, cover_tree, jaccard_join, kd_shards, langid, licenses, lz_fingerprint, mixing, packing, toxicity
+from quillspark.llm import brown, cover_tree, jaccard_join, kd_shards, kmeans_tree, langid, licenses, lz_fingerprint, mixing, packing, periodic_runs, toxicity, whitening
 from quillspark.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -56,6 +56,19 @@ def op10_lempel_ziv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.fingerprint(_read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.digest(periodic_runs.periodic_runs(documents.withColumn("text", periodic_runs.planted(F.col("doc_id"), F.col("text")))))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_class_lm": op1_brown_class_lm,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -67,4 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kd_tree_sharding": op8_kd_tree_sharding,
     "op9_systematic_mixing": op9_systematic_mixing,
     "op10_lempel_ziv_fingerprint": op10_lempel_ziv_fingerprint,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_kmeans_tree_neighbours": op13_kmeans_tree_neighbours,
 }
