@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,26 +52,72 @@ def cross_refs(rules: DataFrame) -> DataFrame:
     return rules.withColumn("cross_refs", F.array_remove(T.rule_ids(F.col("text")), F.col("rule_id")))
 
 
-def glossary_terms(rules: DataFrame, key: str, text: str, glossary: DataFrame, most: int = 100_000) -> DataFrame:
+def _automaton(terms: list[str]) -> ahocorasick.Automaton:
+    """Terms by their small letters; of terms that differ in case only, the last one in order."""
+    found = ahocorasick.Automaton()
+    for term in sorted(terms):
+        found.add_word(_small(term), term)
+    found.make_automaton()
+    return found
+
+
+def _small(text: str) -> str:
+    """Small letters, place by place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _whole_words(text: str, automaton: ahocorasick.Automaton) -> Iterator[tuple[int, int, str]]:
+    """(begin, end, term) of each term in the text that begins and ends at a word boundary."""
+    word = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+    for last, term in automaton.iter(_small(text)):
+        begin, end = last + 1 - len(term), last + 1
+        if word(begin - 1) != word(begin) and word(end - 1) != word(end):
+            yield begin, end, term
+
+
+def _apart(spans: list[tuple[int, int, str]]) -> list[str]:
+    """The terms of spans that don't overlap: from the left, the longest of those that begin together."""
+    out, free = set(), 0
+    for begin, end, term in sorted(sorted(spans, key=lambda s: s[2], reverse=True), key=lambda s: (s[0], -s[1])):
+        if begin >= free:
+            out.add(term)
+            free = end
+    return sorted(out)
+
+
+def glossary_terms(rules: DataFrame, key: str, text: str, glossary: DataFrame, block: int = 100_000) -> DataFrame:
     """Adds glossary_terms: the terms a text names, longest first, none inside another, in canonical case.
 
-    Non-overlapping longest-first matching is sequential within a text, so it runs in Arrow batches with one
-    pattern; the glossary is broadcast, its size checked.
+    Terms are found by an automaton that reads a text once, however many terms it holds. It is shipped for each
+    ``block`` of terms; each one's finds go along with the rows, so choosing among them needs no shuffle.
     """
-    terms = [r[0] for r in glossary.where(~F.col("definition").rlike(REDIRECT)).select("term").distinct().orderBy(F.desc(F.length("term")), "term").limit(most + 1).collect()]
-    if len(terms) > most:
-        raise ValueError(f"more than {most} terms: match them by phrase joins")
-    canonical = {t.lower(): t for t in terms}
-    bc = rules.sparkSession.sparkContext.broadcast((terms, canonical))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, names = bc.value
-        pattern = re.compile("|".join(rf"\b{re.escape(t)}\b" for t in own), re.IGNORECASE) if own else None
-        for batch in batches:
-            yield pd.DataFrame({key: batch[key], "glossary_terms": [sorted({names[m.group(0).lower()] for m in pattern.finditer(t or "")}) if pattern else [] for t in batch[text]]})
-
-    kind = dict(rules.dtypes)[key]
-    return rules.join(rules.select(key, text).mapInPandas(run, f"{key} {kind}, glossary_terms array<string>"), key)
+    terms = glossary.where(~F.col("definition").rlike(REDIRECT) & (F.col("term") != "")).select("term").distinct().toLocalIterator()
+    shipped = []
+    while own := [r["term"] for r in islice(terms, block)]:
+        shipped.append(rules.sparkSession.sparkContext.broadcast(_automaton(own)))
+    if not shipped:
+        return rules.withColumn("glossary_terms", F.array().cast("array<string>"))
+    at, width = rules.columns.index(text), len(rules.columns)
+    span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("term", pa.string())]))
+    names, own_schema = rules.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rules.schema.fields)
+
+    def reading(bc: Broadcast, first: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [list(_whole_words(t or "", bc.value)) for t in batch.column(at).to_pylist()]
+                if not first:
+                    found = [f + [(x["begin"], x["end"], x["term"]) for x in before] for f, before in zip(found, batch.column(width).to_pylist(), strict=True)]
+                done = pa.array([_apart(f) for f in found], pa.list_(pa.string())) if last else pa.array([[dict(zip(("begin", "end", "term"), x, strict=True)) for x in f] for f in found], span)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], done], [*names, "glossary_terms"])
+
+        return run
+
+    for k, bc in enumerate(shipped):
+        last = k + 1 == len(shipped)
+        kind = "array<string>" if last else "array<struct<begin: int, end: int, term: string>>"
+        rules = rules.mapInArrow(reading(bc, not k, last), f"{own_schema}, glossary_terms {kind}")
+    return rules
 
 
 def integrity(rules: DataFrame, glossary: DataFrame, sections: int = 9) -> DataFrame:

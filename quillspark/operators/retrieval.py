@@ -21,26 +21,58 @@ MOST_KEYWORD_RULES = 20
 def bm25(queries: DataFrame, query_id: str, query_text: str, docs: DataFrame, doc_id: str, doc_text: str, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each query with a positive score.
 
-    A query term that occurs twice counts twice; ties go to the smaller document id. Document terms are
-    cut to the queries' terms before any count is shuffled; the k best are kept per task before the final
-    rank (Spark's window group limit), so a query never gathers all its matches.
+    A query term that occurs twice counts twice; ties go to the smaller document id; rows without an id are
+    counted but not found. Only pairs that can be among a query's k best are scored, see bm25_candidates; the k best
+    are kept per task before the final rank (Spark's window group limit), so a query never gathers all its matches.
     """
-    terms = queries.select(query_id, F.explode(T.dotted_tokens(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
-    wanted = terms.select("term").distinct()
-    tokens = docs.select(doc_id, T.dotted_tokens(F.col(doc_text)).alias("x"))
-    sizes = tokens.select(doc_id, F.size("x").cast("double").alias("dl"))
-    facts = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = tokens.select(doc_id, F.size("x").cast("double").alias("dl"), F.explode("x").alias("term")).join(wanted, "term", "left_semi").groupBy(doc_id, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "term").join(F.broadcast(facts)).withColumn("w", weight).join(terms, "term")  # facts: one row
-    scored = scored.groupBy(query_id, doc_id).agg(F.sum(F.col("w") * F.col("times")).alias("score")).where("score > 0")
+    found, asked, postings = bm25_candidates(queries, query_id, query_text, docs, doc_id, doc_text, k)
+    more = found.select(query_id, doc_id).join(asked.where(~F.col("essential")).select(query_id, "term", "unit"), query_id).join(postings, [doc_id, "term"])
+    parts = found.select(query_id, doc_id, "score").unionByName(more.select(query_id, doc_id, (F.col("unit") * F.col("shape")).alias("score")))
     # rounding makes the order independent of the order of addition
-    scored = scored.withColumn("score", F.round("score", 9))
+    scored = parts.groupBy(query_id, doc_id).agg(F.round(F.sum("score"), 9).alias("score")).where("score > 0")
     return top(scored, query_id, [F.desc("score"), F.col(doc_id)], k)
 
 
+def bm25_candidates(queries: DataFrame, query_id: str, query_text: str, docs: DataFrame, doc_id: str, doc_text: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What bm25 scores: (query_id, doc_id, score by essential terms), the queries' terms, and the postings.
+
+    A term's score is at most its ``bound``: its weight at the best posting it has. The strongest terms, half of a query's
+    bounds, give partial scores; a query's k-th best partial score is below or at its k-th best score. Terms whose
+    bounds, the weakest first, don't add up to it aren't essential: no document that has only such terms can be
+    found, so their postings, the longest ones, are not visited. A document by essential terms stays if the bounds of
+    the others can lift it to the k-th best; for those few the other terms are looked up.
+
+    Document terms are cut to the queries' terms before any count is shuffled; that one exchange serves all steps.
+    """
+    slack = F.lit(1e-6)  # above what rounding and the order of addition change
+    terms = queries.select(query_id, F.explode(T.dotted_tokens(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
+    facts = F.broadcast(docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(F.coalesce(F.col(doc_text), F.lit(""))), F.lit(T.TOKEN_DOTTED))).alias("avgdl")))  # one row
+    tokens = docs.where(F.col(doc_id).isNotNull()).select(doc_id, T.dotted_tokens(F.col(doc_text)).alias("x"))
+    each = tokens.select(doc_id, F.size("x").cast("double").alias("dl"), F.explode("x").alias("term"))
+    tf = each.join(terms.select("term").distinct(), "term", "left_semi").groupBy(doc_id, "dl", "term").agg(F.count("*").alias("tf")).where("term is not null")
+    postings = tf.join(facts).select(doc_id, "term", "n", (F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("shape"))
+    of_term = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("shape").alias("best"), F.first("n").alias("n"))
+    unit = F.col("times") * F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (K1 + 1)
+    asked = terms.join(of_term, "term").select(query_id, "term", unit.alias("unit"), (unit * F.col("best")).alias("bound"))
+    own = Window.partitionBy(query_id)
+    stronger = own.orderBy(F.desc("bound"), "term").rowsBetween(Window.unboundedPreceding, -1)
+    asked = asked.withColumn("total", F.sum("bound").over(own)).withColumn("stronger", F.coalesce(F.sum("bound").over(stronger), F.lit(0.0)))
+    postings = postings.drop("n")
+
+    def partial(rows: DataFrame, *facts: str) -> DataFrame:
+        return rows.join(postings, "term").groupBy(query_id, doc_id, *facts).agg(F.sum(F.col("unit") * F.col("shape")).alias("score"))
+
+    half = partial(asked.where(2 * F.col("stronger") < F.col("total")))
+    kth = top(half, query_id, [F.desc("score")], k).where(F.col("rank") == k).select(query_id, (F.col("score") - slack).alias("least"))
+    asked = asked.join(kth, query_id, "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    asked = asked.withColumn("essential", F.col("total") - F.col("stronger") >= F.col("least"))
+    asked = asked.withColumn("others", F.sum(F.when(~F.col("essential"), F.col("bound")).otherwise(0.0)).over(own))
+    found = partial(asked.where("essential"), "least", "others").where(F.col("score") + F.col("others") >= F.col("least"))
+    nearer = top(found, query_id, [F.desc("score")], k).where(F.col("rank") == k).select(query_id, (F.col("score") - slack).alias("kth"))
+    found = found.join(nearer, query_id, "left").where(F.col("score") + F.col("others") >= F.coalesce("kth", F.lit(0.0)))
+    return found.select(query_id, doc_id, "score"), asked, postings
+
+
 def top(df: DataFrame, group: str | list[str], order: list[Column], k: int | Column) -> DataFrame:
     """The first k rows of each group, with rank from 1."""
     keys = [group] if isinstance(group, str) else group

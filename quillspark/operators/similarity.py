@@ -6,19 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.functions import text as T
 
-MOST_INDEXED = 2_000_000  # (item, token) rows of a side that is shipped whole
+MOST_INDEXED = 2_000_000  # tokens of a side that is shipped whole
+FREQUENT = 4096  # tokens whose frequency orders them
+HITS = 4_000_000  # of an index at a time
+
+
+def token_sets(df: DataFrame, key: str, text: str, name: str, size: str) -> DataFrame:
+    """(name, size, x): the hashes of each text's distinct tokens."""
+    return df.select(F.col(key).alias(name), F.transform(T.token_set(F.col(text)), lambda t: F.xxhash64(t)).alias("x")).select(name, F.size("x").alias(size), "x")
 
 
 def token_rows(df: DataFrame, key: str, text: str, name: str, size: str) -> DataFrame:
     """(name, size, token hash): a row per distinct token of each text."""
-    own = T.token_set(F.col(text))
-    return df.select(F.col(key).alias(name), F.transform(own, lambda t: F.xxhash64(t)).alias("x")).select(name, F.size("x").alias(size), F.explode("x").alias("token"))
+    return token_sets(df, key, text, name, size).select(name, size, F.explode("x").alias("token"))
 
 
 def jaccard(shared: Column, a: Column, b: Column) -> Column:
@@ -39,78 +45,133 @@ def token_join(left: DataFrame, right: DataFrame, threshold: float | None = None
     return scored if threshold is None else scored.where(F.col("score") >= threshold)
 
 
+def rarest_first(sets: DataFrame, frequent: list[int]) -> DataFrame:
+    """(name, size, x) with each set's tokens in one order of all tokens: ``frequent`` ones last, the most frequent
+    at the end, all others by their hash."""
+    tokens = np.sort(np.array(frequent, np.int64))
+    place = np.argsort(np.argsort(np.array(frequent, np.int64)))  # place[k]: where frequent[k] is in tokens
+    rank = np.zeros(len(frequent) + 1, np.int64)
+    rank[place] = np.arange(len(frequent), 0, -1)
+    bc, names = sets.sparkSession.sparkContext.broadcast((tokens, rank)), sets.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, rank = bc.value
+        for batch in batches:
+            token, ends = batch.column(2).flatten().to_numpy(), np.cumsum(pc.list_value_length(batch.column(2)).to_numpy())
+            at = np.searchsorted(tokens, token)
+            known = at < len(tokens)
+            known[known] = tokens[at[known]] == token[known]
+            row = np.repeat(np.arange(len(batch)), np.diff(ends, prepend=0))
+            order = np.lexsort((token, np.where(known, rank[at], 0), row))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(token[order]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names)
+
+    return sets.mapInArrow(run, sets.schema)
+
+
+def near_pairs(rows: DataFrame, key: str, text: str, others: DataFrame, other_key: str, other_text: str, threshold: float) -> DataFrame:
+    """(a, b, score) of every pair of at least the threshold; null keys have none.
+
+    All tokens have one order, the most frequent of the others' last (4,096 at most pass the driver, all else goes by
+    hash). Two sets of n and m tokens that are alike enough share one of the first n - ceil(threshold * n) + 1 of the
+    first and of the second alike, so only these prefixes are shuffled and meet; frequent tokens are in the prefix of
+    few. The pair's shared prefix tokens and what is left behind the last of them bound its overlap, and only pairs
+    whose bound is enough are compared as whole sets. Neither side is shipped whole, so there is one plan at any size.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold is above 0 and at most 1")
+    left, right = token_sets(rows, key, text, "a", "na"), token_sets(others, other_key, other_text, "b", "nb")
+    frequent = right.select(F.explode("x").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT)
+    frequent = [r["token"] for r in frequent.collect()]
+    left, right = rarest_first(left, frequent), rarest_first(right, frequent)
+    t = F.lit(threshold)
+
+    def prefixes(sets: DataFrame, name: str, size: str, place: str) -> DataFrame:
+        first = (F.col(size) - F.ceil(t * F.col(size) - 1e-9) + 1).cast("int")
+        return sets.select(name, size, F.posexplode(F.slice("x", F.lit(1), first)).alias(place, "token"))
+
+    met = prefixes(left, "a", "na", "i").join(prefixes(right, "b", "nb", "j"), "token")
+    met = met.where(F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)
+    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    most_shared = F.col("c") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) - 1
+    pairs = pairs.where(most_shared * (1 + t) + 1e-9 >= t * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    whole = pairs.join(left.select("a", "na", "x"), ["a", "na"]).join(right.select("b", "nb", F.col("x").alias("y")), ["b", "nb"])
+    scored = whole.select("a", "b", jaccard(F.size(F.array_intersect("x", "y")), F.col("na"), F.col("nb")).alias("score"))
+    return scored.where(F.col("score") >= t)
+
+
 class Items:
     """The tokens of the smaller side as an inverted index: token hash -> items; items in key order."""
 
     def __init__(self, found: pa.Table):
-        keys = found["b"].to_pylist()
-        pairs = sorted(set(zip(keys, found["nb"].to_pylist(), strict=True)))
-        place = {p: i for i, p in enumerate(pairs)}
-        self.keys, self.sizes = [k for k, _ in pairs], np.array([n for _, n in pairs], np.int64)
-        item = np.array([place[p] for p in zip(keys, found["nb"].to_pylist(), strict=True)], np.int64)
-        token = found["token"].to_numpy()
+        found = found.filter(pc.is_valid(found["b"])).combine_chunks()
+        found = found.take(pc.sort_indices(found, [("b", "ascending"), ("nb", "ascending")]))
+        lists = found["x"].combine_chunks()
+        self.keys, self.sizes = found["b"].combine_chunks(), found["nb"].to_numpy().astype(np.int64)
+        token = lists.flatten().to_numpy()
         order = np.argsort(token, kind="stable")
-        self.item = item[order]
+        self.item = np.repeat(np.arange(len(found)), self.sizes)[order].astype(np.int32)
         self.token, first = np.unique(token[order], return_index=True)
         self.first = np.append(first, len(token))
 
-    def shared(self, own: list[np.ndarray]) -> np.ndarray:
-        """How many tokens each of some texts shares with each item."""
-        flat = np.concatenate([np.zeros(0, np.int64), *own])
-        text = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    def best(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, score): the best item of each of some texts that share a token with any; ties to the last.
+
+        flat: the texts' tokens one after the other. Only items that are hit are counted.
+        """
+        text = np.repeat(np.arange(len(sizes)), sizes)
         at = np.searchsorted(self.token, flat)
         at[at == len(self.token)] = 0
         hit = self.token[at] == flat if len(self.token) else np.zeros(len(flat), bool)
         at, text = at[hit], text[hit]
         n = self.first[at + 1] - self.first[at]
-        item = self.item[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[at], n)]
-        return np.bincount(np.repeat(text, n) * len(self.keys) + item, minlength=len(own) * len(self.keys)).reshape(len(own), len(self.keys))
-
-
-def token_index(others: DataFrame, other_key: str, other_text: str, most: int = MOST_INDEXED) -> Items | None:
-    """The index of a side of at most ``most`` (item, token) rows, or None for a larger one."""
-    found = token_rows(others, other_key, other_text, "b", "nb").limit(most + 1).toArrow()
-    return Items(found) if found.num_rows <= most else None
-
-
-def near_pairs(rows: DataFrame, key: str, text: str, others: DataFrame, other_key: str, other_text: str, threshold: float | None, most: int = MOST_INDEXED) -> DataFrame:
-    """(a, b, score) of every pair of at least the threshold; without one, each row's best pair (ties to the
-    largest other key). Pairs without a common token have none.
-
-    A small other side is shipped as an index and met in batches, so neither pairs nor tokens are shuffled;
-    a larger one meets by a join on tokens.
+        out, lo, total, many = [], 0, np.cumsum(n), max(1, len(self.keys))
+        while lo < len(at):  # some millions of hits at a time, texts whole
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + HITS, side="right"))
+            hi = int(np.searchsorted(text, text[min(max(hi, lo + 1), len(at)) - 1], side="right"))
+            own, a = n[lo:hi], at[lo:hi]
+            item = self.item[np.arange(own.sum()) - np.repeat(np.cumsum(own) - own - self.first[a], own)]
+            code = np.repeat(text[lo:hi] - text[lo], own) * many + item
+            span = int(text[hi - 1] - text[lo] + 1) * many
+            if span <= 4 * len(code):
+                shared = np.bincount(code, minlength=span)
+                code = np.flatnonzero(shared)
+                shared = shared[code]
+            else:
+                code, shared = np.unique(code, return_counts=True)
+            t, item = code // many + text[lo], code % many
+            score = shared / (sizes[t] + self.sizes[item] - shared)
+            begin = np.flatnonzero(np.diff(t, prepend=-1))
+            top = np.maximum.reduceat(score, begin)
+            last = np.where(score == np.repeat(top, np.diff(np.append(begin, len(t)))), np.arange(len(t)), -1)
+            chosen = np.maximum.reduceat(last, begin)
+            out.append((t[chosen], item[chosen], top))
+            lo = hi
+        return tuple(np.concatenate([o[c] for o in out]) if out else np.zeros(0, kind) for c, kind in enumerate((np.int64, np.int64, np.float64)))
+
+
+def best_pairs(rows: DataFrame, key: str, text: str, others: DataFrame, other_key: str, other_text: str, most: int = MOST_INDEXED) -> DataFrame:
+    """(a, b, score): each row's most similar other row, ties to the largest other key; none without a common token.
+
+    The others' sets of ``most`` tokens together (16 MB) are shipped as an index and met in batches, so neither pairs
+    nor tokens are shuffled; larger ones meet by a join on tokens.
     """
-    items = token_index(others, other_key, other_text, most)
-    if items is None:
-        pairs = token_join(token_rows(rows, key, text, "a", "na"), token_rows(others, other_key, other_text, "b", "nb"), threshold)
-        if threshold is not None:
-            return pairs
+    sets = token_sets(others, other_key, other_text, "b", "nb")
+    if (sets.agg(F.sum("nb")).first()[0] or 0) > most:
+        pairs = token_join(token_rows(rows, key, text, "a", "na"), token_rows(others, other_key, other_text, "b", "nb"))
         best = pairs.groupBy("a").agg(F.max(F.struct("score", "b")).alias("x"))
         return best.select("a", F.col("x.b").alias("b"), F.col("x.score").alias("score"))
-    bc = rows.sparkSession.sparkContext.broadcast(items)
-    kinds = dict(rows.dtypes)[key], dict(others.dtypes)[other_key]
+    bc = rows.sparkSession.sparkContext.broadcast(Items(sets.toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = bc.value
-        step = max(1, 2_000_000 // max(1, len(items.keys)))
-        known = pa.array(items.keys, other_type)
         for batch in batches:
-            lists = batch.column(1)
-            for lo in range(0, batch.num_rows if items.keys else 0, step):
-                own = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64) for x in lists.slice(lo, step)]
-                shared = items.shared(own)
-                size = np.array([len(x) for x in own])[:, None]
-                score = shared / np.maximum(size + items.sizes - shared, 1)
-                if threshold is None:
-                    at = np.flatnonzero(shared.any(axis=1))
-                    other = len(items.keys) - 1 - score[at, ::-1].argmax(axis=1)
-                else:
-                    at, other = np.nonzero((score >= threshold) & (shared > 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + at)), known.take(pa.array(other)), pa.array(score[at, other], pa.float64())], ["a", "b", "score"])
-
-    hashes = F.transform(T.token_set(F.col(text)), lambda t: F.xxhash64(t))
-    other_type = to_arrow_type(others.schema[other_key].dataType)
-    return rows.select(key, hashes.alias("x")).mapInArrow(run, f"a {kinds[0]}, b {kinds[1]}, score double")
+            sizes = pc.list_value_length(batch.column(2)).to_numpy().astype(np.int64)
+            at, item, score = items.best(batch.column(2).flatten().to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), items.keys.take(pa.array(item)), pa.array(score)], ["a", "b", "score"])
+
+    kinds = dict(rows.dtypes)[key], dict(others.dtypes)[other_key]
+    return token_sets(rows, key, text, "a", "na").mapInArrow(run, f"a {kinds[0]}, b {kinds[1]}, score double")
 
 
 def best_match(rows: DataFrame, key: str, text: str, others: DataFrame, other_key: str, other_text: str, most: int = MOST_INDEXED) -> DataFrame:
@@ -118,7 +179,7 @@ def best_match(rows: DataFrame, key: str, text: str, others: DataFrame, other_ke
 
     A row that shares no token with any has best null and score 0.
     """
-    best = near_pairs(rows, key, text, others, other_key, other_text, None, most)
+    best = best_pairs(rows, key, text, others, other_key, other_text, most)
     return rows.select(F.col(key).alias("a")).join(best, "a", "left").select(F.col("a").alias(key), F.col("b").alias("best"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -160,9 +221,13 @@ def exclusions(rows: DataFrame, key: str, text: str, upstream: str, others: Data
 
 
 def disjoint_pool(pool: DataFrame, key: str, text: str, others: DataFrame, other_key: str, other_text: str, n: int, threshold: float = 0.5) -> DataFrame:
-    """The first n rows of pool, by key, that are not similar to any other row; raises if there are fewer."""
+    """The first n rows of pool, by key, that are not similar to any other row; raises if there are fewer.
+
+    The n rows are fetched, so the join runs once.
+    """
     near = near_pairs(pool, key, text, others, other_key, other_text, threshold).select(F.col("a").alias(key)).distinct()
     out = pool.join(near, key, "left_anti").orderBy(key).limit(n)
-    if (found := out.count()) < n:
-        raise ValueError(f"only {found} of {n} rows are disjoint")
-    return out
+    found = out.collect()
+    if len(found) < n:
+        raise ValueError(f"only {len(found)} of {n} rows are disjoint")
+    return pool.sparkSession.createDataFrame(found, out.schema)

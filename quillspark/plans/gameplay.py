@@ -103,10 +103,18 @@ def parsed_glossary(t: Tables) -> DataFrame:
     return own.select(F.floor(F.col("ord") / 1000).alias("conv_id"), "term", "definition")
 
 
-@query("SELECT (n_nationkey + 100) || '.1' AS rule_id, n_name AS terms FROM nation UNION ALL SELECT (n_nationkey + 100) || '.1a', '' FROM nation")
+@query(
+    r"""WITH w AS (SELECT regexp_extract_all(text, '[A-Za-z]+') AS x FROM benchmark), t AS (SELECT DISTINCT lower(array_to_string(x[i : i + k], ' ')) AS term FROM w, (SELECT unnest([1, 4, 7, 10]) AS i), (SELECT unnest([0, 1, 2]) AS k)),
+    p AS (SELECT '(?i)\b(?:' || string_agg(term, '|' ORDER BY -length(term), term) || ')\b' AS pattern FROM t WHERE term <> '')
+    SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', 'z', 'g'), pattern), lambda m: lower(m)))), ',') AS terms FROM documents, p"""
+)
 def annotated_terms(t: Tables) -> DataFrame:
-    terms = t.nation.select(F.col("n_name").alias("term"), F.lit("a nation").alias("definition"))
-    return C.glossary_terms(C.parse_rules(_book(t), "file", "ord", "line"), "rule_id", "text", terms).select("rule_id", F.array_join("glossary_terms", ",").alias("terms"))
+    """Documents and the terms they name: one, two and three words from each benchmark item, many inside others."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    phrases = F.array(*(F.lower(F.array_join(F.slice(words, F.lit(i), F.lit(k)), " ")) for i in (1, 4, 7, 10) for k in (1, 2, 3)))
+    terms = t.benchmark.select(F.explode(phrases).alias("term")).where("term <> ''").distinct().withColumn("definition", F.lit("a phrase"))
+    plain = t.documents.select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "z").alias("text"))
+    return C.glossary_terms(plain, "doc_id", "text", terms).select("doc_id", F.array_join("glossary_terms", ",").alias("terms"))
 
 
 @query("SELECT o_custkey, count(*) AS n_rulings, max(o_orderdate::DATE::VARCHAR) AS latest, string_agg(o_orderkey::VARCHAR, chr(10) ORDER BY o_orderdate::DATE::VARCHAR, o_orderkey::VARCHAR) AS text FROM orders GROUP BY 1")

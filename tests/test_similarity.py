@@ -1,4 +1,4 @@
-"""Token overlaps by a shipped index, by a join, and by brute force."""
+"""Token overlaps by prefixes, by a shipped index, by a join, and by brute force."""
 
 import random
 
@@ -18,7 +18,7 @@ def test_index_and_join_find_the_same(spark, most):
     a, b = spark.createDataFrame(rows, "k int, t string"), spark.createDataFrame(others, "o long, t string")
     own = lambda t: set((t or "").split())
     score = lambda x, y: len(own(x) & own(y)) / len(own(x) | own(y)) if own(x) & own(y) else 0.0
-    near = {(r["a"], r["b"], round(r["score"], 9)) for r in S.near_pairs(a, "k", "t", b, "o", "t", 0.5, most).collect()}
+    near = {(r["a"], r["b"], round(r["score"], 9)) for r in S.near_pairs(a, "k", "t", b, "o", "t", 0.5).collect()}
     assert near == {(i, j, round(score(x, y), 9)) for i, x in rows for j, y in others if score(x, y) >= 0.5}
     best = {r["k"]: (r["best"], round(r["score"], 9)) for r in S.best_match(a, "k", "t", b, "o", "t", most).collect()}
     for i, x in rows:
@@ -29,3 +29,57 @@ def test_index_and_join_find_the_same(spark, most):
 def test_empty_sides(spark):
     a, none = spark.createDataFrame([(1, "alpha")], "k int, t string"), spark.createDataFrame([], "o long, t string")
     assert S.near_pairs(a, "k", "t", none, "o", "t", 0.5).count() == 0 and S.best_match(a, "k", "t", none, "o", "t").first()["best"] is None
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.75, 1.0])
+def test_prefixes_lose_no_pair(spark, threshold):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+
+    def some(n, edit):
+        out = []
+        for i in range(n):
+            if out and r.random() < 0.5:  # an edited copy
+                t = [w if r.random() > edit else r.choice(words) for w in out[r.randrange(len(out))][1].split()]
+            else:
+                t = r.choices(words, weights, k=r.randint(0, 25))
+            out.append((i, " ".join(t)))
+        return out
+
+    rows, others = some(150, 0.15), some(120, 0.1)
+    others += [(i + 1000, t) for i, t in rows[::3]]
+    got = {(x["a"], x["b"]): x["score"] for x in S.near_pairs(spark.createDataFrame(rows, "k int, t string"), "k", "t", spark.createDataFrame(others, "o long, t string"), "o", "t", threshold).collect()}
+    want = {}
+    for i, x in rows:
+        for j, y in others:
+            a, b = set(x.split()), set(y.split())
+            if a & b and len(a & b) / len(a | b) >= threshold:
+                want[i, j] = len(a & b) / len(a | b)
+    assert got == pytest.approx(want) and len(want) > 20
+
+
+def test_no_task_gathers_a_token_that_half_of_all_hold(spark):
+    """A token of half of both sides isn't in prefixes; what meets is spread."""
+    from pyspark.sql import functions as F
+
+    row = lambda i, side: (i, f"{'common ' if i % 2 else ''}" + " ".join(f"{side}{i}x{k}" for k in range(6)) + f" pair{i}a pair{i}b pair{i}c pair{i}d pair{i}e pair{i}f")
+    a, b = (spark.createDataFrame([row(i, s) for i in range(2000)], "k long, t string") for s in "lr")
+    left, right = S.token_sets(a, "k", "t", "a", "na"), S.token_sets(b, "k", "t", "b", "nb")
+    frequent = [x["token"] for x in right.select(F.explode("x").alias("token")).groupBy("token").count().where("count > 1").collect()]
+    assert len(frequent) == 1
+    last = S.rarest_first(left, frequent).where("na = 13").select(F.element_at("x", -1).alias("t")).distinct().collect()
+    assert [x["t"] for x in last] == frequent
+    prefix = S.rarest_first(left, frequent).select(F.explode(F.slice("x", F.lit(1), (F.col("na") - F.ceil(0.3 * F.col("na")) + 1).cast("int"))).alias("t"))
+    sizes = sorted(x["count"] for x in prefix.repartition(8, "t").groupBy(F.spark_partition_id()).count().collect())
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2] and prefix.where(F.col("t") == frequent[0]).isEmpty()
+    assert S.near_pairs(a, "k", "t", b, "k", "t", 0.3).where("a = b").count() == 2000
+
+
+def test_best_match_counts_only_what_is_hit(spark):
+    """Many items that a text doesn't meet; texts of many and of no tokens; items of one key twice."""
+    r = random.Random(3)
+    items = [(i, f"only{i} {r.choice('abcdefgh')}{r.randrange(9)} shared") for i in range(3000)] + [(5, "twice the key"), (None, "null key")]
+    rows = [(1, "shared only17"), (2, ""), (3, " ".join(f"only{i}" for i in range(500))), (4, "key twice"), (5, "null"), (6, "shared")]
+    best = {x["k"]: (x["best"], round(x["score"], 6)) for x in S.best_match(spark.createDataFrame(rows, "k int, t string"), "k", "t", spark.createDataFrame(items, "o long, t string"), "o", "t").collect()}
+    assert best[1] == (17, round(2 / 3, 6)) and best[2] == (None, 0.0) and best[3][0] == 499 and best[4] == (5, 1.0) and best[5] == (None, 0.0) and best[6][0] == 2999
