@@ -1,4 +1,8 @@
-"""Structured Streaming forms of the log semantics; state per key is a few numbers, never its history."""
+"""Structured Streaming forms of the log semantics; state per key is a few numbers, never its history.
+
+A key's rows of one micro-batch are ordered in memory; the source bounds a micro-batch (``maxFilesPerTrigger`` and
+the like).
+"""
 
 from __future__ import annotations
 
@@ -21,23 +25,30 @@ def sessions(events: DataFrame, ts: str, by: str, gap: str = "30 minutes", late:
 
 
 def idempotent(events: DataFrame, key: str, order: str, content: str) -> DataFrame:
-    """(key, order, verdict): as the batch form, with the first content of each key as its only state."""
+    """(key, order, verdict): as the batch form, with the first content of each key as its only state.
+
+    A null content is a content of its own. A known key's rows are judged as they come; of a new key's, those of the
+    micro-batch are held until its first one is found.
+    """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        first = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(order)
-        verdicts = []
-        for c in rows[content].astype(str):
-            if first is None:
-                first = c
-                verdicts.append("created")
-            else:
-                verdicts.append("duplicate" if c == first else "conflict")
-        state.update((first,))
-        yield pd.DataFrame({key: rows[key].to_numpy(), order: rows[order].to_numpy(), "verdict": verdicts})
+        first = state.get if state.exists else None
+        if first is None:
+            rows = pd.concat(list(batches)).sort_values(order, ignore_index=True)
+            first = rows[content][0]
+            first = (None, True) if pd.isna(first) else (str(first), False)
+            state.update(first)
+            batches, new = [rows], 1
+        else:
+            new = 0
+        for rows in batches:
+            null = rows[content].isna().to_numpy()
+            same = null if first[1] else ~null & (rows[content].astype(str) == first[0]).to_numpy()
+            verdicts = ["created"] * new + ["duplicate" if s else "conflict" for s in same[new:]]
+            yield pd.DataFrame({key: rows[key].to_numpy(), order: rows[order].to_numpy(), "verdict": verdicts})
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, verdict string", "first string", "append", "NoTimeout")
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, verdict string", "first string, missing boolean", "append", "NoTimeout")
 
 
 def lockouts(events: DataFrame, key: str, seconds: str, failed: str, most: int = 8, span: int = 300) -> DataFrame:
