@@ -2,45 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import scans
 
 
 def within_budget(df: DataFrame, group: str, order: str, cost: str, budget: int) -> DataFrame:
-    """Rows of each group in order while their costs fit; the first that doesn't ends the group."""
-    upto = F.sum(cost).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("spent", upto).where(F.col("spent") <= budget)
+    """Rows of each group in order, with ``spent``, while their costs fit; the first that doesn't ends the group."""
+    return scans.running_sum(df, group, order, cost, "spent").where(F.col("spent") <= budget)
 
 
 def packed(df: DataFrame, group: str, order: str, cost: str, target: int) -> DataFrame:
     """(group, order, cost, bin): each group's rows in order, packed greedily: a bin (from 0) is closed when the
-    next cost would exceed the target.
-
-    Rows stream by group and order with two numbers of state, so no group is gathered.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, number, total, started = None, 0, 0, False
-        for batch in batches:
-            out = []
-            for g, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not started or g != last:
-                    last, number, total, started = g, 0, c or 0, True
-                elif total + (c or 0) > target:
-                    number, total = number + 1, c or 0
-                else:
-                    total += c or 0
-                out.append(number)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [group, order, cost, "bin"])
-
-    kinds = dict(df.dtypes)
-    rows = df.select(group, order, F.col(cost).cast("bigint").alias(cost)).repartition(group).sortWithinPartitions(group, order, cost)
-    return rows.mapInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}, {cost} bigint, bin int")
+    next cost would exceed the target."""
+    return scans.scanned(df.withColumn(cost, F.col(cost).cast("bigint")), group, [order], cost, scans.NextFit(target), "bin", "int")
 
 
 HEADING = r"(?md)^(={2,6})\s*(.+?)\s*\1\s*$"

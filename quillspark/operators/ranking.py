@@ -1,58 +1,36 @@
-"""Ranks without a window that gathers a table or a hot group: rows are dealt into blocks at sampled cuts.
+"""Ranks without a window that gathers a table or a hot group: rows lie in ordered parts, see scans.laid_out.
 
-Cuts are literals, so a repeated or recovered task deals its rows as before. A block is ranked by a window of
-its own and raised by the rows of the blocks before it: one number a block passes the driver.
+A row's place is its place in its part, raised by the rows of the parts before: one number a part passes the
+driver. The laid out table is written, so a repeated or recovered task finds the same parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
 
-SAMPLED = 24  # sampled rows for each block
+from quillspark.operators.scans import OWN, PART, laid_out
 
 
-def _literal(value, kind: DataType) -> Column:
-    if isinstance(kind, StructType) and value is not None:
-        return F.struct(*(_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields, strict=True)))
-    return F.lit(value).cast(kind)
+def ranked(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """df with ``name``: its place (from 0) in the ascending order, nulls first; ties in any order."""
+    laid = laid_out(df, order)
+    starts, total = [], 0
+    for part, n in sorted(tuple(r) for r in laid.groupBy(PART).count().collect()):
+        starts.append((part, total))
+        total += n
+    before = F.broadcast(df.sparkSession.createDataFrame(starts, f"{PART} int, __before bigint"))  # a row a part
+    return laid.join(before, PART).select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__before") + F.col(OWN)).alias(name))
 
 
-def ranked(df: DataFrame, order: list[str | Column], name: str, block: int = 1_000_000) -> DataFrame:
-    """df with ``name``: its place (from 0) in the ascending order, nulls first; ties in any order.
-
-    block: about how many rows are ranked together.
-    """
-    columns = [F.col(o) if isinstance(o, str) else o for o in order]
-    key = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(columns)))
-    kinds = df.select(key.alias("k")).schema["k"].dataType
-    total = df.count()
-    cuts: list = []
-    if total > block:
-        blocks = -(-total // block)
-        drawn = df.select(key.alias("k")).sample(min(1.0, SAMPLED * blocks / total), seed=1)
-        found = drawn.orderBy("k").limit(100 * SAMPLED * blocks).collect()  # a bounded sample
-        cuts = [found[i * len(found) // blocks]["k"] for i in range(1, blocks)] if found else []
-    at = F.size(F.filter(F.array(*(_literal(c, kinds) for c in cuts)), lambda c: c < key)) if cuts else F.lit(0)
-    placed = df.withColumn("__block", at)
-    if not cuts:
-        starts = F.lit(0)
-    else:
-        n = {r["__block"]: r["count"] for r in placed.groupBy("__block").count().collect()}
-        starts = F.get(F.array(*(F.lit(sum(n.get(j, 0) for j in range(i))) for i in range(len(cuts) + 1))), F.col("__block"))
-    own = Window.partitionBy("__block").orderBy(*columns)
-    return placed.withColumn(name, (starts + F.row_number().over(own) - 1).cast("long")).drop("__block")
-
-
-def ranked_within(df: DataFrame, groups: list[str | Column], order: list[str | Column], name: str, size: str, block: int = 1_000_000) -> DataFrame:
+def ranked_within(df: DataFrame, groups: list[str | Column], order: list[str | Column], name: str, size: str) -> DataFrame:
     """df with ``name``, a row's place (from 0) in its group, and ``size``, the group's rows.
 
     Groups are ranked in one order of all rows, so a group that holds a third of them is no task of its own.
     """
     columns = [F.col(g) if isinstance(g, str) else g for g in groups]
     keyed = df.withColumn("__group", F.struct(*(c.alias(f"g{i}") for i, c in enumerate(columns))))
-    placed = ranked(keyed, ["__group", *order], "__place", block)
+    placed = ranked(keyed, ["__group", *order], "__place")
     facts = placed.groupBy("__group").agg(F.min("__place").alias("__start"), F.count("*").alias(size))
     out = placed.alias("p").join(facts.alias("f"), F.col("p.__group").eqNullSafe(F.col("f.__group")))
     return out.select(*(F.col(f"p.`{c}`") for c in df.columns), (F.col("__place") - F.col("__start")).alias(name), F.col(size))

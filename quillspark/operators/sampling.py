@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators import scans
 from quillspark.operators.ranking import ranked, ranked_within
 
 
@@ -74,10 +75,8 @@ def rotate(df: DataFrame, order: list, items: str) -> DataFrame:
 
 def runs(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """(key, run, value, start, n): runs of equal neighbouring values."""
-    w = Window.partitionBy(key).orderBy(order)
-    changed = (~F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1)).cast("int")
-    run = F.sum("__changed").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("__changed", changed).withColumn("run", run).groupBy(key, "run", value).agg(F.min(order).alias("start"), F.count("*").alias("n"))
+    numbered = scans.scanned(df, key, [order], value, scans.RunNumber(), "run", "bigint")
+    return numbered.groupBy(key, "run", value).agg(F.min(order).alias("start"), F.count("*").alias("n"))
 
 
 def latest(df: DataFrame, key: str | list[str], order: list[Column]) -> DataFrame:

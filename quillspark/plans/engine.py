@@ -33,6 +33,18 @@ def engine_tests(t: Tables) -> DataFrame:
     return found.select("path", "package", "class_name", "method", F.array_join("cards", "|").alias("cards"), F.size("setup_actions").alias("n_setup"), F.size("assertions").alias("n_asserts"))
 
 
+@query(
+    """WITH s AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 3 THEN 'cost/modaldoublefaced/' ELSE p_brand || '/Crash/' END AS folder, replace(p_name, ' ', '') || CASE p_partkey % 5 WHEN 1 THEN 'nullPOINTERTest.java' WHEN 2 THEN 'FreezeTest.java' ELSE 'Test.java' END AS file FROM part)
+    SELECT p_partkey, folder || file AS path FROM s WHERE folder NOT LIKE '%modaldoublefaced%' AND NOT regexp_matches(file, '(?i)Exception|Crash|Regression|ConcurrentModification|NullPointer|Freeze')"""
+)
+def interaction_sources(t: Tables) -> DataFrame:
+    """Sources named after parts, some of them about the engine's own faults."""
+    k = F.col("p_partkey")
+    file = F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.when(k % 5 == 1, "nullPOINTERTest.java").when(k % 5 == 2, "FreezeTest.java").otherwise("Test.java"))
+    path = F.concat(F.when(k % 7 == 3, "cost/modaldoublefaced/").otherwise(F.concat("p_brand", F.lit("/Crash/"))), file)
+    return E.interaction_sources(t.part.select("p_partkey", path.alias("path")), "path")
+
+
 @query(
     """WITH s AS (SELECT 'src/N' || s_nationkey || '.java' AS path, 'test' || s_suppkey AS method, 2 AS band, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 0 END AS n FROM supplier) SELECT path, method, band FROM s ORDER BY band DESC, n DESC, path, method LIMIT 20"""
 )

@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 from quillspark.operators import logs, ranking, sampling
 
 
-@pytest.mark.parametrize("block", [1_000_000, 37])
-def test_places_are_those_of_a_sort(spark, block):
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_places_are_those_of_a_sort(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        check_places(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def check_places(spark):
     r = random.Random(2)
     rows = [(r.choice(["a", "b", "b", "b", None]), r.randint(0, 40), i) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, v int, i int").repartition(5)
     order = lambda x: ((x[0] is not None, x[0] or ""), -x[1], x[2])
-    got = [tuple(x)[:3] for x in ranking.ranked(df, ["g", -F.col("v"), "i"], "k", block).orderBy("k").collect()]
+    got = [tuple(x)[:3] for x in ranking.ranked(df, ["g", -F.col("v"), "i"], "k").orderBy("k").collect()]
     assert got == sorted(rows, key=order)
-    within = ranking.ranked_within(df, ["g"], [-F.col("v"), "i"], "k", "n", block).collect()
+    within = ranking.ranked_within(df, ["g"], [-F.col("v"), "i"], "k", "n").collect()
     own: dict = {}
     for x in sorted(rows, key=order):
         own.setdefault(x[0], []).append(x)
