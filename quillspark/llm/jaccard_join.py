@@ -14,9 +14,10 @@
    member (the one whose shingles have the most holders); the components of the verified links then tell
    which lists still join different components, and only pairs across components are tried, small
    components against the rest. A pair inside a component cannot change the result, so no link between
-   components is lost. The number of pairs tried across grows with the components of a list, times its
-   members: lists of many texts that share a passage but are no near-duplicates are the worst case, and
-   most of those end at the bounds on what both hold from their first common entry on.
+   components is lost. A list of many texts that share a passage but are no near-duplicates has more such
+   pairs than its members have later entries: it is told apart by the next entry that partners must share as
+   well, up to three times. Most pairs that are left end at the bounds on what both hold from their last common
+   entry of the list on.
 5. A pair is verified by partial overlaps: each fragment group sums the weights that both segments hold
    and the partial counts are summed per pair; pairs whose sets can't hold enough from their first common
    entry on are not tried; links need denominator * overlap >= numerator * union.
@@ -46,6 +47,7 @@ from quillspark.llm.shared import Scratch, partitions, tidy
 from quillspark.llm.textarrays import chunks, mix, shingles, span_hashes, text_bytes, word_spans
 
 FLUSH_TOKENS, FLUSH_CLASSES = 2_000_000, 65_000
+DEPTH = 3  # further entries by which a long list is told apart
 
 
 def _sets(texts: list[bytes], k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -282,6 +284,36 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a, b, na, nb, pa.array(out)], ["a", "b", "na", "nb", "part"])
 
 
+def _narrowed(scratch: Scratch, label: DataFrame, whole: DataFrame, least: Column) -> DataFrame:
+    """(key, base, node, n, before, root): lists of candidates, narrowed where trying their pairs would cost more.
+
+    Members of a list share an entry. If that weighs less than the overlap a member needs, its partners share a
+    later entry too, near enough that what follows makes up the rest. So a list with more pairs to try than its
+    members have later entries becomes lists by two entries, these by three, and so on. base is the weight of all
+    entries of a list but the last, before is how much a member holds before that one.
+    """
+    level = label.join(whole, ["node", "entry"]).select(F.col("entry").alias("key"), "node", "n", "root", F.lit(0).cast("long").alias("base"), "before", "w", "after")
+    done, columns = None, ["key", "base", "node", "n", "before", "root"]
+    for depth in range(DEPTH + 1):
+        level = scratch.table(level, f"level-{depth}")
+        per = level.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("after").alias("after"))
+        per = per.groupBy("key").agg(F.sum("c").alias("c"), F.max("c").alias("most"), F.sum("after").alias("after"))
+        wide = per.where(F.col("c") * (F.col("c") - F.col("most")) > F.col("after") + 2 * F.col("c")).select("key")
+        if depth < DEPTH:
+            wide = scratch.table(wide, f"wide-{depth}")
+        if depth == DEPTH or not wide.head(1):
+            return level.select(*columns) if done is None else done.unionByName(level.select(*columns))
+        more = level.join(wide, "key", "left_semi")
+        kept = level.join(wide, "key", "left_anti").unionByName(more.where(F.col("w") >= least)).select(*columns)
+        done = kept if done is None else done.unionByName(kept)
+        later = whole.select("node", F.col("entry").alias("next"), F.col("before").alias("then"), F.col("w").alias("nw"), F.col("after").alias("left"))
+        met = more.join(later, "node").where((F.col("then") > F.col("before")) & (F.col("then") <= F.col("n") - least + F.col("w")))
+        level = met.select(F.xxhash64("key", "next").alias("key"), "node", "n", "root", F.col("w").alias("base"), F.col("then").alias("before"), (F.col("w") + F.col("nw")).alias("w"), F.col("left").alias("after"))
+        mixed = level.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+        level = level.join(mixed, "key", "left_semi")
+    return done
+
+
 def link(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, numerator: int = 75, denominator: int = 100, groups: int = 4, crowd: int = 1 << 20) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, class_size (documents with the same set, 0 for an empty
     one), crc (crc32 of the text), root (names the component; null for an empty set)."""
@@ -343,21 +375,28 @@ def link(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", k: in
     roots = components(scratch, links, "inner")
 
     # lists whose members lie in several components: the smaller components against all of the list
-    label = lists.join(roots, "node", "left").select("entry", "node", "n", "before", F.coalesce("root", "node").alias("root"))
+    label = lists.join(roots, "node", "left").select("entry", "node", F.coalesce("root", "node").alias("root"))
     mixed = label.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("entry")
     mixed = scratch.table(mixed, "mixed")
     label = scratch.table(label.join(mixed, "entry", "left_semi"), "label")
-    largest = label.groupBy("entry", "root").count().groupBy("entry").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
+    whole = held.join(label.select("node").distinct(), "node", "left_semi").join(sizes, "node").select("node", "n", "entry", "weight", own)
+    whole = whole.groupBy("node", "n", "entry").agg(F.sum("weight").alias("w"), F.min("before").alias("before"))
+    after = Window.partitionBy("node").orderBy(F.desc("before")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = scratch.table(whole.withColumn("after", F.count("*").over(after)), "ordered")
+    narrow = scratch.table(_narrowed(scratch, label, whole, least), "narrow")
+    largest = narrow.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
     largest = scratch.table(largest, "largest")
-    small = label.join(largest, "entry").where("root <> largest").select("entry", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("before").alias("pb"), F.col("root").alias("pr"))
-    across = small.join(label, "entry").where((F.col("pr") != F.col("root")) & possible("n", "before", "pn", "pb"))
+    small = narrow.join(largest, "key").where("root <> largest").select("key", "base", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("before").alias("pb"), F.col("root").alias("pr"))
+    rest = F.col("base") + F.least(F.col("n") - F.col("before"), F.col("pn") - F.col("pb"))
+    enough = F.lit(numerator + denominator) * rest >= F.lit(numerator) * (F.col("n") + F.col("pn"))
+    across = small.join(narrow.drop("base"), "key").where((F.col("pr") != F.col("root")) & enough)
     swap = F.col("p") > F.col("node")
     end = lambda x, y, name: F.when(swap, F.col(x)).otherwise(F.col(y)).alias(name)
     across = across.select(end("node", "p", "a"), end("p", "node", "b"), end("n", "pn", "na"), end("pn", "n", "nb")).distinct()
     tried = spark.read.parquet(f"{scratch.base}/star-pairs")
     more = verified(across.join(tried, ["a", "b"], "left_anti"), "across")
     roots = components(scratch, links.unionByName(more), "outer")
-    scratch.drop("entries", "members", "smallest", "first", "mixed", "largest", "lists", "label", "star-pairs", "across-pairs", "inner-roots")
+    scratch.drop("entries", "members", "smallest", "first", "mixed", "largest", "lists", "label", "ordered", "narrow", *(f"level-{d}" for d in range(DEPTH + 1)), *(f"wide-{d}" for d in range(DEPTH)), "star-pairs", "across-pairs", "inner-roots")
 
     named = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
     named = named.join(roots, "node", "left").select("node", "least", "class_size", F.coalesce("root", "node").alias("root"))
