@@ -129,10 +129,41 @@ def prompt_digest(parts: dict[str, Column]) -> Column:
     return F.struct(F.sha2(joined, 256).alias("combined"), F.struct(*(v.alias(k) for k, v in each.items())).alias("parts"))
 
 
+# What only a player does, what may stand before it, and capitalised words that are no names.
+PLAYER_VERBS = (
+    "controls control casts cast has have had plays play played attacks attack blocks block targets target draws draw discards discard "
+    "sacrifices sacrifice activates activate taps tap owns own gains gain loses lose wants want responds respond chooses choose declares "
+    "declare puts put moves move exiles exile destroys destroy counters counter reveals reveal wins win searches search passes pass "
+    "concedes concede attempts attempt tries try uses use used names name named takes take took"
+)
+PLAYER_ADVERBS = "then also now later instead immediately next subsequently"
+NOT_A_NAME = (
+    "They There Their Them This That These Those Who Whom Which What When Where Whether While Both Each Either Neither Every Some Any All "
+    "One Two Three Four Five Nobody Someone Everyone The And But For Nor Yet Then Than Thus If After Before Since Because However Instead "
+    "Also Now Once Only Player Players Opponent Opponents Creature Creatures Permanent Permanents Card Cards Token Tokens"
+)
+
+
+def player_names(text: Column) -> Column:
+    """Capitalised words in front of what a player does, in order, with repeats."""
+    pattern = rf"\b([A-Z][a-z]{{2,}})\s+(?:(?:{PLAYER_ADVERBS.replace(' ', '|')})\s+)?(?:{PLAYER_VERBS.replace(' ', '|')})\b"
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1))
+
+
+def card_words(names: Column) -> Column:
+    """The capitalised words inside names."""
+    return F.filter(F.flatten(F.transform(names, lambda n: F.split(n, "[^A-Za-z]+"))), lambda w: w.rlike("^[A-Z]"))
+
+
 def stray_names(rubric: Column, known: Column) -> Column:
-    """Capitalised subjects of player verbs in a rubric that the known words don't hold."""
-    verbs = "casts|attacks|blocks|controls|activates|plays|draws|loses|gains|sacrifices"
-    return F.array_sort(F.array_distinct(F.array_except(F.regexp_extract_all(rubric, F.lit(rf"\b([A-Z][a-z]+)\s+(?:{verbs})\b"), F.lit(1)), known)))
+    """Players that a rubric names, sorted, without the known words and words that are no names."""
+    return F.array_sort(F.array_distinct(F.array_except(player_names(rubric), F.concat(known, F.array(*(F.lit(w) for w in NOT_A_NAME.split()))))))
+
+
+def introduced_names(question: Column, answer: Column, cards: Column) -> Column:
+    """The words that a rubric may use as names: players of its question and answer, and words of its cards."""
+    both = F.concat_ws(" ", F.coalesce(question, F.lit("")), F.coalesce(answer, F.lit("")))
+    return F.concat(player_names(both), F.coalesce(card_words(cards), F.array().cast("array<string>")))
 
 
 def prose_names(df: DataFrame, key: str, text: str, names: DataFrame, name: str, most: int = 5, stop: tuple[str, ...] = ()) -> DataFrame:

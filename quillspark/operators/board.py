@@ -109,6 +109,21 @@ def scenario_problems(steps: DataFrame, key: str, step: str, spent: str, hand: s
     return few.unionByName(kept)
 
 
+# What a step of a scenario must have.
+STEP_FIELDS = ("phase", "legal_actions", "key_points")
+
+
+def scenario_gaps(steps: DataFrame, key: str, step: str) -> DataFrame:
+    """(key, step, rule): a step's missing fields (texts or arrays that are null or empty), and a step before the last
+    without reference_actions, behind which the next one doesn't know what has happened."""
+    kinds = dict(steps.dtypes)
+    bare = lambda c: F.coalesce(F.size(c) <= 0 if kinds[c].startswith("array") else F.col(c) == "", F.lit(True))
+    last = steps.groupBy(key).agg(F.max(step).alias("__last"))
+    rules = [F.when(bare(c), F.lit(f"missing_{c}")) for c in STEP_FIELDS]
+    rules.append(F.when(bare("reference_actions") & (F.col(step) < F.col("__last")), F.lit("no_reference_actions")))
+    return steps.join(last, key).select(key, step, F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+
+
 # Of which layouts of two-faced cards the back can be played, and the steps in which nobody acts.
 BACK_IS_PLAYED = {"split": True, "adventure": True, "prepare": True, "modal_dfc": True, "transform": False, "flip": False}
 NO_PRIORITY = ("UNTAP", "CLEANUP", "COMBAT_DAMAGE", "FIRST_COMBAT_DAMAGE")

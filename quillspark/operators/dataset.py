@@ -13,11 +13,25 @@ from quillspark.functions import text as T
 MESSAGE = "struct<role:string,content:string>"
 
 
-def messages(system: Column | None, user: Column, assistant: Column | None = None) -> Column:
-    """A chat record: the turns that are given, in order."""
+def messages(system: Column | None, user: Column, assistant: Column | None = None, exemplars: Column | None = None) -> Column:
+    """A chat record: the turns that are given, in order. exemplars: an array of (question, answer), each two
+    completed turns before the question; without any the record is as it was."""
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    turns = [turn(r, c) for r, c in (("system", system), ("user", user), ("assistant", assistant)) if c is not None]
-    return F.filter(F.array(*turns), lambda m: m["content"].isNotNull())
+    before, after = ([turn(r, c) for r, c in part if c is not None] for part in ((("system", system),), (("user", user), ("assistant", assistant))))
+    shots = [] if exemplars is None else [F.flatten(F.transform(F.coalesce(exemplars, F.slice(exemplars, F.lit(1), F.lit(0))), lambda x: F.array(turn("user", x["question"]), turn("assistant", x["answer"]))))]
+    parts = [*([F.array(*before)] if before else []), *shots, F.array(*after)]
+    return F.filter(F.concat(*parts), lambda m: m["content"].isNotNull())
+
+
+# Fixed value: what a checked answer begins with.
+FINAL_ANSWER = "FINAL ANSWER:"
+
+
+def verify_messages(system: Column, question: Column, context: Column, draft: Column) -> Column:
+    """The second pass: a draft is checked against its context, if there is one, and answered anew behind a marker."""
+    ask = F.lit(f"Check the draft against the text above, then write the final answer for the user on a new line beginning exactly with {FINAL_ANSWER}")
+    parts = F.concat_ws("\n\n", F.nullif(context, F.lit("")), F.concat(F.lit("Question: "), question), F.concat(F.lit("Draft answer:\n"), draft), ask)
+    return messages(system, parts)
 
 
 def emit_variants(df: DataFrame, key: str, question: str, answer: str, context: str, system: str, limit: int) -> DataFrame:

@@ -159,13 +159,26 @@ def arm_report(rows: DataFrame, arm: str) -> DataFrame:
     rows: arm, blundered, parsed_ok, valid_turn, all_legal, only_pass, degenerate (booleans), n_errors,
     correctness, n_plays, n_actions, n_legal. Plays fall back to actions where they weren't counted.
     """
+    return rows.groupBy(arm).agg(*_diagnostics())
+
+
+def position_summary(rows: DataFrame, arm: str, difficulty: str, category: str) -> DataFrame:
+    """(by, arm, difficulty, category, diagnostics): arm_report for each arm, each arm and difficulty, and each arm
+    and category, in one pass; ``by`` names the set, as null may be a value."""
+    sets = rows.groupingSets([[F.col(arm)], [F.col(arm), F.col(difficulty)], [F.col(arm), F.col(category)]], arm, difficulty, category)
+    by = F.when(F.grouping(difficulty) == 0, "difficulty").when(F.grouping(category) == 0, "category").otherwise("arm")
+    found = sets.agg(by.alias("by"), *_diagnostics())
+    return found.select("by", arm, difficulty, category, *(c for c in found.columns if c not in ("by", arm, difficulty, category)))
+
+
+def _diagnostics() -> list[Column]:
     share = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(c)
     plays = F.sum(F.coalesce("n_plays", "n_actions", F.lit(0)))
-    return rows.groupBy(arm).agg(
+    return [
         share("blundered"), F.count("blundered").alias("judged"), F.round(F.avg(F.when(F.col("blundered").isNotNull(), F.coalesce("n_errors", F.lit(0)).cast("double"))), 6).alias("errors_per_answer"),
         F.round(F.avg("correctness"), 6).alias("correctness"), F.count_if(F.col("correctness").isNull()).alias("unjudged"), *(share(c) for c in ("parsed_ok", "valid_turn", "all_legal", "only_pass", "degenerate")),
         F.round(plays / F.count("*"), 6).alias("plays_per_answer"), F.round(F.try_divide(F.sum(F.coalesce("n_legal", F.lit(0))).cast("double"), plays), 6).alias("legal_plays"),
-    )
+    ]
 
 
 def lowest_cases(rows: DataFrame, record: str, arm: str, score: str, n: int = 10, best: float = 5.0) -> DataFrame:

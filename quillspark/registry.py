@@ -34,5 +34,5 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
-for _module in ("text", "similarity", "retrieval", "sampling", "chunking", "evaluation", "judging", "relational", "validation", "logs", "gameplay", "rubric", "dataset", "judge", "questions", "boards", "records", "engine", "runs"):
+for _module in ("text", "similarity", "retrieval", "sampling", "chunking", "evaluation", "judging", "relational", "validation", "logs", "gameplay", "rubric", "dataset", "judge", "questions", "boards", "records", "engine", "runs", "forms"):
     importlib.import_module(f"quillspark.plans.{_module}")
