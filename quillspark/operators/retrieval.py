@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillspark.functions import text as T
+from quillspark.operators.similarity import FREQUENT, rarest_first
 
 # Okapi parameters, routed depth, caps.
 K1, B = 1.5, 0.75
@@ -159,7 +160,7 @@ def resolve_names(asked: DataFrame, asked_name: str, names: DataFrame, name: str
     """Adds resolved and how to asked: exact, normalised, face, prefix or fuzzy; ambiguous or none give null.
 
     Distinct asked names are resolved once. Each step is an equi-join on what the steps before left open;
-    a prefix meets its names by its first three characters, a near name by length and edit distance.
+    a prefix meets its names by its first three characters, a near name by the rarest of its trigrams.
     """
     known = names.select(F.col(name).alias("full"), T.norm_name(F.col(name)).alias("norm")).distinct()
     by_norm = known.groupBy("norm").agg(F.min("full").alias("by_norm"))
@@ -175,10 +176,7 @@ def resolve_names(asked: DataFrame, asked_name: str, names: DataFrame, name: str
     by_prefix = left.where(F.length("norm") >= 3).withColumn("head", head(F.col("norm"))).join(keys, "head").where(F.startswith("key", F.col("norm")))
     by_prefix = by_prefix.groupBy("asked").agg(F.count("*").alias("prefixes"), F.min("by_norm").alias("by_prefix"))
     open_ = left.join(by_prefix, "asked", "left_anti")
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    near = open_.select("asked", "norm", F.explode(pieces(F.col("norm"))).alias("piece")).join(keys.select("key", "by_norm", F.explode(pieces(F.col("key"))).alias("piece")), "piece")
-    near = near.where(F.lit(2.0) * F.least(F.length("norm"), F.length("key")) >= 0.9 * (F.length("norm") + F.length("key"))).select("asked", "norm", "key", "by_norm").distinct()
-    near = near.withColumn("ratio", sequence_ratio("norm", "key")).where("ratio >= 0.9").groupBy("asked").agg(F.max_by("by_norm", F.struct("ratio", "key")).alias("by_ratio"))
+    near = near_names(open_, keys.select("key", "by_norm")).groupBy("asked").agg(F.max_by("by_norm", F.struct("ratio", "key")).alias("by_ratio"))
     step = step.join(by_prefix, "asked", "left").join(near, "asked", "left")
     whole = [
         (F.col("exact"), F.col("asked"), "exact"), (F.col("by_norm").isNotNull(), F.col("by_norm"), "normalized"), (F.col("owners") == 1, F.col("by_face"), "face"), (F.col("owners") > 1, F.lit(None), "ambiguous-face"),
@@ -191,6 +189,46 @@ def resolve_names(asked: DataFrame, asked_name: str, names: DataFrame, name: str
     return asked.join(found, asked_name)
 
 
+def near_candidates(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(asked, norm, key, by_norm): pairs whose matching characters may be nine tenths of all, by their trigrams.
+
+    Of two such names with n and m characters, matching blocks hold 0.45 (n + m) of either and are parted by at
+    most 0.1 (n + m) others, so they share 0.25 (n + m) - 2 trigrams, repeats counted. Trigrams have one
+    order, the most frequent of the names' last; names meet only by those of the first ones of which one must be
+    shared, and what is left behind the last of them bounds how many can be. Pairs that are left must share
+    enough trigrams and enough characters in any order.
+    """
+
+    def numbered(c: Column, width: int) -> Column:
+        """A text's pieces of a width, a repeated one told from the one before."""
+        pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (width - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(width)))
+        return F.transform(pieces, lambda g, i: F.xxhash64(g, F.size(F.filter(F.slice(pieces, F.lit(1), i + 1), lambda x: x == g))))
+
+    def grams(df: DataFrame, norm: str, name: str, size: str) -> DataFrame:
+        x = numbered(F.col(norm), 3)
+        return df.select(F.col(norm).alias(name)).distinct().select(name, F.size(x).alias(size), x.alias("x"))
+
+    def first(sets: DataFrame, name: str, size: str, place: str) -> DataFrame:
+        needed = F.greatest(F.lit(1.0), F.ceil(0.25 * (F.length(name) + F.length(name) * F.lit(9.0) / 11) - 2 - 1e-9)).cast("int")
+        return sets.select(name, size, F.posexplode(F.slice("x", F.lit(1), F.col(size) - needed + 1)).alias(place, "gram"))
+
+    left, right = grams(asked, "norm", "norm", "na"), grams(names, "key", "key", "nb")
+    often = right.select(F.explode("x").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "gram").limit(FREQUENT)
+    often = [r["gram"] for r in often.collect()]
+    met = first(rarest_first(left, often), "norm", "na", "i").join(first(rarest_first(right, often), "key", "nb", "j"), "gram")
+    total = F.length("norm") + F.length("key")
+    met = met.where(F.lit(2.0) * F.least(F.length("norm"), F.length("key")) >= 0.9 * total).groupBy("norm", "key", "na", "nb").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    met = met.where(F.col("c") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) - 1 >= 0.25 * total - 2 - 1e-9)
+    alike = lambda width: F.size(F.array_intersect(numbered(F.col("norm"), width), numbered(F.col("key"), width)))
+    met = met.where((alike(1) >= 0.45 * total - 1e-9) & (alike(3) >= 0.45 * total - 2 * (F.floor(0.1 * total + 1e-9) + 1) - 1e-9)).select("norm", "key")
+    return met.join(asked.select("asked", "norm"), "norm").join(names.select("key", "by_norm"), "key").select("asked", "norm", "key", "by_norm")
+
+
+def near_names(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(asked, key, by_norm, ratio) of pairs with a ratio of 0.9 or more."""
+    return near_candidates(asked, names).withColumn("ratio", sequence_ratio("norm", "key")).where("ratio >= 0.9").select("asked", "key", "by_norm", "ratio")
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters over all characters, matching blocks found longest first."""

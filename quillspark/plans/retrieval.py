@@ -93,6 +93,16 @@ def cascade_resolve(t: Tables) -> DataFrame:
     return R.resolve_names(asked, "raw", t.part, "p_name").select("p_partkey", "resolved", "how")
 
 
+@query(
+    """WITH n AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS norm, min(p_name) AS name FROM part GROUP BY 1)
+    SELECT p_partkey, name AS resolved, 'fuzzy' AS how FROM part JOIN n ON norm = regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g')"""
+)
+def misspelled_names(t: Tables) -> DataFrame:
+    """Part names with their last letter twice: nearer to the name itself than to any other."""
+    asked = t.part.select("p_partkey", F.concat("p_name", F.right("p_name", F.lit(1))).alias("raw"))
+    return R.resolve_names(asked, "raw", t.part, "p_name").select("p_partkey", "resolved", "how")
+
+
 @query(
     """WITH m AS (SELECT p_partkey, 0 AS pos, p_name AS raw FROM part UNION ALL SELECT a.p_partkey, 2, upper(b.p_name) FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 7 UNION ALL SELECT a.p_partkey, 3, replace(b.p_name, ' ', '-') FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 3),
     n AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS norm, min(p_name) AS by_norm FROM part GROUP BY 1), e AS (SELECT DISTINCT p_name FROM part),
