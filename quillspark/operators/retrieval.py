@@ -17,6 +17,7 @@ from quillspark.operators.similarity import FREQUENT, rarest_first
 K1, B = 1.5, 0.75
 RULES_WITHOUT_CARDS, RULES_WITH_CARDS = 3, 0
 MOST_KEYWORD_RULES = 20
+SCORES = 4_000_000  # of queries and rows at a time
 
 
 def bm25(queries: DataFrame, query_id: str, query_text: str, docs: DataFrame, doc_id: str, doc_text: str, k: int) -> DataFrame:
@@ -109,9 +110,13 @@ def _nearest(rows: list, query_id: str, index: DataFrame, vec_id: str, vec: str,
         for batch in batches:
             if not len(q) or not len(batch) or not k:
                 continue
-            score = np.round(q @ np.array(batch["v"].tolist(), dtype=np.float64).T, 9)
-            order = np.lexsort((np.broadcast_to(batch["i"].to_numpy(), score.shape), -score), axis=1)[:, :k]
-            found = pd.DataFrame({"q": np.repeat(np.arange(len(q)), order.shape[1]), "i": batch["i"].to_numpy()[order.ravel()], "score": np.take_along_axis(score, order, axis=1).ravel()})
+            v, own = np.array(batch["v"].tolist(), dtype=np.float64), batch["i"].to_numpy()
+            n, step, parts = min(k, len(own)), max(1, SCORES // len(own)), []
+            for lo in range(0, len(q), step):  # a bounded matrix at a time, of which only what reaches a query's k-th best is sorted
+                score = np.round(q[lo : lo + step] @ v.T, 9)
+                row, at = np.nonzero(score >= np.partition(score, len(own) - n, axis=1)[:, len(own) - n, None])
+                parts.append(pd.DataFrame({"q": lo + row, "i": own[at], "score": score[row, at]}))
+            found = pd.concat(parts)
             best = found if best is None else pd.concat([best, found])
             best = best.sort_values(["q", "score", "i"], ascending=[True, False, True]).groupby("q").head(k)
         if best is not None:
