@@ -18,7 +18,10 @@ def messages(system: Column | None, user: Column, assistant: Column | None = Non
     completed turns before the question; without any the record is as it was."""
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     before, after = ([turn(r, c) for r, c in part if c is not None] for part in ((("system", system),), (("user", user), ("assistant", assistant))))
-    shots = [] if exemplars is None else [F.flatten(F.transform(F.coalesce(exemplars, F.slice(exemplars, F.lit(1), F.lit(0))), lambda x: F.array(turn("user", x["question"]), turn("assistant", x["answer"]))))]
+    shots = []
+    if exemplars is not None:
+        turns = F.flatten(F.transform(exemplars, lambda x: F.array(turn("user", x["question"]), turn("assistant", x["answer"]))))
+        shots = [F.coalesce(turns, F.slice(F.array(turn("user", F.lit(""))), F.lit(1), F.lit(0)))]
     parts = [*([F.array(*before)] if before else []), *shots, F.array(*after)]
     return F.filter(F.concat(*parts), lambda m: m["content"].isNotNull())
 
