@@ -148,6 +148,9 @@ def renamed_players(df: DataFrame, key: str, text: str, patterns: tuple[str, ...
     return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {text} string, names array<string>")
 
 
+# How a definition is asked for, and what a record from a community's page says of its source.
+DEFINITION_ASKED = 'What does "', '" mean in Magic: The Gathering?'
+SOURCE_NOTE = "(Source: MTG Wiki, ", ", revision ", " — community-edited reference, not the Comprehensive Rules.)"
 REDIRECT = r"^See [^.]+\.$"  # a definition that only points at another
 
 
@@ -156,7 +159,7 @@ def definition_examples(glossary: DataFrame, term: str, definition: str, rules:
     short ones are left out."""
     own = glossary.where(~F.col(definition).rlike(REDIRECT) & (F.length(definition) > shortest))
     drawn = own.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(term)), 256), term).limit(n)
-    question = F.concat(F.lit('What does "'), F.col(term), F.lit('" mean in Magic: The Gathering?'))
+    question = F.concat(F.lit(DEFINITION_ASKED[0]), F.col(term), F.lit(DEFINITION_ASKED[1]))
     return drawn.select(F.concat(F.lit("glossary:"), F.col(term)).alias("source"), question.alias("question"), F.col(definition).alias("answer"), F.col(rules).alias("supporting_rule_ids"))
 
 
@@ -168,7 +171,7 @@ def cites_support(answer: Column, supporting: Column) -> Column:
 def gloss_examples(chunks: DataFrame, key: str, title: str, heading: str, text: str, revision: str, system: str) -> DataFrame:
     """(key, messages): a training record of each wiki chunk whose answer says what it is and which revision."""
     question = F.concat(F.lit("Explain: "), F.col(title), F.when(F.coalesce(F.col(heading), F.lit("")) != "", F.concat(F.lit(" ("), F.col(heading), F.lit(")"))).otherwise(""))
-    source = F.concat(F.lit("(Source: MTG Wiki, "), F.col(title), F.lit(", revision "), F.col(revision).cast("string"), F.lit(" — community-edited reference, not the Comprehensive Rules.)"))
+    source = F.concat(F.lit(SOURCE_NOTE[0]), F.col(title), F.lit(SOURCE_NOTE[1]), F.col(revision).cast("string"), F.lit(SOURCE_NOTE[2]))
     return chunks.select(key, messages(F.lit(system), question, F.concat_ws("\n\n", F.col(text), source)).alias("messages"))
 
 
