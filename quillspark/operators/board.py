@@ -168,36 +168,56 @@ def timing_problems(legal: DataFrame, key: str, line: str, positions: DataFrame,
     """
     at = positions.select(key, A.turn_step(F.col(phase)).alias("step"), F.contains(F.lower(phase), F.lit(A.BEFORE_THE_TURN)).alias("before"))
     at = at.where((F.col("step").isNotNull() & ~F.col("step").isin(*MAIN_STEPS)) | (F.col("step").isNull() & F.col("before")))
-    read = legal.select(key, line, A.parse(F.col(line)).alias("a")).where("a.kind = 'action' and a.verb = 'CAST'")
+    read = legal.select(key, line, F.explode(F.array(A.parse(F.col(line)))).alias("a")).where("a.kind = 'action' and a.verb = 'CAST'")
     slow = cards.where(~F.contains("type_line", F.lit("Instant")) & ~F.contains("text", F.lit("Flash"))).select(F.lower("card").alias("card"))
     return read.select(key, line, F.lower(F.col("a.args")[0]).alias("card")).join(at.select(key), key).join(slow.distinct(), "card").select(key, line, "card")
 
 
+def taps_wasted() -> Column:
+    """Of the lines of an answer: taps, and nothing cast or played."""
+    of = lambda *verbs: F.count_if((F.col("kind") == "action") & F.col("verb").isin(*verbs))
+    return (of("TAP") > 0) & (of("CAST", "PLAY") == 0)
+
+
+def phase_unsaid() -> Column:
+    """Of the lines of an answer: plays, and no PHASE line; passing is no play."""
+    return (F.count_if(_play()) > 0) & (F.count_if((F.col("kind") == "action") & (F.col("verb") == "PHASE")) == 0)
+
+
+def _play() -> Column:
+    return (F.col("kind") == "action") & ~F.col("verb").isin(*A.DECLARATIONS, "PASS")
+
+
 def wasted_taps(actions: DataFrame, key: str) -> DataFrame:
     """(key, taps) of answers that tap and neither cast nor play anything."""
-    of = lambda *verbs: F.count_if((F.col("kind") == "action") & F.col("verb").isin(*verbs))
-    return actions.groupBy(key).agg(of("TAP").alias("taps"), of("CAST", "PLAY").alias("spent")).where("taps > 0 and spent = 0").select(key, "taps")
+    taps = F.count_if((F.col("kind") == "action") & (F.col("verb") == "TAP"))
+    return actions.groupBy(key).agg(taps.alias("taps"), taps_wasted().alias("fired")).where("fired").select(key, "taps")
 
 
 def missing_phase(actions: DataFrame, key: str) -> DataFrame:
     """(key, plays) of answers that play without a PHASE line; passing is no play."""
-    own = F.col("kind") == "action"
-    plays = F.count_if(own & ~F.col("verb").isin(*A.DECLARATIONS, "PASS"))
-    return actions.groupBy(key).agg(plays.alias("plays"), F.count_if(own & (F.col("verb") == "PHASE")).alias("said")).where("plays > 0 and said = 0").select(key, "plays")
+    return actions.groupBy(key).agg(F.count_if(_play()).alias("plays"), phase_unsaid().alias("fired")).where("fired").select(key, "plays")
 
 
-def protocol(actions: DataFrame, key: str, found: dict[int, DataFrame]) -> DataFrame:
+def protocol(actions: DataFrame, key: str, found: dict[int, DataFrame | Column]) -> DataFrame:
     """(key, entry, fired): for each answer and each protocol entry whether its check fired.
 
-    found: entry -> rows of the check (key is enough). An entry that is not given can't be decided and has
-    no rows.
+    found: entry -> rows of the check (key is enough), or its condition as an aggregate over an answer's lines;
+    all conditions are read off the lines in one pass. An entry that is not given can't be decided and has no rows.
     """
-    every = actions.select(key).distinct().select(key, F.explode(F.array(*(F.lit(n) for n in sorted(found)))).alias("entry"))
+    said = {n: c for n, c in found.items() if isinstance(c, Column)}
+    held = [F.coalesce(c, F.lit(False)).alias(f"__{n}") for n, c in said.items()]
+    every = actions.groupBy(key).agg(*held) if held else actions.select(key).distinct()
+    own = [F.struct(F.lit(n).alias("entry"), (F.col(f"__{n}") if n in said else F.lit(False)).alias("own")) for n in sorted(found)]
+    every = every.select(key, F.inline(F.array(*own)))
     hits = None
     for n, rows in found.items():
-        one = rows.select(key).distinct().withColumns({"entry": F.lit(n), "fired": F.lit(True)})
-        hits = one if hits is None else hits.unionByName(one)
-    return every.join(hits, [key, "entry"], "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
+        if n not in said:
+            one = rows.select(key).distinct().withColumns({"entry": F.lit(n), "fired": F.lit(True)})
+            hits = one if hits is None else hits.unionByName(one)
+    if hits is None:
+        return every.withColumnRenamed("own", "fired")
+    return every.join(hits, [key, "entry"], "left").select(key, "entry", F.coalesce("fired", "own").alias("fired"))
 
 
 def reference_problems(references: DataFrame, key: str, lines: str, legal: DataFrame, legal_line: str) -> DataFrame:
@@ -206,9 +226,9 @@ def reference_problems(references: DataFrame, key: str, lines: str, legal: DataF
     references: (key, lines: array). Answers without listed actions are only held to the grammar.
     """
     empty = references.where(F.coalesce(F.size(lines), F.lit(0)) <= 0).select(key, F.lit("empty").alias("rule"), F.lit("").alias("said"))
-    read = references.select(key, F.posexplode(lines).alias("pos", "line")).select(key, "pos", "line", A.parse(F.col("line")).alias("a"))
+    read = references.select(key, F.posexplode(lines).alias("pos", "line")).select(key, "pos", "line", F.explode(F.array(A.parse(F.col("line")))).alias("a"))
     bad = read.where("a.kind <> 'action'").select(key, F.when(F.col("a.kind") == "failure", "unparseable").otherwise("prose").alias("rule"), F.col("line").alias("said"))
-    listed = legal.select(key, A.parse(F.col(legal_line)).alias("b")).select(key, F.col("b.key").alias("__k")).distinct()
+    listed = legal.select(key, F.explode(F.array(A.parse(F.col(legal_line)))).alias("b")).select(key, F.col("b.key").alias("__k")).distinct()
     some = listed.select(key).distinct()
     plays = read.where((F.col("a.kind") == "action") & ~F.col("a.verb").isin(*A.DECLARATIONS, "PASS")).select(key, "line", F.col("a.key").alias("__k"))
     off = plays.join(some, key, "left_semi").join(listed, [key, "__k"], "left_anti").select(key, F.lit("not_legal").alias("rule"), F.col("line").alias("said"))

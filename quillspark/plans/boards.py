@@ -73,8 +73,7 @@ def missing_phases(t: Tables) -> DataFrame:
     SELECT k, 9 AS entry, w AS fired FROM l UNION ALL SELECT k, 10, m FROM l"""
 )
 def protocol_findings(t: Tables) -> DataFrame:
-    actions = A.parse_answers(_answers(t), "k", "answer")
-    return B.protocol(actions, "k", {9: B.wasted_taps(actions, "k"), 10: B.missing_phase(actions, "k")})
+    return B.protocol(A.parse_answers(_answers(t), "k", "answer"), "k", {9: B.taps_wasted(), 10: B.phase_unsaid()})
 
 
 @query("SELECT DISTINCT l_orderkey AS k, 'card ' || l_partkey AS card FROM lineitem l WHERE l_linenumber % 3 = 1 AND EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = l.l_orderkey AND b.l_partkey = l.l_partkey AND b.l_quantity > 25)")
