@@ -16,12 +16,21 @@ LONGEST_LEAD, SHORTEST_LEAD = 4, 2  # content words of an error's lead that may
 def half_answer(text: Column) -> Column:
     """The leading sentences whose length is closest to half, never all of them; the first of equals."""
     body = F.trim(F.coalesce(text, F.lit("")))
-    parts = T.sentences(body)
-    sizes = F.transform(parts, lambda p: F.length(p) + 1)
-    prefix = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x)
-    gaps = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(F.abs(prefix(i) - F.length(body) / 2).alias("gap"), i.alias("i")))
-    best = F.array_min(gaps)["i"]
-    return F.when(F.size(parts) < 2, body).otherwise(F.trim(F.array_join(F.slice(parts, F.lit(1), best), " ")))
+
+    def half(x: Column) -> Column:
+        parts, want = x["parts"], F.length(x["body"]) / 2
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.lit(0).alias("best"), F.lit(float("inf")).alias("gap"))
+
+        def step(s: Column, part: Column) -> Column:
+            size, i = s["size"] + F.length(part) + 1, s["i"] + 1
+            gap = F.abs(size - want)
+            closer = (gap < s["gap"]) & (i < F.size(parts))
+            return F.struct(i.alias("i"), size.alias("size"), F.when(closer, i).otherwise(s["best"]).alias("best"), F.when(closer, gap).otherwise(s["gap"]).alias("gap"))
+
+        led = F.aggregate(parts, start, step, lambda s: s["best"])
+        return F.when(F.size(parts) < 2, x["body"]).otherwise(F.trim(F.array_join(F.slice(parts, F.lit(1), led), " ")))
+
+    return T.once(body, lambda b: T.once(F.struct(b.alias("body"), T.sentences(b).alias("parts")), half))
 
 
 def draft_points(answer: Column, citation: str = r"[\[(][^\])]*\b\d{3}\.\d+[a-z]?\b[^\])]*[\])]") -> Column:

@@ -50,3 +50,49 @@ def test_creatures_that_block_twice_count_once_each(spark):
     rows = [(1, "BLOCK a -> x\nBLOCK b -> x\nBLOCK a -> y\nBLOCK a -> z\nBLOCK b -> y\nBLOCK c -> y\nPLAY Swamp\nPLAY Bog"), (2, "PASS\nPASS")]
     got = {r["k"]: (r["n_rule_broken"], r["n_actions"], r["n_legal"]) for r in A.legality(answers(spark, rows), spark.createDataFrame([(1, "PLAY bog")], "k int, line string"), "k", "line").collect()}
     assert got == {1: (3, 8, 1), 2: (0, 1, 1)}
+
+
+def test_answers_are_cut_once(spark):
+    from quillspark.functions import rubric as R
+
+    rows = [(1, "One. Two two two. Three."), (2, "One"), (3, None), (4, "Aa. Bb. Cc. Dd."), (5, "")]
+    made = spark.createDataFrame(rows, "k int, t string").select("k", R.half_answer(F.col("t")).alias("h"))
+    assert plan(made).count("(?<=[.!?])") == 1
+    assert {r["k"]: r["h"] for r in made.collect()} == {1: "One. Two two two.", 2: "One", 3: "", 4: "Aa. Bb.", 5: ""}
+
+
+def test_sections_and_entries_are_cut_once(spark):
+    from quillspark.operators import chunking as C
+    from quillspark.operators import questions as Q
+
+    text = spark.createDataFrame([(1, "lead\n== A ==\n x \n== Gone ==\ny"), (2, None), (3, "")], "k int, t string").select("k", F.concat("t", F.lit("\nxyz")).alias("t"))
+    cut = C.sections(text, "k", "t", dropped=("gone",))
+    assert plan(cut).count("concat(t") == 1 and plan(cut).count("^\\s+|") == 1
+    assert sorted(tuple(r) for r in cut.collect()) == [(1, 0, "", "lead"), (1, 1, "A", "x"), (3, 0, "", "xyz")]
+    assert plan(Q.pasted_entries(text, "k", "t")).count("Question:?") <= 8
+
+
+def test_permanents_split_their_line_once(spark):
+    from quillspark.operators import forms as O
+
+    made = spark.createDataFrame([("Bear 2/2, Tapped x2",), ("x3 1/1",), ("Elf x50 3/3 x0",)], "t string").select(O.permanents(F.array("t"), "you").alias("p"))
+    assert plan(made).count("split(") == 1
+    assert [[(p["card"], p["tapped"], p["pt"]) for p in r["p"]] for r in made.collect()] == [[("Bear", True, "2/2")] * 2, [], [("Elf", False, "3/3")]]
+
+
+def test_reports_and_claims_meet_in_one_grouping(spark):
+    from quillspark.operators import engine as E
+
+    lines = spark.createDataFrame([(1, "PLAYABLE: Play Land"), (1, "TARGET: Cast Bolt | Bear"), (1, "ATTACKER: Bear"), (1, "noise")], "k int, line string")
+    legal = spark.createDataFrame([(1, "PLAY Land"), (1, "CAST Bear")], "k int, line string")
+    out = E.set_difference(E.report_sets(lines, "k", "line"), E.claimed_sets(legal, "k", "line"), "k")
+    assert plan(out).count("Join") == 0 and plan(out).count("LogicalRDD") + plan(out).count("LocalRelation") <= 2
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "ATTACKER", "Bear", "engine"), (1, "PLAYABLE", "Bear", "position")]
+    assert ("TARGET", "Cast Bolt | Bear") in {(r["kind"], r["value"]) for r in E.report_sets(lines, "k", "line").collect()}
+
+
+def test_card_lists_are_not_broadcast(spark):
+    from quillspark.operators import questions as Q
+
+    rows, names = spark.createDataFrame([(1, "Urborg, Tomb, Bear")], "k int, raw string"), spark.createDataFrame([("Urborg, Tomb",)], "n string")
+    assert "rightHint=(strategy=merge)" in plan(Q.card_lists(rows, "k", "raw", names, "n"))
