@@ -32,10 +32,13 @@ def sections(df: DataFrame, key: str, text: str, heading: str = HEADING, dropped
 
     Sections without a body and those of dropped headings (in any case) go; a text without headings stays.
     """
-    names = F.concat(F.array(F.lit("")), F.regexp_extract_all(F.col(text), F.lit(heading), F.lit(2)))
-    bodies = F.split(F.col(text), heading)
-    parts = df.select(key, F.size(bodies).alias("__n"), F.posexplode(F.arrays_zip(names.alias("heading"), bodies.alias("body"))).alias("pos", "x"))
-    out = parts.select(key, "__n", "pos", "x.heading", stripped(F.col("x.body")).alias("body"))
+    # what a generator gives isn't computed again for each use: the text, its cuts, a body
+    own = df.select(key, F.explode(F.array(F.col(text))).alias("__text"))
+    names = F.concat(F.array(F.lit("")), F.regexp_extract_all("__text", F.lit(heading), F.lit(2)))
+    cut = own.select(key, F.explode(F.array(F.struct(names.alias("names"), F.split("__text", heading).alias("bodies")))).alias("__cut"))
+    zipped = F.arrays_zip(F.col("__cut.names").alias("heading"), F.col("__cut.bodies").alias("body"))
+    parts = cut.select(key, F.size("__cut.bodies").alias("__n"), F.posexplode(zipped).alias("pos", "x"))
+    out = parts.select(key, "__n", "pos", "x.heading", F.explode(F.array(stripped(F.col("x.body")))).alias("body"))
     kept = (F.col("body") != "") & ~F.lower(F.trim("heading")).isin(*(d.lower() for d in dropped))
     return out.where((F.col("__n") == 1) | kept).drop("__n")
 
