@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import once
+
 # Line ends, the words of a permanent's line and what they set, its bounds, what a step may override.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 FLAGS = {"tapped": "tapped", "attacking": "attacking", "sick": "summoning_sick", "summoning-sick": "summoning_sick", "summoning": "summoning_sick"}
@@ -27,7 +29,7 @@ def _rows(form: Column, name: str) -> Column:
 
 def _number(form: Column, name: str, default: int = 0) -> Column:
     """A whole number; the default for anything else."""
-    return F.coalesce(F.when(_field(form, name).rlike(r"^[+-]?\d+$"), _field(form, name).try_cast("int")), F.lit(default))
+    return F.coalesce(once(_field(form, name), lambda x: F.when(x.rlike(r"^[+-]?\d+$"), x.try_cast("int"))), F.lit(default))
 
 
 def _or(form: Column, name: str, default: str) -> Column:
@@ -39,15 +41,17 @@ def permanents(lines: Column, controller: str) -> Column:
     make the name; a count is kept within 1 and 40; a line without a name gives none."""
     special = [*FLAGS, *DEFAULTS]
 
-    def of(line: Column) -> Column:
-        words = F.filter(F.split(F.replace(line, F.lit(","), F.lit(" ")), r"\s+"), lambda w: w != "")
-        pick = lambda pattern: F.element_at(F.filter(words, lambda w: w.rlike(pattern)), -1)
+    def made(words: Column) -> Column:
+        last = lambda pattern: F.get(F.reverse(F.filter(words, lambda w: w.rlike(pattern))), F.lit(0))
+        lower = F.transform(words, F.lower)
         name = F.array_join(F.filter(words, lambda w: ~w.rlike(COUNT) & ~w.rlike(POWER) & ~F.lower(w).isin(*special)), " ")
-        given = lambda flag: F.exists(words, lambda w: F.lower(w).isin(*(k for k, v in FLAGS.items() if v == flag)))
-        count = F.greatest(F.lit(1), F.least(F.lit(MOST_COPIES), F.coalesce(F.regexp_extract(F.coalesce(F.get(F.slice(F.filter(words, lambda w: w.rlike(COUNT)), F.lit(-1), F.lit(1)), F.lit(0)), F.lit("")), COUNT, 1).try_cast("int"), F.lit(1))))
-        power = F.get(F.slice(F.concat(F.array(F.lit(None).cast("string")), F.filter(words, lambda w: w.rlike(POWER))), F.lit(-1), F.lit(1)), F.lit(0))
-        one = F.struct(F.lit(controller).alias("controller"), name.alias("card"), given("tapped").alias("tapped"), power.alias("pt"), given("attacking").alias("attacking"), given("summoning_sick").alias("summoning_sick"))
-        return F.when(name != "", F.array_repeat(one, count)).otherwise(F.array_repeat(one, 0))
+        given = lambda flag: F.arrays_overlap(lower, F.array(*(F.lit(k) for k, v in FLAGS.items() if v == flag)))
+        count = F.greatest(F.lit(1), F.least(F.lit(MOST_COPIES), F.coalesce(F.regexp_extract(F.coalesce(last(COUNT), F.lit("")), COUNT, 1).try_cast("int"), F.lit(1))))
+        one = F.struct(F.lit(controller).alias("controller"), name.alias("card"), given("tapped").alias("tapped"), last(POWER).alias("pt"), given("attacking").alias("attacking"), given("summoning_sick").alias("summoning_sick"))
+        return once(F.struct(one.alias("one"), count.alias("n")), lambda x: F.when(x["one"]["card"] != "", F.array_repeat(x["one"], x["n"])).otherwise(F.array_repeat(x["one"], 0)))
+
+    def of(line: Column) -> Column:
+        return once(F.filter(F.split(F.replace(line, F.lit(","), F.lit(" ")), r"\s+"), lambda w: w != ""), made)
 
     return F.flatten(F.transform(lines, of))
 
