@@ -43,10 +43,14 @@ def bracket_items(raw: Column) -> Column:
 
 def pasted_entries(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, question, answer, cards) of labelled entries; empty templates are left out."""
-    each = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(ENTRY), F.lit(0))).alias("pos", "e"))
+    # what a generator gives isn't computed again for each use: the text, its entries, their parts
+    own = df.select(key, F.explode(F.array(F.col(text))).alias("__text"))
+    found = own.select(key, F.explode(F.array(F.regexp_extract_all("__text", F.lit(ENTRY), F.lit(0)))).alias("__all"))
+    each = found.select(key, F.posexplode("__all").alias("pos", "e"))
     part = lambda i: T.norm_space(F.regexp_extract("e", ENTRY, i))
-    out = each.select(key, "pos", part(1).alias("question"), part(2).alias("answer"), bracket_items(F.regexp_extract("e", ENTRY, 3)).alias("cards"))
-    return out.where("question <> '' and answer <> ''")
+    parts = F.struct(part(1).alias("question"), part(2).alias("answer"), F.regexp_extract("e", ENTRY, 3).alias("raw"))
+    out = each.select(key, "pos", F.inline(F.array(parts))).where("question <> '' and answer <> ''")
+    return out.select(key, "pos", "question", "answer", bracket_items(F.col("raw")).alias("cards"))
 
 
 def card_lists(df: DataFrame, key: str, raw: str, names: DataFrame, name: str, longest: int = 3) -> DataFrame:
@@ -60,7 +64,7 @@ def card_lists(df: DataFrame, key: str, raw: str, names: DataFrame, name: str, l
     runs = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("p") - i)), lambda n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("p", i + 1, n), ", ").alias("s")))
     asked = rows.where(F.size("p") > 0).select(key, F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("p") - 1), runs))).alias("r")).select(key, "r.*")
     known = names.groupBy(T.norm_name(F.col(name)).alias("norm")).agg(F.min(name).alias("card"))
-    found = asked.withColumn("norm", T.norm_name(F.col("s"))).join(known, "norm").groupBy(key, "i").agg(F.max(F.struct("n", "card")).alias("m"))
+    found = asked.withColumn("norm", T.norm_name(F.col("s"))).join(known.hint("merge"), "norm").groupBy(key, "i").agg(F.max(F.struct("n", "card")).alias("m"))
     found = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("m"))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"))
 
@@ -71,7 +75,8 @@ def card_lists(df: DataFrame, key: str, raw: str, names: DataFrame, name: str, l
         return F.struct(out.alias("out"), F.when(taken, at["i"] + F.coalesce(hit["n"], F.lit(1))).otherwise(s["next"]).alias("next"))
 
     places = F.transform("p", lambda p, i: F.struct(i.alias("i"), p.alias("p")))
-    return rows.join(found, key, "left").select(key, F.aggregate(places, start, step, lambda s: s["out"]).alias("cards"))
+    # both sides grow with the lists: never gathered for a broadcast
+    return rows.join(found.hint("merge"), key, "left").select(key, F.aggregate(places, start, step, lambda s: s["out"]).alias("cards"))
 
 
 def question_of(question: Column, messages: Column) -> Column:

@@ -56,7 +56,7 @@ def card_lists(t: Tables) -> DataFrame:
     """Names with a comma stay whole if they are known: brand and type of the parts whose size is divisible by 3."""
     known = t.part.where("p_size % 3 = 0").select(F.concat_ws(", ", "p_brand", "p_type").alias("name"))
     rows = t.part.select("p_partkey", F.concat_ws(" ,", F.upper("p_brand"), "p_type", F.lit(" "), "p_name").alias("raw"), "p_brand")
-    out = Q.card_lists(rows, "p_partkey", "raw", known, "name").join(rows.select("p_partkey", "p_brand"), "p_partkey")
+    out = Q.card_lists(rows, "p_partkey", "raw", known, "name").join(rows.select("p_partkey", "p_brand").hint("merge"), "p_partkey")
     first = F.when(F.get("cards", F.lit(0)) == F.upper("p_brand"), F.col("p_brand")).otherwise(F.get("cards", F.lit(0)))
     return out.select("p_partkey", F.concat_ws(";", first, F.array_join(F.slice("cards", F.lit(2), F.size("cards")), ";")).alias("cards"))
 

@@ -95,4 +95,4 @@ def test_card_lists_are_not_broadcast(spark):
     from quillspark.operators import questions as Q
 
     rows, names = spark.createDataFrame([(1, "Urborg, Tomb, Bear")], "k int, raw string"), spark.createDataFrame([("Urborg, Tomb",)], "n string")
-    assert "rightHint=(strategy=merge)" in plan(Q.card_lists(rows, "k", "raw", names, "n"))
+    assert plan(Q.card_lists(rows, "k", "raw", names, "n")).count("rightHint=(strategy=merge)") == 2
