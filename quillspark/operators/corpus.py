@@ -18,6 +18,7 @@ SECTION = r"^([1-9])\.\s+(.+)$"
 GROUP = r"^(\d{3})\.\s+([A-Za-z].+)$"
 RULE = r"^(\d{3}\.\d+)([a-z]*)\.?\s+(.+)$"
 REDIRECT = r"^See [^.]+\.$"
+ROWS_AT_ONCE = 256  # of texts that Python holds, however many an Arrow batch has
 
 
 def parse_rules(lines: DataFrame, file: str, order: str, line: str) -> DataFrame:
@@ -104,7 +105,7 @@ def glossary_terms(rules: DataFrame, key: str, text: str, glossary: DataFrame, b
 
     def reading(bc: Broadcast, first: bool, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (whole.slice(i, ROWS_AT_ONCE) for whole in batches for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
                 found = [list(_whole_words(t or "", bc.value)) for t in batch.column(at).to_pylist()]
                 if not first:
                     found = [f + [(x["begin"], x["end"], x["term"]) for x in before] for f, before in zip(found, batch.column(width).to_pylist(), strict=True)]
