@@ -83,3 +83,25 @@ def test_best_match_counts_only_what_is_hit(spark):
     rows = [(1, "shared only17"), (2, ""), (3, " ".join(f"only{i}" for i in range(500))), (4, "key twice"), (5, "null"), (6, "shared")]
     best = {x["k"]: (x["best"], round(x["score"], 6)) for x in S.best_match(spark.createDataFrame(rows, "k int, t string"), "k", "t", spark.createDataFrame(items, "o long, t string"), "o", "t").collect()}
     assert best[1] == (17, round(2 / 3, 6)) and best[2] == (None, 0.0) and best[3][0] == 499 and best[4] == (5, 1.0) and best[5] == (None, 0.0) and best[6][0] == 2999
+
+
+def test_rare_pairs_ship_the_sets_of_alike_texts_only(spark, monkeypatch):
+    """All pairs that brute force finds; of texts that share a rare token and little else no whole sets are compared."""
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(300)]
+    rows = [(i, " ".join([*r.sample(common, 100), f"rare{i // 20}"])) for i in range(200)]
+    rows += [(i + 1000, t + f" own{i}") for i, t in rows[::4]] + [(2000, None), (2001, "")]
+    rows += [(i + 3000, " ".join(f"big{k}" for k in range(i, 70000 + i))) for i in range(2)]  # bins overflow
+    sets = {i: set((t or "").split()) for i, t in rows}
+    holders = {}
+    for i, x in sets.items():
+        for t in x:
+            holders.setdefault(t, set()).add(i)
+    rare = {t for t, h in holders.items() if 2 <= len(h) <= 40}
+    near = lambda x, y: len(x & y) / len(x | y)
+    want = {(i, j): near(sets[i], sets[j]) for i in sets for j in sets if i < j and sets[i] & sets[j] & rare and near(sets[i], sets[j]) >= 0.75}
+    tried, whole = [], S._verified
+    monkeypatch.setattr(S, "_verified", lambda pairs, *rest: (tried.append(pairs.count()), whole(pairs, *rest))[1])
+    got = {(x["a"], x["b"]): x["score"] for x in S.rare_pairs(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
+    assert got == pytest.approx(want) and len(want) > 50 and (3000, 3001) in want
+    assert tried[0] <= 2 * len(want)
