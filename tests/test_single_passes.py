@@ -96,3 +96,16 @@ def test_card_lists_are_not_broadcast(spark):
 
     rows, names = spark.createDataFrame([(1, "Urborg, Tomb, Bear")], "k int, raw string"), spark.createDataFrame([("Urborg, Tomb",)], "n string")
     assert plan(Q.card_lists(rows, "k", "raw", names, "n")).count("rightHint=(strategy=merge)") == 2
+
+
+def test_wanted_rules_are_dealt_by_key_not_by_parent(spark):
+    """Keys of one parent lie in as many tasks as there are shuffle partitions; a repeated wish counts once."""
+    from quillspark.operators import retrieval as R
+
+    wanted = spark.range(3000).select("id", F.lit("702.2").alias("p"))
+    rules = spark.createDataFrame([("702.2",), ("702.2c",), ("702.20",)], "rule_id string")
+    out = R.expand_rules(wanted.union(wanted.limit(5)), "id", "p", rules, "rule_id")
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.withColumn("part", F.spark_partition_id()).collect()
+    assert len(rows) == 6000 and {(r["rule_id"], r["rank"]) for r in rows} == {("702.2", 1), ("702.2c", 2)}
+    assert len({r["part"] for r in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
