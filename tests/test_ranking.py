@@ -42,3 +42,14 @@ def test_a_memory_that_is_not_full_drops_nothing(spark):
     df = spark.range(10).withColumnRenamed("id", "e")
     assert [r[0] for r in logs.evicted(df, ["e"], 4).orderBy("e").collect()] == list(range(6))
     assert logs.evicted(df, ["e"], 10).count() == 0 == logs.evicted(df, ["e"], 11).count() and logs.evicted(df, ["e"], 0).count() == 10
+
+
+def test_rows_meet_many_groups_without_being_sorted_again(spark, monkeypatch):
+    rows = [(i % 7, -i, "x" * 50) for i in range(100)]
+    df = spark.createDataFrame(rows, "g int, v int, wide string")
+    few = ranking.ranked_within(df, ["g"], ["v"], "k", "n")
+    monkeypatch.setattr(ranking, "MANY", 5)
+    many = ranking.ranked_within(df, ["g"], ["v"], "k", "n")
+    assert "strategy=shuffle_hash" in many._jdf.queryExecution().optimizedPlan().toString() and "shuffle_hash" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in many.collect()) == sorted(tuple(r) for r in few.collect())
+    assert {(r["g"], r["k"], r["n"]) for r in many.collect() if r["v"] in (0, -98)} == {(0, 14, 15), (0, 0, 15)}
