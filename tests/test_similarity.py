@@ -105,3 +105,23 @@ def test_rare_pairs_ship_the_sets_of_alike_texts_only(spark, monkeypatch):
     got = {(x["a"], x["b"]): x["score"] for x in S.rare_pairs(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
     assert got == pytest.approx(want) and len(want) > 50 and (3000, 3001) in want
     assert tried[0] <= 2 * len(want)
+
+
+def test_a_batch_of_many_hits_is_met_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    table = lambda ids, sets, names: pa.table([pa.array(ids), pa.array([len(x) for x in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names)
+    items = S.Items(table(range(200), [r.choice(400, 60, replace=False).tolist() for _ in range(200)], ["b", "nb", "x"]))
+    texts = [r.choice(600, 150, replace=False).tolist() for _ in range(3000)]
+    batch = table(range(3000), texts, ["a", "na", "x"]).combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    found = [row for b in items.matched(batch) for row in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 3000 and peak < 48e6
+    at, item, score = items.best(np.concatenate([np.array(x) for x in texts]), np.full(3000, 150))
+    assert [(x["a"], x["b"], x["score"]) for x in found] == list(zip(at.tolist(), item.tolist(), score.tolist(), strict=True))
