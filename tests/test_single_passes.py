@@ -109,3 +109,13 @@ def test_wanted_rules_are_dealt_by_key_not_by_parent(spark):
     rows = out.withColumn("part", F.spark_partition_id()).collect()
     assert len(rows) == 6000 and {(r["rule_id"], r["rank"]) for r in rows} == {("702.2", 1), ("702.2c", 2)}
     assert len({r["part"] for r in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_bm25_cuts_documents_once_and_sums_candidates_once(spark):
+    from quillspark.operators import retrieval as R
+
+    docs = spark.createDataFrame([(i, f"bear w{i % 5} w{i % 3} x{i}") for i in range(40)] + [(None, "bear"), (99, None)], "d int, t string")
+    asked = spark.createDataFrame([(1, "bear w1 w1 x6"), (2, "none at all")], "q int, t string")
+    out = R.bm25(asked, "q", "t", docs, "d", "t", 3)
+    assert plan(out).count("regexp_extract_all") == 0 and plan(out).count("Aggregate") <= 2  # texts, postings and partial scores are read
+    assert [(r["d"], r["rank"]) for r in out.orderBy("rank").collect()][0] == (6, 1) and out.count() == 3
