@@ -223,15 +223,16 @@ def protocol(actions: DataFrame, key: str, found: dict[int, DataFrame | Column])
 def reference_problems(references: DataFrame, key: str, lines: str, legal: DataFrame, legal_line: str) -> DataFrame:
     """(key, rule, said): why a reference line isn't wholly right: empty, unreadable, prose, not legal.
 
-    references: (key, lines: array). Answers without listed actions are only held to the grammar.
+    references: (key, lines: array). Answers without listed actions are only held to the grammar. What is listed may be
+    as long as the references, so it meets them by merge joins: keys alone look small enough to broadcast, and are not.
     """
     empty = references.where(F.coalesce(F.size(lines), F.lit(0)) <= 0).select(key, F.lit("empty").alias("rule"), F.lit("").alias("said"))
     read = references.select(key, F.posexplode(lines).alias("pos", "line")).select(key, "pos", "line", F.explode(F.array(A.parse(F.col("line")))).alias("a"))
     bad = read.where("a.kind <> 'action'").select(key, F.when(F.col("a.kind") == "failure", "unparseable").otherwise("prose").alias("rule"), F.col("line").alias("said"))
     listed = legal.select(key, F.explode(F.array(A.parse(F.col(legal_line)))).alias("b")).select(key, F.col("b.key").alias("__k")).distinct()
-    some = listed.select(key).distinct()
+    some = legal.select(key).distinct()
     plays = read.where((F.col("a.kind") == "action") & ~F.col("a.verb").isin(*A.DECLARATIONS, "PASS")).select(key, "line", F.col("a.key").alias("__k"))
-    off = plays.join(some, key, "left_semi").join(listed, [key, "__k"], "left_anti").select(key, F.lit("not_legal").alias("rule"), F.col("line").alias("said"))
+    off = plays.join(some.hint("merge"), key, "left_semi").join(listed.hint("merge"), [key, "__k"], "left_anti").select(key, F.lit("not_legal").alias("rule"), F.col("line").alias("said"))
     return empty.unionByName(bad).unionByName(off)
 
 

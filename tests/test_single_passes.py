@@ -119,3 +119,15 @@ def test_bm25_cuts_documents_once_and_sums_candidates_once(spark):
     out = R.bm25(asked, "q", "t", docs, "d", "t", 3)
     assert plan(out).count("regexp_extract_all") == 0 and plan(out).count("Aggregate") <= 2  # texts, postings and partial scores are read
     assert [(r["d"], r["rank"]) for r in out.orderBy("rank").collect()][0] == (6, 1) and out.count() == 3
+
+
+def test_listed_actions_are_not_broadcast(spark):
+    """As many positions may list actions as are asked about; only their keys are few bytes."""
+    references = spark.createDataFrame([(1, ["CAST Bear", "CAST Shock"]), (2, ["CAST Shock"]), (3, ["CAST Shock", "prose"]), (4, ["BLOCK Bear"]), (5, []), (6, None), (None, ["CAST Shock"])], "k int, lines array<string>")
+    legal = spark.createDataFrame([(1, "CAST bear"), (1, "CAST Bear"), (3, None), (4, "PASS"), (None, "PASS")], "k int, line string")
+    out = B.reference_problems(references, "k", "lines", legal, "line")
+    assert plan(out).count("rightHint=(strategy=merge)") == 2
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {(1, "not_legal", "CAST Shock"), (3, "prose", "prose"), (3, "not_legal", "CAST Shock"), (4, "unparseable", "BLOCK Bear"), (5, "empty", ""), (6, "empty", "")}
+    rows = [tuple(r) for r in out.collect()]
+    assert len(rows) == len(want) and set(rows) == want
