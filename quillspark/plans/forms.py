@@ -30,6 +30,12 @@ def _board(k: Column, life: Column, untapped: Column) -> list[Column]:
     ]
 
 
+def _dealt(t: Tables) -> DataFrame:
+    """Parts, dealt by key into spark.sql.shuffle.partitions parts that aren't merged again: a few MB of them, which a
+    scan reads in one or two tasks, are many minutes of forms."""
+    return t.part.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 _FORM_SQL = """SELECT p_partkey AS k, p_size, p_brand, p_name, p_type FROM part"""
 _BOARD_SQL = """concat_ws('|', repeat('you:Bear:true:' || (p_size % 9) || '/' || (p_size % 7) || ':false:false|', greatest(1, k % 4)::INT) || 'you:Island:false::false:false', 'you:Old ' || p_brand || ':false::true:true', 'opp:Wall of ' || p_brand || ':false::false:false x40')"""
 
@@ -42,7 +48,7 @@ def form_positions(t: Tables) -> DataFrame:
     """A form for each part, and what its fields become."""
     k = F.col("p_partkey")
     form = F.to_json(F.struct(*_board(k, F.when(k % 4 == 0, "").otherwise((k % 4).cast("string")), F.lit("Island untapped"))))
-    made = O.positions(t.part.select("p_partkey", form.alias("form")), "p_partkey", "form")
+    made = O.positions(_dealt(t).select("p_partkey", form.alias("form")), "p_partkey", "form")
     one = lambda p: F.concat_ws(":", p["controller"], p["card"], p["tapped"].cast("string"), F.coalesce(p["pt"], F.lit("")), p["attacking"].cast("string"), p["summoning_sick"].cast("string"))
     own = F.filter("battlefield", lambda p: p["controller"] == "you")
     other = F.filter("battlefield", lambda p: p["controller"] == "opp")
@@ -65,7 +71,7 @@ def form_scenarios(t: Tables) -> DataFrame:
     step = lambda i: F.struct(*_board(k, F.lit("7" if i == 1 else "12"), F.when((k % 3 == 0) & F.lit(i == 2), "Island tapped").otherwise("Island untapped")), F.lit("CAST Bear\nPASS").alias("legal_actions"))
     steps = F.when(k % 6 != 5, F.array(step(0), step(1), step(2)))
     form = F.to_json(F.struct(_text(" S", k).alias("scenario_id"), F.when(k % 2 == 0, F.col("p_brand")).otherwise("").alias("source"), steps.alias("steps")))
-    made = O.scenarios(t.part.select("p_partkey", form.alias("form")), "p_partkey", "form").select("p_partkey", "id", "source", F.posexplode("steps").alias("step", "s"))
+    made = O.scenarios(_dealt(t).select("p_partkey", form.alias("form")), "p_partkey", "form").select("p_partkey", "id", "source", F.posexplode("steps").alias("step", "s"))
     changed = F.array_join(F.array_compact(F.array(*(F.when(F.col("s")[c].isNotNull(), c) for c in O.OVERRIDES))), "|")
     return made.select("p_partkey", "id", "source", "step", changed.alias("changed"), F.col("s.players.you.life").alias("life"), F.array_join("s.legal_actions", "|").alias("legal"))
 

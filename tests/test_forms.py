@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark import registry
@@ -41,6 +42,25 @@ def test_a_step_holds_what_differs(spark):
     assert changed == [[], [], ["battlefield", "known_information"]] and one["steps"][1]["phase"] == "end" and one["steps"][0]["legal_actions"] == ["PASS"]
 
 
+@pytest.mark.parametrize("name", ["form_positions", "form_scenarios"])
+def test_parts_are_dealt_before_their_forms_are_read(spark, name):
+    """A table of one small file is work for as many tasks as there are shuffle partitions."""
+    rows = registry.QUERIES[name](spark, SF).withColumn("task", F.spark_partition_id())
+    assert rows.select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_fields_are_read_in_one_pass(spark):
+    odd = {"id": 2.50, "turn": True, "you_life": [7], "stack": ["a", 1], "source": {"a": None}, "opp_hand_count": "+3"}
+    forms = spark.createDataFrame([(1, json.dumps(odd | {"scenario_id": 1, "steps": [None, 1, odd, [odd]]})), (2, json.dumps(odd | {"steps": {"id": "x"}})), (3, "[1]"), (4, "null")], "k int, form string")
+    for made in (O.positions(forms, "k", "form"), O.scenarios(forms, "k", "form")):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get") == 1
+    got = {r["k"]: r for r in O.positions(forms, "k", "form").collect()}
+    assert [(r["id"], r["turn"], r["players"]["you"]["life"], r["players"]["opp"]["hand_count"], r["stack"], r["source"]) for r in (got[1], got[3], got[4])] == [("2.5", 0, 20, 3, ['["a",1]'], '{"a":null}'), ("", 0, 20, 0, [], ""), ("", 0, 20, 0, [], "")]
+    one = O.scenarios(forms, "k", "form").collect()
+    assert [(r["k"], r["id"], r["source"], len(r["steps"])) for r in one] == [(1, "1", '{"a":null}', 4)]
+    assert [s["players"] is None for s in one[0]["steps"]] == [True, True, False, True] and one[0]["steps"][2]["players"]["opp"]["hand_count"] == 3
+
+
 def test_exemplars_are_completed_turns(spark):
     shots = F.array(F.struct(F.lit("q1").alias("question"), F.lit("a1").alias("answer")))
     none = F.lit(None).cast("array<struct<question: string, answer: string>>")
